@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from riskweave.llm import secret_ledger
+from riskweave.llm import chat_format, secret_ledger
 
 
 def queries() -> dict:
     return {
         "op1_secret_ledger": secret_ledger.op1_secret_ledger,
+        "op9_chat_format": chat_format.op9_chat_format,
     }
 
 
 def oracle_sql() -> dict:
     return {
         "op1_secret_ledger": secret_ledger.OP1_SQL,
+        "op9_chat_format": chat_format.OP9_SQL,
     }
