@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from riskweave.llm import chat_format, secret_ledger
+from riskweave.llm import chat_format, ngram_jaccard, secret_ledger
 
 
 def queries() -> dict:
     return {
         "op1_secret_ledger": secret_ledger.op1_secret_ledger,
+        "op2_ngram_jaccard": ngram_jaccard.op2_ngram_jaccard,
         "op9_chat_format": chat_format.op9_chat_format,
     }
 
