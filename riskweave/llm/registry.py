@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from riskweave.llm import chat_format, ngram_jaccard, secret_ledger
+from riskweave.llm import chat_format, decontaminate, ngram_jaccard, secret_ledger
 
 
 def queries() -> dict:
     return {
         "op1_secret_ledger": secret_ledger.op1_secret_ledger,
         "op2_ngram_jaccard": ngram_jaccard.op2_ngram_jaccard,
+        "op7_decontaminate": decontaminate.op7_decontaminate,
         "op9_chat_format": chat_format.op9_chat_format,
     }
 
