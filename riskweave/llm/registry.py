@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from riskweave.llm import chat_format, decontaminate, ngram_jaccard, secret_ledger
+from riskweave.llm import chat_format, decontaminate, mixing, ngram_jaccard, secret_ledger, token_codes
 
 
 def queries() -> dict:
     return {
         "op1_secret_ledger": secret_ledger.op1_secret_ledger,
         "op2_ngram_jaccard": ngram_jaccard.op2_ngram_jaccard,
+        "op3_mixing": mixing.op3_mixing,
+        "op4_token_codes": token_codes.op4_token_codes,
         "op7_decontaminate": decontaminate.op7_decontaminate,
         "op9_chat_format": chat_format.op9_chat_format,
     }
@@ -17,5 +19,6 @@ def queries() -> dict:
 def oracle_sql() -> dict:
     return {
         "op1_secret_ledger": secret_ledger.OP1_SQL,
+        "op3_mixing": mixing.OP3_SQL,
         "op9_chat_format": chat_format.OP9_SQL,
     }
