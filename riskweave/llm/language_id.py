@@ -180,11 +180,9 @@ class Network:
 
 def train(spark: SparkSession, docs: DataFrame) -> Network | None:
     """A network for the languages of ``docs`` (doc_id, text, lang), learned from rows that aren't held out."""
-    pick = F.xxhash64(F.col("doc_id").cast("string"), F.lit("row"))
     begin = 1 + F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("window")), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(1)))
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id")))
-    rows = known.select(pick.alias("pick"), "lang", F.substring("text", begin.cast("int"), F.lit(SAMPLE_CHARS)).alias("part")).orderBy("pick", "part").limit(SAMPLE_ROWS).collect()
-    rows = [r for r in rows if r.part]
+    known = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("string").alias("key"), "lang", F.substring("text", begin.cast("int"), F.lit(SAMPLE_CHARS)).alias("part"))
+    rows = common.bounded_sample(known, SAMPLE_ROWS, "key", "lang").where(F.col("part").rlike(r"\p{L}")).collect()
     if not rows:
         return None
     languages = sorted({r.lang for r in rows})
