@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskweave.llm import chat_format, decontaminate, language_id, mixing, ngram_jaccard, secret_ledger, token_codes
+from riskweave.llm import chat_format, decontaminate, language_id, mixing, ngram_jaccard, secret_ledger, token_codes, toxicity
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_token_codes": token_codes.op4_token_codes,
         "op6_language_id": language_id.op6_language_id,
         "op7_decontaminate": decontaminate.op7_decontaminate,
+        "op8_toxicity": toxicity.op8_toxicity,
         "op9_chat_format": chat_format.op9_chat_format,
     }
 
