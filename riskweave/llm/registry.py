@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskweave.llm import chat_format, decontaminate, language_id, mixing, ngram_jaccard, secret_ledger, token_codes, toxicity
+from riskweave.llm import chat_format, decontaminate, language_id, mixing, ngram_jaccard, parsing, secret_ledger, token_codes, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_ngram_jaccard": ngram_jaccard.op2_ngram_jaccard,
         "op3_mixing": mixing.op3_mixing,
         "op4_token_codes": token_codes.op4_token_codes,
+        "op5_fingerprints": parsing.op5_fingerprints,
         "op6_language_id": language_id.op6_language_id,
         "op7_decontaminate": decontaminate.op7_decontaminate,
         "op8_toxicity": toxicity.op8_toxicity,
