@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskweave.llm import chat_format, decontaminate, language_id, mixing, ngram_jaccard, parsing, secret_ledger, token_codes, toxicity
+from riskweave.llm import chat_format, decontaminate, language_id, mixing, ngram_jaccard, parsing, secret_ledger, suffixes, token_codes, toxicity
 
 
 def queries() -> dict:
@@ -16,6 +16,7 @@ def queries() -> dict:
         "op7_decontaminate": decontaminate.op7_decontaminate,
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_chat_format": chat_format.op9_chat_format,
+        "op10_suffix_dedup": suffixes.op10_suffix_dedup,
     }
 
 
