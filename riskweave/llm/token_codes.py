@@ -21,6 +21,7 @@ row; null ids come first; empty tables give empty results; other columns are ign
 from __future__ import annotations
 
 import json
+import re
 import zlib
 
 import numpy as np
@@ -37,7 +38,9 @@ RANK_STEP = 512
 #: Tokens of one file, about; a document isn't cut.
 FILE_TOKENS = 4_000_000
 #: Words whose ids a worker remembers.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
+#: A control character that stands between words given to the tokenizer together.
+MARK = "\x01"
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 
@@ -144,29 +147,95 @@ class TokenFile:
 # -- tokenizing ---------------------------------------------------------------
 
 
+#: Bytes by what may stand on either side of a cut: white space, ASCII letters, ASCII marks but the apostrophe, and the rest.
+_SPACE, _LETTER, _POINT, _REST = range(4)
+_KIND = np.full(256, _REST, np.uint8)
+_KIND[np.flatnonzero(words.PLAIN)] = _SPACE
+_KIND[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'"]] = _POINT
+_KIND[[c for c in range(65, 123) if chr(c).isalpha()]] = _LETTER
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def pieces(data: np.ndarray, off: np.ndarray, plain: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of what is tokenized on its own, and each text's first.
+
+    White space cuts, and unless ``plain`` so does the place between an ASCII letter and
+    an ASCII mark that isn't an apostrophe: the tokenizer's pattern always cuts there.
+    """
+    kind = _KIND[data]
+    begin = np.zeros(len(data) + 1, bool)
+    begin[1:-1] = kind[1:] != kind[:-1]
+    if plain:
+        begin[1:-1] &= (kind[1:] == _SPACE) | (kind[:-1] == _SPACE)
+    else:
+        begin[1:-1] &= (kind[1:] != _REST) & (kind[:-1] != _REST) | (kind[1:] == _SPACE) | (kind[:-1] == _SPACE)
+    begin[off] = True
+    begin[-1] = True
+    cuts = np.flatnonzero(begin)
+    inside = kind[cuts[:-1]] != _SPACE
+    starts = cuts[:-1][inside]
+    return starts, cuts[1:][inside], np.searchsorted(starts, off)
+
+
 class WordTokenizer:
-    """Ids of whole texts by a tokenizer that drops white space and never joins across it.
+    """Ids of whole texts by a tokenizer that ignores letter case, drops white space and never joins across it.
 
-    So the ids of a text are those of its words in turn, and each distinct word is
-    given to the tokenizer once. ASCII white space separates; what other white space a
-    word holds is left to the tokenizer.
+    So the ids of a text are those of its pieces in turn, and each distinct piece, its
+    ASCII letters in lower case, is given to the tokenizer once. Where a special token's
+    string occurs in any case, pieces are whole words as they are.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
+        own = [t.content.lower().encode() for t in self._tokenizer.get_added_tokens_decoder().values()]
+        self._special = re.compile(b"|".join(map(re.escape, own)) if own else b"(?!)")
+        self._mark = self._tokenizer.encode(MARK, add_special_tokens=False).ids
         self._forget()
 
     def _forget(self) -> None:
         self._known: dict[int, int] = {}
-        self._ids: list[np.ndarray] = []
         self._flat, self._off = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of ``texts`` (words), one after the other, and the number of each one's.
+
+        Words are joined with a mark between them, which is cheaper than one call for
+        each; a word that holds the mark, or any word if its id isn't single, goes alone.
+        """
+        joint = np.array([MARK not in t for t in texts]) & (len(self._mark) == 1)
+        size = np.zeros(len(texts), np.int64)
+        parts: list[np.ndarray] = [None] * len(texts)
+        alone = np.flatnonzero(~joint)
+        for i, e in zip(alone, self._tokenizer.encode_batch_fast([texts[i] for i in alone], add_special_tokens=False), strict=True):
+            parts[i], size[i] = np.array(e.ids, np.uint32), len(e.ids)
+        together = np.flatnonzero(joint)
+        groups = [together[i : i + 1_000] for i in range(0, len(together), 1_000)]
+        found = self._tokenizer.encode_batch_fast([f" {MARK} ".join([texts[i] for i in g]) + f" {MARK}" for g in groups], add_special_tokens=False)
+        flat = np.concatenate([np.array(e.ids, np.uint32) for e in found] or [np.zeros(0, np.uint32)])
+        marks = np.flatnonzero(flat == self._mark[0]) if len(self._mark) == 1 else np.zeros(0, np.int64)
+        if len(marks) != len(together):
+            raise ValueError("a word's ids hold the mark's")
+        size[together] = np.diff(np.append(-1, marks)) - 1
+        flat = np.delete(flat, marks)
+        if not len(alone):
+            return flat, size
+        ends = np.cumsum(size[together])
+        for i, a, b in zip(together, ends - size[together], ends, strict=True):
+            parts[i] = flat[a:b]
+        return np.concatenate(parts), size
+
     def encode(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts of ``col``, one after the other, and the offsets of each text's."""
         data, off = words.text_bytes(col)
-        starts, ends, first = words.spans(data, off, words.PLAIN)
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(len(off), np.int64)
+        low = _LOWER[data]
+        plain = bool(self._special.search(low.tobytes()))
+        data = data if plain else low
+        starts, ends, first = pieces(data, off, plain)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(off), np.int64)
         hashes = words.word_hashes(data, starts, ends)
@@ -177,12 +246,11 @@ class WordTokenizer:
         new = np.flatnonzero(slot < 0)
         if len(new):
             texts = [bytes(data[starts[i] : ends[i]]).decode() for i in at[new]]
-            found = [np.array(e.ids, np.uint32) for e in self._tokenizer.encode_batch(texts, add_special_tokens=False)]
+            ids, sizes = self._ids(texts)
             slot[new] = np.arange(len(self._known), len(self._known) + len(new))
             self._known.update(zip(distinct[new].tolist(), slot[new].tolist(), strict=True))
-            self._flat = np.concatenate([self._flat, *found])
-            sizes = np.cumsum([len(x) for x in found])
-            self._off = np.concatenate([self._off, self._off[-1] + sizes])
+            self._flat = np.concatenate([self._flat, ids])
+            self._off = np.concatenate([self._off, self._off[-1] + np.cumsum(sizes)])
         of_word = slot[back]
         size = self._off[of_word + 1] - self._off[of_word]
         ends_at = np.zeros(len(size) + 1, np.int64)

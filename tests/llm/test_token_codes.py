@@ -34,7 +34,7 @@ def expected(rows):
 
 def test_files_hold_what_the_tokenizer_gives(spark, monkeypatch):
     rows = [(i * 7 % 40, f"It's Doc {i}'s text with\tspaces, numb3rs 12{i}, ÉTÉ été ΑΣ\ńx! ::: 日本語 " * (i % 5)) for i in range(40)]
-    rows += [(100, None), (101, ""), (102, "   "), (None, "null id"), (103, "long " * 30000)]
+    rows += [(100, None), (101, ""), (102, "   "), (None, "null id"), (103, "long " * 30000), (104, "a\x01b \x01 %\x01 end"), (105, "x<|EndOfText|>y <|endoftext|> Z.z"), (106, "a=\u0338b.'s o'Re?'ll \"'s e\u0301.E\u0301 $5.0x")]
     docs = spark.createDataFrame([(a, b, 0) for a, b in rows], "doc_id long, text string, start int")
     got = tc.read_token_files(tc.write_token_files(spark, docs, f"{tc.common.new_folder(spark, 't')}", tc.tokenizer_path(), 300)).collect()
     assert sorted((tuple(r) for r in got), key=lambda r: r[1]) == expected(rows)
