@@ -1 +1,348 @@
-"""Text operators."""
+"""Text operators over the filing texts, each beside its DuckDB twin."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from riskweave.catalog import query
+from riskweave.functions import fixed, lexicons, text as T
+from riskweave.functions.lexicons import count_sql, has_sql, plain_sql, quoted
+from riskweave.operators import extract as E
+from riskweave.operators import metadata as M
+from riskweave.operators import store
+from riskweave.operators import summary as Y
+
+_LEX = ("crypto", "risk", "fee", "boilerplate")
+
+
+def strip_sql(x: str) -> str:
+    return f"regexp_replace(regexp_replace({x}, '^\\s+', ''), '\\s+$', '')"
+
+
+def words_sql(x: str) -> str:
+    return f"list_distinct(list_filter(regexp_split_to_array(lower({x}), '\\s+'), lambda w: w <> ''))"
+
+
+def fold_sql(values: str, step: str, empty: str = "[]") -> str:
+    """A fold over singletons: ``acc`` the list so far, ``x`` the next singleton."""
+    return f"CASE WHEN coalesce(len({values}), 0) = 0 THEN {empty} ELSE list_reduce(list_transform({values}, lambda v: [v]), lambda acc, x: {step}) END"
+
+
+def checked(name: str, source: str) -> str:
+    """Common table expression ``name``: ``source`` (with a column text) and the check's columns."""
+    hits = ", ".join(f"{count_sql('pt', n)} AS {n}_hits" for n in _LEX)
+    return f"""{name} AS (SELECT * EXCLUDE (pt, score), CASE WHEN reason = '' THEN score ELSE 0.0::DOUBLE END AS confidence FROM (SELECT *,
+  CASE WHEN text IS NULL OR length(text) < 200 THEN 'too short' WHEN crypto_hits < {fixed.MIN_CRYPTO} THEN 'insufficient crypto content' WHEN risk_density < {fixed.MIN_RISK_DENSITY} THEN 'insufficient risk density' WHEN fee_ratio > {fixed.MAX_FEE_RATIO} THEN 'fee schedule' ELSE '' END AS reason,
+  least(1.0::DOUBLE, 0.3::DOUBLE * least(crypto_hits / 15.0::DOUBLE, 1.0::DOUBLE) + 0.4::DOUBLE * least(risk_density / 15.0::DOUBLE, 1.0::DOUBLE) + 0.2::DOUBLE * CASE WHEN fee_ratio < 0.2 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END + 0.1::DOUBLE * CASE WHEN boilerplate_hits < 5 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END) AS score
+  FROM (SELECT *, CASE WHEN n = 0 THEN 0.0::DOUBLE ELSE risk_hits / (n / 1000.0::DOUBLE) END AS risk_density, CASE WHEN risk_hits > 0 THEN fee_hits::DOUBLE / risk_hits ELSE 1.0::DOUBLE END AS fee_ratio
+  FROM (SELECT *, length(substr(text, 1, 40000)) AS n, {hits} FROM (SELECT *, {plain_sql("substr(text, 1, 40000)")} AS pt FROM {source})))))"""
+
+
+def spans_sql(start: str, end: str, least: int) -> str:
+    """The largest span between two headings, or null."""
+    found = f"list_filter(regexp_extract_all(text, {quoted(E.pair_pattern(start, end))}, 1), lambda s: length(s) >= {least})"
+    ranked = f"list_sort(list_transform({found}, lambda s, i: {{'r': -length(s), 'i': i, 't': {strip_sql('s')}}}))"
+    return f"({ranked})[1].t"
+
+
+# -- lexicons and the section check --
+
+
+@query("lexicon_counts", f"SELECT doc_id, {', '.join(f'{count_sql(chr(112), n)} AS {n}_hits' for n in _LEX)} FROM (SELECT doc_id, {plain_sql('text')} AS p FROM texts)")
+def _(f):
+    return f.texts.select("doc_id", *[lexicons.count(F.col("text"), n).cast("long").alias(f"{n}_hits") for n in _LEX])
+
+
+_SIGNALS = ["crypto_hits", "risk_hits", "fee_hits", "boilerplate_hits"]
+
+
+@query("validate_section", f", {checked('done', 'passages')} SELECT doc_id, reason = '' AS valid, round(confidence, 6) AS confidence, {', '.join(_SIGNALS)}, round(risk_density, 6) AS risk_density, round(fee_ratio, 6) AS fee_ratio FROM done")
+def _(f):
+    done = E.check(f.passages)
+    return done.select("doc_id", (F.col("reason") == "").alias("valid"), F.round("confidence", 6).alias("confidence"), *[F.col(c).cast("long").alias(c) for c in _SIGNALS], F.round("risk_density", 6).alias("risk_density"), F.round("fee_ratio", 6).alias("fee_ratio"))
+
+
+@query("validate_reject_reason", f", {checked('done', 'passages')} SELECT reason, count(*) AS n FROM done GROUP BY 1")
+def _(f):
+    return E.check(f.passages).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+# -- spans --
+
+
+@query("extract_boundary_pair", f"SELECT doc_id, i AS nth, length(s) AS size, md5({strip_sql('s')}) AS digest FROM (SELECT doc_id, unnest(spans) AS s, generate_subscripts(spans, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, {quoted(E.pair_pattern('1A', '1B'))}, 1) AS spans FROM texts)) WHERE length(s) >= 1000")
+def _(f):
+    spans = f.texts.select("doc_id", F.inline(E.boundary_spans(F.col("text"), "1A", "1B")))
+    return spans.select("doc_id", (F.col("nth") + 1).cast("long").alias("nth"), F.col("size").cast("long").alias("size"), F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query("boundary_lenient", f", spans AS (SELECT doc_id, {spans_sql('1A', '2', 500)} AS text FROM texts WHERE root_form IN ('10-K', '10-Q')), {checked('done', '(SELECT * FROM spans WHERE text IS NOT NULL)')} SELECT doc_id, reason, round(confidence * 0.8, 6) AS confidence, length(text) AS size FROM done")
+def _(f):
+    spans = f.texts.where(F.col("root_form").isin(*E.REPORTS)).select("doc_id", F.get(E.boundary_spans(F.col("text"), "1A", "2", 500), 0)["text"].alias("text")).where("text IS NOT NULL")
+    return E.check(spans).select("doc_id", "reason", F.round(F.col("confidence") * E.LENIENT, 6).alias("confidence"), F.length("text").cast("long").alias("size"))
+
+
+_TAIL = quoted(r"(?im)(?:^|\n)\s*(?:" + "|".join(fixed.END_LINES) + r")\b")
+_HEADERS_SQL = f"""headers(no, header) AS (VALUES {", ".join(f"({i}, {quoted(h)})" for i, h in enumerate(fixed.HEADERS))}),
+cut AS (SELECT doc_id, text, no, length(header) AS hl, regexp_split_to_array(text, '(?i)\\Q' || header || '\\E') AS pieces FROM texts, headers WHERE contains(lower(text), lower(header))),
+piece AS (SELECT doc_id, text, no, hl, len(pieces) AS k, unnest(pieces) AS p, generate_subscripts(pieces, 1) AS i FROM cut),
+placed AS (SELECT *, sum(length(p)) OVER (PARTITION BY doc_id, no ORDER BY i) + i * hl AS pos FROM piece),
+around AS (SELECT doc_id, text, no, i, pos, lower(substr(text, CAST(greatest(pos - hl - 80, 0) + 1 AS BIGINT), CAST(least(pos - hl, 80) AS BIGINT))) AS bef, lower(substr(text, CAST(pos + 1 AS BIGINT), 120)) AS aft, substr(text, CAST(pos + 301 AS BIGINT)) AS rest FROM placed WHERE i < k),
+ended AS (SELECT *, CASE WHEN regexp_matches(rest, {_TAIL}) THEN pos + 300 + length(regexp_split_to_array(rest, {_TAIL})[1]) ELSE least(pos + 80000, length(text)) END AS stop FROM around
+  WHERE NOT contains(bef, 'see ') AND NOT contains(bef, 'refer to ') AND NOT contains(bef, 'beginning on page') AND NOT (contains(aft, 'on page') AND length(aft) < 80)),
+prospectus AS (SELECT doc_id, no, i AS nth, {strip_sql("substr(text, CAST(pos + 1 AS BIGINT), CAST(stop - pos AS BIGINT))")} AS own FROM ended)"""
+
+
+@query("extract_prospectus", f", {_HEADERS_SQL} SELECT doc_id, no AS header_no, nth, length(own) AS size, md5(own) AS digest FROM prospectus WHERE length(own) >= 800")
+def _(f):
+    spans = f.texts.select("doc_id", F.inline(E.header_spans(F.col("text"))))
+    return spans.select("doc_id", "header_no", F.col("nth").cast("long").alias("nth"), F.col("size").cast("long").alias("size"), F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+_TYPED = f"{checked('typed_done', '(SELECT * FROM typed WHERE length(text) >= CASE WHEN root_form = ' + chr(39) + '8-K' + chr(39) + ' THEN 400 ELSE 500 END)')}"
+
+
+@query("extract_typed_sections", f", {_TYPED} SELECT doc_id, seq, section_type, round(confidence, 6) AS confidence FROM typed_done WHERE reason = ''")
+def _(f):
+    least = F.when(F.col("root_form") == "8-K", 400).otherwise(500)
+    done = E.check(f.typed.where(F.length("text") >= least)).where("reason = ''")
+    return done.select("doc_id", "seq", "section_type", F.round("confidence", 6).alias("confidence"))
+
+
+# -- paragraphs --
+
+_SENTENCES = "string_split(regexp_replace({x}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))"
+_CHUNK = "struct_pack(done := CASE WHEN length(acc[1].o || x[1].o) > 400 THEN acc[1].done || [" + strip_sql("acc[1].o || x[1].o") + "] ELSE acc[1].done END, o := CASE WHEN length(acc[1].o || x[1].o) > 400 THEN '' ELSE acc[1].o || x[1].o END)"
+# the first sentence starts the fold, so it is closed here if it is long enough by itself
+_START = "list_transform({s}, lambda v, i: struct_pack(done := CASE WHEN i = 1 AND length(v) > 399 THEN [" + strip_sql("v") + "] ELSE []::VARCHAR[] END, o := CASE WHEN i = 1 AND length(v) > 399 THEN '' ELSE v || ' ' END))"
+
+
+def _paragraphs_sql(source: str) -> str:
+    sent = _SENTENCES.format(x="text")
+    return f"""run AS (SELECT doc_id, text, regexp_split_to_array(text, '\\n\\s*\\n') AS plain, CASE WHEN len(regexp_split_to_array(text, '\\n\\s*\\n')) < 5 THEN list_reduce(list_transform({_START.format(s=sent)}, lambda v: [v]), lambda acc, x: [{_CHUNK}])[1] END AS r FROM {source}),
+pieces AS (SELECT doc_id, CASE WHEN len(plain) >= 5 THEN plain WHEN {strip_sql('r.o')} <> '' THEN r.done || [{strip_sql('r.o')}] ELSE r.done END AS ps FROM run),
+para AS (SELECT doc_id, {strip_sql('p')} AS p, pos FROM (SELECT doc_id, unnest(ps) AS p, generate_subscripts(ps, 1) - 1 AS pos FROM pieces)),
+scored AS (SELECT doc_id, pos, p, {count_sql('q', 'crypto')} * {count_sql('q', 'risk')} AS score FROM (SELECT *, {plain_sql('p')} AS q FROM para) WHERE length(p) >= 60 AND NOT {has_sql('q', 'boilerplate')} AND NOT {has_sql('q', 'fee')}),
+cuts AS (SELECT *, coalesce(sum(length(p)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS total FROM scored WHERE score > 0)"""
+
+
+@query("sentence_chunks", f", {_paragraphs_sql('passages')} SELECT doc_id, pos, length(p) AS size, md5(p) AS digest FROM para")
+def _(f):
+    return E.paragraphs(f.passages).select("doc_id", F.col("pos").cast("long").alias("pos"), F.length("p").cast("long").alias("size"), F.md5(F.col("p").cast("binary")).alias("digest"))
+
+
+@query("paragraph_running_cut", f", {_paragraphs_sql('texts')} SELECT doc_id, pos, score FROM cuts WHERE total <= 400")
+def _(f):
+    """With a short cut, so that it bites."""
+    return E.scored_paragraphs(f.texts.select("doc_id", "text"), "doc_id", 400).select("doc_id", F.col("pos").cast("long").alias("pos"), F.col("score").cast("long").alias("score"))
+
+
+_PARA_TEXT = "SELECT doc_id, string_agg(p, chr(10) || chr(10) ORDER BY score DESC, pos) AS text FROM cuts WHERE total <= 60000 GROUP BY 1"
+
+
+@query("crypto_paragraphs", f", {_paragraphs_sql('texts')} SELECT doc_id, length(text) AS size, md5(text) AS digest FROM ({_PARA_TEXT})")
+def _(f):
+    made = E.paragraph_text(f.texts.select("doc_id", "text"), "doc_id")
+    return made.select("doc_id", F.length("text").cast("long").alias("size"), F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query("paragraph_fallback", f", {_paragraphs_sql('(SELECT * FROM texts WHERE length(text) > 500)')}, {checked('done', '(' + _PARA_TEXT + ')')} SELECT doc_id, reason, round(confidence * 0.6, 6) AS confidence FROM done")
+def _(f):
+    made = E.paragraph_text(f.texts.where(F.length("text") > 500).select("doc_id", "text"), "doc_id")
+    return E.check(made).select("doc_id", "reason", F.round(F.col("confidence") * E.PARAGRAPHS, 6).alias("confidence"))
+
+
+# -- all strategies --
+
+
+def _pairs_sql() -> str:
+    rows = []
+    for root, pairs in (("10-K", fixed.PAIRS_10K), ("10-Q", fixed.PAIRS_10Q)):
+        for no, (_, start, end) in enumerate(pairs):
+            rows.append(f"SELECT doc_id, {no} AS seq, 'boundary_pair_{start}_{end}' AS method, {spans_sql(start, end, 1000)} AS text FROM open_b WHERE root_form = '{root}'")
+    return " UNION ALL ".join(rows)
+
+
+_FUNDS = ", ".join(f"'{x}'" for x in fixed.FUND_FORMS)
+_ALL = f""", {_TYPED}, a AS (SELECT doc_id, 'A' AS strategy, seq, 'typed_' || section_type AS method, text, confidence FROM typed_done WHERE reason = ''),
+open_b AS (SELECT * FROM texts WHERE root_form IN ('10-K', '10-Q') AND doc_id NOT IN (SELECT doc_id FROM a)), tries AS ({_pairs_sql()}), {checked('b_done', '(SELECT * FROM tries WHERE text IS NOT NULL)')},
+b AS (SELECT doc_id, 'B' AS strategy, seq, method, text, confidence FROM b_done WHERE reason = '' QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY seq) = 1), {_HEADERS_SQL},
+tops AS (SELECT doc_id, own AS text, row_number() OVER (PARTITION BY doc_id ORDER BY length(own) DESC, no, nth) - 1 AS seq FROM prospectus WHERE length(own) >= 800 AND doc_id IN (SELECT doc_id FROM texts WHERE root_form IN ({_FUNDS})) QUALIFY seq < 3),
+{checked('c_done', 'tops')}, c AS (SELECT doc_id, 'C' AS strategy, seq, 'prospectus_header' AS method, text, confidence FROM c_done WHERE reason = ''),
+found_ab AS (SELECT doc_id FROM a UNION SELECT doc_id FROM b), wide AS (SELECT doc_id, {spans_sql('1A', '2', 500)} AS text FROM texts WHERE root_form IN ('10-K', '10-Q') AND doc_id NOT IN (SELECT doc_id FROM found_ab)),
+{checked('d_done', '(SELECT * FROM wide WHERE text IS NOT NULL)')}, d AS (SELECT doc_id, 'D' AS strategy, 0 AS seq, 'boundary_lenient' AS method, text, confidence * 0.8::DOUBLE AS confidence FROM d_done WHERE reason = ''),
+found_abcd AS (SELECT doc_id FROM found_ab UNION SELECT doc_id FROM c UNION SELECT doc_id FROM d), {_paragraphs_sql('(SELECT * FROM texts WHERE length(text) > 500 AND doc_id NOT IN (SELECT doc_id FROM found_abcd))')},
+{checked('e_done', '(' + _PARA_TEXT + ')')}, e AS (SELECT doc_id, 'E' AS strategy, 0 AS seq, 'paragraph_density' AS method, text, confidence * 0.6::DOUBLE AS confidence FROM e_done WHERE reason = ''),
+cands AS (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c UNION ALL SELECT * FROM d UNION ALL SELECT * FROM e)"""
+_OVER = "CASE WHEN least(len(k.w), len(x[1].w)) = 0 THEN 0.0 ELSE len(list_intersect(k.w, x[1].w)) / least(len(k.w), len(x[1].w))::DOUBLE END"
+_BEST = f"""sorted AS (SELECT doc_id, list({{'s': strategy, 'q': seq, 'm': method, 'c': round(confidence, 6), 'w': {words_sql('substr(text, 1, 2000)')}}} ORDER BY round(confidence, 6) DESC, strategy, seq) AS l FROM cands GROUP BY 1),
+kept AS (SELECT doc_id, {fold_sql('l', f'CASE WHEN len(list_filter(acc, lambda k: {_OVER} > 0.8)) > 0 THEN acc ELSE acc || x END')} AS ks FROM sorted),
+best AS (SELECT doc_id, i AS place, k.s AS strategy, k.m AS method, k.c AS confidence FROM (SELECT doc_id, unnest(ks) AS k, generate_subscripts(ks, 1) AS i FROM kept) WHERE i <= 5)"""
+
+
+@query("extract_all_candidates", f"{_ALL} SELECT doc_id, strategy, seq, method, round(confidence, 6) AS confidence, length(text) AS size FROM cands")
+def _(f):
+    return E.candidates(f.texts, f.typed).select("doc_id", "strategy", F.col("seq").cast("long").alias("seq"), "method", F.round("confidence", 6).alias("confidence"), F.length("text").cast("long").alias("size"))
+
+
+@query("candidate_dedup", f"{_ALL}, {_BEST} SELECT doc_id, place, strategy, method, confidence FROM best")
+def _(f):
+    best = E.distinct_best(E.candidates(f.texts, f.typed))
+    return best.select("doc_id", F.col("place").cast("long").alias("place"), "strategy", "method", F.round("confidence", 6).alias("confidence"))
+
+
+@query("multi_fund_merge", """, main AS (SELECT accession_no, id, confidence, 0 AS src FROM sections WHERE id % 2 = 0), extra AS (SELECT accession_no, id, confidence, 1 AS src FROM sections WHERE id % 2 = 1 AND accession_no IN (SELECT accession_no FROM filings WHERE form_type IN ('485APOS', '485BPOS', 'N-1A')))
+SELECT accession_no, id, src, row_number() OVER (PARTITION BY accession_no ORDER BY confidence DESC, src, id) AS place FROM (SELECT * FROM main UNION ALL SELECT * FROM extra) QUALIFY place <= 5""")
+def _(f):
+    """Candidates of the filing and, for shared fund filings, of its best document; merged without another dedup."""
+    from riskweave.operators.ingest import capped
+
+    funds = f.filings.where(F.col("form_type").isin("485APOS", "485BPOS", "N-1A")).select("accession_no")
+    both = f.sections.where("id % 2 = 0").withColumn("src", F.lit(0)).unionByName(f.sections.where("id % 2 = 1").join(funds, "accession_no", "left_semi").select(f.sections.columns).withColumn("src", F.lit(1)))
+    return capped(both, ["accession_no"], [F.desc("confidence"), "src", "id"], 5).select("accession_no", "id", "src", F.col("nth").cast("long").alias("place"))
+
+
+_NAME = ", ".join("CASE WHEN length({0}) BETWEEN 9 AND 79 THEN {0} END".format(strip_sql(f"regexp_extract(substr(text, 1, 3000), '\\b([A-Z][A-Za-z&.\\s]{{4,60}}{m}(?:Trust|Fund|ETF))\\b', 1)")) for m in ("", "Bitcoin[A-Za-z\\s]{0,20}", "(?:Crypto|Digital|Ethereum)[A-Za-z\\s]{0,20}"))
+
+
+@query("fund_documents", f", found AS (SELECT accession_no, seq, name, {count_sql('p', 'crypto')} AS crypto_score FROM (SELECT *, {plain_sql('substr(text, 1, 20000)')} AS p FROM fund_docs WHERE seq < 5 AND is_binary = 0 AND length(text) >= 500)) SELECT *, row_number() OVER (PARTITION BY accession_no ORDER BY crypto_score DESC, seq) - 1 AS doc_seq FROM found")
+def _(f):
+    docs = f.fund_docs.where("seq < 5 AND is_binary = 0").where(F.length("text") >= 500).withColumn("crypto_score", lexicons.count(F.substring("text", 1, 20_000), "crypto").cast("long"))
+    return store.ranked_documents(docs).select("accession_no", "seq", "name", "crypto_score", F.col("doc_seq").cast("long").alias("doc_seq"))
+
+
+@query("fund_name", f"SELECT accession_no, seq, coalesce({_NAME}, '') AS fund FROM (SELECT accession_no, seq, {plain_sql('text')} AS text FROM fund_docs)")
+def _(f):
+    plain = F.regexp_replace("text", "[À-ÖØ-öø-ÿ]", "x")
+    return f.fund_docs.select("accession_no", "seq", T.fund_name(plain).alias("fund"))
+
+
+# -- scalars --
+
+
+@query("html_to_text")
+def _(f):
+    """Readable text of whole pages (no SQL twin: a parser's work)."""
+    return f.html_pages.select("page_id", T.html_to_text("html").alias("text"))
+
+
+@query("html_strip_simple", "SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) AS text FROM pages")
+def _(f):
+    return f.pages.select("page_id", T.strip_tags(F.col("html")).alias("text"))
+
+
+@query("toc_table_flag", "SELECT page_id, length(table_text) < 2000 AND ((len(regexp_extract_all(table_text, '(?i)\\bItem\\s+\\d+[A-Z]?\\b')) >= 3 AND len(regexp_extract_all(table_text, '\\b\\d{1,3}\\b')) >= 3) OR regexp_matches(table_text, '(?i)table\\s+of\\s+contents')) AS contents FROM html_pages")
+def _(f):
+    return f.html_pages.select("page_id", T.toc_table(F.col("table_text")).alias("contents"))
+
+
+@query("ascii_fold", "SELECT doc_id, length(t) AS n, md5(t) AS digest FROM (SELECT doc_id, trim(regexp_replace(regexp_replace(strip_accents(replace(replace(text, 'ß', ''), 'ẞ', '')), '[^\\x00-\\x7F]', '', 'g'), '\\s+', ' ', 'g')) AS t FROM documents)")
+def _(f):
+    folded = f.documents.select("doc_id", T.ascii_fold("text").alias("t"))
+    return folded.select("doc_id", F.length("t").cast("long").alias("n"), F.md5(F.col("t").cast("binary")).alias("digest"))
+
+
+@query("risk_html")
+def _(f):
+    """Risk texts as HTML (no SQL twin)."""
+    return f.passages.select("doc_id", T.risk_html("text").alias("markup"))
+
+
+_TOKENS = f"list_transform(regexp_extract_all({plain_sql('substr(text, 1, 5000)')}, {quoted('(?i)' + lexicons.body('crypto'))}), lambda t: lower(t))"
+_JOINED = "array_to_string(list_slice(toks, 1, 5), ' or ')"
+
+
+@query("crypto_connection", f"""SELECT doc_id, CASE WHEN text = '' OR len(toks) = 0 THEN 'Crypto-related filing.' WHEN root_form IN ({_FUNDS}) THEN 'Proposes ' || {_JOINED} || ' ETF, fund, or security offering.' WHEN root_form IN ('10-K', '10-Q') THEN 'Reports ' || {_JOINED} || ' operations with risk disclosures.'
+WHEN root_form = '8-K' THEN 'Discloses ' || {_JOINED} || ' material event or corporate action.' ELSE 'Filing related to ' || {_JOINED} || '.' END AS connection FROM (SELECT doc_id, root_form, text, {fold_sql("m", "CASE WHEN list_contains(acc, x[1]) THEN acc ELSE acc || x END")} AS toks FROM (SELECT *, {_TOKENS} AS m FROM texts))""")
+def _(f):
+    """The first five topic words in order of appearance, in the sentence of the form."""
+    found = F.array_distinct(F.transform(F.regexp_extract_all(F.substring("text", 1, 5000), F.lit("(?idU)" + lexicons.body("crypto")), 0), lambda t: F.lower(t)))
+    said, root = F.array_join(F.slice(found, 1, 5), " or "), F.col("root_form")
+    sentence = (
+        F.when((F.col("text") == "") | (F.size(found) == 0), "Crypto-related filing.")
+        .when(M.is_fund(root), F.concat(F.lit("Proposes "), said, F.lit(" ETF, fund, or security offering.")))
+        .when(root.isin(*E.REPORTS), F.concat(F.lit("Reports "), said, F.lit(" operations with risk disclosures.")))
+        .when(root == "8-K", F.concat(F.lit("Discloses "), said, F.lit(" material event or corporate action.")))
+        .otherwise(F.concat(F.lit("Filing related to "), said, F.lit(".")))
+    )
+    return f.texts.select("doc_id", sentence.alias("connection"))
+
+
+@query("word_overlap", f"""SELECT doc_id, round(CASE WHEN least(len(a), len(b)) = 0 THEN 0.0 ELSE len(list_intersect(a, b)) / least(len(a), len(b))::DOUBLE END, 6) AS overlap FROM (SELECT p.doc_id, {words_sql("p.text")} AS a, {words_sql("substr(t.text, 1, 2000)")} AS b FROM passages p JOIN texts t USING (doc_id))""")
+def _(f):
+    both = f.passages.join(f.texts.select("doc_id", F.col("text").alias("other")), "doc_id")
+    return both.select("doc_id", F.round(T.overlap(T.word_set(F.col("text")), T.word_set(F.substring("other", 1, 2000))), 6).alias("overlap"))
+
+
+# -- summaries --
+
+_ASSETS = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(low, {quoted(p)}) THEN '{label}' END" for p, label in fixed.ASSETS) + "], lambda a: a IS NOT NULL)"
+_AREAS = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(low, {quoted(p)}) THEN '{label}' END" for label, p in fixed.RISK_CATEGORIES) + "], lambda a: a IS NOT NULL)"
+_PHRASE = "CASE form_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in fixed.FORM_PHRASES.items()) + " ELSE form_type || ' filing' END"
+_GATE = f"length(text) >= 200 AND {count_sql('g', 'crypto')} >= 3 AND {count_sql('g', 'risk')} >= 5 AND {count_sql('g', 'fee')} <= 0.5 * {count_sql('g', 'risk')}"
+_SENT = f"""sents AS (SELECT doc_id, {strip_sql('s')} AS s, pos FROM (SELECT doc_id, unnest(l) AS s, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT doc_id, {_SENTENCES.format(x="substr(text, 1, 50000)")} AS l FROM texts))),
+marked AS (SELECT *, {plain_sql('s')} AS q FROM sents WHERE length(s) BETWEEN 80 AND 450), hits AS (SELECT *, {count_sql('q', 'crypto')} AS c, {count_sql('q', 'risk')} AS r FROM marked WHERE NOT ({has_sql('q', 'generic')} OR {has_sql('q', 'boilerplate')} OR {has_sql('q', 'fee')})),
+telling AS (SELECT doc_id, pos, s, (c * 3 + r * 2 + {count_sql('q', 'specific')} * 5 - {count_sql('q', 'hedge')} * 0.5)::DOUBLE AS score FROM hits WHERE c > 0 AND r > 0)""".replace("hits AS", "rated AS").replace("FROM hits", "FROM rated")
+_PICKED = f"""lists AS (SELECT doc_id, list({{'s': s, 'w': {words_sql('s')}}} ORDER BY score DESC, pos) AS l FROM telling GROUP BY 1),
+picks AS (SELECT doc_id, list_transform({fold_sql('l', 'CASE WHEN len(acc) >= 3 OR len(list_filter(acc, lambda k: len(list_intersect(x[1].w, k.w)) / greatest(len(x[1].w), 1)::DOUBLE > 0.4)) > 0 THEN acc ELSE acc || x END')}, lambda k: k.s) AS picked FROM lists)"""
+
+
+@query("summary_gate", f"SELECT doc_id, {_GATE} AS open FROM (SELECT *, {plain_sql('substr(text, 1, 30000)')} AS g FROM texts)")
+def _(f):
+    return f.texts.select("doc_id", Y.gate(F.col("text")).alias("open"))
+
+
+@query("detect_assets", f"SELECT doc_id, array_to_string({_ASSETS}, ', ') AS assets FROM (SELECT doc_id, {plain_sql('lower(substr(text, 1, 10000))')} AS low FROM texts)")
+def _(f):
+    return f.texts.select("doc_id", F.array_join(Y.assets(F.col("text")), ", ").alias("assets"))
+
+
+_TICK = "CASE a " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in fixed.TICKERS.items()) + " END"
+
+
+@query("asset_tickers", f"SELECT doc_id, array_to_string(list_transform(list_slice({_ASSETS}, 1, 5), lambda a: {_TICK}), ', ') AS tickers FROM (SELECT doc_id, {plain_sql('lower(substr(text, 1, 10000))')} AS low FROM texts)")
+def _(f):
+    return f.texts.select("doc_id", F.array_join(Y.tickers(Y.assets(F.col("text"))), ", ").alias("tickers"))
+
+
+@query("form_phrase", f"SELECT DISTINCT form_type, {_PHRASE} AS phrase FROM filings")
+def _(f):
+    return f.filings.select("form_type", Y.form_phrase(F.col("form_type")).alias("phrase")).distinct()
+
+
+@query("risk_categories", f"SELECT doc_id, array_to_string({_AREAS}, '; ') AS areas FROM (SELECT doc_id, lower(substr(text, 1, 60000)) AS low FROM texts)")
+def _(f):
+    return f.texts.select("doc_id", F.array_join(Y.risk_categories(F.col("text")), "; ").alias("areas"))
+
+
+@query("summary_sentence_scores", f", {_SENT} SELECT doc_id, pos, score, md5(s) AS digest FROM telling")
+def _(f):
+    return Y.scored_sentences(f.texts.select("doc_id", "text")).select("doc_id", F.col("pos").cast("long").alias("pos"), "score", F.md5(F.col("s").cast("binary")).alias("digest"))
+
+
+@query("summary_sentences", f", {_SENT}, {_PICKED} SELECT doc_id, len(picked) AS n, array_to_string(picked, ' ') AS picked FROM picks")
+def _(f):
+    best = Y.best_sentences(f.texts.select("doc_id", "text"), "doc_id")
+    return best.select("doc_id", F.size("picked").cast("long").alias("n"), F.array_join("picked", " ").alias("picked"))
+
+
+_SUMMARY = f"""{_SENT}, {_PICKED}, gated AS (SELECT doc_id, form_type, company_name, {_GATE} AS open, {_ASSETS.replace("low", "lowa")} AS assets, {_AREAS} AS areas FROM (SELECT *, {plain_sql('substr(text, 1, 30000)')} AS g, {plain_sql('lower(substr(text, 1, 10000))')} AS lowa, lower(substr(text, 1, 60000)) AS low FROM texts)),
+told AS (SELECT doc_id, CASE WHEN open THEN company_name || ' — ' || {_PHRASE} || CASE WHEN len(assets) > 0 THEN ' involving ' || array_to_string(list_slice(assets, 1, 3), ', ') ELSE '' END || '.'
+  || CASE WHEN len(areas) > 0 THEN ' Risk disclosure covers ' || len(areas) || ' crypto-relevant areas: ' || array_to_string(list_slice(areas, 1, 5), '; ') || CASE WHEN len(areas) > 5 THEN ' (and ' || (len(areas) - 5) || ' more).' ELSE '.' END ELSE '' END
+  || CASE WHEN len(picked) > 0 THEN ' ' || array_to_string(picked, ' ') ELSE '' END ELSE '' END AS summary FROM gated LEFT JOIN picks USING (doc_id))"""
+
+
+@query("template_summary", f", {_SUMMARY} SELECT * FROM told")
+def _(f):
+    return Y.template_summary(f.texts.select("doc_id", "form_type", "company_name", "text"), "doc_id")
+
+
+@query("process_filings", f"{_ALL}, {_BEST}, {_SUMMARY} SELECT b.doc_id, b.strategy, b.method, b.confidence, t.summary, (SELECT count(*) FROM best x WHERE x.doc_id = b.doc_id) AS candidates FROM best b JOIN told t USING (doc_id) WHERE b.place = 1 AND b.doc_id IN (SELECT doc_id FROM texts WHERE length(text) >= 200)")
+def _(f):
+    """From texts to what is stored: filings with a candidate, their primary section and summary."""
+    texts = f.texts.where(F.length("text") >= 200)
+    best = E.distinct_best(E.candidates(texts, f.typed.join(texts.select("doc_id"), "doc_id", "left_semi")))
+    counts = best.groupBy("doc_id").agg(F.count("*").alias("candidates"))
+    told = Y.template_summary(texts.select("doc_id", "form_type", "company_name", "text"), "doc_id")
+    first = best.where("place = 1").select("doc_id", "strategy", "method", F.round("confidence", 6).alias("confidence"))
+    return first.join(told, "doc_id").join(counts, "doc_id")

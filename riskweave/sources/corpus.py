@@ -103,14 +103,16 @@ FRAMES = {
       SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN {literal(RISK)} WHEN 1 THEN {literal(BLOCKS["fees"])} WHEN 2 THEN {literal(BLOCKS["boiler"])} WHEN 3 THEN {literal(BLOCKS["thin"])} WHEN 4 THEN {literal(RISK + RISK + BOILER)} WHEN 5 THEN 'Too short.' ELSE '' END
         || CASE WHEN doc_id % 7 IN (1, 2, 4, 6) THEN substr(coalesce(text, ''), 1, cast(doc_id % 900 as int)) ELSE '' END AS text
       FROM {{documents}}""",
-    "attachments": """
-      SELECT lpad(cast(doc_id / 5 - (doc_id / 5) % 1 as varchar(20)), 10, '0') AS accession_raw, doc_id, source, text FROM {documents}""",
     "fund_docs": f"""
       SELECT 'F' || cast((doc_id - doc_id % 8) as varchar(20)) AS accession_no, cast(doc_id % 8 as int) AS seq, source || '-' || cast(doc_id as varchar(20)) AS name,
         CASE WHEN doc_id % 9 = 0 THEN 'GRAPHIC' ELSE 'EX-99' END AS type, 'https://filings.example/' || cast(doc_id as varchar(20)) || CASE WHEN doc_id % 3 = 0 THEN '.pdf' ELSE '.htm' END AS url,
         CASE WHEN doc_id % 9 = 0 THEN 1 ELSE 0 END AS is_binary,
         coalesce(text, '') || CASE doc_id % 5 WHEN 0 THEN {literal(chr(10) + "The Northern Light Bitcoin Fund seeks growth. " + RISK[:500])} WHEN 1 THEN {literal(RISK)} ELSE '' END AS text
       FROM {{documents}}""",
+    "typed": f"""
+      SELECT accession_no, doc_id, root_form, 0 AS seq, 'risk_factors' AS section_type, {literal(RISK)} || substr(text, 1, 300) AS text FROM {{texts}} WHERE root_form IN ('10-K', '10-Q', '8-K') AND doc_id % 5 = 0
+      UNION ALL SELECT accession_no, doc_id, root_form, 1 AS seq, 'business' AS section_type, substr(text, 1, 700) AS text FROM {{texts}} WHERE root_form IN ('10-K', '10-Q', '8-K') AND doc_id % 5 = 0
+      UNION ALL SELECT accession_no, doc_id, root_form, 2 AS seq, 'notes' AS section_type, {literal(RISK[:450])} AS text FROM {{texts}} WHERE root_form IN ('10-K', '10-Q', '8-K') AND doc_id % 10 = 0""",
     "html_pages": """
       SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '<table><tr><td>Table of Contents</td></tr><tr><td>Item 1</td><td>3</td></tr><tr><td>Item 2</td><td>14</td></tr><tr><td>Item 3</td><td>25</td></tr></table>' ELSE '' END
         || coalesce(html, '') AS html, CASE WHEN page_id % 3 = 0 THEN 'Item 1 . 3 Item 2 . 14 Item 3 . 25' WHEN page_id % 3 = 1 THEN 'Table of Contents' ELSE 'Revenue 3 and 14' END AS table_text
@@ -121,7 +123,6 @@ FRAMES = {
       UNION ALL
       SELECT okey + 1000000000, '{"_id":"' || accession_no || ':x.htm","_source":{"adsh":"' || accession_no || '","display_names":["Again (CIK 000' || cik || ')"],"form":"' || form_type || '","ciks":["000' || cik || '"],"file_date":"' || filing_date || '"}}' AS hit, form_type, accession_no, 1 AS source_rank FROM {filings} WHERE okey % 3 = 0""",
 }
-FRAMES.pop("attachments")
 
 
 def oracle_prelude() -> str:
