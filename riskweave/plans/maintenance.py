@@ -57,19 +57,19 @@ def _(f):
     return store.set_primary(f.sections, chosen).select("id", "accession_no", "is_primary")
 
 
-@query("fk_set_null", "SELECT id, accession_no, CASE WHEN section_id IN (SELECT id FROM sections WHERE id % 7 <> 1) THEN section_id END AS section_id FROM summaries")
+@query("fk_set_null", "SELECT id, accession_no, CAST(CASE WHEN section_id IN (SELECT id FROM sections WHERE id % 7 <> 1) THEN section_id END AS VARCHAR) AS section_id FROM summaries")
 def _(f):
-    return store.null_dangling(f.summaries.select("id", "accession_no", "section_id"), f.sections.where("id % 7 <> 1"))
+    return store.null_dangling(f.summaries.select("id", "accession_no", "section_id"), f.sections.where("id % 7 <> 1")).withColumn("section_id", F.col("section_id").cast("string"))
 
 
 _LOW = "extraction AS (SELECT accession_no, confidence FROM sections WHERE is_primary = 1)"
 
 
-@query("reprocess_select", f", {_LOW} SELECT f.accession_no, f.form_type, m.id AS summary_id, e.confidence FROM filings f LEFT JOIN summaries m USING (accession_no) LEFT JOIN extraction e USING (accession_no) WHERE m.summary IS NULL OR e.confidence < 0.5")
+@query("reprocess_select", f", {_LOW} SELECT f.accession_no, f.form_type, CAST(m.id AS VARCHAR) AS summary_id, e.confidence FROM filings f LEFT JOIN summaries m USING (accession_no) LEFT JOIN extraction e USING (accession_no) WHERE m.summary IS NULL OR e.confidence < 0.5")
 def reprocess(f):
     """Filings without a summary or with a weak section; once for each stored summary, as in the reference semantics."""
     primary = f.sections.where("is_primary = 1").select("accession_no", "confidence")
-    kept = f.summaries.select("accession_no", F.col("id").alias("summary_id"), "summary")
+    kept = f.summaries.select("accession_no", F.col("id").cast("string").alias("summary_id"), "summary")
     joined = f.filings.select("accession_no", "form_type").join(kept, "accession_no", "left").join(primary, "accession_no", "left")
     return joined.where("summary IS NULL OR confidence < 0.5").select("accession_no", "form_type", "summary_id", "confidence")
 
