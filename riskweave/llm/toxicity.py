@@ -55,38 +55,59 @@ def _windows(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return data, starts, ends, first
 
 
-def _grams(raw: bytes) -> np.ndarray:
-    """The distinct GRAM-byte sequences of a text, as numbers."""
-    x = np.frombuffer(raw, np.uint8).astype(U)
-    if len(x) < GRAM:
-        return np.zeros(0, U)
-    value = np.zeros(len(x) - GRAM + 1, U)
+def _delimited(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The windows of ``texts``, each between spaces, one after the other; where each begins, its size, each text's first."""
+    data, starts, ends, first = _windows(pa.array(texts, pa.string()))
+    size = ends - starts + 2
+    at = np.cumsum(size) - size
+    out = np.full(int(size.sum()), 32, np.uint8)
+    within = np.arange(len(out)) - np.repeat(at, size)
+    inner = (within > 0) & (within < np.repeat(size - 1, size))
+    out[inner] = data[(np.repeat(starts - 1, size) + within)[inner]]
+    return out, at, size, first
+
+
+def _grams(raw: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The GRAM-byte sequences inside the windows, as numbers, and the window of each."""
+    if len(raw) < GRAM:
+        return np.zeros(0, U), np.zeros(0, np.int64)
+    value = np.zeros(len(raw) - GRAM + 1, U)
     for i in range(GRAM):
-        value = (value << U(8)) | x[i : i + len(value)]
-    return np.unique(value)
-
-
-def _folded(text: str) -> list[bytes]:
-    return [f" {w[at : at + WINDOW]} ".encode() for w in words.folded_words(text) for at in range(0, len(w), WINDOW)]
+        value = (value << U(8)) | raw[i : i + len(value)]
+    window = np.repeat(np.arange(len(size)), size)[: len(value)]
+    inside = np.arange(len(value)) - at[window] <= size[window] - GRAM
+    return value[inside], window[inside]
 
 
 def train_dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
     """The contents of the toxic and of the ordinary dictionary."""
-    own = {1: [_folded(t) for t in toxic], 0: [_folded(t) for t in ordinary]}
-    counts = {}
-    for y, texts in own.items():
-        each = [_grams(b"".join(t)) for t in texts]
-        counts[y] = np.unique(np.concatenate(each or [np.zeros(0, U)]), return_counts=True)
+    own, counts = {}, {}
+    for y, texts in ((1, toxic), (0, ordinary)):
+        raw, at, size, first = _delimited(texts)
+        grams, window = _grams(raw, at, size)
+        cuts = np.searchsorted(window, first)
+        each = [np.unique(grams[i:j]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+        own[y] = raw, at, size, grams, window
+        counts[y] = np.unique(np.concatenate(each or [grams]), return_counts=True)
     (grams, seen), (others, other_n) = counts[1], counts[0]
-    at = np.minimum(np.searchsorted(others, grams), max(len(others) - 1, 0))
-    usual = np.where(others[at] == grams, other_n[at], 0) if len(others) else np.zeros(len(grams))
+    place = np.minimum(np.searchsorted(others, grams), max(len(others) - 1, 0))
+    usual = np.where(others[place] == grams, other_n[place], 0) if len(others) else np.zeros(len(grams))
     expected = (usual + 0.5) * len(toxic) / max(1, len(ordinary))
-    over = np.sort(grams[((seen - expected) / np.sqrt(expected + 1) > OVER) & (seen > 3 * expected) & (seen >= 3)])
-    marked = {w: bool(len(over)) and bool(np.isin(_grams(w), over).any()) for t in own[1] + own[0] for w in t}
-    bad = [w for t in own[1] for w in t if marked[w]]
-    plain = [w for t in own[0] for w in t if not marked[w]]
-    rng = np.random.default_rng(3)
-    plain = [plain[i] for i in rng.permutation(len(plain))[: max(len(bad), 1_000)]]
+    over = grams[((seen - expected) / np.sqrt(expected + 1) > OVER) & (seen > 3 * expected) & (seen >= 3)]  # sorted, as grams are
+
+    def windows(y: int, marked: bool) -> np.ndarray:
+        _, at, _, grams, window = own[y]
+        place = np.minimum(np.searchsorted(over, grams), max(len(over) - 1, 0))
+        hit = np.zeros(len(at), bool)
+        hit[window[over[place] == grams] if len(over) else []] = True
+        return np.flatnonzero(hit == marked)
+
+    def cut(y: int, chosen: np.ndarray) -> list[bytes]:
+        raw, at, size, *_ = own[y]
+        return [raw[at[i] : at[i] + size[i]].tobytes() for i in chosen]
+
+    bad, plain = windows(1, True), windows(0, False)
+    plain = np.random.default_rng(3).permutation(plain)[: max(len(bad), 1_000)]
 
     def trained(samples: list[bytes]) -> bytes:
         try:
@@ -94,7 +115,7 @@ def train_dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, by
         except zs.ZstdError:  # too few samples: they are the dictionary
             return b"".join(dict.fromkeys(samples))[-DICTIONARY:]
 
-    return trained(bad) + PREAMBLE, trained(plain) + PREAMBLE
+    return trained(cut(1, bad)) + PREAMBLE, trained(cut(0, plain)) + PREAMBLE
 
 
 class Meter:
