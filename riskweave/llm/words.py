@@ -8,6 +8,7 @@ letter) of the lower-cased text.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,9 +16,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
+_LIBC = ctypes.CDLL(None)
 SHINGLE = 5
 #: Bytes of text handled at once; one longer text is handled alone.
-CHUNK = 2 << 20
+CHUNK = 1 << 19
 
 _rng = np.random.default_rng(20240611)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=U) * U(2) + U(1)
@@ -66,13 +68,25 @@ def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def chunks(col: pa.Array, size: int = CHUNK) -> Iterator[tuple[int, int]]:
-    """Ranges of rows with about ``size`` bytes each, one row at least."""
+    """Ranges of rows with about ``size`` bytes each, one row at least.
+
+    Behind the last, freed memory goes back to the system: a worker lives on for later
+    tasks and shares its executor's memory with the others.
+    """
     _, off = text_bytes(col)
     at = 0
     while at < len(off) - 1:
         to = max(at + 1, int(np.searchsorted(off, off[at] + size, "right")) - 1)
         yield at, to
         at = to
+    give_back()
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(_LIBC, "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def spans(data: np.ndarray, off: np.ndarray, separator: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
