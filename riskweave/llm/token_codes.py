@@ -36,9 +36,9 @@ from riskweave.llm import common, storage, words
 MAGIC = b"RWDAC001"
 RANK_STEP = 512
 #: Tokens of one file, about; a document isn't cut.
-FILE_TOKENS = 4_000_000
+FILE_TOKENS = 2_000_000
 #: Words whose ids a worker remembers.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 400_000
 #: A control character that stands between words given to the tokenizer together.
 MARK = "\x01"
 END_ID = 1
