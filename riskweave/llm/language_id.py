@@ -26,6 +26,7 @@ from riskweave.llm import common, words
 SAMPLE_ROWS, SAMPLE_CHARS = 3_000, 512
 HIDDEN, WINDOW, LANES = 8, 128, 2_048
 EPOCHS, BATCH, RATE = 5, 256, 0.02
+STEPS = 200  # a small sample is gone through more often, until so many steps are taken
 FOLDS, HELD = 5, 0
 #: The pipeline's stage keeps documents whose language is found with this score or more; short texts score low, so it is lenient.
 MIN_SCORE = 0.35
@@ -104,6 +105,7 @@ class Network:
     def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, seed: int = 5) -> float:
         rng, m, v, step, loss = np.random.default_rng(seed), {}, {}, 0, 0.0
         weight = (len(y) / np.maximum(np.bincount(y, minlength=len(self.languages)), 1))[y]
+        epochs = max(epochs, -(-STEPS // -(-len(y) // BATCH)))
         total = epochs * -(-len(y) // BATCH)
         for _ in range(epochs):
             order = rng.permutation(len(y))
