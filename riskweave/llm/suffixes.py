@@ -1,18 +1,14 @@
-"""Passages that repeat across documents, by a sparse suffix array.
-
-Only suffixes that begin at content-selected positions are kept: of every ``WINDOWS``
-successive k-grams of words the one with the smallest hash (the minimiser). Two equal
-passages of ``WORDS`` words hold at least one minimiser at the same place. A minimiser
-whose k-gram occurs in one document only can't be part of a repeat and goes before any
-text is moved. The others travel with their context, up to ``WORDS`` words to either
-side, and are sorted by k-gram and by what follows, range-partitioned so that even the
-suffixes of one hot passage spread over many tasks. Sorted neighbours from different
-documents are compared and their matches extended word by word to the left and to the
-right; what reaches ``WORDS`` words is a repeat. A k-gram with at most ``GROUP``
-suffixes has all of them compared with each other, larger ones ``NEAR`` neighbours to
-either side in the order of what follows and in that of what precedes. Longer passages
-hold several minimisers, less than a context apart, and the union of their matches
-covers them.
+"""Passages that repeat across documents: equal windows of ``WORDS`` words, found through minimisers.
+
+Only k-grams at content-selected positions are dealt out first: of every ``WINDOWS``
+successive k-grams of words the one with the smallest hash (the minimiser). The smallest
+k-gram of a window of ``WORDS`` words is such a minimiser, and equal windows hold the same
+one. A minimiser whose k-gram occurs in one document only can't be part of a repeat and
+goes before any text is moved. Every window whose smallest k-gram is left is hashed; the
+windows of a hash that two documents have are repeats, and their union is the result.
+Nothing is paired and no group is cut, however many documents have a k-gram: hashes are
+first reduced to the smallest and largest doc_id (in part before they are dealt out), and
+the join back to the places can be split inside a hash.
 
 Texts that are equal as a whole take part once; their copies get the same spans, and
 the whole text if it has ``WORDS`` words.
@@ -32,11 +28,10 @@ from pyspark.sql import functions as F
 from riskweave.llm import common, words
 
 WORDS, KGRAM, WINDOWS = 50, 8, 40
-LEFT = WORDS - KGRAM
-GROUP, NEAR = 48, 4
-ROWS = 6_000  # sorted suffixes compared at once
+GRAMS = WORDS - KGRAM + 1  # k-grams of a window
 U = np.uint64
-SUFFIX = "doc_id long, key long, at array<long>, before string, after string"
+WINDOW = "hash long, doc_id long, start long, end long"
+_MIX = np.random.default_rng(20240612).integers(1, 2**63, WORDS, dtype=U) * U(2) + U(1)
 
 
 def _kgrams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -46,22 +41,25 @@ def _kgrams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, ends, first, grams, gram_off
 
 
+def _lowest(grams: np.ndarray, n: int) -> np.ndarray:
+    """The place of the smallest of every ``n`` (33 to 64) successive k-grams, the first if several are."""
+    low = (grams & ~U((1 << 28) - 1)) | np.arange(len(grams), dtype=U)  # the 36 leading bits decide, then the place
+    for step in (1, 2, 4, 8, 16, n - 32):
+        low = np.minimum(low[:-step], low[step:])
+    return (low & U((1 << 28) - 1)).astype(np.int64)
+
+
 def minimisers(grams: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(text, place among its k-grams) of every minimiser."""
     if len(grams) < WINDOWS:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    place = np.arange(len(grams), dtype=U)
-    low = (grams & ~U((1 << 28) - 1)) | place  # the 36 leading bits decide, then the place
-    have = 1
-    for step in (1, 2, 4, 8, 16, WINDOWS - 32):
-        low = np.minimum(low[:-step], low[step:])
-        have += step
+    low = _lowest(grams, WINDOWS)
     inside = np.zeros(len(grams) + 1, np.int64)
     full = np.diff(off) >= WINDOWS
     np.add.at(inside, off[:-1][full], 1)
     np.add.at(inside, off[1:][full] - WINDOWS + 1, -1)
     whole = np.cumsum(inside)[: len(low)] > 0
-    chosen = np.unique((low[whole] & U((1 << 28) - 1)).astype(np.int64))
+    chosen = np.unique(low[whole])
     text = np.searchsorted(off, chosen, "right") - 1
     return text, chosen - off[text]
 
@@ -81,175 +79,32 @@ def _keys(batches):
             yield pa.RecordBatch.from_arrays([_longs(grams[off[doc] + place]), ids, pa.array(place.astype(np.int32))], ["key", "doc_id", "place"])
 
 
-def _contexts(batches):
-    """The suffixes at the wanted places, with their context."""
+def _windows(batches):
+    """Hash and characters of every window whose smallest k-gram is at a wanted place."""
     for batch in batches:
         text, wanted = batch.column("text"), batch.column("places")
         for at, to in words.chunks(text):
             data, off = words.text_bytes(text.slice(at, to - at))
             starts, ends, first, grams, gram_off = _kgrams(data, off)
+            if len(grams) < GRAMS:
+                continue
             own = wanted.slice(at, to - at)
-            count = np.diff(own.offsets.to_numpy())
-            doc = np.repeat(np.arange(to - at), count)
-            place = own.flatten().to_numpy().astype(np.int64)
+            doc = np.repeat(np.arange(to - at), np.diff(own.offsets.to_numpy()))
+            place = gram_off[doc] + own.flatten().to_numpy()
+            mark = np.zeros(len(grams), bool)
+            mark[place[place < gram_off[doc + 1]]] = True  # rows that share a doc_id have each other's places
+            begin = np.flatnonzero(mark[_lowest(grams, GRAMS)])
+            doc = np.searchsorted(gram_off, begin, "right") - 1
+            whole = begin + GRAMS <= gram_off[doc + 1]
+            begin, doc = begin[whole], doc[whole]
+            value = np.zeros(len(begin), U)
+            for i in (*range(0, GRAMS, KGRAM), GRAMS - 1):  # these k-grams hold all words
+                value += grams[begin + i] * _MIX[i]
             chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-            word = first[doc] + place
-            left = np.maximum(word - LEFT, first[doc])
-            right = np.minimum(word + WORDS, first[doc + 1]) - 1
-            raw, at_char, from_ = data.tobytes(), chars[starts[word]] - chars[off[doc]], grams[gram_off[doc] + place]
-            seen: dict[tuple, list[int]] = {}  # equal contexts of one document, as in periodic text, are one suffix
-            for d, k, c, i, j, e in zip(doc.tolist(), from_.view(np.int64).tolist(), at_char.tolist(), starts[left].tolist(), starts[word].tolist(), ends[right].tolist(), strict=True):
-                seen.setdefault((d, k, raw[i:j], raw[j:e]), []).append(c)
-            d, k, before, after = zip(*seen, strict=True) if seen else ((), (), (), ())
-            ids = batch.column("doc_id").slice(at, to - at).take(pa.array(d, pa.int64()))
-            texts = [pa.array([x.decode() for x in col], pa.string()) for col in (before, after)]
-            yield pa.RecordBatch.from_arrays([ids, pa.array(k, pa.int64()), pa.array(list(seen.values()), pa.list_(pa.int64())), *texts], ["doc_id", "key", "at", "before", "after"])
-
-
-class _Side:
-    """Words of contexts as a padded matrix of hashes, nearest first, and the characters up to each."""
-
-    def __init__(self, col: pa.Array, width: int, backward: bool) -> None:
-        data, off = words.text_bytes(col)
-        starts, ends, first = words.spans(data, off, words.PLAIN)
-        row = np.repeat(np.arange(len(col)), np.diff(first))
-        nth = np.arange(len(starts)) - np.repeat(first[:-1], np.diff(first))
-        if backward:
-            nth = np.repeat(np.diff(first), np.diff(first)) - 1 - nth
-        chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-        self.hashes = np.arange(1, len(col) * width + 1, dtype=U).reshape(-1, width) << U(1)  # padding differs everywhere
-        self.hashes[row, nth] = words.word_hashes(data, starts, ends) | U(1)
-        self.real = np.zeros((len(col), width), bool)
-        self.real[row, nth] = True
-        self.chars = np.zeros((len(col), width + 1), np.int64)
-        self.chars[row, nth + 1] = chars[off[row + 1]] - chars[starts] if backward else chars[ends] - chars[off[row]]
-
-    def shared(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        same = (self.hashes[a] == self.hashes[b]) & self.real[a] & self.real[b]
-        return np.where(same.all(1), same.shape[1], (~same).argmax(1))
-
-
-def _pairs(key: np.ndarray, doc: np.ndarray, before: pa.Array, complete: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows to compare: neighbours, and all of a small group. ``complete``: rows whose group is seen whole."""
-    n = len(key)
-    at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    size = np.diff(np.append(at, n))
-    a, b = [], []
-    for gap in range(1, GROUP):
-        few = np.repeat((size <= GROUP) & complete[at] & (size > gap), size)
-        i = np.flatnonzero(few[: n - gap] & (key[gap:] == key[: n - gap])) if gap > NEAR else np.flatnonzero(key[gap:] == key[: n - gap])
-        if gap > NEAR and not few.any():
-            break
-        a.append(i)
-        b.append(i + gap)
-    other = np.append(True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]))  # a run of one document: also its neighbours beyond
-    run = np.cumsum(other) - 1
-    run_at = np.append(np.flatnonzero(other), n)
-    nxt = run_at[run + 1]
-    i = np.flatnonzero((nxt < n) & (nxt - np.arange(n) > NEAR))
-    i = i[key[nxt[i]] == key[i]]
-    a.append(i)
-    b.append(nxt[i])
-    i = np.flatnonzero((run > 0) & (np.arange(n) - run_at[run] >= NEAR))
-    p = run_at[run[i]] - 1
-    keep = key[p] == key[i]
-    a.append(p[keep])
-    b.append(i[keep])
-    large = np.repeat(size > GROUP, size)
-    if large.any():
-        rows = np.flatnonzero(large)
-        flipped = np.array([" ".join(before[int(i)].as_py().split()[::-1]) for i in rows])
-        rows = rows[np.lexsort((flipped, key[rows]))]
-        for gap in range(1, NEAR + 1):
-            i, j = rows[:-gap], rows[gap:]
-            keep = key[i] == key[j]
-            a.append(i[keep])
-            b.append(j[keep])
-    a, b = np.concatenate(a), np.concatenate(b)
-    keep = doc[a] != doc[b]
-    return a[keep], b[keep]
-
-
-def compare(table: pa.Table, complete: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """doc_id, first and last character of what each sorted suffix shares with another document's, where it is long enough."""
-    key, doc = (table.column(c).to_numpy() for c in ("key", "doc_id"))
-    before = table.column("before").combine_chunks()
-    a, b = _pairs(key, doc, before, complete)
-    right, left = _Side(table.column("after").combine_chunks(), WORDS, False), _Side(before, LEFT, True)
-    far, back = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
-    for s in range(0, len(a), 20_000):
-        i, j = a[s : s + 20_000], b[s : s + 20_000]
-        r, l = right.shared(i, j), left.shared(i, j)
-        good = r + l >= WORDS
-        for x in (i[good], j[good]):
-            np.maximum.at(far, x, r[good])
-            np.maximum.at(back, x, l[good])
-    hit = np.flatnonzero(far)
-    places = table.column("at").combine_chunks().take(pa.array(hit))
-    at, row = places.flatten().to_numpy(), np.repeat(hit, places.value_lengths().to_numpy())
-    return doc[row], at - left.chars[row, back[row]], at + right.chars[row, far[row]]
-
-
-_OUT = ["doc_id", "start", "end", "key", "at", "before", "after"]
-MATCHES = "doc_id long, start long, end long, key long, at array<long>, before string, after string"
-
-
-def _matches(batches):
-    """Spans of a sorted partition's suffixes; and, without a span, the rows at its edges, to be compared with the next partition's."""
-
-    def found(table, complete):
-        doc, start, end = compare(table, complete)
-        none = pa.nulls(len(doc))
-        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(start), pa.array(end), none.cast("int64"), none.cast(pa.list_(pa.int64())), none.cast("string"), none.cast("string")], _OUT)
-
-    def edge(table):
-        n = len(table)
-        none = pa.nulls(n, pa.int64())
-        return pa.RecordBatch.from_arrays([table.column("doc_id").combine_chunks(), none, none, *(table.column(c).combine_chunks() for c in ("key", "at", "before", "after"))], _OUT)
-
-    def rim(table):
-        """The outermost rows at either end: NEAR of any document and as many of others than the outermost's."""
-        doc, n = table.column("doc_id").to_numpy(), len(table)
-        rows = {*range(min(NEAR, n)), *range(max(0, n - NEAR), n)}
-        rows |= {*np.flatnonzero(doc != doc[0])[:NEAR].tolist(), *np.flatnonzero(doc != doc[-1])[-NEAR:].tolist()}
-        return table.take(pa.array(sorted(rows)))
-
-    held: list[pa.RecordBatch] = []
-    begun = False
-
-    def work(table, last):
-        nonlocal begun, held
-        key = table.column("key").to_numpy()
-        last_group = int(np.flatnonzero(np.append(True, key[1:] != key[:-1]))[-1])
-        cut = len(key) if last or not last_group else last_group
-        whole, rest = table.slice(0, cut), table.slice(cut)
-        if not begun:
-            yield edge(rim(whole))
-            begun = True
-        kept = whole.column("key").to_numpy()
-        complete = np.ones(len(kept), bool)
-        if cut == len(table) and not last:  # one group that goes on: its end is compared again with what follows
-            complete[kept == kept[-1]] = False
-            rest = rim(whole)
-        yield found(whole, complete)
-        if last:
-            yield edge(rim(whole))
-        held = rest.to_batches()
-
-    for batch in batches:
-        held.append(batch)
-        if sum(x.num_rows for x in held) >= ROWS:
-            yield from work(pa.Table.from_batches(held), False)
-    if held and sum(x.num_rows for x in held):
-        yield from work(pa.Table.from_batches(held), True)
-
-
-def _edges(batches):
-    rows = [b for b in batches if b.num_rows]
-    if rows:
-        table = pa.Table.from_batches(rows)
-        doc, start, end = compare(table, np.ones(len(table), bool))
-        yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(start), pa.array(end)], ["doc_id", "start", "end"])
+            word = first[doc] + begin - gram_off[doc]
+            ids = batch.column("doc_id").slice(at, to - at).take(pa.array(doc))
+            spans = (pa.array(chars[x] - chars[off[doc]]) for x in (starts[word], ends[word + WORDS - 1]))
+            yield pa.RecordBatch.from_arrays([_longs(words.mix64(value)), ids, *spans], ["hash", "doc_id", "start", "end"])
 
 
 def _merged(spans):
@@ -276,12 +131,10 @@ def repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     shared = places.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("key")
     shared = common.written(spark, shared, "shared-keys")  # so that both sides of the join are dealt out and a hot key can be split
     wanted = places.join(shared, "key").groupBy("doc_id").agg(F.array_sort(F.collect_set("place")).alias("places"))
-    suffixes = once.join(wanted.withColumnRenamed("doc_id", "id"), F.col("doc_id") == F.col("id")).select("doc_id", "text", "places").mapInArrow(_contexts, SUFFIX)
-    order = ["key", "after", "before", "doc_id", "at"]
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    compared = common.written(spark, suffixes.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_matches, MATCHES), "matches")
-    rims = compared.where("start IS NULL").select("doc_id", "key", "at", "before", "after").coalesce(1).sortWithinPartitions(*order)  # a few rows a partition
-    spans = compared.where("start IS NOT NULL").select("doc_id", "start", "end").unionByName(rims.mapInArrow(_edges, "doc_id long, start long, end long"))
+    held = once.join(wanted.withColumnRenamed("doc_id", "id"), F.col("doc_id") == F.col("id")).select("doc_id", "text", "places")
+    windows = common.written(spark, held.mapInArrow(_windows, WINDOW), "windows")
+    repeated = windows.groupBy("hash").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("hash")
+    spans = windows.join(common.written(spark, repeated, "repeated-windows"), "hash").select("doc_id", "start", "end")
     found = spans.groupBy("doc_id").agg(_merged(F.sort_array(F.collect_set(F.struct("start", "end")))).alias("spans"))
     whole = F.when((F.col("most") > F.col("rep")) & F.col("long"), F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("chars").alias("end"))))
     of_class = classes.join(found.withColumnRenamed("doc_id", "rep"), "rep", "left").select("name", F.coalesce(whole, "spans").alias("spans")).where("spans IS NOT NULL")

@@ -75,3 +75,23 @@ def test_small_runs_and_groups_give_the_same(spark, monkeypatch):
 
 def test_empty(spark):
     assert found(spark, []) == {}
+
+
+def hot_phrases(rng, n):
+    """The ``n`` of many random k-grams with the smallest hash: minimisers wherever they stand, the first before the others."""
+    phrases = [" ".join(f"h{rng.randrange(10**6)}" for _ in range(sx.KGRAM)) for _ in range(60_000)]
+    _, _, _, grams, _ = sx._kgrams(*sx.words.text_bytes(sx.pa.array(phrases)))
+    return [phrases[i].split() for i in grams.argsort()[:n]]
+
+
+def test_repeat_around_a_frequent_phrase(spark):
+    """One pair shares 21 words on each side of a phrase; many others share either side only and sort between."""
+    rng = random.Random(5)
+    text = lambda k: [f"t{rng.randrange(10**6)}" for _ in range(k)]
+    left, right = text(21), text(21)
+    sides = [(left, right)] * 2 + [(left, text(21)) for _ in range(800)] + [(text(21), right) for _ in range(800)]
+    phrase, *pads = hot_phrases(rng, 1 + 2 * len(sides))  # the pads keep the sides' own k-grams from being minimisers
+    rows = [(d, " ".join(text(40) + pads[2 * d] + a + phrase + b + pads[2 * d + 1] + text(40))) for d, (a, b) in enumerate(sides)]
+    want = brute(rows)
+    assert set(want) == {0, 1}
+    assert found(spark, rows) == want
