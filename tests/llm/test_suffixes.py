@@ -95,3 +95,20 @@ def test_repeat_around_a_frequent_phrase(spark):
     want = brute(rows)
     assert set(want) == {0, 1}
     assert found(spark, rows) == want
+
+
+def test_group_over_many_partitions(spark):
+    """Pairs that share what precedes a phrase only are found, however many partitions the group would be cut into."""
+    rng = random.Random(4)
+    text = lambda k: [f"u{rng.randrange(10**6)}" for _ in range(k)]
+    (phrase,) = hot_phrases(rng, 1)
+    lefts = [text(42) for _ in range(20)]
+    rows = [(d, " ".join(text(30) + lefts[d % 20] + phrase + text(60))) for d in range(40)]
+    want = brute(rows)
+    assert len(want) == 40
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        assert found(spark, rows) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
