@@ -50,14 +50,25 @@ def _(f):
     return visible(f.view).select(*SHORT).where(F.lower(F.concat_ws(" ", *SHORT)).contains("custody"))
 
 
+def _detail(view, sections):
+    best = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("is_primary")).alias("p"), (-F.col("confidence")).alias("c"), "id"))), lambda s: s["id"])
+    listed = sections.groupBy("accession_no").agg(F.array_join(best.cast("array<string>"), ",").alias("candidate_ids"))
+    return view.join(listed, "accession_no", "left")
+
+
 @query("filing_detail", """SELECT v.*, (SELECT string_agg(CAST(s.id AS VARCHAR), ',' ORDER BY s.is_primary DESC, s.confidence DESC, s.id) FROM sections s WHERE s.accession_no = v.accession_no) AS candidate_ids
 FROM view_display v WHERE accession_no IN (SELECT accession_no FROM filings WHERE okey % 100 = 7)""")
 def _(f):
     """Filings by key (here those of every hundredth order) with their candidates, best first."""
     keys = f.filings.where("okey % 100 = 7").select("accession_no")
-    best = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("is_primary")).alias("p"), (-F.col("confidence")).alias("c"), "id"))), lambda s: s["id"])
-    listed = f.sections.join(keys, "accession_no", "left_semi").groupBy("accession_no").agg(F.array_join(best.cast("array<string>"), ",").alias("candidate_ids"))
-    return f.view.join(keys, "accession_no", "left_semi").join(listed, "accession_no", "left")
+    return _detail(f.view.join(keys, "accession_no", "left_semi"), f.sections.join(keys, "accession_no", "left_semi"))
+
+
+@query("filing_detail_all", """SELECT v.*, c.candidate_ids FROM view_display v LEFT JOIN
+(SELECT accession_no, string_agg(CAST(id AS VARCHAR), ',' ORDER BY is_primary DESC, confidence DESC, id) AS candidate_ids FROM sections GROUP BY 1) c ON c.accession_no = v.accession_no""")
+def _(f):
+    """All filings with their candidates, best first."""
+    return _detail(f.view, f.sections)
 
 
 @query("api_filings_json", f"SELECT accession_no, CAST(to_json({{'company_name': company_name, 'form_type': form_type, 'tier': tier, 'risk_summary': risk_summary}}) AS VARCHAR) AS body FROM visible")

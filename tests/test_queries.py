@@ -39,3 +39,9 @@ def test_query(spark, duck, name):
         want = duck.sql(SQL[name]).df()
         assert sorted(got.columns) == sorted(want.columns)
         assert rows(got) == rows(want)
+
+
+def test_detail_of_every_filing(spark):
+    want = spark.read.parquet(f"{SF}/orders.parquet").count()
+    got = QUERIES["filing_detail_all"](spark, SF)
+    assert got.count() == want and got.where("candidate_ids IS NOT NULL").count() > want // 2
