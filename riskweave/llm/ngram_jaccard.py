@@ -173,6 +173,8 @@ def jaccard_classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
     members = members.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).drop("n")
     held = docs.join(common.small(common.written(spark, members, "members")), F.col("doc_id") == F.col("rep")).select("rep", "size", "d1", "d2", "cluster", "blocks", "block", "text")
     sets = held.mapInArrow(_full_sets, "rep long, size long, cluster long, blocks int, block int, shingles binary")
+    if seen.where("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id", "d1", "d2").count().where("count > 1").limit(1).count():
+        sets = sets.distinct()  # repeated rows of a representative, which its size counts
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = sets.withColumn("other", other).withColumn("a", F.least("block", "other")).withColumn("b", F.greatest("block", "other")).drop("other", "blocks")
     found = common.written(spark, dealt.groupBy("cluster", "a", "b").applyInArrow(verify, "u long, v long, links long"), "links")

@@ -101,6 +101,8 @@ def scan_versions(spark: SparkSession, versions: DataFrame, ledger_dir: str, rul
     texts = versions.withColumn("blob", blob_id(F.col("text")))
     # a path may hold several versions, and null paths hold some too: blob and path name one text together
     held = todo.withColumnRenamed("path", "at").hint("merge").join(texts, F.col("path").eqNullSafe(F.col("at")) & (todo["blob"] == texts["blob"])).select("path", todo["blob"], "todo", "text")
+    if keyed.groupBy("path", "blob").count().where("count > 1").limit(1).count():  # fully repeated rows: one of each is scanned
+        held = held.dropDuplicates(["path", "blob"])
     scan(held, rules).dropDuplicates(["blob", "rule"]).write.mode("append").parquet(ledger_dir)
     ledger = spark.read.schema(SCHEMA).parquet(ledger_dir)
     rank = F.element_at(F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.key), F.lit(i))]), F.col("rule"))

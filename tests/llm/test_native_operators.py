@@ -54,6 +54,14 @@ def test_spans_and_ledger(spark):
     assert spark.read.parquet(folder).count() == size + 4  # only the unseen rule
 
 
+def test_fully_repeated_rows(spark):
+    rows = [(5, TEXTS[0]), (5, TEXTS[0]), (6, TEXTS[0]), (None, TEXTS[2]), (None, TEXTS[2]), (None, TEXTS[2]), (5, TEXTS[3])]
+    versions = spark.createDataFrame(rows, "path long, text string")
+    found = sl.scan_versions(spark, versions, common.new_folder(spark, "ledger-repeated"))
+    got = found.select("path", sl.joined(F.col("spans")).alias("s")).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(repr((i, brute(t))) for i, t in rows)
+
+
 def test_no_versions(spark):
     assert scan(spark, [], common.new_folder(spark, "ledger-none")) == {}
 

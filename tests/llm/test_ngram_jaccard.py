@@ -78,3 +78,11 @@ def test_empty_and_repeated_rows(spark):
 def test_bands_reach_the_recall():
     bands, rows = nj.choose_bands(0.8)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.9999 and bands * rows <= 128
+
+
+def test_repeated_rows_beside_a_linked_document(spark):
+    base = [f"r{i}" for i in range(60)]
+    near = [*base[:-1], "other"]
+    rows = [(1, " ".join(base)), (1, " ".join(base)), (1, ", ".join(base)), (2, " ".join(near)), (3, "quite another text of seven words")]
+    got = nj.jaccard_classes(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(tuple(r) for r in got) == brute(rows)
