@@ -139,7 +139,7 @@ def _item_signatures(bins: list[int]):
 
 def leaks(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, shared, size): each document that contains an item, with the item's distinct shingles it has and their number."""
-    common.arrow_rows(spark)
+
     items = items.where("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
     docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     wanted = common.written(spark, items.mapInArrow(_item_shingles, "item_id long, shingle long, size int, words int").distinct(), "item-shingles")

@@ -225,7 +225,7 @@ def judged(net: Network | None, text: pa.Array) -> Iterator[tuple[int, int, list
 
 def identify(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of each row of ``docs`` (doc_id, text, and lang to learn from)."""
-    common.arrow_rows(spark)
+
     net = train(spark, docs)
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
     kind = dict(rows.dtypes)["doc_id"]
@@ -246,7 +246,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_known(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """``docs`` whose language is found: not ``und``, and with a score of ``MIN_SCORE`` or more."""
-    common.arrow_rows(spark)
+
     net = train(spark, docs)
 
     def run(batches):

@@ -237,7 +237,7 @@ def _fingerprints(batches):
 
 def fingerprints(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Fingerprints of ``docs`` (doc_id, text), of their edited texts, and their likeness."""
-    common.arrow_rows(spark, 500)
+
     kinds = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return with_next(spark, docs).mapInArrow(_fingerprints, kinds)
 

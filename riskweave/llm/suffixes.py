@@ -120,7 +120,7 @@ def _merged(spans):
 
 def repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(doc_id, spans): each document of ``docs`` (doc_id, text) with passages that others have too, as sorted struct(start, end)."""
-    common.arrow_rows(spark, 500)
+
     docs = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     long = F.size(F.split(F.trim(F.regexp_replace("text", r"[\t-\r ]+", " ")), " ")) >= WORDS
     named = common.written(spark, docs.select("doc_id", F.sha2("text", 256).alias("name"), F.length("text").cast("long").alias("chars"), long.alias("long")), "text-names")

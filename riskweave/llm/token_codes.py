@@ -322,7 +322,7 @@ def _writer(folder: str, path: str, file_tokens: int):
 
 def write_token_files(spark: SparkSession, docs: DataFrame, folder: str, path: str, file_tokens: int = FILE_TOKENS) -> DataFrame:
     """Write the ids of ``docs`` (doc_id, text) in ascending doc_id order; return the manifest with each file's ``start``."""
-    common.arrow_rows(spark, 500)
+
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id").sortWithinPartitions("doc_id")
     manifest = common.written(spark, ordered.mapInArrow(_writer(folder, path, file_tokens), MANIFEST), "manifest")
     before = Window.orderBy(F.col("first_doc").asc_nulls_first(), "file").rowsBetween(Window.unboundedPreceding, -1)

@@ -226,7 +226,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Scorer | Non
 
 def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of ``docs``."""
-    common.arrow_rows(spark)
+
     scorer = fit(spark, docs, labels.select("doc_id", F.col("toxic").cast("int")))
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
 
