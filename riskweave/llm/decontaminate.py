@@ -1,23 +1,29 @@
 """Benchmark decontamination by size-partitioned MinHash containment search.
 
 Items are short and documents may be long, so their Jaccard similarity says little.
-Documents are partitioned by the size of their shingle set, and each partition uses
-its own MinHash: the hash range is cut into so many bins that about ``PER_BIN``
-shingles of the largest document of the partition fall into one, and the smallest
-hash of each bin is kept (one-permutation MinHash). An item's shingle is the smallest
-of its bin in a document that contains it with a chance that doesn't depend on the
-document's size, so the recall of a search for a contained item is that of its number
-of shingles alone; items of very few shingles are candidates by any of them. Items are signed once for each partition, and equal (partition,
-minimum) pairs are candidates. Exact containment verifies them: the share of the
-item's distinct five-word shingles that the document has.
-
-A Bloom filter of fixed size over the items' shingles keeps what no item has from
-being shuffled; it drops nothing that an item has.
+Documents are partitioned by the size of their shingle set, and each partition uses its
+own MinHash: the hash range is cut into so many bins that at most ``PER_BIN`` shingles of
+its largest document fall into one, and the smallest hash of each bin is the sketch
+(one-permutation MinHash), half of the set or less. An item's shingle is the smallest of
+its bin in a document that contains it with a chance of ``KEPT`` or more whatever the
+document's size, so an item of which a document has k shingles is missed with
+(1 - KEPT) ** k or less: ``choose_signed`` gives the size from which that is within the
+target recall, and smaller items are searched by all their shingles. Items are signed
+once for each partition with all but the shingles that most other items have too (as many
+as a leaking document may lack), and equal (partition, minimum) pairs are candidates.
+Exact containment is then counted for candidates only: the share of the item's distinct
+five-word shingles that the document has.
+
+Texts are told apart by their SHA-256, so copies are searched once. A Bloom filter over
+the items' shingles, sized to their number up to ``BLOOM_MOST`` bits, keeps what no item
+has from being shuffled; it drops nothing that an item has.
 
 Defined results: null and wordless texts neither leak nor are leaked; an item of one to
-four words is found as a run of all its words; repeated rows of documents give repeated
-rows of results only once for each (doc_id, item_id); null ids never match; empty tables
-give empty results; other columns are ignored.
+four words is found as a run of all its words; each row is searched by itself, so rows
+that share a doc_id never add up; a (doc_id, item_id) that several rows or items of that
+id give is returned once, with the greatest containment; a null doc_id is an id of its
+own, null item_ids are ignored; empty tables give empty results; other columns are
+ignored, or carried along by ``clean_only`` whatever their names.
 """
 
 from __future__ import annotations
@@ -28,20 +34,33 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from riskweave.llm import common, words
 
 #: Share of an item's shingles that a leaking document holds, as a fraction.
 CONTAINED = (4, 5)
-#: Shingles for each bin, at most: a shingle is its bin's minimum with a probability of about 0.88 or more,
-#: so that an item with k shared shingles is missed with 0.12 ** k or less.
-PER_BIN = 0.25
-#: Items with fewer shingles than this are candidates wherever any of them occurs.
-SIGNED = 8
-BLOOM_BITS = 1 << 24
+#: Shingles of the partition's largest document for each bin, between half of it and it.
+PER_BIN = 2
+#: The least chance of a shingle to be its bin's minimum, at PER_BIN others in its bin.
+KEPT = (1 - math.exp(-PER_BIN)) / PER_BIN
+RECALL = 0.99
+BLOOM_LEAST, BLOOM_MOST, BLOOM_HASHES = 1 << 20, 1 << 28, 4
 U = np.uint64
 
 
+def choose_signed(recall: float = RECALL) -> int:
+    """The number of an item's shingles from which its signature gives the recall.
+
+    A leaking document has 4/5 of an item, and the signature leaves out up to 1/5: at
+    least 3/5 of the shingles are in both.
+    """
+    return math.ceil(math.log(1 - recall) / math.log(1 - KEPT) / 0.6)
+
+
+SIGNED = choose_signed()
+
+
 def bins_of(sizes: np.ndarray) -> np.ndarray:
     """The number of bins, a power of two, of the partition each set size belongs to."""
     need = np.maximum(np.ceil(np.maximum(sizes, 1) / PER_BIN), 1)
@@ -61,17 +80,27 @@ def signature(values: np.ndarray, bins: int) -> np.ndarray:
     return values[first]
 
 
-def bloom_of(values: np.ndarray) -> np.ndarray:
-    bits = np.zeros(BLOOM_BITS, bool)
-    bits[(values & U(BLOOM_BITS - 1)).astype(np.int64)] = True
-    bits[((values >> U(30)) & U(BLOOM_BITS - 1)).astype(np.int64)] = True
-    return np.packbits(bits)
+def bloom_bits(n: int) -> int:
+    """16 bits or more for each of ``n`` shingles, between BLOOM_LEAST and BLOOM_MOST (32 MB)."""
+    return int(min(BLOOM_MOST, max(BLOOM_LEAST, 1 << math.ceil(math.log2(max(1, 16 * n))))))
+
+
+def _places(values: np.ndarray, bits: int):
+    for shift in range(0, 9 * BLOOM_HASHES, 9):
+        yield ((values >> U(shift)) & U(bits - 1)).astype(np.int64)
+
+
+def bloom_of(values: np.ndarray, bits: int) -> np.ndarray:
+    held = np.zeros(bits, bool)
+    for at in _places(words.mix64(values), bits):
+        held[at] = True
+    return np.packbits(held)
 
 
 def _may_hold(bloom: np.ndarray, values: np.ndarray) -> np.ndarray:
+    mixed = words.mix64(values)
     out = np.ones(len(values), bool)
-    for shift in (0, 30):
-        at = ((values >> U(shift)) & U(BLOOM_BITS - 1)).astype(np.int64)
+    for at in _places(mixed, 8 * len(bloom)):
         out &= (bloom[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
     return out
 
@@ -82,19 +111,32 @@ def _item_shingles(batches):
         data, ends = words.text_bytes(pa.compute.utf8_lower(batch.column("text")))
         count = np.diff(words.spans(data, ends, words.FOLDED)[2])
         n = np.diff(off)
-        ids = batch.column("item_id").to_numpy()
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(values.view(np.int64)), pa.array(np.repeat(n, n).astype(np.int32)), pa.array(np.repeat(np.minimum(count, words.SHINGLE), n).astype(np.int32))], ["item_id", "shingle", "size", "words"])
+        own = batch.column("item").to_numpy()
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, n)), pa.array(values.view(np.int64)), pa.array(np.repeat(n, n).astype(np.int32)), pa.array(np.repeat(np.minimum(count, words.SHINGLE), n).astype(np.int32))], ["item", "shingle", "size", "words"])
 
 
-def _bloom_part(batches):
-    bits = np.zeros(BLOOM_BITS // 8, np.uint8)
+def _bloom_part(bits: int):
+    def run(batches):
+        held = np.zeros(bits // 8, np.uint8)
+        for batch in batches:
+            held |= bloom_of(batch.column("shingle").to_numpy().view(U), bits)
+        yield pa.RecordBatch.from_arrays([pa.array([held.tobytes()], pa.binary())], ["bits"])
+
+    return run
+
+
+def _bloom_whole(batches):
+    held = None
     for batch in batches:
-        bits |= bloom_of(batch.column("shingle").to_numpy().view(U))
-    yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], ["bits"])
+        for raw in batch.column("bits"):
+            part = np.frombuffer(raw.as_buffer(), np.uint8)
+            held = part.copy() if held is None else np.bitwise_or(held, part, out=held)
+    if held is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([held.tobytes()], pa.binary())], ["bits"])
 
 
 def doc_signatures(bloom: bytes, lengths: tuple[int, ...]):
-    """For documents: (doc_id, bins, mins, shared): the size partition, the minima and all shingles that pass the filter.
+    """For documents: (doc, bins, mins, shared): the size partition, the minima and all shingles that pass the filter.
 
     ``lengths``: how many words the items' shingles have, 5 and perhaps fewer.
     """
@@ -120,9 +162,9 @@ def doc_signatures(bloom: bytes, lengths: tuple[int, ...]):
                     sizes.append(bins)
                     mins.append(low[_may_hold(bits, low)].view(np.int64))
                     shared.append(own[_may_hold(bits, own)].view(np.int64))
-                ids = batch.column("doc_id").slice(at, to - at).take(pa.array(docs, pa.int64()))
+                ids = batch.column("doc").slice(at, to - at).take(pa.array(docs, pa.int64()))
                 lists = [pa.array(x, pa.list_(pa.int64())) for x in (mins, shared)]
-                yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), *lists], ["doc_id", "bins", "mins", "shared"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), *lists], ["doc", "bins", "mins", "shared"])
 
     return run
 
@@ -132,36 +174,56 @@ def _item_signatures(bins: list[int]):
         values = np.unique(table.column("shingle").to_numpy().view(U))
         found = [(b, signature(values, b)) for b in bins]
         n = [len(x) for _, x in found]
-        return pa.table({"item_id": np.repeat(table.column("item_id")[0].as_py(), sum(n)), "bins": np.repeat([b for b, _ in found], n), "low": np.concatenate([x for _, x in found]).view(np.int64)})
+        return pa.table({"item": np.repeat(table.column("item")[0].as_py(), sum(n)), "bins": np.repeat([b for b, _ in found], n), "low": np.concatenate([x for _, x in found]).view(np.int64)})
 
     return run
 
 
-def leaks(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, item_id, shared, size): each document that contains an item, with the item's distinct shingles it has and their number."""
-
-    items = items.where("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    wanted = common.written(spark, items.mapInArrow(_item_shingles, "item_id long, shingle long, size int, words int").distinct(), "item-shingles")
-    lengths = tuple(sorted({words.SHINGLE} | {r.words for r in wanted.select("words").distinct().collect()}))  # 1 to 5
-    parts = wanted.select("shingle").coalesce(8).mapInArrow(_bloom_part, "bits binary").collect()  # 8 filters of fixed size at most
-    bloom = np.bitwise_or.reduce([np.frombuffer(r.bits, np.uint8) for r in parts] + [np.zeros(BLOOM_BITS // 8, np.uint8)]).tobytes()
-    shared = spark.sparkContext.broadcast(bloom)
+def _leaking(spark: SparkSession, docs: DataFrame, items: DataFrame, tables: common.Scratch) -> DataFrame:
+    """(doc, item_id, shared, size): the SHA-256 of each text of ``docs`` (text) that contains an item of ``items``."""
+    items = items.where("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
+    items = tables.written(items.withColumn("item", F.monotonically_increasing_id()), "items")  # written once: the numbers stay
+    wanted = tables.written(items.mapInArrow(_item_shingles, "item long, shingle long, size int, words int"), "item-shingles")
+    n, longest = wanted.count(), wanted.select("words").distinct().collect()
+    lengths = tuple(sorted({words.SHINGLE} | {r.words for r in longest}))  # 1 to 5
+    bits = bloom_bits(n)
+    parts = wanted.select("shingle").coalesce(8).mapInArrow(_bloom_part(bits), "bits binary")  # 8 filters of bounded size
+    whole = parts.repartition(1).mapInArrow(_bloom_whole, "bits binary").collect()
+    shared = spark.sparkContext.broadcast(whole[0].bits if whole else bytes(bits // 8))
 
     def sign(batches):
         return doc_signatures(shared.value, lengths)(batches)
 
-    signed = common.written(spark, docs.mapInArrow(sign, "doc_id long, bins long, mins array<long>, shared array<long>"), "document-signatures")
+    signed = docs.select(common.text_key(F.col("text")).alias("doc"), "text").mapInArrow(sign, "doc binary, bins long, mins array<long>, shared array<long>")
+    signed = tables.written(signed, "document-signatures")
     bins = [r.bins for r in signed.select("bins").distinct().collect()]  # powers of two: 40 at most
     if not bins:
-        return spark.createDataFrame([], "doc_id long, item_id long, shared long, size int")
-    lows = wanted.groupBy("item_id").applyInArrow(_item_signatures(bins), "item_id long, bins long, low long")
-    candidates = signed.select("doc_id", "bins", F.explode("mins").alias("low")).join(lows, ["bins", "low"]).select("doc_id", "item_id").distinct()
-    held = signed.select("doc_id", F.explode("shared").alias("shingle")).distinct().join(wanted.select("item_id", "shingle", "size"), "shingle")
-    few = held.where(F.col("size") < SIGNED).select("doc_id", "item_id").distinct()
-    candidates = candidates.unionByName(few)
-    counted = held.groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"), F.first("size").alias("size")).where(F.col("shared") * CONTAINED[1] >= F.col("size") * CONTAINED[0])
-    return counted.join(candidates, ["doc_id", "item_id"], "left_semi").select("doc_id", "item_id", "shared", "size")
+        return spark.createDataFrame([], "doc binary, item_id long, shared long, size int")
+    # of each item, the shingles that fewest other items have
+    common_first = Window.partitionBy("item").orderBy(F.desc("others"), "shingle")
+    ranked = wanted.where(F.col("size") >= SIGNED).join(wanted.groupBy("shingle").agg(F.count("*").alias("others")), "shingle")
+    left = ranked.withColumn("nth", F.row_number().over(common_first)).where(F.col("nth") * CONTAINED[1] > F.col("size") * (CONTAINED[1] - CONTAINED[0]))
+    lows = tables.written(left.select("item", "shingle").groupBy("item").applyInArrow(_item_signatures(bins), "item long, bins long, low long"), "item-signatures")
+    few = tables.written(wanted.where(F.col("size") < SIGNED).select("item", "shingle"), "few-shingles")
+    by_low = signed.select("doc", "bins", F.explode("mins").alias("low")).join(common.small(lows), ["bins", "low"]).select("doc", "item")
+    by_any = signed.select("doc", F.explode("shared").alias("shingle")).join(common.small(few), "shingle").select("doc", "item")
+    candidates = tables.written(by_low.unionByName(by_any).distinct(), "candidates")
+    # exact containment of the candidates: a key of document and shingle is as wide as what they share
+    asked = candidates.join(common.small(wanted), "item").select("doc", "shingle", "item", "size")
+    has = signed.join(candidates.select("doc").distinct(), "doc", "left_semi").select("doc", F.explode("shared").alias("shingle")).distinct()
+    counted = asked.join(has, ["doc", "shingle"]).groupBy("doc", "item").agg(F.count("*").alias("shared"), F.first("size").alias("size"))
+    counted = counted.where(F.col("shared") * CONTAINED[1] >= F.col("size") * CONTAINED[0])
+    return counted.join(items.select("item", "item_id"), "item").select("doc", "item_id", "shared", "size")
+
+
+def leaks(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, item_id, shared, size): each document that contains an item, with the item's distinct shingles it has and their number."""
+    with common.scratch(spark) as tables:
+        found = tables.written(_leaking(spark, docs, items, tables), "leaking")
+        texts = found.select("doc").distinct()
+        of = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_key(F.col("text")).alias("doc")).join(common.small(texts), "doc", "left_semi")
+        best = F.max(F.struct((F.col("shared") / F.col("size")).alias("share"), "shared", "size")).alias("b")
+        return tables.kept(of.distinct().join(found, "doc").groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.shared", "b.size"), "leaks")
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,6 +233,7 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clean_only(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``docs`` without those that contain an item; null ids stay."""
-    bad = common.written(spark, leaks(spark, docs, items).select(F.col("doc_id").alias("bad")).distinct(), "leaking")
-    return docs.join(common.small(bad), F.col("doc_id") == F.col("bad"), "left_anti")
+    """``docs`` without the rows whose text contains an item, whatever their ids."""
+    with common.scratch(spark) as tables:
+        bad = tables.kept(_leaking(spark, docs, items, tables).select(F.col("doc").alias("bad")).distinct(), "leaking")
+    return common.packed(docs, own=common.text_key(F.col("text"))).join(common.small(bad), F.col("own") == F.col("bad"), "left_anti").select("row.*")
