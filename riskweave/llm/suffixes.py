@@ -14,8 +14,9 @@ Texts that are equal as a whole take part once; their copies get the same spans,
 the whole text if it has ``WORDS`` words.
 
 Defined results: null and short texts have no repeats; rows that share a doc_id are one
-document; null ids are ignored; repeats inside one document don't count; empty tables
-give empty results; other columns are ignored. Words are what ASCII white space separates.
+document, and each text of it has its own row and spans; null ids are ignored; repeats
+inside one document don't count; empty tables give empty results; other columns are
+ignored. Words are what ASCII white space separates.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from riskweave.llm import common, words
 WORDS, KGRAM, WINDOWS = 50, 8, 40
 GRAMS = WORDS - KGRAM + 1  # k-grams of a window
 U = np.uint64
-WINDOW = "hash long, doc_id long, start long, end long"
+WINDOW = "hash long, doc_id long, tid long, start long, end long"
 _MIX = np.random.default_rng(20240612).integers(1, 2**63, WORDS, dtype=U) * U(2) + U(1)
 
 
@@ -69,14 +70,14 @@ def _longs(x: np.ndarray) -> pa.Array:
 
 
 def _keys(batches):
-    """(key, doc_id) of every minimiser."""
+    """(key, doc_id, tid, place) of every minimiser."""
     for batch in batches:
         text = batch.column("text")
         for at, to in words.chunks(text):
             _, _, _, grams, off = _kgrams(*words.text_bytes(text.slice(at, to - at)))
             doc, place = minimisers(grams, off)
-            ids = batch.column("doc_id").slice(at, to - at).take(pa.array(doc))
-            yield pa.RecordBatch.from_arrays([_longs(grams[off[doc] + place]), ids, pa.array(place.astype(np.int32))], ["key", "doc_id", "place"])
+            own = [batch.column(c).slice(at, to - at).take(pa.array(doc)) for c in ("doc_id", "tid")]
+            yield pa.RecordBatch.from_arrays([_longs(grams[off[doc] + place]), *own, pa.array(place.astype(np.int32))], ["key", "doc_id", "tid", "place"])
 
 
 def _windows(batches):
@@ -92,7 +93,7 @@ def _windows(batches):
             doc = np.repeat(np.arange(to - at), np.diff(own.offsets.to_numpy()))
             place = gram_off[doc] + own.flatten().to_numpy()
             mark = np.zeros(len(grams), bool)
-            mark[place[place < gram_off[doc + 1]]] = True  # rows that share a doc_id have each other's places
+            mark[place] = True
             begin = np.flatnonzero(mark[_lowest(grams, GRAMS)])
             doc = np.searchsorted(gram_off, begin, "right") - 1
             whole = begin + GRAMS <= gram_off[doc + 1]
@@ -102,9 +103,9 @@ def _windows(batches):
                 value += grams[begin + i] * _MIX[i]
             chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
             word = first[doc] + begin - gram_off[doc]
-            ids = batch.column("doc_id").slice(at, to - at).take(pa.array(doc))
+            ids = [batch.column(c).slice(at, to - at).take(pa.array(doc)) for c in ("doc_id", "tid")]
             spans = (pa.array(chars[x] - chars[off[doc]]) for x in (starts[word], ends[word + WORDS - 1]))
-            yield pa.RecordBatch.from_arrays([_longs(words.mix64(value)), ids, *spans], ["hash", "doc_id", "start", "end"])
+            yield pa.RecordBatch.from_arrays([_longs(words.mix64(value)), *ids, *spans], ["hash", "doc_id", "tid", "start", "end"])
 
 
 def _merged(spans):
@@ -119,26 +120,28 @@ def _merged(spans):
 
 
 def repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """(doc_id, spans): each document of ``docs`` (doc_id, text) with passages that others have too, as sorted struct(start, end)."""
-
-    docs = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    long = F.size(F.split(F.trim(F.regexp_replace("text", r"[\t-\r ]+", " ")), " ")) >= WORDS
-    named = common.written(spark, docs.select("doc_id", F.sha2("text", 256).alias("name"), F.length("text").cast("long").alias("chars"), long.alias("long")), "text-names")
-    classes = common.written(spark, named.groupBy("name").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("most"), F.first("chars").alias("chars"), F.first("long").alias("long")), "text-classes")
-    extra = named.join(classes, "name").where("doc_id <> rep").select(F.col("doc_id").alias("copy")).distinct()
-    once = docs.join(common.small(common.written(spark, extra, "copies")), F.col("doc_id") == F.col("copy"), "left_anti")
-    places = common.written(spark, once.mapInArrow(_keys, "key long, doc_id long, place int"), "minimisers")
-    shared = places.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("key")
-    shared = common.written(spark, shared, "shared-keys")  # so that both sides of the join are dealt out and a hot key can be split
-    wanted = places.join(shared, "key").groupBy("doc_id").agg(F.array_sort(F.collect_set("place")).alias("places"))
-    held = once.join(wanted.withColumnRenamed("doc_id", "id"), F.col("doc_id") == F.col("id")).select("doc_id", "text", "places")
-    windows = common.written(spark, held.mapInArrow(_windows, WINDOW), "windows")
-    repeated = windows.groupBy("hash").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("hash")
-    spans = windows.join(common.written(spark, repeated, "repeated-windows"), "hash").select("doc_id", "start", "end")
-    found = spans.groupBy("doc_id").agg(_merged(F.sort_array(F.collect_set(F.struct("start", "end")))).alias("spans"))
-    whole = F.when((F.col("most") > F.col("rep")) & F.col("long"), F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("chars").alias("end"))))
-    of_class = classes.join(found.withColumnRenamed("doc_id", "rep"), "rep", "left").select("name", F.coalesce(whole, "spans").alias("spans")).where("spans IS NOT NULL")
-    return named.join(of_class, "name").select("doc_id", "spans")
+    """(doc_id, spans): each row of ``docs`` (doc_id, text) with passages that other doc_ids have too, as sorted struct(start, end)."""
+    with common.scratch(spark) as tables:
+        docs = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tid"))
+        long = F.size(F.split(F.trim(F.regexp_replace("text", r"[\t-\r ]+", " ")), " ")) >= WORDS
+        named = tables.written(docs.select("doc_id", "tid", F.sha2("text", 256).alias("name"), F.length("text").cast("long").alias("chars"), long.alias("long")), "text-names")
+        classes = named.groupBy("name").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("most"), *[F.first(c).alias(c) for c in ("tid", "chars", "long")])
+        classes = tables.written(classes, "text-classes")
+        # a text is searched under its smallest id; other rows of it are dropped by id and text
+        extra = named.join(classes.select("name", "rep"), "name").where("doc_id <> rep").select(F.col("doc_id").alias("copy"), F.col("tid").alias("copied")).distinct()
+        once = docs.join(common.small(tables.written(extra, "copies")), (F.col("doc_id") == F.col("copy")) & (F.col("tid") == F.col("copied")), "left_anti")
+        places = tables.written(once.mapInArrow(_keys, "key long, doc_id long, tid long, place int"), "minimisers")
+        shared = places.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("key")
+        shared = tables.written(shared, "shared-keys")  # so that both sides of the join are dealt out and a hot key can be split
+        wanted = places.join(shared, "key").groupBy("doc_id", "tid").agg(F.array_sort(F.collect_set("place")).alias("places"))
+        held = once.join(wanted, ["doc_id", "tid"]).select("doc_id", "tid", "text", "places")
+        windows = tables.written(held.mapInArrow(_windows, WINDOW), "windows")
+        repeated = windows.groupBy("hash").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("hash")
+        spans = windows.join(tables.written(repeated, "repeated-windows"), "hash").select("doc_id", "tid", "start", "end")
+        found = spans.groupBy(F.col("doc_id").alias("rep"), "tid").agg(_merged(F.sort_array(F.collect_set(F.struct("start", "end")))).alias("spans"))
+        whole = F.when((F.col("most") > F.col("rep")) & F.col("long"), F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("chars").alias("end"))))
+        of_class = classes.join(found, ["rep", "tid"], "left").select("name", F.coalesce(whole, "spans").alias("spans")).where("spans IS NOT NULL")
+        return tables.kept(named.join(tables.written(of_class, "class-spans"), "name").select("doc_id", "spans"), "repeats")
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@ import random
 import re
 from collections import defaultdict
 
+import pytest
+
 from riskweave.llm import suffixes as sx
 
 
@@ -52,8 +54,9 @@ def corpus(seed, n=120):
     return rows + [(900, copy), (901, copy), (902, copy), (903, None), (904, ""), (905, "short copy"), (906, "short copy"), (None, copy), (907, " ".join(shared[4] * 3)), (908, "a " * 5000), (909, "b " + "a " * 300)]
 
 
-def found(spark, rows):
+def found(spark, rows, parts=None):
     docs = spark.createDataFrame([(a, b, 1) for a, b in rows], "doc_id long, text string, spans int")
+    docs = docs.repartition(parts) if parts else docs
     return {r.doc_id: [(s.start, s.end) for s in r.spans] for r in sx.repeats(spark, docs).collect()}
 
 
@@ -62,15 +65,47 @@ def test_same_as_brute_force(spark):
     assert found(spark, rows) == brute(rows)
 
 
-def test_small_runs_and_groups_give_the_same(spark, monkeypatch):
+@pytest.mark.parametrize("parts", [1, 64])
+def test_groups_of_all_sizes_on_any_number_of_partitions(spark, parts):
+    """Groups of 2, 3, 4, 40 and 70 documents around one passage, a core of 44 words that many share, and two runs alike."""
     rng = random.Random(8)
-    vocab = [f"v{i}" for i in range(900)]
-    common = [rng.choice(vocab) for _ in range(75)]
-    rows = []
-    for d in range(160):
-        body = [rng.choice(vocab) for _ in range(30)]
-        rows.append((d, " ".join(body + common + body[::-1] if d % 2 else body * 2)))
-    assert found(spark, rows) == brute(rows)
+    text = lambda k: [f"v{rng.randrange(10**5)}" for _ in range(k)]
+    rows, core = [], text(44)
+    for size in (2, 3, 4, 40, 70):
+        passage = text(75)
+        rows += [(len(rows) + i, " ".join(text(9) + passage + text(rng.randrange(30)))) for i in range(size)]
+    sides = [(text(6), text(6)) for _ in range(20)]
+    for i in range(140):
+        a, b = rng.choice(sides)
+        rows.append((1000 + i, " ".join(text(20) + a[rng.randrange(4) :] + core + b[: rng.randrange(6)] + text(20))))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        want = brute(rows)
+        assert found(spark, rows, parts) == want and len(want) > 150
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3])
+def test_two_documents_and_few_minimisers(spark, n):
+    rng = random.Random(n)
+    text = lambda k: [f"s{rng.randrange(10**5)}" for _ in range(k)]
+    passage = text(75)
+    rows = [(i, " ".join(text(12 * i) + passage + text(9))) for i in range(n)]
+    assert found(spark, rows, 1) == brute(rows)
+
+
+def test_an_id_with_several_texts(spark):
+    """Text B of id 5 is searched although another row of id 5 is a copy; inside one id nothing repeats."""
+    rng = random.Random(3)
+    text = lambda k: [f"k{rng.randrange(10**5)}" for _ in range(k)]
+    a, b, c = text(90), text(80), text(70)
+    rows = [(1, " ".join(a)), (5, " ".join(a)), (5, " ".join(text(5) + b + text(5))), (9, " ".join(b)), (7, " ".join(c)), (7, " ".join(["x", *c]))]
+    got = sx.repeats(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    shown = sorted((r.doc_id, [(s.start, s.end) for s in r.spans]) for r in got)
+    begin = len(" ".join(rows[2][1].split()[:5])) + 1
+    assert shown == sorted([(1, [(0, len(rows[0][1]))]), (5, [(0, len(rows[0][1]))]), (5, [(begin, begin + len(rows[3][1]))]), (9, [(0, len(rows[3][1]))])])
 
 
 def test_empty(spark):
