@@ -3,13 +3,15 @@
 A source of ``n`` rows that should make up the share ``w`` of a mix of ``total`` rows has
 the repetition rate ``total * w / n``. Each row draws its number of copies from the
 Poisson distribution of that mean by inversion: the uniform number is a hash of the
-seed and the doc_id, so any rerun draws the same. Rows are exploded by their count and
-shuffled globally on a hash of seed, doc_id and copy, which spreads every source and
-every document's copies evenly.
+seed and the doc_id, so any rerun draws the same. A mean above ``SLICE`` is drawn as a
+sum of independent slices, which keeps the tables and what one row becomes at once
+bounded. Rows are exploded by their count and shuffled globally on a hash of seed,
+doc_id and copy, which spreads every source and every document's copies evenly.
 
 Defined results: a null source is a source of its own; rows with equal doc_id draw
 equal counts; null texts and ids are kept as they are; a source without a target weight
-has rate 0; empty tables give empty results; other columns are carried along.
+has rate 0, and all have where no weight is above 0; empty tables give empty results;
+other columns are carried along whatever their names.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from riskweave.llm import common
 SEED = 17
 #: A rates table of so many sources at most is broadcast.
 SOURCES = 10_000
+#: The greatest mean of one draw, and a bound on the copies that it gives.
+SLICE, COPIES = 64, 1_000
 
 
 def hashed(seed: int, *parts: Column) -> Column:
@@ -35,40 +39,61 @@ def uniform(seed: int, *parts: Column) -> Column:
 
 
 def rates(docs: DataFrame, weights: DataFrame | None, total: int | None) -> DataFrame:
-    """(source, rate) for each source; without ``weights`` (source, weight) all sources weigh the same."""
+    """(source, rate) for each source; without ``weights`` (source, weight) all sources weigh the same.
+
+    Several weights of one source add up; where no weight names a present source all rates are 0.
+    """
     sizes = docs.groupBy("source").agg(F.count("*").alias("rows"))
     if weights is None:
         shared = sizes.withColumn("weight", F.lit(1.0))
     else:
-        given = weights.select(F.col("source").alias("s"), F.col("weight").cast("double").alias("weight"))
+        given = weights.groupBy(F.col("source").alias("s")).agg(F.sum(F.col("weight").cast("double")).alias("weight"))
         shared = sizes.join(given, sizes["source"].eqNullSafe(F.col("s")), "left").drop("s").fillna(0.0, ["weight"])
-    sums = shared.agg(F.sum("weight").alias("weights"), F.sum("rows").alias("all"))
-    whole = F.col("all") if total is None else F.lit(total)
-    return shared.join(F.broadcast(sums)).select("source", (whole * F.col("weight") / F.col("weights") / F.col("rows")).alias("rate"))  # sums: one row
+    sums = shared.agg(F.sum("weight").alias("weights"), F.sum("rows").alias("all")).first()  # one row
+    if not sums.weights:
+        return shared.select("source", F.lit(0.0).alias("rate"))
+    whole = float(sums.all if total is None else total)
+    return shared.select("source", (F.lit(whole) * F.col("weight") / F.lit(float(sums.weights)) / F.col("rows")).alias("rate"))
 
 
 def inversion_tables(rates: DataFrame) -> DataFrame:
-    """(source, steps): for each source the Poisson cumulative distribution up to where it is 1 in double precision."""
+    """(source, slices, steps): in how many slices a row's count is drawn, and the Poisson cumulative distribution of one.
+
+    A count of mean ``rate`` is the sum of ``slices`` independent counts of mean
+    ``SLICE`` at most, so a table has some ``SLICE`` + 12 * sqrt(``SLICE``) + 20 entries
+    at most, up to where the distribution is 1 in double precision.
+    """
+    cut = rates.where("rate > 0").withColumn("slices", F.greatest(F.ceil(F.col("rate") / SLICE), F.lit(1)).cast("long"))
+    cut = cut.select("source", "slices", (F.col("rate") / F.col("slices")).alias("rate"))
     last = F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 20)
-    terms = rates.where("rate > 0").select("source", "rate", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))).alias("k"))
+    terms = cut.select("source", "slices", "rate", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))).alias("k"))
     so_far = Window.partitionBy("source").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     log_p = F.sum(F.when(F.col("k") == 0, -F.col("rate")).otherwise(F.log("rate") - F.log("k"))).over(so_far)
     terms = terms.withColumn("p", F.exp(log_p)).withColumn("c", F.sum("p").over(so_far))
-    return terms.groupBy("source").agg(F.sort_array(F.collect_list("c")).alias("steps"))
+    return terms.groupBy("source", "slices").agg(F.sort_array(F.collect_list("c")).alias("steps"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, weights: DataFrame | None = None, total: int | None = None, seed: int = SEED) -> DataFrame:
     """The rows of ``docs`` replicated to the target weights and globally shuffled.
 
-    Adds ``copy`` (from 0) and ``mix_key``, whose order is that of the mix.
+    Adds ``copy`` (the slice times COPIES, plus 0, 1, .. in the slice) and ``mix_key``,
+    whose order is that of the mix; where ``docs`` has a column of that name it keeps it
+    and the added one gets an underscore more.
     """
-    tables = common.written(spark, inversion_tables(rates(docs, weights, total)), "rates").withColumnRenamed("source", "of")
-    drawn = docs.join(common.small(tables, SOURCES), docs["source"].eqNullSafe(F.col("of"))).drop("of")
-    u = uniform(seed, F.col("doc_id"))
-    drawn = drawn.withColumn("u_", u).withColumn("copies_", F.size(F.filter("steps", lambda c: c <= F.col("u_")))).where("copies_ > 0").drop("steps", "u_")
-    copies = drawn.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies_").cast("long") - 1))).drop("copies_")
-    keyed = copies.withColumn("mix_key", hashed(seed + 1, F.col("doc_id"), F.col("copy")))
-    return keyed.repartition("mix_key").sortWithinPartitions("mix_key")
+    with common.scratch(spark) as tables:
+        steps = tables.kept(inversion_tables(rates(docs.select("source"), weights, total)), "rates").withColumnRenamed("source", "of")
+    own = common.packed(docs, id=F.col("doc_id"), source=F.col("source"))
+    drawn = own.join(common.small(steps, SOURCES), F.col("source").eqNullSafe(F.col("of")))
+    # two generators in turn, so that neither step holds a row's copies at once: slices, then the copies of one
+    sliced = drawn.select("row", "id", "steps", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"))
+    u = F.when(F.col("slice") == 0, uniform(seed, F.col("id"))).otherwise(uniform(seed, F.col("id"), F.col("slice")))
+    counted = sliced.select("row", "id", "slice", "steps", u.alias("u")).select("row", "id", "slice", F.size(F.filter("steps", lambda c: c <= F.col("u"))).alias("n")).where("n > 0")
+    copies = counted.select("row", "id", F.explode(F.sequence(F.col("slice") * COPIES, F.col("slice") * COPIES + F.col("n") - 1)).alias("copy"))
+    keyed = copies.withColumn("mix_key", hashed(seed + 1, F.col("id"), F.col("copy")))
+    names = [common.free_name(docs.columns, c) for c in ("copy", "mix_key")]
+    # rows that share an id (null ids do) share keys: their contents spread them
+    out = keyed.repartition("mix_key", F.xxhash64("row")).sortWithinPartitions("mix_key")
+    return out.select("row.*", F.col("copy").alias(names[0]), F.col("mix_key").alias(names[1]))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,16 +104,17 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP3_SQL = f"""
 WITH sizes AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
-rates AS (SELECT source, (SELECT sum(n) FROM sizes)::DOUBLE * 1.0::DOUBLE / (SELECT count(*) FROM sizes)::DOUBLE / n::DOUBLE AS rate FROM sizes),
-terms AS (SELECT source, rate, unnest(generate_series(0, CAST(ceil(rate + 12 * sqrt(rate) + 20) AS BIGINT))) AS k FROM rates),
-logs AS (SELECT source, k, sum(CASE WHEN k = 0 THEN -rate ELSE ln(rate) - ln(k::DOUBLE) END) OVER (PARTITION BY source ORDER BY k ROWS UNBOUNDED PRECEDING) AS l FROM (SELECT source, rate, k FROM terms WHERE k > 0 OR k = 0)),
-steps AS (SELECT source, k, sum(exp(l)) OVER (PARTITION BY source ORDER BY k ROWS UNBOUNDED PRECEDING) AS c FROM logs),
-lists AS (SELECT source, list(c) AS cs FROM steps GROUP BY source),
+rates AS (SELECT source, (SELECT sum(n) FROM sizes)::DOUBLE * 1.0::DOUBLE / (SELECT count(*) FROM sizes)::DOUBLE / n::DOUBLE AS whole FROM sizes),
+cut AS (SELECT source, slices, whole / slices AS rate FROM (SELECT source, whole, greatest(ceil(whole / {SLICE}), 1)::BIGINT AS slices FROM rates)),
+terms AS (SELECT source, slices, rate, unnest(generate_series(0, CAST(ceil(rate + 12 * sqrt(rate) + 20) AS BIGINT))) AS k FROM cut),
+logs AS (SELECT source, slices, k, sum(CASE WHEN k = 0 THEN -rate ELSE ln(rate) - ln(k::DOUBLE) END) OVER (PARTITION BY source ORDER BY k ROWS UNBOUNDED PRECEDING) AS l FROM (SELECT source, slices, rate, k FROM terms WHERE k > 0 OR k = 0)),
+steps AS (SELECT source, slices, k, sum(exp(l)) OVER (PARTITION BY source ORDER BY k ROWS UNBOUNDED PRECEDING) AS c FROM logs),
+lists AS (SELECT source, slices, list(c) AS cs FROM steps GROUP BY source, slices),
+sliced AS (SELECT d.*, cs, unnest(generate_series(0, slices - 1)) AS slice FROM documents d JOIN lists l ON d.source IS NOT DISTINCT FROM l.source),
 drawn AS (
-  SELECT d.*, len(list_filter(cs, lambda c: c <= ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0)) AS copies
-  FROM documents d JOIN lists l ON d.source IS NOT DISTINCT FROM l.source
+  SELECT *, len(list_filter(cs, lambda c: c <= ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, '') || CASE WHEN slice > 0 THEN ':' || slice ELSE '' END), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0)) AS copies FROM sliced
 ), copied AS (
-  SELECT doc_id, text, lang, source, n_chars, unnest(generate_series(0, copies - 1)) AS copy FROM drawn WHERE copies > 0
+  SELECT doc_id, text, lang, source, n_chars, unnest(generate_series(slice * {COPIES}, slice * {COPIES} + copies - 1)) AS copy FROM drawn WHERE copies > 0
 )
 SELECT doc_id, text, lang, source, n_chars, copy, md5('{SEED + 1}:' || coalesce(doc_id::VARCHAR, '') || ':' || copy::VARCHAR) AS mix_key FROM copied
 """
