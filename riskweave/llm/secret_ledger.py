@@ -3,15 +3,18 @@
 Every version of a text is addressed by the SHA-256 of its content (its blob). The
 ledger is a Parquet table of the (blob, rule version) pairs scanned so far, with the
 spans found. A scan reads only blobs with unseen pairs, once each however many paths
-hold them, appends to the ledger and joins findings back to all paths.
+hold them, appends to the ledger and joins findings back to all paths and versions. A
+scan that is repeated, or that runs beside another one, may append a pair again: equal
+spans of a pair count once when the ledger is read.
 
 Positions come from the JVM's regex functions alone: ``split`` gives what stands
 between matches, ``regexp_extract_all`` the matches, and a running sum of their
 lengths (a window inside one blob) the start and end of each, in code points.
 
 Defined results: null texts count as empty; a version without findings has no spans;
-repeated rows and equal texts under several paths each get the findings of their blob;
-empty tables give empty results; other columns are ignored; null paths are kept.
+repeated rows and equal texts under several paths or versions each get the findings of
+their blob; empty tables give empty results; other columns but ``version`` are ignored;
+null paths are kept.
 """
 
 from __future__ import annotations
@@ -87,29 +90,36 @@ def scan(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     return placed.groupBy("path", "blob", "rule").agg(F.sort_array(F.collect_list(F.when(good, F.struct("start", "end")))).alias("spans")).select("blob", "rule", "spans")
 
 
-def scan_versions(spark: SparkSession, versions: DataFrame, ledger_dir: str, rules: tuple[Rule, ...] = BASE_RULES, exists: bool = False) -> DataFrame:
-    """Bring the ledger in ``ledger_dir`` up to date for ``versions`` (path, text); return (path, blob, spans).
+def is_ledger(spark: SparkSession, ledger_dir: str) -> bool:
+    """Whether a scan has written to the folder."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{ledger_dir}/_SUCCESS")
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
-    ``exists`` tells that the folder already holds a ledger. ``spans`` is an array of
-    struct(start, rank, kind, end) ordered by start, then by the order of ``rules``;
-    one row for each row of ``versions``.
+
+def scan_versions(spark: SparkSession, versions: DataFrame, ledger_dir: str, rules: tuple[Rule, ...] = BASE_RULES) -> DataFrame:
+    """Bring the ledger in ``ledger_dir`` up to date for ``versions`` (path, text, and version if given); return (path, version, blob, spans).
+
+    A path may have any number of versions; without the column all have version null.
+    ``spans`` is an array of struct(start, rank, kind, end) ordered by start, then by the
+    order of ``rules``; one row for each row of ``versions``.
     """
-    versions = versions.select("path", F.coalesce("text", F.lit("")).alias("text"))
-    keyed = common.written(spark, versions.select("path", blob_id(F.col("text")).alias("blob")), "secret-paths")
-    ledger = spark.read.schema(SCHEMA).parquet(ledger_dir) if exists else None
+    version = F.col("version").cast("string") if "version" in versions.columns else F.lit(None).cast("string")
+    versions = versions.select("path", version.alias("version"), F.coalesce("text", F.lit("")).alias("text"))
+    keyed = common.written(spark, versions.select("path", "version", blob_id(F.col("text")).alias("blob")), "secret-paths")
+    ledger = spark.read.schema(SCHEMA).parquet(ledger_dir) if is_ledger(spark, ledger_dir) else None
     todo = unseen(keyed, ledger, rules)
-    texts = versions.withColumn("blob", blob_id(F.col("text")))
+    texts = versions.select("path", "text", blob_id(F.col("text")).alias("blob"))
     # a path may hold several versions, and null paths hold some too: blob and path name one text together
     held = todo.withColumnRenamed("path", "at").hint("merge").join(texts, F.col("path").eqNullSafe(F.col("at")) & (todo["blob"] == texts["blob"])).select("path", todo["blob"], "todo", "text")
-    if keyed.groupBy("path", "blob").count().where("count > 1").limit(1).count():  # fully repeated rows: one of each is scanned
+    if keyed.groupBy("path", "blob").count().where("count > 1").limit(1).count():  # one of several equal texts of a path is scanned
         held = held.dropDuplicates(["path", "blob"])
-    scan(held, rules).dropDuplicates(["blob", "rule"]).write.mode("append").parquet(ledger_dir)
+    scan(held, rules).write.mode("append").parquet(ledger_dir)
     ledger = spark.read.schema(SCHEMA).parquet(ledger_dir)
     rank = F.element_at(F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.key), F.lit(i))]), F.col("rule"))
     kind = F.regexp_extract("rule", "^(.*)@", 1)
     found = ledger.where(F.col("rule").isin([r.key for r in rules]) & (F.size("spans") > 0)).select("blob", rank.alias("rank"), kind.alias("kind"), F.explode("spans").alias("s"))
-    findings = found.groupBy("blob").agg(F.sort_array(F.collect_list(F.struct(F.col("s.start").alias("start"), "rank", "kind", F.col("s.end").alias("end")))).alias("spans"))
-    return keyed.join(findings, "blob", "left").select("path", "blob", F.coalesce("spans", F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")).alias("spans"))
+    findings = found.groupBy("blob").agg(F.sort_array(F.collect_set(F.struct(F.col("s.start").alias("start"), "rank", "kind", F.col("s.end").alias("end")))).alias("spans"))
+    return keyed.join(findings, "blob", "left").select("path", "version", "blob", F.coalesce("spans", F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")).alias("spans"))
 
 
 def joined(spans: Column) -> Column:
