@@ -10,6 +10,10 @@ texts a backslash is doubled, and every control string (``CONTROL``) gets a back
 behind its first character, so that no control string of a text survives as one.
 ``unescape`` drops one backslash before any character: the exact inverse.
 
+A record of over ``WIDE`` characters may be too long for a variant, which holds 128 MB:
+its fields are read as text instead, and its field names, two levels deep as all
+mappings are, select the mapping. Any text that a string can hold is formatted.
+
 Defined results: null texts and roles count as empty; a record that isn't JSON or whose
 fingerprint has no mapping gives no turns and is found by ``unmapped``; rows with equal
 turn numbers are ordered by role and text; repeated rows are turns of their own; empty
@@ -33,6 +37,9 @@ START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 CONTROL = ("<|", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 _CONTROL = r"(<|\[)(?=\||s>|/s>|<SYS>>|</SYS>>|INST\]|/INST\])"
 TURN = "struct<ord:bigint,role:string,text:string>"
+#: A record of more characters may not fit a variant; its fields are read by a schema instead.
+WIDE = 4 << 20
+_LONG = {"maxStringLen": "2147483647"}
 
 
 @dataclass(frozen=True)
@@ -86,23 +93,48 @@ def fingerprint(value: Column) -> Column:
     return F.sha2(field_paths(value), 256)
 
 
-def canonical_turns(records: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
-    """(id, ord, sub, role, text) for each turn of ``records`` (id, record: JSON text)."""
-    parsed = records.select("id", F.try_parse_json("record").alias("v")).withColumn("paths", F.sha2(field_paths(F.col("v")), 256))
-    v, chosen = F.col("v"), None
-    for m in mappings:
+def _from_variant(m: Mapping, v: Column) -> Column:
+    """The turns that mapping ``m`` finds in a variant."""
+    if m.row:
+        at, role, text = m.row
+        return F.array(F.struct(F.try_variant_get(v, f"$.{at}", "bigint").alias("ord"), F.try_variant_get(v, f"$.{role}", "string").alias("role"), F.try_variant_get(v, f"$.{text}", "string").alias("text")))
+    if m.turns:
+        return F.transform(F.try_variant_get(v, f"$.{m.turns}", "array<variant>"), _message(m))
+    return F.array(*[F.struct(F.lit(i).cast("bigint").alias("ord"), F.lit(role).alias("role"), F.try_variant_get(v, f"$.{path}", "string").alias("text")) for i, (role, path) in enumerate(m.fixed)])
+
+
+def _wide_turns(record: Column, mappings: tuple[Mapping, ...]) -> Column:
+    """The turns of a record too long for a variant: its fields are read as text, its field names select the mapping."""
+    fields = F.from_json(record, "map<string,string>", _LONG)
+    names = F.array_sort(F.map_keys(fields))
+    chosen = F.lit(None).cast(f"array<{TURN}>")
+    for m in reversed(mappings):
+        test = names == F.array(*[F.lit(k) for k in sorted(json.loads(m.example))])
         if m.row:
             at, role, text = m.row
-            turns = F.array(F.struct(F.try_variant_get(v, f"$.{at}", "bigint").alias("ord"), F.try_variant_get(v, f"$.{role}", "string").alias("role"), F.try_variant_get(v, f"$.{text}", "string").alias("text")))
+            turns = F.array(F.struct(fields[at].try_cast("bigint").alias("ord"), fields[role].alias("role"), fields[text].alias("text")))
         elif m.turns:
-            items = F.try_variant_get(v, f"$.{m.turns}", "array<variant>")
-            turns = F.transform(items, _message(m))
+            items = F.from_json(fields[m.turns], "array<map<string,string>>", _LONG)
+            test = test & F.coalesce(F.forall(items, _has(m.role, m.text)), F.lit(False)) & (F.size(items) > 0)
+            turns = F.transform(items, _wide_message(m))
         else:
-            turns = F.array(*[F.struct(F.lit(i).cast("bigint").alias("ord"), F.lit(role).alias("role"), F.try_variant_get(v, f"$.{path}", "string").alias("text")) for i, (role, path) in enumerate(m.fixed)])
+            turns = F.array(*[F.struct(F.lit(i).cast("bigint").alias("ord"), F.lit(role).alias("role"), fields[path].alias("text")) for i, (role, path) in enumerate(m.fixed)])
+        if m.roles:
+            turns = F.transform(turns, _renamed(dict(m.roles)))
+        chosen = F.when(test, turns.cast(f"array<{TURN}>")).otherwise(chosen)
+    return chosen
+
+
+def canonical_turns(records: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
+    """(id, ord, sub, role, text) for each turn of ``records`` (id, record: JSON text)."""
+    wide = F.length("record") > WIDE
+    parsed = records.select("id", "record", F.try_parse_json(F.when(~wide, F.col("record"))).alias("v")).withColumn("paths", F.sha2(field_paths(F.col("v")), 256))
+    chosen = F.when(wide, _wide_turns(F.col("record"), mappings))
+    for m in mappings:
+        turns = _from_variant(m, F.col("v"))
         if m.roles:
             turns = F.transform(turns, _renamed(dict(m.roles)))
-        test = F.col("paths") == F.sha2(F.lit(_paths_of(m.example)), 256)
-        chosen = F.when(test, turns) if chosen is None else chosen.when(test, turns)
+        chosen = chosen.when(F.col("paths") == F.sha2(F.lit(_paths_of(m.example)), 256), turns)
     return parsed.select("id", F.inline(chosen.cast(f"array<{TURN}>"))).select("id", "ord", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
 
 
@@ -113,6 +145,20 @@ def _message(m: Mapping):
     return one
 
 
+def _has(*names: str):
+    def one(x: Column) -> Column:
+        return F.array_sort(F.map_keys(x)) == F.array(*[F.lit(k) for k in sorted(names)])
+
+    return one
+
+
+def _wide_message(m: Mapping):
+    def one(x: Column, i: Column) -> Column:
+        return F.struct(i.cast("bigint").alias("ord"), x[m.role].alias("role"), x[m.text].alias("text"))
+
+    return one
+
+
 def _renamed(names: dict[str, str]):
     def one(t: Column) -> Column:
         role = t["role"]
@@ -126,8 +172,10 @@ def _renamed(names: dict[str, str]):
 def unmapped(records: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
     """Records that aren't JSON (null paths) or whose fingerprint selects no mapping."""
     known = [F.sha2(F.lit(_paths_of(m.example)), 256) for m in mappings]
-    parsed = records.withColumn("paths", field_paths(F.try_parse_json("record")))
-    return parsed.where(F.col("paths").isNull() | ~F.sha2("paths", 256).isin(*known))
+    wide = F.length("record") > WIDE
+    parsed = records.withColumn("paths", field_paths(F.try_parse_json(F.when(~wide, F.col("record")))))
+    lost = F.when(wide, _wide_turns(F.col("record"), mappings).isNull()).otherwise(F.col("paths").isNull() | ~F.sha2("paths", 256).isin(*known))
+    return parsed.where(lost)
 
 
 def escape(text: Column) -> Column:
@@ -179,12 +227,13 @@ def digest(formatted: DataFrame) -> DataFrame:
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All conversations and conversation -1, formatted and read back."""
+    """All conversations, each row a record, and conversation -1, a record of messages: formatted and read back."""
     said = F.lit("</s>[INST] ok [/INST]")
-    extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
-    rows = common.table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long"), "role", "text").unionByName(extra)
+    message = lambda role: F.struct(F.lit(role).alias("role"), said.alias("content"))
+    extra = spark.range(1).select(F.lit(-1).cast("long").alias("id"), F.to_json(F.struct(F.array(message("user"), message("assistant")).alias("messages"))).alias("record"))
+    rows = common.table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long"), "role", "text")
     records = rows.select(F.col("conv_id").alias("id"), F.to_json(F.struct("turn", "role", "text"), {"ignoreNullFields": "false"}).alias("record"))
-    return digest(format_turns(canonical_turns(records)))
+    return digest(format_turns(canonical_turns(records.unionByName(extra))))
 
 
 OP9_SQL = r"""

@@ -34,6 +34,16 @@ TEXTS = [
 ]
 
 
+def test_a_scan_that_is_repeated_counts_once(spark):
+    """A retried scan, or one beside another, appends its pairs again; versions of a path are told apart."""
+    folder = common.new_folder(spark, "ledger-again")
+    versions = spark.createDataFrame([(1, 1, TEXTS[0]), (1, 2, TEXTS[1]), (2, 1, TEXTS[0]), (2, 2, None)], "path long, version long, text string")
+    sl.scan_versions(spark, versions, folder)
+    spark.read.parquet(folder).write.mode("append").parquet(folder)
+    found = sl.scan_versions(spark, versions, folder).select("path", "version", sl.joined(F.col("spans")).alias("s")).collect()
+    assert sorted(map(tuple, found)) == sorted((r.path, str(r.version), brute(r.text)) for r in versions.collect())
+
+
 def scan(spark, rows, folder, **more):
     versions = spark.createDataFrame(rows, "path long, text string, blob string")
     return {r.path: r.s for r in sl.scan_versions(spark, versions, folder, **more).select("path", sl.joined(F.col("spans")).alias("s")).collect()}
@@ -46,11 +56,11 @@ def test_spans_and_ledger(spark):
     assert got == {i: brute(t) for i, t, _ in rows}
     size = spark.read.parquet(folder).count()
     assert size == 3 * len({t or "" for _, t, _ in rows})
-    again = scan(spark, rows[:3] + [(7, "token = newsecret99", "")], folder, exists=True)
+    again = scan(spark, rows[:3] + [(7, "token = newsecret99", "")], folder)
     assert again[7] == "assign:0:19" and again[0] == got[0]
     assert spark.read.parquet(folder).count() == size + 3  # only the unseen blob
     newer = (*sl.BASE_RULES, sl.Rule("mark", "ünï", version=2))
-    assert scan(spark, rows[:1], folder, rules=newer, exists=True)[0] == "mark:0:3," + got[0]
+    assert scan(spark, rows[:1], folder, rules=newer)[0] == "mark:0:3," + got[0]
     assert spark.read.parquet(folder).count() == size + 4  # only the unseen rule
 
 
@@ -97,6 +107,33 @@ def test_layouts_by_fingerprint(spark):
     assert {r.name: r.p for r in seen.collect()} == paths
 
 
+def test_long_records_lose_no_turn(spark, monkeypatch):
+    """Records too long for a variant take another way to the same turns."""
+    big = 'x"\\é\n' * 40
+    records = [
+        (1, {"messages": [{"role": "user", "content": big}, {"role": "assistant", "content": None}]}),
+        (2, {"conversations": [{"from": "human", "value": "a"}, {"from": "gpt", "value": big}]}),
+        (3, {"output": big, "instruction": "a"}),
+        (4, {"text": big, "role": "user", "turn": 3}),
+        (5, {"messages": [{"role": "user", "other": big}]}),
+        (6, {"other": big}),
+        (7, {"messages": big}),
+    ]
+    df = spark.createDataFrame([(i, json.dumps(r)) for i, r in records] + [(8, "no json " * 50), (9, None)], "id long, record string")
+    turns = lambda: sorted(map(tuple, cf.canonical_turns(df).collect()))
+    lost = lambda: sorted(r.id for r in cf.unmapped(df).collect())
+    want = turns(), lost()
+    assert want[1] == [5, 6, 7, 8, 9]
+    monkeypatch.setattr(cf, "WIDE", 20)
+    assert (turns(), lost()) == want
+
+
+def test_a_very_long_text(spark):
+    """Longer than what a JSON reader takes by default."""
+    rows = spark.range(1).select(F.lit(1).alias("id"), F.to_json(F.struct(F.lit(0).alias("turn"), F.lit("assistant").alias("role"), F.expr("repeat('0123456789abcdef', 1400000)").alias("text"))).alias("record"))
+    assert cf.digest(cf.format_turns(cf.canonical_turns(rows))).first().loss_chars == 22_400_000
+
+
 def test_ties_and_empty_conversations(spark):
     turns = spark.createDataFrame([(1, 0, "user", "b"), (1, 0, "user", "a"), (1, 0, "user", "a")], "id long, ord long, role string, text string")
     said = cf.digest(cf.format_turns(turns)).first()
@@ -129,3 +166,27 @@ def test_mixing_counts_follow_the_inverted_distribution(spark):
     weights = spark.createDataFrame([("x", 1.0)], "source string, weight double")
     assert {r.source for r in mixing.mix(spark, docs, weights).collect()} == {"x"}
     assert mixing.mix(spark, docs.limit(0)).count() == 0
+
+
+def test_mixing_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(i, "t", "x", i, -i, "s", 0.5, "r", 1) for i in range(50)], "doc_id long, text string, source string, copy long, mix_key long, of string, u double, row string, steps int")
+    got = mixing.mix(spark, docs).collect()
+    assert got[0].__fields__ == [*docs.columns, "copy_", "mix_key_"]
+    assert all(r.copy == r.doc_id == -r.mix_key and r.of == "s" for r in got) and len({(r.doc_id, r.copy_) for r in got}) == len(got)
+
+
+def test_weights_without_a_present_source(spark):
+    docs = spark.createDataFrame([(1, "t", "x")], "doc_id long, text string, source string")
+    for rows in ([("y", 1.0)], [("x", 0.0)], [("x", None)], []):
+        assert mixing.mix(spark, docs, spark.createDataFrame(rows, "source string, weight double")).count() == 0
+
+
+def test_high_rates_are_drawn_in_slices(spark):
+    """A mean of 5,000: tables and generators stay small, counts have the mean and spread of the distribution."""
+    docs = spark.createDataFrame([(i, "t", "x") for i in range(60)], "doc_id long, text string, source string")
+    steps = mixing.inversion_tables(mixing.rates(docs, None, 300_000)).first()
+    assert steps.slices == 79 and len(steps.steps) < 200
+    counts = [r["count"] for r in mixing.mix(spark, docs, total=300_000).groupBy("doc_id").count().collect()]
+    mean = sum(counts) / 60
+    assert len(counts) == 60 and abs(mean - 5_000) < 40 and 3_000 < sum((c - mean) ** 2 for c in counts) / 59 < 8_000
+    assert mixing.mix(spark, docs, total=300_000).select("doc_id", "copy").distinct().count() == sum(counts)
