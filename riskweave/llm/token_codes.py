@@ -14,8 +14,9 @@ Files are written under the shared folder by the tasks of a range partition of d
 each under its partition's name, first under a name of the attempt and then renamed: a
 task that runs again replaces its files with equal ones.
 
-Defined results: null and empty texts have the end id only; repeated doc_ids stand in a
-row; null ids come first; empty tables give empty results; other columns are ignored.
+Defined results: null and empty texts have the end id only; rows that share a doc_id
+stand in a row, in the order of their texts' hashes; null ids come first; empty tables
+give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -92,7 +93,6 @@ def encode(ids: np.ndarray, doc_ids: np.ndarray, starts: np.ndarray) -> bytes:
 
 class TokenFile:
     """Reads a file: ``file[i]`` is one id, found directly; ``decode()`` all of them."""
-
     def __init__(self, data: bytes) -> None:
         if data[:8] != MAGIC:
             raise ValueError("not a token file")
@@ -279,7 +279,7 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 # -- files --------------------------------------------------------------------
 
-MANIFEST = "file string, first_doc long, docs long, tokens long"
+MANIFEST = "file string, part int, nth int, first_doc long, docs long, tokens long"
 
 
 def _writer(folder: str, path: str, file_tokens: int):
@@ -295,7 +295,7 @@ def _writer(folder: str, path: str, file_tokens: int):
             ids, docs = np.concatenate(ids_), pa.chunked_array(held)
             first = docs[0].as_py()
             storage.write(uri, encode(ids, docs.fill_null(np.iinfo(np.int64).min).to_numpy(), np.cumsum(length) - length))
-            done = pa.RecordBatch.from_pydict({"file": [uri], "first_doc": pa.array([first], pa.int64()), "docs": pa.array([len(docs)], pa.int64()), "tokens": pa.array([len(ids)], pa.int64())})
+            done = pa.RecordBatch.from_pydict({"file": [uri], "part": pa.array([part], pa.int32()), "nth": pa.array([nth], pa.int32()), "first_doc": pa.array([first], pa.int64()), "docs": pa.array([len(docs)], pa.int64()), "tokens": pa.array([len(ids)], pa.int64())})
             held, ids_, sizes, n, nth = [], [], [], 0, nth + 1
             return done
 
@@ -322,11 +322,18 @@ def _writer(folder: str, path: str, file_tokens: int):
 
 def write_token_files(spark: SparkSession, docs: DataFrame, folder: str, path: str, file_tokens: int = FILE_TOKENS) -> DataFrame:
     """Write the ids of ``docs`` (doc_id, text) in ascending doc_id order; return the manifest with each file's ``start``."""
-
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id").sortWithinPartitions("doc_id")
-    manifest = common.written(spark, ordered.mapInArrow(_writer(folder, path, file_tokens), MANIFEST), "manifest")
-    before = Window.orderBy(F.col("first_doc").asc_nulls_first(), "file").rowsBetween(Window.unboundedPreceding, -1)
-    return manifest.withColumn("start", F.coalesce(F.sum("tokens").over(before), F.lit(0)).cast("long"))  # one row a file
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
+    # an id that many rows share is cut by the hash of the texts, which orders them too
+    ordered = keyed.repartitionByRange(parts, "doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text").select("doc_id", "text")
+    with common.scratch(spark) as tables:
+        manifest = tables.written(ordered.mapInArrow(_writer(folder, path, file_tokens), MANIFEST), "manifest")
+        totals = manifest.groupBy("part").agg(F.sum("tokens").alias("tokens")).orderBy("part").collect()  # a row a partition
+        ends = np.cumsum([r.tokens for r in totals], dtype=np.int64).tolist()
+        begins = spark.createDataFrame([(r.part, end - r.tokens) for r, end in zip(totals, ends, strict=True)], "part int, begin long")
+        before = Window.partitionBy("part").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
+        placed = manifest.join(F.broadcast(begins), "part").withColumn("start", (F.col("begin") + F.coalesce(F.sum("tokens").over(before), F.lit(0))).cast("long"))
+        return tables.kept(placed.drop("begin"), "manifest-starts")
 
 
 def _reader(batches):
@@ -348,8 +355,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
 
 def encode_corpus(spark: SparkSession, docs: DataFrame) -> DataFrame:
     folder = common.new_folder(spark, "tokens")
-    manifest = common.written(spark, write_token_files(spark, docs, folder, tokenizer_path()), "manifest-starts")
-    return read_token_files(manifest)
+    return read_token_files(write_token_files(spark, docs, folder, tokenizer_path()))
 
 
 def op4_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:

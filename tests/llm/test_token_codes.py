@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -25,7 +26,8 @@ def expected(rows):
 
     whole = Tokenizer.from_file(tc.tokenizer_path())
     out, start = [], 0
-    for doc_id, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+    order = lambda r: (r[0] is not None, r[0] or 0, (lambda h: h - 2**64 if h >= 2**63 else h)((xxhash.xxh64_intdigest((r[1] or "").encode(), 42))))
+    for doc_id, text in sorted(rows, key=order):
         ids = np.array([*whole.encode(text or "", add_special_tokens=False).ids, tc.END_ID], "<u4")
         out.append((doc_id, start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
@@ -40,6 +42,16 @@ def test_files_hold_what_the_tokenizer_gives(spark, monkeypatch):
     assert sorted((tuple(r) for r in got), key=lambda r: r[1]) == expected(rows)
 
 
+def test_an_id_that_many_rows_share_is_cut_and_ordered(spark):
+    rows = [(7 if i % 3 else None, f"text number {i * 37 % 101} of one id") for i in range(90)] + [(1, "low"), (9, "high")]
+    for given in (rows, rows[::-1]):
+        docs = spark.createDataFrame(given, "doc_id long, text string")
+        manifest = tc.write_token_files(spark, docs, tc.common.new_folder(spark, "t"), tc.tokenizer_path(), 100)
+        assert manifest.select("part").distinct().count() > 3
+        got = sorted((tuple(r) for r in tc.read_token_files(manifest).collect()), key=lambda r: r[1])
+        assert got == expected(rows)
+
+
 def test_empty_table_and_repeated_rows(spark):
     assert tc.encode_corpus(spark, spark.createDataFrame([], "doc_id long, text string")).count() == 0
     got = tc.encode_corpus(spark, spark.createDataFrame([(1, "a b"), (1, "a b")], "doc_id long, text string")).collect()
