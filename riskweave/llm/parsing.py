@@ -15,7 +15,7 @@ left and always begins a phrase, so a text's fingerprint doesn't depend on its b
 
 Defined results: null and empty texts have the empty fingerprint, and two empty
 fingerprints a likeness of 1, an empty and another one of 0; texts of equal doc_id are
-ordered by text; null ids come first; one text alone is followed by itself; empty tables give empty
+ordered by the texts' hashes; null ids come first; one text alone is followed by itself; empty tables give empty
 results; other columns are ignored.
 """
 
@@ -34,6 +34,8 @@ from riskweave.llm import common, words
 U = np.uint64
 LEVELS = (1, 2, 3)
 SKETCH = 64
+#: Sampled rows for each bucket of documents.
+SAMPLED = 40
 _P = words._powers(0xD1342543DE82EF95, 64)
 
 
@@ -179,33 +181,52 @@ def edited(text: str, follower: str) -> str:
 def with_next(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Rows (bucket, last, doc_id, text) in which each document's follower is the next row of its bucket.
 
-    Buckets are ranges of doc_id, cut at quantiles. The first document of each bucket is
-    sent to the bucket before it too (``last``), the very first one to the last bucket.
+    Buckets are ranges of (doc_id, hash of the text), cut at quantiles of a bounded
+    sample, so that an id that many rows share is cut too; each is one task's. The first
+    document of each bucket is sent to the bucket before it too (``last``), the very first
+    one to the last bucket.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = docs.where("doc_id IS NOT NULL").approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts) if parts > 1 else []
-    edges = np.array(sorted({int(c) for c in cuts}), np.int64)
-
-    @F.pandas_udf("int")
-    def bucket_of(doc_id: pd.Series) -> pd.Series:
-        found = np.searchsorted(edges, doc_id.fillna(0).astype("int64").to_numpy(), "right")
-        return pd.Series(np.where(doc_id.isna(), 0, found).astype(np.int32))
-
-    keyed = docs.withColumn("bucket", bucket_of("doc_id"))
-    firsts = common.written(spark, keyed.groupBy("bucket").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("named"), "doc_id")).alias("m")).select("bucket", "m.doc_id"), "first-documents")  # a row a bucket
+    with common.scratch(spark) as tables:
+        keys = docs.select("doc_id", "hash")
+        drawn = sorted((r.doc_id is not None, r.doc_id or 0, r.hash) for r in common.bounded_sample(keys, SAMPLED * parts, "doc_id", "hash").collect())
+        edges = sorted({drawn[len(drawn) * i // parts] for i in range(1, parts)}) if len(drawn) > 1 else []
+        bucket_of = F.pandas_udf(_bucketing(edges), "int")
+        keyed = docs.withColumn("bucket", bucket_of("doc_id", "hash"))
+        firsts = tables.kept(keyed.groupBy("bucket").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("named"), "doc_id", "hash")).alias("m")).select("bucket", "m.doc_id", "m.hash"), "first-documents")  # a row a bucket
     order = [r.bucket for r in firsts.select("bucket").orderBy("bucket").collect()]
     before = {b: order[i - 1] for i, b in enumerate(order)}
     moved = F.element_at(F.create_map(*[F.lit(x) for pair in before.items() for x in pair]), F.col("bucket")) if before else F.lit(0)
-    heads = keyed.join(F.broadcast(firsts.select(F.col("bucket").alias("b"), F.col("doc_id").alias("d"))), (F.col("bucket") == F.col("b")) & F.col("doc_id").eqNullSafe(F.col("d")))
-    heads = heads.groupBy("bucket").agg(F.min("text").alias("text"), F.first("doc_id").alias("doc_id")).select(moved.alias("bucket"), F.lit(True).alias("last"), "doc_id", "text")
-    both = keyed.select("bucket", F.lit(False).alias("last"), "doc_id", "text").unionByName(heads)
-    return both.repartition(parts, "bucket").sortWithinPartitions("bucket", "last", "doc_id", "text")
+    first = firsts.select(F.col("bucket").alias("b"), F.col("doc_id").alias("d"), F.col("hash").alias("h"))
+    heads = keyed.join(F.broadcast(first), (F.col("bucket") == F.col("b")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("hash") == F.col("h")))
+    heads = heads.groupBy("bucket").agg(F.min("text").alias("text"), F.first("doc_id").alias("doc_id"), F.first("hash").alias("hash")).select(moved.alias("bucket"), F.lit(True).alias("last"), "doc_id", "hash", "text")
+    both = keyed.select("bucket", F.lit(False).alias("last"), "doc_id", "hash", "text").unionByName(heads)
+    return both.repartitionById(parts, F.col("bucket")).sortWithinPartitions("bucket", "last", "doc_id", "hash", "text").drop("hash")
+
+
+def _bucketing(edges: list[tuple[bool, int, int]]):
+    """The bucket of (doc_id, hash): how many of the sorted ``edges`` (has an id, doc_id, hash) are not above it."""
+    nulls = np.array([h for named, _, h in edges if not named], np.int64)
+    ids, hashes = (np.array([e[k] for e in edges if e[0]], np.int64) for k in (1, 2))
+
+    def run(doc_id: pd.Series, hash: pd.Series) -> pd.Series:
+        none = doc_id.isna().to_numpy()
+        own, h = doc_id.fillna(0).astype("int64").to_numpy(), hash.to_numpy()
+        out = np.searchsorted(ids, own, "left")
+        equal = np.searchsorted(ids, own, "right") > out
+        for d in np.unique(own[equal & ~none]):  # ids that are edges: their hashes decide
+            at = own == d
+            a, b = np.searchsorted(ids, [d], "left")[0], np.searchsorted(ids, [d], "right")[0]
+            out[at] = a + np.searchsorted(hashes[a:b], h[at], "right")
+        out = np.where(none, np.searchsorted(nulls, h, "right"), out + len(nulls))
+        return pd.Series(out.astype(np.int32))
+
+    return run
 
 
 def _fingerprints(batches):
     """Fingerprints of a partition's documents, each with its follower, the next row of its bucket."""
-
     def finish(ids: list, texts: list[str], following: str):
         follow = [*texts[1:], following]
         changed = [edited(a, b) for a, b in zip(texts, follow, strict=True)]
@@ -237,7 +258,6 @@ def _fingerprints(batches):
 
 def fingerprints(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Fingerprints of ``docs`` (doc_id, text), of their edited texts, and their likeness."""
-
     kinds = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return with_next(spark, docs).mapInArrow(_fingerprints, kinds)
 

@@ -3,8 +3,10 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from riskweave.llm import parsing as pp
 from riskweave.llm import words
@@ -32,13 +34,28 @@ def test_a_batch_changes_nothing(texts):
         assert (pp.sketches(pa.array([t], pa.string()))[0] == s).all()
 
 
+def in_order(row):
+    return row[0] is not None, row[0] or 0, (lambda h: h - 2**64 if h >= 2**63 else h)((xxhash.xxh64_intdigest((row[1] or "").encode(), 42)))
+
+
+def test_rows_that_share_an_id_are_cut_into_buckets(spark):
+    rows = [(5 if i % 2 else None, f"words of row {i * 7 % 61} " * 5) for i in range(120)] + [(1, "one"), (8, "eight")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    placed = pp.with_next(spark, docs).select("bucket", "last", F.spark_partition_id().alias("p")).collect()
+    assert len({r.bucket for r in placed if not r.last}) >= 6 and all(r.bucket == r.p for r in placed)
+    got = pp.fingerprints(spark, docs).collect()
+    order = sorted(rows, key=in_order)
+    want = [(d, hashlib.sha256(pp.edited(t, n).encode()).hexdigest()) for (d, t), (_, n) in zip(order, order[1:] + order[:1], strict=True)]
+    assert sorted(((r.doc_id, r.edited_sha256) for r in got), key=repr) == sorted(want, key=repr)
+
+
 def test_rows_against_plain_python(spark):
     rng = random.Random(9)
     text = lambda: " ".join("".join(rng.choices("aeioubcdñ", k=5)) for _ in range(rng.randrange(0, 200)))
     rows = [(i * 3, text()) for i in range(120)] + [(900, None), (901, ""), (902, "a" * 50000), (903, "é"), (904, rng.choice("xy") * 2), (None, "null"), (905, "same " * 50), (906, "same " * 50)]
     rng.shuffle(rows)
     got = {r.doc_id: r for r in pp.fingerprints(spark, spark.createDataFrame([(a, b, 1) for a, b in rows], "doc_id long, text string, bucket int")).collect()}
-    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
+    order = sorted(rows, key=in_order)
     assert len(got) == len(rows)
     for (doc_id, t), (_, follower) in zip(order, order[1:] + order[:1], strict=True):
         t, follower, r = t or "", follower or "", got[doc_id]
