@@ -43,7 +43,6 @@ def _gate(x: np.ndarray) -> np.ndarray:
 
 class Network:
     """Weights: for each direction a table of input terms by byte (3H x 256) and recurrent weights (3H x H); then the output layer."""
-
     def __init__(self, languages: list[str], seed: int = 11) -> None:
         rng = np.random.default_rng(seed)
         self.languages, h, n = languages, HIDDEN, len(languages)
@@ -225,7 +224,6 @@ def judged(net: Network | None, text: pa.Array) -> Iterator[tuple[int, int, list
 
 def identify(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of each row of ``docs`` (doc_id, text, and lang to learn from)."""
-
     net = train(spark, docs)
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
     kind = dict(rows.dtypes)["doc_id"]
@@ -246,7 +244,6 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_known(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """``docs`` whose language is found: not ``und``, and with a score of ``MIN_SCORE`` or more."""
-
     net = train(spark, docs)
 
     def run(batches):

@@ -120,7 +120,6 @@ def train_dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, by
 
 class Meter:
     """Compression differences of windows, and a text's features from them."""
-
     def __init__(self, toxic: bytes, ordinary: bytes) -> None:
         self._of = []
         for raw in (ordinary, toxic):
@@ -226,7 +225,6 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Scorer | Non
 
 def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of ``docs``."""
-
     scorer = fit(spark, docs, labels.select("doc_id", F.col("toxic").cast("int")))
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
 
