@@ -44,12 +44,17 @@ STAGES = [
     ("token_files", tokens),
 ]
 
-#: SQL can't express the trained stage; the tests compare run() with a brute-force version.
+#: SQL can't express the trained stage; tests/llm/test_pipeline.py holds run() against plain Python on a small fixture.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
+    """The rows of the last stage; a stage's table goes when the next one is written."""
+    docs, before = common.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = common.written(spark, stage(spark, docs, sf_dir), name)
+        path = common.new_folder(spark, name)
+        docs = common.written(spark, stage(spark, docs, sf_dir), name, path)
+        if before:
+            common.delete(spark, before)
+        before = path
     return docs
