@@ -8,16 +8,17 @@ text's score comes from how many of its windows pass each of several difference
 thresholds, by a logistic model calibrated on labelled rows that the dictionaries
 weren't trained on.
 
-The dictionaries are trained (``zstandard.train_dictionary``) on words of labelled texts:
-the toxic one on those that hold byte sequences over-represented in toxic texts, the
-ordinary one on as many others. Labels are learned from a bounded sample of
-``SAMPLE`` rows of each label; every text is scored whole. Word windows repeat, so a
+The dictionaries are trained (``zstandard.train_dictionary``) on windows of labelled
+texts: the toxic one on those that hold byte sequences over-represented in toxic texts,
+the ordinary one on as many others. Labels are learned from a bounded sample: ``SAMPLE``
+rows of each label, of which dictionaries are trained on ``SAMPLE_CHARS`` characters
+from a hashed place on; calibration and scores are of whole texts. Windows repeat, so a
 worker remembers the differences of those it has seen.
 
-Defined results: null and wordless texts get the score of a text without a window; with
-no row of one of the labels to learn from every score is 0; repeated rows are scored
-alike; null labels don't count; empty tables give empty results; other columns are
-ignored.
+Defined results: null and wordless texts get the score of a text without a window; where
+the rows of a label to learn from are fewer than two parts of the sample, every score is
+0; repeated rows are scored alike; null labels don't count; empty tables give empty
+results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,8 +33,10 @@ from pyspark.sql import functions as F
 from riskweave.llm import common, words
 from riskweave.llm.language_id import held_out
 
-SAMPLE = {1: 4_000, 0: 6_000}
-SAMPLE_CHARS = 3_000
+#: Rows to learn from, at most, of each label, and the characters of each, from a hashed place on, that dictionaries are trained on.
+SAMPLE, SAMPLE_CHARS = {1: 4_000, 0: 6_000}, 3_000
+#: Parts of the sample; each is measured with dictionaries trained on the others.
+PARTS = 5
 DICTIONARY, WINDOW, GRAM = 8_000, 48, 6
 OVER = 5.0  # standard errors by which a sequence must be over-represented
 THRESHOLDS = (1, 2, 3, 4, 5, 6, 8)
@@ -68,15 +71,20 @@ def _delimited(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
 
 
 def _grams(raw: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The GRAM-byte sequences inside the windows, as numbers, and the window of each."""
-    if len(raw) < GRAM:
-        return np.zeros(0, U), np.zeros(0, np.int64)
-    value = np.zeros(len(raw) - GRAM + 1, U)
+    """The GRAM-byte sequences inside the windows, as numbers, and the window of each; a shorter window is one sequence."""
+    value = np.zeros(max(0, len(raw) - GRAM + 1), U)
     for i in range(GRAM):
         value = (value << U(8)) | raw[i : i + len(value)]
     window = np.repeat(np.arange(len(size)), size)[: len(value)]
     inside = np.arange(len(value)) - at[window] <= size[window] - GRAM
-    return value[inside], window[inside]
+    few = np.flatnonzero(size < GRAM)
+    whole = size[few].astype(U) << U(56)
+    for i in range(GRAM - 1):
+        has = size[few] > i
+        whole[has] += raw[at[few[has]] + i].astype(U) << U(8 * i)
+    value, window = np.concatenate([value[inside], whole]), np.concatenate([window[inside], few])
+    order = np.argsort(window, kind="stable")
+    return value[order], window[order]
 
 
 def train_dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
@@ -187,7 +195,8 @@ _meters: dict[tuple[bytes, bytes], Meter] = {}
 
 def _meter(dictionaries: tuple[bytes, bytes]) -> Meter:
     if dictionaries not in _meters:
-        _meters.clear()
+        if len(_meters) >= PARTS:
+            _meters.clear()
         _meters[dictionaries] = Meter(*dictionaries)
     return _meters[dictionaries]
 
@@ -200,27 +209,37 @@ def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Scorer | None:
-    """A scorer learned from ``labels`` (doc_id, toxic) that aren't held out."""
-    sample = common.written(spark, _labelled(docs, labels), "toxicity-sample")
-    half = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(2))
-    begin = (1 + F.pmod(F.xxhash64("doc_id", F.lit("begin")), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(1)))).cast("int")
-    rows = sample.where(half == 0).select("toxic", F.substring("text", begin, F.lit(SAMPLE_CHARS)).alias("part")).collect()
-    texts = {y: sorted(r.part or "" for r in rows if r.toxic == y) for y in (0, 1)}
-    if not texts[0] or not texts[1]:
-        return None
-    dictionaries = train_dictionaries(texts[1], texts[0])
-
-    def measured(batches):
-        for batch in batches:
-            for at, to in words.chunks(batch.column("text")):
-                rows = _meter(dictionaries).features(batch.column("text").slice(at, to - at))
-                yield pa.RecordBatch.from_arrays([batch.column("toxic").slice(at, to - at), pa.array(list(rows), pa.list_(pa.float64()))], ["toxic", "f"])
-
-    seen = sample.where(half == 1).select("toxic", "text").mapInArrow(measured, "toxic int, f array<double>").collect()
-    seen = sorted((r.toxic, r.f) for r in seen)
-    if len({y for y, _ in seen}) < 2:
-        return None
-    return Scorer(*dictionaries, np.array([f for _, f in seen]), np.array([y for y, _ in seen], float))
+    """A scorer learned from ``labels`` (doc_id, toxic) that aren't held out.
+
+    The sample is cut into ``PARTS``; each part is measured, whole texts, with
+    dictionaries trained on the other parts, and the thresholds' weights are calibrated
+    on that. The scorer's own dictionaries are trained on all parts.
+    """
+    with common.scratch(spark) as tables:
+        sample = tables.written(_labelled(docs, labels).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(PARTS)).cast("int")), "toxicity-sample")
+        begin = (1 + F.pmod(F.xxhash64("doc_id", F.lit("begin")), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(1)))).cast("int")
+        rows = sample.select("toxic", "part", F.substring("text", begin, F.lit(SAMPLE_CHARS)).alias("text")).collect()
+        texts = [(r.toxic, r.part, r.text or "") for r in rows]
+        if any(len({part for y, part, _ in texts if y == label}) < 2 for label in (0, 1)):
+            return None
+
+        def trained(without: int | None) -> tuple[bytes, bytes]:
+            return train_dictionaries(*(sorted(t for y, part, t in texts if y == label and part != without) for label in (1, 0)))
+
+        others = [trained(part) for part in range(PARTS)]
+
+        def measured(batches):
+            for batch in batches:
+                for at, to in words.chunks(batch.column("text")):
+                    own = batch.slice(at, to - at)
+                    for part in range(PARTS):
+                        some = own.filter(pc.equal(own.column("part"), part))
+                        if some.num_rows:
+                            rows = _meter(others[part]).features(some.column("text"))
+                            yield pa.RecordBatch.from_arrays([some.column("toxic"), pa.array(list(rows), pa.list_(pa.float64()))], ["toxic", "f"])
+
+        seen = sorted((r.toxic, r.f) for r in sample.mapInArrow(measured, "toxic int, f array<double>").collect())
+    return Scorer(*trained(None), np.array([f for _, f in seen]), np.array([y for y, _ in seen], float))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
