@@ -2,29 +2,31 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def work_folder(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
-    return f"{base}/riskweave/{name}-{uuid.uuid4().hex}"
+#: Source files of one commit, where a run is to be committed piece by piece.
+COMMIT_FILES = 25
 
 
-def ingest(spark: SparkSession, source: str, schema, stored: DataFrame, target: str, checkpoint: str) -> None:
+def ingest(spark: SparkSession, source: str, schema, stored: DataFrame, target: str, checkpoint: str, files: int = COMMIT_FILES, told: Callable[[int, int], None] | None = None) -> None:
     """Take what stands in ``source`` now: drop stored and repeated accessions, append the rest to ``target``.
 
-    The stream's own state keeps accessions of earlier runs out; each micro-batch is one
-    commit unit, written under its id so that a repeated batch replaces itself.
+    The stream's own state keeps accessions of earlier runs out; each micro-batch of
+    ``files`` files is one commit unit, written under its id so that a repeated batch
+    replaces itself. ``told`` hears how many rows each commit saved and that none failed.
     """
-    new = spark.readStream.schema(schema).parquet(source).dropDuplicates(["accession_no"])
+    new = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source).dropDuplicates(["accession_no"])
     known = stored.select("accession_no").distinct()
 
     def take(batch: DataFrame, batch_id: int) -> None:
-        batch.join(known, "accession_no", "left_anti").write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        path = f"{target}/batch={batch_id}"
+        batch.join(known, "accession_no", "left_anti").write.mode("overwrite").parquet(path)
+        if told is not None:
+            told(spark.read.schema(batch.schema).parquet(path).count(), 0)
 
     new.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(take).start().awaitTermination()
 
