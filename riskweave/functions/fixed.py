@@ -49,7 +49,7 @@ FORM_DESCRIPTIONS = {
 }
 
 PURPOSES = {
-    ('etf_issuer', 'S-1'): "{form_desc} for {company}, a spot {tokens} ETF. Registers the fund's shares for public sale.",
+    ("etf_issuer", "S-1"): "{form_desc} for {company}, a spot {tokens} ETF. Registers the fund's shares for public sale.",
     ("etf_issuer", "N-1A"): "{form_desc} for {company}, a spot {tokens} ETF. Defines fund objectives, fees, and risk factors.",
     ("etf_issuer", "485APOS"): "{form_desc} for {company}, a spot {tokens} ETF. Updates prospectus disclosures including risk factors and fund performance.",
     ("etf_issuer", "485BPOS"): "{form_desc} for {company}, a spot {tokens} ETF. Updates prospectus disclosures including risk factors and fund performance.",
@@ -92,6 +92,27 @@ KEYWORDS = ("cryptocurrency", "blockchain", "digital asset", "bitcoin", "ethereu
 
 # fixed values: forms of funds
 FUND_FORMS = ("485APOS", "485BPOS", "N-1A", "S-1", "D")
+# fixed values: forms in which several funds share a filing
+MULTI_FUND_FORMS = ("485APOS", "485BPOS", "N-1A", "N-1A/A")
+# fixed values: forms listed for each company
+COMPANY_FORM_TYPES = ("10-K", "10-Q", "8-K", "S-1", "S-1/A")
+# fixed values: codes in parentheses that aren't tickers
+NOT_TICKERS = ("CIK", "DE", "NV", "CA", "NY", "FL", "TX")
+# fixed values: patterns of a fund's name, in the order in which they are tried
+FUND_NAMES = (
+    r"\b([A-Z][A-Za-z&.\s]{4,60}(?:Trust|Fund|ETF))\b",
+    r"\b([A-Z][A-Za-z&.\s]{4,60}Bitcoin[A-Za-z\s]{0,20}(?:Trust|Fund|ETF))\b",
+    r"\b([A-Z][A-Za-z&.\s]{4,60}(?:Crypto|Digital|Ethereum)[A-Za-z\s]{0,20}(?:Trust|Fund|ETF))\b",
+)
+# fixed values: what a table of contents holds: listed items, page numbers, its title
+TOC_ITEM, TOC_PAGE, TOC_TITLE = r"\bItem\s+\d+[A-Z]?\b", r"\b\d{1,3}\b", r"table\s+of\s+contents"
+# fixed values: lengths of a short summary and of a chart's label
+SHORT_SUMMARY, LABEL, LABEL_CUT = 140, 30, 28
+# fixed values: what is said at the end of a run
+RUN_REPROCESSED = "Done: reprocessed %d filings, %d total with summaries (%.1fmin)"
+RUN_UP_TO_DATE = "Up to date: all %d filings already processed (%.1fmin)"
+RUN_NOTHING = "No filings found. Check your internet connection and try again."
+RUN_DONE = "Done: %d new, %d failed, %d total (%.1fmin)"
 
 # fixed values: terms of the topic, in the order in which they are tried
 CRYPTO = (

@@ -10,6 +10,8 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from riskweave.functions import fixed
+
 TABLES = ("customer", "orders", "lineitem", "events", "documents", "pages")
 
 # -- prose blocks that make every branch of the text operators fire (our own wording) --
@@ -48,11 +50,12 @@ def _pick(expr: str, values: list[str], other: str = "''") -> str:
     return f"CASE {expr} " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values)) + f" ELSE {other} END"
 
 
+# the forms of the made filings (a choice of ours)
 FORMS = ["S-1", "S-1/A", "N-1A", "485APOS", "485BPOS", "10-K", "10-Q", "8-K", "D", "10-K/A", "8-K/A"]
-KEYWORDS = ["cryptocurrency", "blockchain", "digital asset", "bitcoin", "ethereum", "XRP", "stablecoin", "crypto ETF", "crypto fund", "crypto token", "DeFi"]
-FUND_FORMS = ("485APOS", "485BPOS", "N-1A", "S-1", "D")
 CATEGORIES = ["etf_issuer", "exchange", "broker", "miner", "treasury", "payments", "other"]
-_FUND = "(" + ", ".join(f"'{f}'" for f in FUND_FORMS) + ")"
+_FUND = "(" + ", ".join(f"'{f}'" for f in fixed.FUND_FORMS) + ")"
+# the sources whose reports come with sections that a parser of their own has found
+_PARSED = "('src0', 'src4', 'src8', 'src12')"
 _ACC = "lpad(cast({c} as varchar(20)), 10, '0') || '-' || substr(cast({d} as varchar(30)), 3, 2) || '-' || lpad(cast({k} as varchar(20)), 9, '0')"
 
 FRAMES = {
@@ -61,7 +64,7 @@ FRAMES = {
         cast(o_custkey % 60 as varchar(20)) AS cik, c_name AS company_name, CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE 'T' || cast(o_custkey % 60 as varchar(20)) END AS ticker,
         {_pick("o_orderkey % 11", FORMS)} AS form_type,
         CASE WHEN o_orderkey % 97 = 0 THEN '' ELSE substr(cast(o_orderdate as varchar(30)), 1, 10) END AS filing_date,
-        {_pick("o_orderkey % 13", KEYWORDS)} AS search_keyword
+        {_pick("o_orderkey % 13", list(fixed.KEYWORDS))} AS search_keyword
       FROM {{orders}} JOIN {{customer}} ON o_custkey = c_custkey""",
     "filings": f"""
       SELECT accession_no, cik, company_name, ticker, form_type, replace(form_type, '/A', '') AS root_form, filing_date,
@@ -101,7 +104,7 @@ FRAMES = {
       FROM {{documents}}""",
     "passages": f"""
       SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN {literal(RISK)} WHEN 1 THEN {literal(BLOCKS["fees"])} WHEN 2 THEN {literal(BLOCKS["boiler"])} WHEN 3 THEN {literal(BLOCKS["thin"])} WHEN 4 THEN {literal(RISK + RISK + BOILER)} WHEN 5 THEN 'Too short.' ELSE '' END
-        || CASE WHEN doc_id % 7 IN (1, 2, 4, 6) THEN substr(coalesce(text, ''), 1, cast(doc_id % 900 as int)) ELSE '' END AS text
+        || CASE WHEN doc_id % 7 = 5 THEN '' ELSE coalesce(text, '') END AS text
       FROM {{documents}}""",
     "fund_docs": f"""
       SELECT 'F' || cast((doc_id - doc_id % 8) as varchar(20)) AS accession_no, cast(doc_id % 8 as int) AS seq, source || '-' || cast(doc_id as varchar(20)) AS name,
@@ -110,9 +113,9 @@ FRAMES = {
         coalesce(text, '') || CASE doc_id % 5 WHEN 0 THEN {literal(chr(10) + "The Northern Light Bitcoin Fund seeks growth. " + RISK[:500])} WHEN 1 THEN {literal(RISK)} ELSE '' END AS text
       FROM {{documents}}""",
     "typed": f"""
-      SELECT accession_no, doc_id, root_form, 0 AS seq, 'risk_factors' AS section_type, {literal(RISK)} || substr(text, 1, 300) AS text FROM {{texts}} WHERE root_form IN ('10-K', '10-Q', '8-K') AND doc_id % 5 = 0
-      UNION ALL SELECT accession_no, doc_id, root_form, 1 AS seq, 'business' AS section_type, substr(text, 1, 700) AS text FROM {{texts}} WHERE root_form IN ('10-K', '10-Q', '8-K') AND doc_id % 5 = 0
-      UNION ALL SELECT accession_no, doc_id, root_form, 2 AS seq, 'notes' AS section_type, {literal(RISK[:450])} AS text FROM {{texts}} WHERE root_form IN ('10-K', '10-Q', '8-K') AND doc_id % 10 = 0""",
+      SELECT accession_no, doc_id, root_form, 0 AS seq, 'risk_factors' AS section_type, {literal(RISK)} || text AS text FROM {{texts}} WHERE root_form IN ('10-K', '10-Q', '8-K') AND source IN {_PARSED}
+      UNION ALL SELECT accession_no, doc_id, root_form, 1 AS seq, 'business' AS section_type, text FROM {{texts}} WHERE root_form IN ('10-K', '10-Q', '8-K') AND source IN {_PARSED}
+      UNION ALL SELECT accession_no, doc_id, root_form, 2 AS seq, 'notes' AS section_type, {literal(RISK[:450])} AS text FROM {{texts}} WHERE root_form IN ('10-K', '10-Q', '8-K') AND source IN {_PARSED}""",
     "html_pages": """
       SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '<table><tr><td>Table of Contents</td></tr><tr><td>Item 1</td><td>3</td></tr><tr><td>Item 2</td><td>14</td></tr><tr><td>Item 3</td><td>25</td></tr></table>' ELSE '' END
         || coalesce(html, '') AS html, CASE WHEN page_id % 3 = 0 THEN 'Item 1 . 3 Item 2 . 14 Item 3 . 25' WHEN page_id % 3 = 1 THEN 'Table of Contents' ELSE 'Revenue 3 and 14' END AS table_text

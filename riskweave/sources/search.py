@@ -1,8 +1,8 @@
-"""The filings index as a Python data source; offline it reads JSON pages from a folder.
+"""The filings index as a Python data source; offline it reads JSON pages from a shared folder.
 
 ``spark.read.format("filing_search").option("path", folder)``: one partition for each
-page, rows (form_type, position, hit). A page that can't be read is tried once more; a
-reader gives up a form after ``MAX_FAILURES`` pages in a row.
+form and keyword batch, rows (form_type, batch, position, okey, hit). A page that can't
+be read is tried once more; a reader gives up after ``MAX_FAILURES`` pages in a row.
 """
 
 from __future__ import annotations
@@ -11,15 +11,62 @@ import json
 import os
 import time
 from collections.abc import Iterator
+from urllib.parse import unquote, urlparse
 
+import pyarrow as pa
+from pyarrow import fs
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 RETRIES, MAX_FAILURES, PAGE = 1, 3, 100
 
 
+def _store(uri: str) -> tuple[fs.FileSystem, str]:
+    parts = urlparse(uri)
+    return (fs.LocalFileSystem(), unquote(parts.path)) if parts.scheme in ("", "file") else fs.FileSystem.from_uri(uri)
+
+
+def page_name(form_type: str, batch: int, page: int) -> str:
+    return f"{form_type.replace('/', '~')}_{batch}_{page:06d}.json"
+
+
+def write_pages(hits: DataFrame, folder: str) -> None:
+    """Write ``hits`` (okey, form_type, batch, hit: JSON) as the index would answer: pages of ``PAGE`` hits for each form and batch.
+
+    Rows are dealt by (form, batch) and sorted, so a task holds one page at a time.
+    """
+
+    def pages(batches):
+        store, path = _store(folder)
+        store.create_dir(path, recursive=True)
+        held, key, nth = [], None, 0
+
+        def flush():
+            with store.open_output_stream(f"{path}/{page_name(*key, nth)}") as out:
+                out.write(json.dumps({"hits": {"hits": held}}).encode())
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                own = (row["form_type"], row["batch"])
+                if held and (own != key or len(held) == PAGE):
+                    flush()
+                    held, nth = [], nth + 1 if own == key else 0
+                elif own != key:
+                    nth = 0
+                key = own
+                held.append({"okey": row["okey"], **json.loads(row["hit"])})
+        if held:
+            flush()
+        yield pa.RecordBatch.from_pydict({"n": pa.array([nth], pa.int32())})
+
+    dealt = hits.select("okey", "form_type", F.col("batch").cast("int").alias("batch"), "hit").repartition("form_type", "batch").sortWithinPartitions("form_type", "batch", "okey")
+    dealt.mapInArrow(pages, "n int").count()
+
+
 class _Pages(InputPartition):
-    def __init__(self, form_type: str, files: list[str]) -> None:
-        self.form_type, self.files = form_type, files
+    def __init__(self, form_type: str, batch: int, files: list[str]) -> None:
+        self.form_type, self.batch, self.files = form_type, batch, files
 
 
 class _Reader(DataSourceReader):
@@ -27,19 +74,23 @@ class _Reader(DataSourceReader):
         self.path = path
 
     def partitions(self) -> list[InputPartition]:
-        forms: dict[str, list[str]] = {}
-        for name in sorted(os.listdir(self.path)):
+        store, path = _store(self.path)
+        found: dict[tuple[str, int], list[str]] = {}
+        for info in sorted(store.get_file_info(fs.FileSelector(path)), key=lambda i: i.path):
+            name = os.path.basename(info.path)
             if name.endswith(".json"):
-                forms.setdefault(name.rsplit("_", 1)[0].replace("~", "/"), []).append(os.path.join(self.path, name))
-        return [_Pages(form, files) for form, files in forms.items()] or [_Pages("", [])]
+                form, batch, _ = name.rsplit("_", 2)
+                found.setdefault((form.replace("~", "/"), int(batch)), []).append(info.path)
+        return [_Pages(form, batch, files) for (form, batch), files in found.items()] or [_Pages("", 0, [])]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
+        store, _ = _store(self.path)
         position = failures = 0
         for file in partition.files:
             for attempt in range(RETRIES + 1):
                 try:
-                    with open(file, encoding="utf-8") as page:
-                        hits = json.load(page)["hits"]["hits"][:PAGE]
+                    with store.open_input_stream(file) as page:
+                        hits = json.loads(page.read())["hits"]["hits"][:PAGE]
                     failures = 0
                     break
                 except (OSError, ValueError, KeyError, TypeError):
@@ -51,7 +102,7 @@ class _Reader(DataSourceReader):
                 if failures >= MAX_FAILURES:
                     return
             for hit in hits:
-                yield partition.form_type, position, json.dumps(hit)
+                yield partition.form_type, partition.batch, position, hit.pop("okey", None) if isinstance(hit, dict) else None, json.dumps(hit)
                 position += 1
 
 
@@ -61,7 +112,7 @@ class FilingSearch(DataSource):
         return "filing_search"
 
     def schema(self) -> str:
-        return "form_type string, position int, hit string"
+        return "form_type string, batch int, position int, okey long, hit string"
 
     def reader(self, schema) -> DataSourceReader:
         return _Reader(self.options["path"])

@@ -3,24 +3,39 @@
 from __future__ import annotations
 
 import io
-import tempfile
-import uuid
 import zipfile
+from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
+import pyarrow as pa
+
 from pyspark.sql import DataFrame, SparkSession
 
+from riskweave.session import work_folder
+
+#: Rows of one workbook.
+SHEET_ROWS = 100_000
+
 
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.option("header", True).option("escape", '"').option("emptyValue", '""').mode("overwrite").csv(path)
 
 
-def csv_round_trip(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """``df`` (strings) as CSV in the shared folder, read back; empty strings stay empty."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
-    path = f"{base}/riskweave/csv-{uuid.uuid4().hex}"
+def export_csv(spark: SparkSession, df: DataFrame, path: str | None = None) -> str | None:
+    """The folder of ``df`` as CSV with a header; None, and nothing written, where there is no row."""
+    if df.limit(1).count() == 0:
+        return None
+    path = path or work_folder(spark, "csv")
     write_csv(df, path)
-    return spark.read.schema(df.schema).option("header", True).option("escape", '"').option("emptyValue", "").option("nullValue", "\0").csv(path)
+    return path
+
+
+def read_csv(spark: SparkSession, path: str | None, columns: list[str]) -> DataFrame:
+    """Exported rows as strings; empty strings stay empty."""
+    schema = ", ".join(f"`{c}` string" for c in columns)
+    if path is None:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("header", True).option("escape", '"').option("multiLine", True).option("emptyValue", "").option("nullValue", "\0").csv(path)
 
 
 def workbook(rows: list[tuple], columns: list[str]) -> bytes:
@@ -41,3 +56,51 @@ def workbook(rows: list[tuple], columns: list[str]) -> bytes:
         z.writestr("_rels/book.xml.rels", f'<?xml version="1.0"?><Relationships xmlns="{package}/relationships"><Relationship Id="r1" Type="{rel}/worksheet" Target="sheet.xml"/></Relationships>')
         z.writestr("sheet.xml", f'<?xml version="1.0"?><worksheet xmlns="{main}"><sheetData>{"".join(lines)}</sheetData></worksheet>')
     return out.getvalue()
+
+
+def workbook_rows(data: bytes) -> list[list[str]]:
+    """The cells of a workbook's sheet, header first."""
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        sheet = ElementTree.fromstring(z.read("sheet.xml"))
+    space = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+    return [["".join(t.text or "" for t in cell.iter(f"{space}t")) for cell in row.iter(f"{space}c")] for row in sheet.iter(f"{space}row")]
+
+
+def export_workbooks(spark: SparkSession, df: DataFrame, path: str | None = None, rows: int = SHEET_ROWS) -> str | None:
+    """The folder of ``df`` as workbooks of ``rows`` rows at most, made by the tasks; None where there is no row.
+
+    A sheet holds 1,048,576 rows, so a long listing is several files, one row of a
+    Parquet table (file, book) each.
+    """
+    if df.limit(1).count() == 0:
+        return None
+    path = path or work_folder(spark, "workbooks")
+    columns = df.columns
+
+    def books(batches):
+        held: list[tuple] = []
+        for batch in batches:
+            held += zip(*(batch.column(c).to_pylist() for c in columns), strict=True)
+            while len(held) >= rows:
+                yield pa.RecordBatch.from_pydict({"book": [workbook(held[:rows], columns)]})
+                held = held[rows:]
+        if held:
+            yield pa.RecordBatch.from_pydict({"book": [workbook(held, columns)]})
+
+    df.mapInArrow(books, "book binary").write.parquet(path)
+    return path
+
+
+def read_workbooks(spark: SparkSession, path: str | None, columns: list[str]) -> DataFrame:
+    """The rows of exported workbooks as strings."""
+    schema = ", ".join(f"`{c}` string" for c in columns)
+    if path is None:
+        return spark.createDataFrame([], schema)
+
+    def cells(batches):
+        for batch in batches:
+            for raw in batch.column("book"):
+                head, *lines = workbook_rows(raw.as_py())
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in lines], pa.string()) for i in range(len(head))], head)
+
+    return spark.read.schema("book binary").parquet(path).mapInArrow(cells, schema)
