@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from riskweave.functions import fixed
+
 CELL = 32_767
 
 
@@ -18,6 +20,14 @@ def cut(text: Column, longest: int, keep: int) -> Column:
     return F.when(F.length(text) > longest, F.concat(F.substring(text, 1, keep), F.lit("..."))).otherwise(text)
 
 
+def short_summary(text: Column) -> Column:
+    return cut(text, fixed.SHORT_SUMMARY, fixed.SHORT_SUMMARY)
+
+
+def label(text: Column) -> Column:
+    return cut(text, fixed.LABEL, fixed.LABEL_CUT)
+
+
 def badge(form: Column) -> Column:
     """The badge of a form by the first pattern it contains."""
     rules = (("10-K", "10k"), ("10-Q", "10q"), ("8-K", "8k"), ("485", "485"), ("N-1A", "n1a"), ("S-1", "s1"))

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from riskweave.functions import fixed, lexicons
 from riskweave.functions.text import overlap, sentences, strip, word_set
 
-SAMPLE, LENIENT, PARAGRAPHS = 40_000, 0.8, 0.6
+SAMPLE, LENIENT, PARAGRAPHS, PARAGRAPHS_LEAST = 40_000, 0.8, 0.6, 500
 REPORTS = ("10-K", "10-Q")
 CUT = 60_000
 
@@ -106,9 +106,10 @@ def paragraphs(df: DataFrame) -> DataFrame:
 
 def scored_paragraphs(df: DataFrame, key: str, most: int = CUT) -> DataFrame:
     """Paragraphs on topic and risk, each with its score, up to the one at which their running length passes ``most``."""
-    p = F.col("p")
-    fine = paragraphs(df).where((F.length(p) >= 60) & ~lexicons.has(p, "boilerplate") & ~lexicons.has(p, "fee"))
-    fine = fine.withColumn("score", lexicons.count(p, "crypto") * lexicons.count(p, "risk")).where("score > 0")
+    p, text = F.col("p"), F.col("text")
+    told = df.where(lexicons.has(text, "crypto") & lexicons.has(text, "risk"))  # others have no such paragraph and aren't cut up
+    fine = paragraphs(told).where((F.length(p) >= 60) & lexicons.has(p, "crypto") & lexicons.has(p, "risk") & ~lexicons.has(p, "boilerplate") & ~lexicons.has(p, "fee"))
+    fine = fine.withColumn("score", lexicons.count(p, "crypto") * lexicons.count(p, "risk"))
     before = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     return fine.withColumn("total", F.coalesce(F.sum(F.length("p")).over(before), F.lit(0))).where(F.col("total") <= most).drop("total")
 
@@ -145,10 +146,10 @@ def candidates(texts: DataFrame, typed: DataFrame) -> DataFrame:
     c = good(spans.select("doc_id", F.lit("C").alias("strategy"), "seq", F.lit("prospectus_header").alias("method"), F.col("s.text").alias("text")))
 
     wide = F.get(boundary_spans(F.col("text"), "1A", "2", 500), 0)["text"]
-    d = reports.select("doc_id", F.lit("D").alias("strategy"), F.lit(0).alias("seq"), F.lit("boundary_lenient").alias("method"), wide.alias("text"))
+    d = reports.select("doc_id", F.lit("D").alias("strategy"), F.lit(0).alias("seq"), F.lit("boundary_pair_lenient").alias("method"), wide.alias("text"))
     d = good(d.where("text IS NOT NULL")).withColumn("confidence", F.col("confidence") * LENIENT)
 
-    e = paragraph_text(texts.where(F.length("text") > 500).select("doc_id", "text"), "doc_id")
+    e = paragraph_text(texts.select("doc_id", "text"), "doc_id").where(F.length("text") > PARAGRAPHS_LEAST)
     e = good(e.select("doc_id", F.lit("E").alias("strategy"), F.lit(0).alias("seq"), F.lit("paragraph_density").alias("method"), "text"))
     e = e.withColumn("confidence", F.col("confidence") * PARAGRAPHS)
     out = a
@@ -172,3 +173,21 @@ def distinct_best(found: DataFrame, key: str = "doc_id", most: int = 5) -> DataF
     )
     best = found.groupBy(key).agg(F.slice(kept, 1, most).alias("best"))
     return best.select(key, F.posexplode("best").alias("place", "x")).select(key, (F.col("place") + 1).alias("place"), "x.strategy", "x.seq", "x.method", "x.text", "x.confidence")
+
+
+def with_best_document(texts: DataFrame, typed: DataFrame, filings: DataFrame, documents: DataFrame, least: int = 3, most: int = 5) -> DataFrame:
+    """(doc_id, place, src, ..): each filing's best candidates, merged with those of its best document.
+
+    Only filings of a form in which several funds share a filing (``filings``: doc_id,
+    root_form, accession_no) and whose best document (``documents``: accession_no, seq,
+    text, crypto_score) has a score of ``least`` or more get the latter. The merge drops
+    no likeness again; ties go to the filing's own.
+    """
+    order = Window.partitionBy("accession_no").orderBy(F.desc("crypto_score"), "seq")
+    top = documents.withColumn("nth", F.row_number().over(order)).where((F.col("nth") == 1) & (F.col("crypto_score") >= least)).select("accession_no", "text")
+    shared = filings.where(F.col("root_form").isin(*fixed.MULTI_FUND_FORMS)).join(top, "accession_no").select("doc_id", "root_form", "text")
+    main = distinct_best(candidates(texts, typed)).withColumn("src", F.lit(0))
+    extra = distinct_best(candidates(shared, typed.limit(0))).withColumn("src", F.lit(1))
+    best = Window.partitionBy("doc_id").orderBy(F.desc(F.round("confidence", 6)), "src", "place")
+    both = main.unionByName(extra).withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= most)
+    return both.drop("place").withColumnRenamed("nth", "place")

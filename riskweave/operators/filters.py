@@ -23,6 +23,11 @@ CONDITIONS = {
 }
 
 
+def from_request(given: dict | None) -> dict:
+    """Filters as a listing's request gives them: stripped, empty ones not set. (The JSON listing takes them as they are.)"""
+    return {k: (v.strip() or None) if isinstance(v, str) else v for k, v in (given or {}).items()}
+
+
 def active(filters: dict | None) -> dict:
     """The filters that are set."""
     return {k: v for k, v in (filters or {}).items() if v}

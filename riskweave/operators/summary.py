@@ -10,6 +10,10 @@ from riskweave.functions.text import in_order, sentences, strip, word_set
 from riskweave.operators.metadata import lookup
 
 
+#: The model name of template summaries.
+TEMPLATE_MODEL = "template-v1"
+
+
 def gate(text: Column) -> Column:
     """Whether a text is worth a summary."""
     sample = F.substring(text, 1, 30_000)
@@ -39,11 +43,12 @@ def scored_sentences(df: DataFrame) -> DataFrame:
     """(keys.., pos, s, score): sentences fit for a summary."""
     keys = [c for c in df.columns if c != "text"]
     s = F.col("s")
-    each = df.select(*keys, F.posexplode(sentences(F.substring("text", 1, 50_000))).alias("pos", "s")).withColumn("s", strip(s))
-    each = each.where(F.length(s).between(80, 450)).where(~(lexicons.has(s, "generic") | lexicons.has(s, "boilerplate") | lexicons.has(s, "fee")))
-    each = each.withColumns({"c": lexicons.count(s, "crypto"), "r": lexicons.count(s, "risk")}).where("c > 0 AND r > 0")
-    score = F.col("c") * 3 + F.col("r") * 2 + lexicons.count(s, "specific") * 5 - lexicons.count(s, "hedge") * 0.5
-    return each.withColumn("score", score.cast("double")).drop("c", "r")
+    sample = F.substring("text", 1, 50_000)
+    told = df.where(lexicons.has(sample, "crypto") & lexicons.has(sample, "risk"))  # others have no such sentence and aren't cut up
+    each = told.select(*keys, F.posexplode(sentences(sample)).alias("pos", "s")).withColumn("s", strip(s))
+    each = each.where(F.length(s).between(80, 450) & lexicons.has(s, "crypto") & lexicons.has(s, "risk") & ~lexicons.has(s, "generic") & ~lexicons.has(s, "boilerplate") & ~lexicons.has(s, "fee"))
+    score = lexicons.count(s, "crypto") * 3 + lexicons.count(s, "risk") * 2 + lexicons.count(s, "specific") * 5 - lexicons.count(s, "hedge") * 0.5
+    return each.withColumn("score", score.cast("double"))
 
 
 def best_sentences(df: DataFrame, key: str, count: int = 3) -> DataFrame:
@@ -70,3 +75,28 @@ def template_summary(df: DataFrame, key: str) -> DataFrame:
     covered = F.when(n > 0, F.concat(F.lit("Risk disclosure covers "), n.cast("string"), F.lit(" crypto-relevant areas: "), F.array_join(F.slice("areas", 1, 5), "; "), more))
     made = told.select(key, F.concat_ws(" ", opening, covered, F.array_join("picked", " ")).alias("made"))
     return df.select(key).join(made, key, "left").select(key, F.coalesce("made", F.lit("")).alias("summary"))
+
+
+def summaries(df: DataFrame, key: str, replies: DataFrame | None = None) -> DataFrame:
+    """(key, summary, model): a hosted model's reply where there is one of over 40 characters, else the template's summary.
+
+    ``replies`` (key, reply, model) are the raw replies, JSON or plain text; only texts
+    that pass the gate get either. Without them every summary is the template's.
+    """
+    made = template_summary(df, key).withColumn("model", F.lit(TEMPLATE_MODEL))
+    if replies is None:
+        return made
+    asked = replies.select(key, parsed_reply(F.col("reply"))["summary"].alias("told"), F.col("model").alias("teller"))
+    better = (F.length("told") > 40) & (F.col("summary") != "")
+    return made.join(asked, key, "left").select(key, F.when(better, F.col("told")).otherwise(F.col("summary")).alias("summary"), F.when(better, F.col("teller")).otherwise(F.col("model")).alias("model"))
+
+
+def parsed_reply(reply: Column) -> Column:
+    """struct(summary, purpose, top_holdings) of a model's reply: its JSON fields, or the reply itself where it isn't JSON."""
+    v = F.try_parse_json(reply)
+    field = lambda name: F.try_variant_get(v, f"$.{name}", "string")
+    return F.struct(
+        F.coalesce(field("summary"), reply).alias("summary"),
+        F.coalesce(F.substring(field("purpose"), 1, 200), F.lit("")).alias("purpose"),
+        F.coalesce(F.substring(field("top_holdings"), 1, 100), F.lit("")).alias("top_holdings"),
+    )

@@ -146,9 +146,9 @@ def _(f):
     return made.select("doc_id", F.length("text").cast("long").alias("size"), F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
-@query("paragraph_fallback", f", {_paragraphs_sql('(SELECT * FROM texts WHERE length(text) > 500)')}, {checked('done', '(' + _PARA_TEXT + ')')} SELECT doc_id, reason, round(confidence * 0.6, 6) AS confidence FROM done")
+@query("paragraph_fallback", f", {_paragraphs_sql('texts')}, {checked('done', '(SELECT * FROM (' + _PARA_TEXT + ') WHERE length(text) > 500)')} SELECT doc_id, reason, round(confidence * 0.6, 6) AS confidence FROM done")
 def _(f):
-    made = E.paragraph_text(f.texts.where(F.length("text") > 500).select("doc_id", "text"), "doc_id")
+    made = E.paragraph_text(f.texts.select("doc_id", "text"), "doc_id").where(F.length("text") > E.PARAGRAPHS_LEAST)
     return E.check(made).select("doc_id", "reason", F.round(F.col("confidence") * E.PARAGRAPHS, 6).alias("confidence"))
 
 
@@ -170,14 +170,14 @@ b AS (SELECT doc_id, 'B' AS strategy, seq, method, text, confidence FROM b_done
 tops AS (SELECT doc_id, own AS text, row_number() OVER (PARTITION BY doc_id ORDER BY length(own) DESC, no, nth) - 1 AS seq FROM prospectus WHERE length(own) >= 800 AND doc_id IN (SELECT doc_id FROM texts WHERE root_form IN ({_FUNDS})) QUALIFY seq < 3),
 {checked('c_done', 'tops')}, c AS (SELECT doc_id, 'C' AS strategy, seq, 'prospectus_header' AS method, text, confidence FROM c_done WHERE reason = ''),
 found_ab AS (SELECT doc_id FROM a UNION SELECT doc_id FROM b), wide AS (SELECT doc_id, {spans_sql('1A', '2', 500)} AS text FROM texts WHERE root_form IN ('10-K', '10-Q') AND doc_id NOT IN (SELECT doc_id FROM found_ab)),
-{checked('d_done', '(SELECT * FROM wide WHERE text IS NOT NULL)')}, d AS (SELECT doc_id, 'D' AS strategy, 0 AS seq, 'boundary_lenient' AS method, text, confidence * 0.8::DOUBLE AS confidence FROM d_done WHERE reason = ''),
-found_abcd AS (SELECT doc_id FROM found_ab UNION SELECT doc_id FROM c UNION SELECT doc_id FROM d), {_paragraphs_sql('(SELECT * FROM texts WHERE length(text) > 500 AND doc_id NOT IN (SELECT doc_id FROM found_abcd))')},
-{checked('e_done', '(' + _PARA_TEXT + ')')}, e AS (SELECT doc_id, 'E' AS strategy, 0 AS seq, 'paragraph_density' AS method, text, confidence * 0.6::DOUBLE AS confidence FROM e_done WHERE reason = ''),
+{checked('d_done', '(SELECT * FROM wide WHERE text IS NOT NULL)')}, d AS (SELECT doc_id, 'D' AS strategy, 0 AS seq, 'boundary_pair_lenient' AS method, text, confidence * 0.8::DOUBLE AS confidence FROM d_done WHERE reason = ''),
+found_abcd AS (SELECT doc_id FROM found_ab UNION SELECT doc_id FROM c UNION SELECT doc_id FROM d), {_paragraphs_sql('(SELECT * FROM texts WHERE doc_id NOT IN (SELECT doc_id FROM found_abcd))')},
+{checked('e_done', '(SELECT * FROM (' + _PARA_TEXT + ') WHERE length(text) > 500)')}, e AS (SELECT doc_id, 'E' AS strategy, 0 AS seq, 'paragraph_density' AS method, text, confidence * 0.6::DOUBLE AS confidence FROM e_done WHERE reason = ''),
 cands AS (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c UNION ALL SELECT * FROM d UNION ALL SELECT * FROM e)"""
 _OVER = "CASE WHEN least(len(k.w), len(x[1].w)) = 0 THEN 0.0 ELSE len(list_intersect(k.w, x[1].w)) / least(len(k.w), len(x[1].w))::DOUBLE END"
-_BEST = f"""sorted AS (SELECT doc_id, list({{'s': strategy, 'q': seq, 'm': method, 'c': round(confidence, 6), 'w': {words_sql('substr(text, 1, 2000)')}}} ORDER BY round(confidence, 6) DESC, strategy, seq) AS l FROM cands GROUP BY 1),
+_BEST = f"""sorted AS (SELECT doc_id, list({{'s': strategy, 'q': seq, 'm': method, 'c': round(confidence, 6), 't': text, 'w': {words_sql('substr(text, 1, 2000)')}}} ORDER BY round(confidence, 6) DESC, strategy, seq) AS l FROM cands GROUP BY 1),
 kept AS (SELECT doc_id, {fold_sql('l', f'CASE WHEN len(list_filter(acc, lambda k: {_OVER} > 0.8)) > 0 THEN acc ELSE acc || x END')} AS ks FROM sorted),
-best AS (SELECT doc_id, i AS place, k.s AS strategy, k.m AS method, k.c AS confidence FROM (SELECT doc_id, unnest(ks) AS k, generate_subscripts(ks, 1) AS i FROM kept) WHERE i <= 5)"""
+best AS (SELECT doc_id, i AS place, k.s AS strategy, k.m AS method, k.c AS confidence, k.t AS text FROM (SELECT doc_id, unnest(ks) AS k, generate_subscripts(ks, 1) AS i FROM kept) WHERE i <= 5)"""
 
 
 @query("extract_all_candidates", f"{_ALL} SELECT doc_id, strategy, seq, method, round(confidence, 6) AS confidence, length(text) AS size FROM cands")
@@ -191,18 +191,28 @@ def _(f):
     return best.select("doc_id", F.col("place").cast("long").alias("place"), "strategy", "method", F.round("confidence", 6).alias("confidence"))
 
 
-@query("multi_fund_merge", """, main AS (SELECT accession_no, id, confidence, 0 AS src FROM sections WHERE id % 2 = 0), extra AS (SELECT accession_no, id, confidence, 1 AS src FROM sections WHERE id % 2 = 1 AND accession_no IN (SELECT accession_no FROM filings WHERE form_type IN ('485APOS', '485BPOS', 'N-1A')))
-SELECT accession_no, id, src, row_number() OVER (PARTITION BY accession_no ORDER BY confidence DESC, src, id) AS place FROM (SELECT * FROM main UNION ALL SELECT * FROM extra) QUALIFY place <= 5""")
+# filings of a form in which funds share a filing: the candidates of the best document too, if it names the topic three times
+_MULTI = "('485APOS', '485BPOS', 'N-1A', 'N-1A/A')"
+_BEST_DOC = f"""best_docs AS (SELECT t.doc_id, t.form_type, t.root_form, t.company_name, d.text FROM texts t JOIN (SELECT accession_no, text, crypto_score FROM (SELECT *, row_number() OVER (PARTITION BY accession_no ORDER BY crypto_score DESC, seq) AS place
+  FROM (SELECT *, {count_sql('p', 'crypto')} AS crypto_score FROM (SELECT *, {plain_sql('substr(text, 1, 20000)')} AS p FROM fund_docs WHERE seq < 5 AND is_binary = 0 AND length(text) >= 500))) WHERE place = 1) d
+  ON d.accession_no = 'F' || CAST(t.doc_id - t.doc_id % 8 AS VARCHAR) WHERE t.root_form IN {_MULTI} AND d.crypto_score >= 3)"""
+_MERGED = f"""{_BEST}, {_BEST_DOC}, extra AS (WITH texts AS (SELECT * FROM best_docs), typed AS (SELECT * FROM typed WHERE false){_ALL}, {_BEST} SELECT * FROM best),
+merged AS (SELECT doc_id, src, strategy, method, confidence, text, row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, src, place) AS place FROM (SELECT *, 0 AS src FROM best UNION ALL SELECT *, 1 AS src FROM extra) QUALIFY place <= 5)"""
+
+
+def _merged(f):
+    docs = f.fund_docs.where("seq < 5 AND is_binary = 0").where(F.length("text") >= 500).withColumn("crypto_score", lexicons.count(F.substring("text", 1, 20_000), "crypto"))
+    return E.with_best_document(f.texts, f.typed, f.texts.select("doc_id", "root_form", F.concat(F.lit("F"), (F.col("doc_id") - F.col("doc_id") % 8).cast("string")).alias("accession_no")), docs)
+
+
+@query("multi_fund_merge", f"{_ALL}, {_MERGED} SELECT doc_id, place, src, strategy, method, confidence, length(text) AS size FROM merged")
 def _(f):
     """Candidates of the filing and, for shared fund filings, of its best document; merged without another dedup."""
-    from riskweave.operators.ingest import capped
-
-    funds = f.filings.where(F.col("form_type").isin("485APOS", "485BPOS", "N-1A")).select("accession_no")
-    both = f.sections.where("id % 2 = 0").withColumn("src", F.lit(0)).unionByName(f.sections.where("id % 2 = 1").join(funds, "accession_no", "left_semi").select(f.sections.columns).withColumn("src", F.lit(1)))
-    return capped(both, ["accession_no"], [F.desc("confidence"), "src", "id"], 5).select("accession_no", "id", "src", F.col("nth").cast("long").alias("place"))
+    best = _merged(f)
+    return best.select("doc_id", F.col("place").cast("long").alias("place"), "src", "strategy", "method", F.round("confidence", 6).alias("confidence"), F.length("text").cast("long").alias("size"))
 
 
-_NAME = ", ".join("CASE WHEN length({0}) BETWEEN 9 AND 79 THEN {0} END".format(strip_sql(f"regexp_extract(substr(text, 1, 3000), '\\b([A-Z][A-Za-z&.\\s]{{4,60}}{m}(?:Trust|Fund|ETF))\\b', 1)")) for m in ("", "Bitcoin[A-Za-z\\s]{0,20}", "(?:Crypto|Digital|Ethereum)[A-Za-z\\s]{0,20}"))
+_NAME = ", ".join("CASE WHEN length({0}) BETWEEN 9 AND 79 THEN {0} END".format(strip_sql(f"regexp_extract(substr(text, 1, 3000), {quoted(p)}, 1)")) for p in fixed.FUND_NAMES)
 
 
 @query("fund_documents", f", found AS (SELECT accession_no, seq, name, {count_sql('p', 'crypto')} AS crypto_score FROM (SELECT *, {plain_sql('substr(text, 1, 20000)')} AS p FROM fund_docs WHERE seq < 5 AND is_binary = 0 AND length(text) >= 500)) SELECT *, row_number() OVER (PARTITION BY accession_no ORDER BY crypto_score DESC, seq) - 1 AS doc_seq FROM found")
@@ -242,10 +252,20 @@ def _(f):
     return folded.select("doc_id", F.length("t").cast("long").alias("n"), F.md5(F.col("t").cast("binary")).alias("digest"))
 
 
-@query("risk_html")
+_LINES = "list_transform(string_split(replace(replace(replace(replace(replace(p, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&#x27;'), chr(10)), lambda x: " + strip_sql("x") + ")"
+_MARKUP = f"""bare AS (SELECT doc_id, regexp_replace(regexp_replace(coalesce(text, ''), '\\n\\s*\\d{{1,3}}\\s*\\n', chr(10), 'g'), '(?i)\\nTable of Contents\\n', chr(10), 'g') AS b FROM passages),
+parts AS (SELECT doc_id, {strip_sql('p')} AS p, i FROM (SELECT doc_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM (SELECT doc_id, regexp_split_to_array(b, '\\n\\s*\\n') AS ps FROM bare))),
+lined AS (SELECT *, {_LINES} AS lines, {plain_sql('p')} AS q FROM parts WHERE length(p) >= 5),
+shown AS (SELECT doc_id, i, CASE WHEN len(lines) > 1 AND len(list_filter(lines, lambda x: regexp_matches(x, '^[•●\\-*(\\d]'))) > 0.3 * len(lines) THEN array_to_string(list_filter(lines, lambda x: x <> ''), '<br>') ELSE array_to_string(list_filter(lines, lambda x: x <> ''), ' ') END AS body,
+  length(p) < 120 AND NOT regexp_matches(p, '[.,]$') AND regexp_matches(p, '[A-Z]') AND NOT {has_sql('q', 'boilerplate')} AND NOT {has_sql('q', 'fee')} AS heading FROM lined),
+markup AS (SELECT doc_id, string_agg(CASE WHEN heading THEN '<h4 class="risk">' || body || '</h4>' ELSE '<p class="risk">' || body || '</p>' END, '' ORDER BY i) AS m FROM shown GROUP BY 1)"""
+
+
+@query("risk_html", f", {_MARKUP} SELECT doc_id, length(coalesce(m, '')) AS size, md5(coalesce(m, '')) AS digest FROM bare LEFT JOIN markup USING (doc_id)")
 def _(f):
-    """Risk texts as HTML (no SQL twin)."""
-    return f.passages.select("doc_id", T.risk_html("text").alias("markup"))
+    """Risk texts as HTML."""
+    made = f.passages.select("doc_id", T.risk_html(F.col("text")).alias("m"))
+    return made.select("doc_id", F.length("m").cast("long").alias("size"), F.md5(F.col("m").cast("binary")).alias("digest"))
 
 
 _TOKENS = f"list_transform(regexp_extract_all({plain_sql('substr(text, 1, 5000)')}, {quoted('(?i)' + lexicons.body('crypto'))}), lambda t: lower(t))"
@@ -280,7 +300,7 @@ _ASSETS = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(low, {quoted(p)
 _AREAS = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(low, {quoted(p)}) THEN '{label}' END" for label, p in fixed.RISK_CATEGORIES) + "], lambda a: a IS NOT NULL)"
 _PHRASE = "CASE form_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in fixed.FORM_PHRASES.items()) + " ELSE form_type || ' filing' END"
 _GATE = f"length(text) >= 200 AND {count_sql('g', 'crypto')} >= 3 AND {count_sql('g', 'risk')} >= 5 AND {count_sql('g', 'fee')} <= 0.5 * {count_sql('g', 'risk')}"
-_SENT = f"""sents AS (SELECT doc_id, {strip_sql('s')} AS s, pos FROM (SELECT doc_id, unnest(l) AS s, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT doc_id, {_SENTENCES.format(x="substr(text, 1, 50000)")} AS l FROM texts))),
+_SENT = f"""told_of AS (SELECT * FROM texts), sents AS (SELECT doc_id, {strip_sql('s')} AS s, pos FROM (SELECT doc_id, unnest(l) AS s, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT doc_id, {_SENTENCES.format(x="substr(text, 1, 50000)")} AS l FROM told_of))),
 marked AS (SELECT *, {plain_sql('s')} AS q FROM sents WHERE length(s) BETWEEN 80 AND 450), hits AS (SELECT *, {count_sql('q', 'crypto')} AS c, {count_sql('q', 'risk')} AS r FROM marked WHERE NOT ({has_sql('q', 'generic')} OR {has_sql('q', 'boilerplate')} OR {has_sql('q', 'fee')})),
 telling AS (SELECT doc_id, pos, s, (c * 3 + r * 2 + {count_sql('q', 'specific')} * 5 - {count_sql('q', 'hedge')} * 0.5)::DOUBLE AS score FROM hits WHERE c > 0 AND r > 0)""".replace("hits AS", "rated AS").replace("FROM hits", "FROM rated")
 _PICKED = f"""lists AS (SELECT doc_id, list({{'s': s, 'w': {words_sql('s')}}} ORDER BY score DESC, pos) AS l FROM telling GROUP BY 1),
@@ -326,7 +346,7 @@ def _(f):
     return best.select("doc_id", F.size("picked").cast("long").alias("n"), F.array_join("picked", " ").alias("picked"))
 
 
-_SUMMARY = f"""{_SENT}, {_PICKED}, gated AS (SELECT doc_id, form_type, company_name, {_GATE} AS open, {_ASSETS.replace("low", "lowa")} AS assets, {_AREAS} AS areas FROM (SELECT *, {plain_sql('substr(text, 1, 30000)')} AS g, {plain_sql('lower(substr(text, 1, 10000))')} AS lowa, lower(substr(text, 1, 60000)) AS low FROM texts)),
+_SUMMARY = f"""{_SENT}, {_PICKED}, gated AS (SELECT doc_id, form_type, company_name, {_GATE} AS open, {_ASSETS.replace("low", "lowa")} AS assets, {_AREAS} AS areas FROM (SELECT *, {plain_sql('substr(text, 1, 30000)')} AS g, {plain_sql('lower(substr(text, 1, 10000))')} AS lowa, lower(substr(text, 1, 60000)) AS low FROM told_of)),
 told AS (SELECT doc_id, CASE WHEN open THEN company_name || ' — ' || {_PHRASE} || CASE WHEN len(assets) > 0 THEN ' involving ' || array_to_string(list_slice(assets, 1, 3), ', ') ELSE '' END || '.'
   || CASE WHEN len(areas) > 0 THEN ' Risk disclosure covers ' || len(areas) || ' crypto-relevant areas: ' || array_to_string(list_slice(areas, 1, 5), '; ') || CASE WHEN len(areas) > 5 THEN ' (and ' || (len(areas) - 5) || ' more).' ELSE '.' END ELSE '' END
   || CASE WHEN len(picked) > 0 THEN ' ' || array_to_string(picked, ' ') ELSE '' END ELSE '' END AS summary FROM gated LEFT JOIN picks USING (doc_id))"""
@@ -337,12 +357,26 @@ def _(f):
     return Y.template_summary(f.texts.select("doc_id", "form_type", "company_name", "text"), "doc_id")
 
 
-@query("process_filings", f"{_ALL}, {_BEST}, {_SUMMARY} SELECT b.doc_id, b.strategy, b.method, b.confidence, t.summary, (SELECT count(*) FROM best x WHERE x.doc_id = b.doc_id) AS candidates FROM best b JOIN told t USING (doc_id) WHERE b.place = 1 AND b.doc_id IN (SELECT doc_id FROM texts WHERE length(text) >= 200)")
+# the summary of a filing is that of its primary section
+_PRIMARY = _SUMMARY.replace("told_of AS (SELECT * FROM texts)", "told_of AS (SELECT b.doc_id, t.form_type, t.company_name, b.text FROM merged b JOIN texts t USING (doc_id) WHERE b.place = 1)")
+_REPLY = "CASE doc_id % 3 WHEN 0 THEN NULL WHEN 1 THEN 'short reply' ELSE '{\"summary\": \"A hosted summary of filing ' || doc_id || ' that is long enough to be used.\"}' END"
+
+
+@query("summary_backend", f""", {_SUMMARY}, asked AS (SELECT *, CASE WHEN json_valid(r) THEN json_extract_string(r, '$.summary') ELSE r END AS reply FROM (SELECT *, {_REPLY} AS r FROM told))
+SELECT doc_id, CASE WHEN length(reply) > 40 AND summary <> '' THEN reply ELSE summary END AS summary, CASE WHEN length(reply) > 40 AND summary <> '' THEN 'hosted-1' ELSE 'template-v1' END AS model FROM asked""")
+def _(f):
+    """A hosted model's reply where one of over 40 characters came, else the template; the model's name beside it."""
+    reply = F.when(F.col("doc_id") % 3 == 1, F.lit("short reply")).when(F.col("doc_id") % 3 == 2, F.concat(F.lit('{"summary": "A hosted summary of filing '), "doc_id", F.lit(' that is long enough to be used."}')))
+    replies = f.texts.select("doc_id", reply.alias("reply"), F.lit("hosted-1").alias("model")).where("reply IS NOT NULL")
+    return Y.summaries(f.texts.select("doc_id", "form_type", "company_name", "text"), "doc_id", replies)
+
+
+@query("process_filings", f"{_ALL}, {_MERGED}, {_PRIMARY} SELECT b.doc_id, b.strategy, b.method, b.confidence, t.summary, 'template-v1' AS model, (SELECT count(*) FROM merged x WHERE x.doc_id = b.doc_id) AS candidates FROM merged b JOIN told t USING (doc_id) WHERE b.place = 1 AND b.doc_id IN (SELECT doc_id FROM texts WHERE length(text) >= 200)")
 def _(f):
-    """From texts to what is stored: filings with a candidate, their primary section and summary."""
-    texts = f.texts.where(F.length("text") >= 200)
-    best = E.distinct_best(E.candidates(texts, f.typed.join(texts.select("doc_id"), "doc_id", "left_semi")))
+    """From texts to what is stored: filings with a candidate, their primary section, its summary and the model."""
+    long = f.texts.where(F.length("text") >= 200).select("doc_id")
+    best = _merged(f).join(long, "doc_id", "left_semi")
     counts = best.groupBy("doc_id").agg(F.count("*").alias("candidates"))
-    told = Y.template_summary(texts.select("doc_id", "form_type", "company_name", "text"), "doc_id")
-    first = best.where("place = 1").select("doc_id", "strategy", "method", F.round("confidence", 6).alias("confidence"))
-    return first.join(told, "doc_id").join(counts, "doc_id")
+    first = best.where("place = 1")
+    told = Y.summaries(first.select("doc_id", "text").join(f.texts.select("doc_id", "form_type", "company_name"), "doc_id"), "doc_id")
+    return first.select("doc_id", "strategy", "method", F.round("confidence", 6).alias("confidence")).join(told, "doc_id").join(counts, "doc_id")

@@ -6,12 +6,16 @@ from pyspark.sql import functions as F
 
 from riskweave.catalog import query
 from riskweave.functions import display as D
+from riskweave.functions import text as T
 from riskweave.operators import filters
-from riskweave.plans.views import visible
+from riskweave.plans.views import COLUMNS, visible
 from riskweave.sources import sinks
 
 SHORT = ["accession_no", "company_name", "form_type", "filing_date", "filing_category", "search_keyword", "risk_summary"]
 _SHORT = ", ".join(SHORT)
+#: What a listing and a detail tell as JSON; doubles differ in how engines write them, so the confidence is left to the tables.
+DETAIL = [c for c in COLUMNS if c != "extraction_confidence"]
+LISTED = [c for c in DETAIL if c != "risk_section"]
 
 
 def _listed(f, given):
@@ -56,26 +60,37 @@ def _detail(view, sections):
     return view.join(listed, "accession_no", "left")
 
 
-@query("filing_detail", """SELECT v.*, (SELECT string_agg(CAST(s.id AS VARCHAR), ',' ORDER BY s.is_primary DESC, s.confidence DESC, s.id) FROM sections s WHERE s.accession_no = v.accession_no) AS candidate_ids
-FROM view_display v WHERE accession_no IN (SELECT accession_no FROM filings WHERE okey % 100 = 7)""")
-def _(f):
-    """Filings by key (here those of every hundredth order) with their candidates, best first."""
-    keys = f.filings.where("okey % 100 = 7").select("accession_no")
-    return _detail(f.view.join(keys, "accession_no", "left_semi"), f.sections.join(keys, "accession_no", "left_semi"))
+_DETAIL = """SELECT v.*, c.candidate_ids FROM view_display v LEFT JOIN
+(SELECT accession_no, string_agg(CAST(id AS VARCHAR), ',' ORDER BY is_primary DESC, confidence DESC, id) AS candidate_ids FROM sections GROUP BY 1) c ON c.accession_no = v.accession_no"""
 
 
-@query("filing_detail_all", """SELECT v.*, c.candidate_ids FROM view_display v LEFT JOIN
-(SELECT accession_no, string_agg(CAST(id AS VARCHAR), ',' ORDER BY is_primary DESC, confidence DESC, id) AS candidate_ids FROM sections GROUP BY 1) c ON c.accession_no = v.accession_no""")
+@query("filing_detail", _DETAIL)
 def _(f):
-    """All filings with their candidates, best first."""
+    """Every filing by key with its candidates, best first."""
     return _detail(f.view, f.sections)
 
 
-@query("api_filings_json", f"SELECT accession_no, CAST(to_json({{'company_name': company_name, 'form_type': form_type, 'tier': tier, 'risk_summary': risk_summary}}) AS VARCHAR) AS body FROM visible")
+def _row_sql(columns) -> str:
+    return "CAST(to_json({" + ", ".join(f"'{c}': {c}" for c in columns) + "}) AS VARCHAR)"
+
+
+@query("api_detail_json", f"SELECT accession_no, {_row_sql([*DETAIL, 'candidate_ids'])} AS body FROM ({_DETAIL})")
+def _(f):
+    """Every filing's detail as JSON; null fields are told as null."""
+    detail = _detail(f.view, f.sections)
+    return detail.select("accession_no", F.to_json(F.struct(*DETAIL, "candidate_ids"), {"ignoreNullFields": "false"}).alias("body"))
+
+
+@query("api_section_text", "SELECT id, CAST(to_json({'text': text, 'html': '<h4 class=\"risk\">' || text || '</h4>'}) AS VARCHAR) AS body FROM sections")
+def _(f):
+    """Each candidate's text and its HTML as JSON (the made sections are one short line)."""
+    return f.sections.select("id", F.to_json(F.struct("text", T.risk_html(F.col("text")).alias("html"))).alias("body"))
+
+
+@query("api_filings_json", f"SELECT accession_no, {_row_sql(LISTED)} AS body FROM visible")
 def _(f):
     """Rows as JSON without the long section text."""
-    listed = visible(f.view).drop("risk_section")
-    return listed.select("accession_no", F.to_json(F.struct("company_name", "form_type", "tier", "risk_summary")).alias("body"))
+    return visible(f.view).select("accession_no", F.to_json(F.struct(*LISTED), {"ignoreNullFields": "false"}).alias("body"))
 
 
 @query("scan_accessions", "SELECT accession_no FROM filings")
@@ -83,10 +98,21 @@ def _(f):
     return f.filings.select("accession_no")
 
 
-@query("export_csv_roundtrip", f"SELECT {_SHORT} FROM visible WHERE filing_category = 'ETF/Fund'")
+_ALL = ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in COLUMNS)
+
+
+@query("export_csv_roundtrip", f"SELECT {_ALL} FROM visible WHERE filing_category = 'ETF/Fund'")
+def _(f):
+    """The filtered view, all of its columns, written as CSV and read again."""
+    rows = filters.newest_first(filters.apply(visible(f.view), filters.from_request({"filing_category": " ETF/Fund ", "company": "  "})))
+    return sinks.read_csv(f.spark, sinks.export_csv(f.spark, rows.select(*[F.col(c).cast("string").alias(c) for c in COLUMNS])), COLUMNS)
+
+
+@query("export_workbook_roundtrip", f"SELECT {_ALL} FROM visible WHERE form_type = '10-K'")
 def _(f):
-    """The filtered view written as CSV and read again."""
-    return sinks.csv_round_trip(f.spark, _listed(f, {"filing_category": "ETF/Fund"}))
+    """The filtered view as spreadsheet files, all of its columns, read again."""
+    rows = filters.newest_first(filters.apply(visible(f.view), {"form_type": "10-K"}))
+    return sinks.read_workbooks(f.spark, sinks.export_workbooks(f.spark, rows.select(*[D.excel_cell(F.col(c).cast("string")).alias(c) for c in COLUMNS])), COLUMNS)
 
 
 @query("export_excel_rows", """SELECT accession_no, regexp_replace(company_name, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]', ' ', 'g') AS company_name,
@@ -102,10 +128,11 @@ def _(f):
     return f.documents.select("doc_id", cell.alias("v")).select("doc_id", F.length("v").cast("long").alias("n"), F.md5(F.col("v").cast("binary")).alias("digest"))
 
 
-@query("display_truncate", """SELECT accession_no, CASE WHEN length(risk_summary) > 35 THEN substr(risk_summary, 1, 35) || '...' ELSE risk_summary END AS short_summary,
-  CASE WHEN length(company_name) > 15 THEN substr(company_name, 1, 13) || '...' ELSE company_name END AS label FROM visible""")
+@query("display_truncate", """SELECT doc_id, CASE WHEN length(text) > 140 THEN substr(text, 1, 140) || '...' ELSE text END AS short_summary,
+  CASE WHEN length(name) > 30 THEN substr(name, 1, 28) || '...' ELSE name END AS label FROM (SELECT doc_id, text, company_name || ' ' || CASE WHEN root_form = '10-K' THEN accession_no ELSE form_type END AS name FROM texts)""")
 def _(f):
-    return visible(f.view).select("accession_no", D.cut(F.col("risk_summary"), 35, 35).alias("short_summary"), D.cut(F.col("company_name"), 15, 13).alias("label"))
+    name = F.concat_ws(" ", "company_name", F.when(F.col("root_form") == "10-K", F.col("accession_no")).otherwise(F.col("form_type")))
+    return f.texts.select("doc_id", D.short_summary(F.col("text")).alias("short_summary"), D.label(name).alias("label"))
 
 
 @query("form_badge", """SELECT DISTINCT form_type, CASE WHEN contains(form_type, '10-K') THEN '10k' WHEN contains(form_type, '10-Q') THEN '10q' WHEN contains(form_type, '8-K') THEN '8k' WHEN contains(form_type, '485') THEN '485'

@@ -10,17 +10,29 @@ from riskweave.functions import fixed
 from riskweave.functions.lexicons import quoted
 from riskweave.operators import ingest
 from riskweave.operators import metadata as M
+from riskweave.operators import summary as Y
+from riskweave.session import work_folder
+from riskweave.sources import search
 from riskweave.streaming import ingest as stream
 
-_NAME = "json_extract_string(hit, '$._source.display_names[0]')"
+_NAME = "coalesce(json_extract_string(hit, '$._source.display_names[0]'), 'Unknown')"
 _CODE = f"regexp_extract({_NAME}, '\\(([A-Z]{{1,5}})\\)', 1)"
-_ROOT = "regexp_replace(json_extract_string(hit, '$._source.form'), '/A$', '')"
+_FORM = "CASE WHEN json_extract_string(hit, '$._source.form') <> '' THEN json_extract_string(hit, '$._source.form') ELSE form_type END"
+_ROOT = f"regexp_replace({_FORM}, '/A$', '')"
+_CLEAN = f"trim(regexp_replace(regexp_replace({_NAME}, '\\s*\\([A-Z]{{1,5}}\\)\\s*', ' ', 'g'), '\\s*\\(CIK \\d+\\)\\s*', '', 'g'))"
 _FUND = "(" + ", ".join(f"'{x}'" for x in fixed.FUND_FORMS) + ")"
-PARSED = f"""parsed AS (SELECT okey, source_rank, CASE WHEN json_extract_string(hit, '$._source.adsh') <> '' THEN json_extract_string(hit, '$._source.adsh') ELSE split_part(json_extract_string(hit, '$._id'), ':', 1) END AS accession_no,
-  ltrim(json_extract_string(hit, '$._source.ciks[0]'), '0') AS cik,
-  regexp_replace(trim(regexp_replace(regexp_replace({_NAME}, '\\(CIK \\d+\\)', '', 'g'), '\\([A-Z]{{1,5}}\\)', '', 'g')), ' +', ' ', 'g') AS company_name,
-  CASE WHEN {_CODE} IN ({", ".join(f"'{x}'" for x in ingest.NOT_TICKERS)}) THEN '' ELSE {_CODE} END AS ticker, json_extract_string(hit, '$._source.form') AS form_type, {_ROOT} AS root_form,
-  json_extract_string(hit, '$._source.file_date') AS filing_date, CASE WHEN {_ROOT} IN {_FUND} THEN 1 ELSE 2 END AS tier FROM hits)"""
+_MATCHED = "CASE " + " ".join(f"WHEN contains(lower({{0}}), '{w.lower()}') THEN '{w}'" for w in fixed.KEYWORDS) + " ELSE '' END"
+
+
+def parsed_sql(source: str) -> str:
+    """The work items of the hits of ``source`` (okey, source_rank, form_type, hit)."""
+    return f"""SELECT okey, source_rank, CASE WHEN json_extract_string(hit, '$._source.adsh') <> '' THEN json_extract_string(hit, '$._source.adsh') ELSE split_part(json_extract_string(hit, '$._id'), ':', 1) END AS accession_no,
+  ltrim(json_extract_string(hit, '$._source.ciks[0]'), '0') AS cik, {_CLEAN} AS company_name,
+  CASE WHEN {_CODE} IN ('CIK', 'DE', 'NV', 'CA', 'NY', 'FL', 'TX') THEN '' ELSE {_CODE} END AS ticker, {_FORM} AS form_type, {_ROOT} AS root_form,
+  json_extract_string(hit, '$._source.file_date') AS filing_date, CASE WHEN {_ROOT} IN {_FUND} THEN 1 ELSE 2 END AS tier, {_MATCHED.format(_CLEAN)} AS keyword FROM {source}"""
+
+
+PARSED = f"parsed AS ({parsed_sql('hits')})"
 _STORED = "SELECT accession_no FROM filings WHERE okey % 10 = 0"
 FRESH = f"{PARSED}, fresh AS (SELECT * EXCLUDE nth FROM (SELECT *, row_number() OVER (PARTITION BY accession_no ORDER BY source_rank, okey) AS nth FROM parsed WHERE accession_no NOT IN ({_STORED})) WHERE nth = 1)"
 
@@ -66,12 +78,14 @@ def _(f):
     return f.filings.agg(F.count("*").alias("total"), saved.alias("saved"), failed.alias("failed"), (F.count("*") - saved - failed).alias("dropped"))
 
 
-@query("run_message", """SELECT okey, CASE WHEN saved > 0 THEN 'Added ' || saved || ' filings' WHEN total = 0 AND stored > 0 THEN 'Up to date: ' || stored || ' filings' WHEN total = 0 THEN 'No filings found' ELSE 'Found ' || total || ' filings but none were usable' END AS message
-FROM (SELECT okey, okey % 3 AS saved, okey % 2 AS total, okey % 5 AS stored FROM filings)""")
+@query("run_message", """SELECT okey, CASE WHEN reprocessed > 0 THEN printf('Done: reprocessed %d filings, %d total with summaries (%.1fmin)', reprocessed, total, seconds / 60)
+  WHEN new_found = 0 AND total > 0 THEN printf('Up to date: all %d filings already processed (%.1fmin)', total, seconds / 60)
+  WHEN new_found = 0 AND total = 0 THEN 'No filings found. Check your internet connection and try again.'
+  ELSE printf('Done: %d new, %d failed, %d total (%.1fmin)', saved, failed, total, seconds / 60) END AS message
+FROM (SELECT okey, CASE WHEN okey % 4 = 0 THEN okey % 9 ELSE 0 END AS reprocessed, okey % 2 AS new_found, okey % 6 AS saved, okey % 5 AS failed, okey % 3 * (okey % 1000) AS total, (okey % 5000)::DOUBLE + 0.7::DOUBLE AS seconds FROM filings)""")
 def _(f):
-    saved, total, stored = (F.col("okey") % n for n in (3, 2, 5))
-    text = F.when(saved > 0, F.concat(F.lit("Added "), saved, F.lit(" filings"))).when((total == 0) & (stored > 0), F.concat(F.lit("Up to date: "), stored, F.lit(" filings")))
-    text = text.when(total == 0, "No filings found").otherwise(F.concat(F.lit("Found "), total, F.lit(" filings but none were usable")))
+    k = F.col("okey")
+    text = ingest.outcome_message(F.when(k % 4 == 0, k % 9).otherwise(0), k % 2, k % 6, k % 5, k % 3 * (k % 1000), (k % 5000).cast("double") + 0.7)
     return f.filings.select("okey", text.alias("message"))
 
 
@@ -119,7 +133,7 @@ def _(f):
     return f.spark.sql(f"SELECT batch, query FROM VALUES {rows} AS t(batch, query)")
 
 
-@query("matched_keyword", "SELECT doc_id, CASE " + " ".join(f"WHEN contains(lower(text), '{w.lower()}') THEN '{w}'" for w in fixed.KEYWORDS) + " ELSE '' END AS keyword FROM texts")
+@query("matched_keyword", f"SELECT doc_id, {_MATCHED.format('text')} AS keyword FROM texts")
 def _(f):
     return f.texts.select("doc_id", ingest.matched_keyword(F.col("text")).alias("keyword"))
 
@@ -172,16 +186,41 @@ FROM (SELECT okey, CASE WHEN okey % 4 = 0 THEN 'plain answer ' || okey ELSE '{"s
 def _(f):
     """A model's reply: JSON fields, or the reply itself where it isn't JSON."""
     made = F.concat(F.lit('{"summary": "s'), "okey", F.lit('", "purpose": "'), F.repeat(F.lit("p"), (F.col("okey") % 300).cast("int")), F.lit('", "top_holdings": "BTC"}'))
-    df = f.filings.select("okey", F.when(F.col("okey") % 4 == 0, F.concat(F.lit("plain answer "), "okey")).otherwise(made).alias("r"))
-    v = F.try_parse_json("r")
-    field = lambda name: F.try_variant_get(v, f"$.{name}", "string")
-    return df.select("okey", F.coalesce(field("summary"), "r").alias("summary"), F.coalesce(F.substring(field("purpose"), 1, 200), F.lit("")).alias("purpose"), F.coalesce(F.substring(field("top_holdings"), 1, 100), F.lit("")).alias("top_holdings"))
+    reply = F.when(F.col("okey") % 4 == 0, F.concat(F.lit("plain answer "), "okey")).otherwise(made)
+    return f.filings.select("okey", Y.parsed_reply(reply).alias("r")).select("okey", "r.*")
+
+
+# the search of all forms and keyword batches, and of all companies, through the data source: what is new, at most a hundred of each form from the search
+_DRIVER = f"""pages AS (SELECT okey, source_rank, form_type, hit, okey % 3 AS batch FROM hits),
+searched AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY form_type, batch ORDER BY okey) AS page_nth FROM pages WHERE source_rank = 0) WHERE page_nth <= 100),
+found AS ({parsed_sql("(SELECT okey, batch AS source_rank, form_type, hit FROM searched)")}), new_found AS (SELECT *, row_number() OVER (PARTITION BY accession_no ORDER BY source_rank, okey) AS again FROM found WHERE accession_no NOT IN ({_STORED})),
+kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY form_type ORDER BY source_rank, okey) AS nth FROM new_found WHERE again = 1) WHERE nth <= 100),
+by_company AS (SELECT accession_no, form_type FROM (SELECT f.accession_no, f.form_type, row_number() OVER (PARTITION BY f.cik, f.form_type ORDER BY filing_date DESC, f.accession_no) AS nth FROM filings f JOIN companies c USING (cik) WHERE f.form_type IN ('10-K', '10-Q', '8-K', 'S-1', 'S-1/A')) WHERE nth <= 20)
+SELECT accession_no, form_type, 'search' AS source FROM kept UNION ALL
+SELECT accession_no, form_type, 'company' AS source FROM by_company WHERE accession_no NOT IN ({_STORED}) AND accession_no NOT IN (SELECT accession_no FROM kept)"""
+
+
+@query("search_driver", f", {_DRIVER}")
+def _(f):
+    """All forms and keyword batches read page by page through the search source, then all companies; each new accession once."""
+    batched = f.hits.where("source_rank = 0").withColumn("batch", (F.col("okey") % 3).cast("int"))
+    folder = work_folder(f.spark, "search-pages")
+    search.write_pages(batched, folder)
+    f.spark.dataSource.register(search.FilingSearch)
+    pages = f.spark.read.format("filing_search").option("path", folder).load()
+    hits = pages.where(F.col("position") < search.PAGE).select(F.col("okey"), F.col("batch").alias("source_rank"), "form_type", "hit")
+    stored = f.filings.where("okey % 10 = 0").select("accession_no")
+    kept = ingest.capped(ingest.unseen(ingest.parse_hits(hits), stored), ["form_type"], ["source_rank", "okey"], ingest.FORM_CAP).select("accession_no", "form_type", F.lit("search").alias("source"))
+    of_company = f.filings.where(F.col("form_type").isin(*fixed.COMPANY_FORM_TYPES)).join(f.companies.select("cik"), "cik", "left_semi")
+    listed = ingest.capped(of_company, ["cik", "form_type"], [F.desc("filing_date"), "accession_no"], ingest.COMPANY_CAP).select("accession_no", "form_type", F.lit("company").alias("source"))
+    fresh = listed.join(stored, "accession_no", "left_anti").join(kept.select("accession_no"), "accession_no", "left_anti")
+    return kept.unionByName(fresh)
 
 
 @query("stream_ingest_dedup", f", {PARSED} SELECT DISTINCT accession_no FROM parsed WHERE accession_no NOT IN ({_STORED})")
 def _(f):
     """The hits as two arriving files, taken by a stream that runs twice; the second run adds only what is new."""
-    source, target, state = (stream.work_folder(f.spark, n) for n in ("hits", "taken", "state"))
+    source, target, state = (work_folder(f.spark, n) for n in ("hits", "taken", "state"))
     hits = ingest.parse_hits(f.hits).select("accession_no", "source_rank")
     stored = f.filings.where("okey % 10 = 0")
     for rank in (0, 1):
@@ -193,7 +232,7 @@ def _(f):
 @query("stream_monthly_counts", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
 def _(f):
     """The windowed stream run over the stored events in complete mode; totals by type."""
-    folder = stream.work_folder(f.spark, "events")
+    folder = work_folder(f.spark, "events")
     f.events.select("ts", "event_type").write.parquet(folder)
     name = "counts_" + folder.rsplit("-", 1)[1]
     counts = stream.monthly_counts(f.spark.readStream.schema(f.events.select("ts", "event_type").schema).parquet(folder))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 BASE = ["accession_no", "cik", "company_name", "ticker", "form_type", "root_form", "filing_date", "filing_category", "tier", "sec_url", "filing_pdf_url", "crypto_connection", "entity_type", "search_keyword", "processed_at", "purpose", "top_holdings"]
 
+COLUMNS = [*BASE, "risk_section", "text_length", "extraction_confidence", "extraction_method", "section_type", "risk_summary", "summary_model"]
+
 
 def display(filings: DataFrame, sections: DataFrame, summaries: DataFrame) -> DataFrame:
     """24 columns; missing sections and summaries give empty strings and zeros."""

@@ -1,18 +1,21 @@
 """Quirks of single operators on fixtures of our own wording."""
 
 import json
-import os
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from riskweave.functions import display as D
 from riskweave.functions import text as T
 from riskweave.operators import extract as E
-from riskweave.operators import filters, ingest, store
-from riskweave.sources import sinks
+from riskweave.operators import filters, ingest, store, warehouse
+from riskweave.operators import summary as Y
+from riskweave.sources import search, sinks
 from riskweave.sources.corpus import BLOCKS, RISK
-from riskweave.sources.search import FilingSearch
+from riskweave.streaming import control
+from riskweave.streaming import ingest as stream
 
 TEXT = "doc_id long, root_form string, text string"
 
@@ -61,8 +64,11 @@ def test_strategies_and_dedup(spark):
 def test_html(spark):
     page = "<head><title>x</title></head><table><tr><td>Table of Contents</td></tr><tr><td>Item 1</td><td>3</td></tr></table><p>One <b>bold</b> &amp; <br>two</p><script>bad()</script><table><tr><td>kept</td></tr></table>"
     assert T.page_text(page) == "One bold &\ntwo\n\nkept"
-    assert T.page_text(None) == "" and T.folded(" Ñandú  ﬁn ") == "Nandu fin"
-    assert T.risk_markup("Key Risks\n\nA <loss> may\n12\nfollow.\n\n- one\n- two\n- three.") == '<h4 class="risk">Key Risks</h4><p class="risk">A &lt;loss&gt; may follow.</p><p class="risk">- one<br>- two<br>- three.</p>'
+    assert T.page_text(None) == ""
+    said = "Key Risks\n\nA <loss> may\n12\nfollow.\n\nTable of Contents\n\n- one\n- two\n- three.\n\nabc\n\nThe fee schedule"
+    rows = spark.createDataFrame([(1, " Ñandú  ﬁn\x1f ", said), (2, None, None), (3, "", "")], "i int, a string, b string").orderBy("i").select(T.ascii_fold("a").alias("a"), T.risk_html(F.col("b")).alias("b")).collect()
+    assert [r.a for r in rows] == ["Nandu fin", None, ""] and [r.b for r in rows[1:]] == ["", ""]
+    assert rows[0].b == '<h4 class="risk">Key Risks</h4><p class="risk">A &lt;loss&gt; may follow.</p><p class="risk">- one<br>- two<br>- three.</p><p class="risk">The fee schedule</p>'
 
 
 def test_upsert_keeps_what_may_not_change(spark):
@@ -93,20 +99,174 @@ def test_batches_and_hits(spark):
     rows = spark.createDataFrame([(1, json.dumps(hit)), (2, "broken")], "okey long, hit string")
     got = ingest.parse_hits(rows).orderBy("okey").collect()
     assert (got[0].accession_no, got[0].cik, got[0].company_name, got[0].ticker, got[0].root_form, got[0].tier) == ("1-2", "7", "Ace & Co", "", "S-1", 1)
-    assert got[1].cik == ""
+    assert len(got) == 1  # a hit without an accession number is none
 
 
 def test_search_source(spark, tmp_path):
-    for name, body in (("S-1_0.json", {"hits": {"hits": [{"_id": "a"}, {"_id": "b"}]}}), ("S-1_1.json", None), ("S-1~A_0.json", {"hits": {"hits": [{"_id": "c"}]}})):
+    pages = (("S-1_0_000000.json", {"hits": {"hits": [{"_id": "a", "okey": 4}, {"_id": "b"}]}}), ("S-1_0_000001.json", None), ("S-1~A_2_000000.json", {"hits": {"hits": [{"_id": "c"}]}}))
+    for name, body in pages:
         (tmp_path / name).write_text(json.dumps(body) if body else "{broken")
-    spark.dataSource.register(FilingSearch)
+    spark.dataSource.register(search.FilingSearch)
     got = spark.read.format("filing_search").option("path", str(tmp_path)).load().collect()
-    assert sorted((r.form_type, r.position) for r in got) == [("S-1", 0), ("S-1", 1), ("S-1/A", 0)]
+    assert sorted((r.form_type, r.batch, r.position, r.okey) for r in got) == [("S-1", 0, 0, 4), ("S-1", 0, 1, None), ("S-1/A", 2, 0, None)]
 
 
-def test_exports(spark, tmp_path):
-    df = spark.createDataFrame([('say "hi", you', "line\nbreak"), ("", None)], "a string, b string").na.fill("")
-    assert sorted(map(tuple, sinks.csv_round_trip(spark, df.select("a")).collect())) == [("",), ('say "hi", you',)]
-    path = tmp_path / "x.xlsx"
-    path.write_bytes(sinks.workbook([("a<b", None)], ["one", "two"]))
-    assert os.path.getsize(path) > 400
+def test_search_gives_up_after_three_broken_pages(spark, tmp_path):
+    for n in range(7):
+        (tmp_path / search.page_name("D", 0, n)).write_text(json.dumps({"hits": {"hits": [{"_id": str(n)}]}}) if n in (0, 3, 6) else "{broken")
+    (tmp_path / search.page_name("D", 0, 5)).write_text("{}")
+    (tmp_path / search.page_name("D", 0, 3)).write_text("broken too")
+    got = spark.read.format("filing_search").option("path", str(tmp_path)).load().collect()
+    assert [json.loads(r.hit)["_id"] for r in got] == ["0"]
+
+
+def test_pages_are_written_as_they_are_read(spark, tmp_path):
+    hits = spark.createDataFrame([(i, "S-1" if i % 3 else "10-K/A", i % 2, json.dumps({"_id": str(i)})) for i in range(700)], "okey long, form_type string, batch int, hit string")
+    search.write_pages(hits, str(tmp_path))
+    got = spark.read.format("filing_search").option("path", str(tmp_path)).load().collect()
+    assert sorted((r.okey, r.form_type, r.batch, r.hit) for r in got) == sorted(map(tuple, hits.collect()))
+    for key in {(r.form_type, r.batch) for r in got}:
+        own = [r for r in got if (r.form_type, r.batch) == key]
+        assert [r.position for r in own] == list(range(len(own))) and [r.okey for r in own] == sorted(r.okey for r in own)
+
+
+def test_exports(spark):
+    df = spark.createDataFrame([('say "hi", you', "line\nbreak"), ("", "<&>")], "a string, b string")
+    rows = sorted(map(tuple, df.collect()))
+    assert sorted(map(tuple, sinks.read_csv(spark, sinks.export_csv(spark, df), df.columns).collect())) == rows
+    many = df.unionByName(df).unionByName(df).coalesce(1)
+    path = sinks.export_workbooks(spark, many, rows=4)
+    assert spark.read.parquet(path).count() == 2  # workbooks of four rows and of two
+    assert sorted(map(tuple, sinks.read_workbooks(spark, path, df.columns).collect())) == sorted(rows * 3)
+    assert sinks.export_csv(spark, df.limit(0)) is None and sinks.export_workbooks(spark, df.limit(0)) is None
+    assert sinks.read_csv(spark, None, df.columns).count() == sinks.read_workbooks(spark, None, df.columns).count() == 0
+    assert sinks.workbook_rows(sinks.workbook([("a<b", None)], ["one", "two"])) == [["one", "two"], ["a<b", ""]]
+
+
+def test_filters_of_a_request():
+    assert filters.from_request({"company": " x ", "month": "  ", "search": None}) == {"company": "x", "month": None, "search": None}
+    assert filters.active(filters.from_request({"company": " ", "form_type": "D"})) == {"form_type": "D"}
+
+
+# -- what must be as in the reference, with values typed here --
+
+
+def test_state_codes_are_no_tickers(spark):
+    names = ["Ace (TX) (CIK 1)", "Ace (MD) (CIK 1)", "Ace  Two (ABC) Inc (CIK 1)", "Ace (DE) (ABC) (CIK 1)", None]
+    hits = [{"_id": "1-2:d.htm", "_source": {"display_names": [n] if n else []}} for n in names] + [{"_id": "no accession"}]
+    rows = spark.createDataFrame([(i, "S-1", json.dumps(h)) for i, h in enumerate(hits)], "okey long, form_type string, hit string")
+    got = ingest.parse_hits(rows).orderBy("okey").collect()
+    assert [r.ticker for r in got] == ["", "MD", "ABC", "", ""]
+    assert [r.company_name for r in got] == ["Ace", "Ace", "Ace  Two Inc", "Ace", "Unknown"]
+    assert {r.form_type for r in got} == {"S-1"}
+
+
+def test_run_messages(spark):
+    rows = [(3, 0, 0, 0, 9, 30.0), (0, 0, 0, 0, 9, 60.0), (0, 0, 0, 0, 0, 1.0), (0, 5, 4, 1, 9, 90.0)]
+    df = spark.createDataFrame(rows, "reprocessed int, new_found int, saved int, failed int, total int, seconds double")
+    got = [r.m for r in df.select(ingest.outcome_message(*map(F.col, df.columns)).alias("m")).collect()]
+    assert got == [
+        "Done: reprocessed 3 filings, 9 total with summaries (0.5min)",
+        "Up to date: all 9 filings already processed (1.0min)",
+        "No filings found. Check your internet connection and try again.",
+        "Done: 4 new, 1 failed, 9 total (1.5min)",
+    ]
+
+
+def test_lengths_of_what_is_shown(spark):
+    df = spark.createDataFrame([("x" * n,) for n in (30, 31, 140, 141)], "t string")
+    got = [(len(r.a), len(r.b)) for r in df.select(D.short_summary(F.col("t")).alias("a"), D.label(F.col("t")).alias("b")).collect()]
+    assert got == [(30, 30), (31, 31), (140, 31), (143, 31)]
+
+
+def test_paragraph_fallback_measures_the_paragraphs(spark):
+    """A long filing whose fitting paragraphs have 500 characters or fewer gives none; a short one with more does."""
+    line = "Bitcoin and ethereum custody is a risk of loss and theft, and a failure of the exchange may cause loss of digital assets."
+    few = "\n\n".join(["Bread and cheese are quiet things to write about here."] * 30 + [line] * 3)
+    more = "\n\n".join([line + f" It is number {i}." for i in range(6)])
+    got = E.candidates(texts(spark, (1, "D", few), (2, "D", more)), texts(spark).limit(0).select("doc_id", "root_form", F.lit(0).alias("seq"), F.lit("").alias("section_type"), "text"))
+    assert [(r.doc_id, r.strategy, r.method) for r in got.collect()] == [(2, "E", "paragraph_density")]
+
+
+def test_lenient_pairs_are_named_as_such(spark):
+    got = E.candidates(texts(spark, (1, "10-K", BLOCKS["short"])), texts(spark).limit(0).select("doc_id", "root_form", F.lit(0).alias("seq"), F.lit("").alias("section_type"), "text"))
+    assert [r.method for r in got.collect()] == ["boundary_pair_lenient"]
+
+
+def test_a_better_document_of_a_shared_filing(spark):
+    typed = texts(spark).limit(0).select("doc_id", "root_form", F.lit(0).alias("seq"), F.lit("").alias("section_type"), "text")
+    rows = texts(spark, (1, "485APOS", "nothing here " * 60), (2, "10-K", BLOCKS["body"]), (3, "N-1A", "nothing here " * 60))
+    filings = rows.select("doc_id", "root_form", F.concat(F.lit("f"), "doc_id").alias("accession_no"))
+    docs = spark.createDataFrame([("f1", 0, "dull " * 200, 0), ("f1", 1, BLOCKS["prospectus"], 9), ("f2", 0, BLOCKS["prospectus"], 9), ("f3", 0, BLOCKS["prospectus"], 2)], "accession_no string, seq int, text string, crypto_score int")
+    got = E.with_best_document(rows, typed, filings, docs).collect()
+    assert sorted((r.doc_id, r.src, r.strategy, r.place) for r in got) == [(1, 1, "C", 1), (2, 0, "B", 1)]
+
+
+def test_hosted_replies_or_the_template(spark):
+    df = spark.createDataFrame([(i, "10-K", "Ace", RISK) for i in range(4)] + [(4, "10-K", "Ace", "dull")], "doc_id long, form_type string, company_name string, text string")
+    long = "A hosted summary that has more than forty characters in it."
+    replies = spark.createDataFrame([(0, json.dumps({"summary": long}), "m"), (1, "short", "m"), (2, long, "m"), (4, long, "m")], "doc_id long, reply string, model string")
+    got = {r.doc_id: (r.summary, r.model) for r in Y.summaries(df, "doc_id", replies).collect()}
+    assert got[0] == got[2] == (long, "m") and got[1] == got[3] and got[1][1] == Y.TEMPLATE_MODEL and got[4][0] == ""
+
+
+# -- tables and runs --
+
+
+def test_warehouse(spark, tmp_path):
+    house = warehouse.Warehouse(spark, f"file://{tmp_path}/new", wait=0.01)
+    old = warehouse.Warehouse(spark, f"file://{tmp_path}/old-1", wait=0.01)
+    for w in (old, house):
+        w.init()
+        w.init()
+    blank = {c.strip().split(" ")[0]: "" for c in warehouse.SCHEMAS["filings"].split(",")} | {"tier": 1}
+    filings = spark.createDataFrame([tuple((blank | {"accession_no": a, "form_type": f}).values()) for a, f in (("a", "D"), ("b", "10-K"))], warehouse.SCHEMAS["filings"])
+    docs = spark.createDataFrame([("a", 0, "n" * 300, "t", "text", 1, ""), ("a", 1, "m", "t", "x" * 600_000, 5, "")], "accession_no string, seq int, name string, type string, text string, crypto_score int, fund_name string")
+    found = spark.createDataFrame([("a", 1, "s", "m", "", "y" * 300_000, 0.5), ("a", 2, "s", "m", "", "z", 0.4), ("b", 1, "s", "m", "", "w", 0.9)], "accession_no string, place int, section_type string, method string, title string, text string, confidence double")
+    told = spark.createDataFrame([("a", "t1", "first"), ("b", "t1", "")], "accession_no string, model string, summary string")
+    for _ in range(2):
+        old.save(filings, docs, found, told)
+    assert sorted((r.accession_no, r.form_type) for r in old.read("filings").collect()) == [("a", "D"), ("b", "10-K")]
+    assert sorted((r.doc_seq, len(r.doc_name), r.char_count) for r in old.read("documents").collect()) == [(0, 1, 500_000), (1, 200, 4)]
+    sections = {r.id: r for r in old.read("sections").collect()}
+    assert len(sections) == 3 and sum(r.is_primary for r in sections.values()) == 2 and max(r.char_count for r in sections.values()) == 200_000 and min(sections) > 3
+    summaries = sorted(old.read("summaries").collect(), key=lambda r: r.id)
+    assert [(r.is_current, r.section_id in sections) for r in summaries] == [(0, False), (1, True)] and summaries[0].section_id is None
+    copied = warehouse.Warehouse(spark, f"file://{tmp_path}/later", wait=0.01)
+    copied.init((f"file://{tmp_path}/none", f"file://{tmp_path}/old-1"))
+    assert copied.read("sections").count() == 3 and copied.version() == warehouse.SCHEMA_VERSION
+    copied.reset()
+    assert all(copied.read(n).count() == 0 for n in warehouse.SCHEMAS) and old.read("filings").count() == 2
+    with old.lock(), pytest.raises(warehouse.Locked):
+        old.reset()
+
+
+def test_one_run_at_a_time():
+    run = control.Run()
+    with run.only():
+        run.update(3, 9, 2, 1)
+        assert run.status()["message"] == "Processing 3/9 (saved: 2)"
+        with pytest.raises(control.AlreadyRunning), run.only():
+            pass
+        assert run.status()["running"]
+    assert not run.status()["running"] and run.status()["last_run"]
+    with pytest.raises(ValueError), run.only():
+        raise ValueError("x" * 300)
+    assert run.status()["message"] == "Error: " + "x" * 200 and not run.status()["running"]
+
+
+def test_described_errors():
+    assert control.described(ValueError("y" * 200)) == "ValueError: " + "y" * 120
+    assert control.described(ValueError()) == "ValueError" and control.described(KeyError(" ")) == "KeyError: ' '"
+
+
+def test_commits_tell_their_progress(spark, tmp_path):
+    source, target, state = (f"file://{tmp_path}/{n}" for n in ("hits", "taken", "state"))
+    for part in (["a", "b"], ["b", "c"], ["d"]):
+        spark.createDataFrame([(x,) for x in part], "accession_no string").coalesce(1).write.mode("append").parquet(source)
+    run, calls = control.Run(), []
+    tell = control.counted(run, 4)
+    stored = spark.createDataFrame([("d",)], "accession_no string")
+    stream.ingest(spark, source, "accession_no string", stored, target, state, files=1, told=lambda saved, failed: (calls.append(saved), tell(saved, failed)))
+    assert len(calls) == 3 and sum(calls) == 3 and run.status()["saved"] == 3
+    assert sorted(r.accession_no for r in spark.read.parquet(target).collect()) == ["a", "b", "c"]

@@ -43,5 +43,12 @@ def test_query(spark, duck, name):
 
 def test_detail_of_every_filing(spark):
     want = spark.read.parquet(f"{SF}/orders.parquet").count()
-    got = QUERIES["filing_detail_all"](spark, SF)
+    got = QUERIES["filing_detail"](spark, SF)
     assert got.count() == want and got.where("candidate_ids IS NOT NULL").count() > want // 2
+
+
+def test_the_bundle_expands_once(spark):
+    plan = QUERIES["stats_bundle"](spark, SF)
+    plan.collect()
+    shown = plan._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert shown.count("Expand ") == 1 and "Reused" in shown
