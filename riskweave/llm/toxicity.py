@@ -23,6 +23,8 @@ results; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -36,7 +38,9 @@ from riskweave.llm.language_id import held_out
 #: Rows to learn from, at most, of each label, and the characters of each, from a hashed place on, that dictionaries are trained on.
 SAMPLE, SAMPLE_CHARS = {1: 4_000, 0: 6_000}, 3_000
 #: Parts of the sample; each is measured with dictionaries trained on the others.
-PARTS = 5
+PARTS = 4
+#: Texts whose windows are held at once in training.
+PIECE = 200
 DICTIONARY, WINDOW, GRAM = 8_000, 48, 6
 OVER = 5.0  # standard errors by which a sequence must be over-represented
 THRESHOLDS = (1, 2, 3, 4, 5, 6, 8)
@@ -87,43 +91,74 @@ def _grams(raw: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarra
     return value[order], window[order]
 
 
-def train_dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
-    """The contents of the toxic and of the ordinary dictionary."""
-    own, counts = {}, {}
-    for y, texts in ((1, toxic), (0, ordinary)):
-        raw, at, size, first = _delimited(texts)
+Counts = tuple[np.ndarray, np.ndarray]
+
+
+def _pieces(texts: list[str]) -> Iterator[tuple[np.ndarray, ...]]:
+    """``_delimited`` of a few texts at a time, so that training holds the windows of those only."""
+    for at in range(0, len(texts), PIECE):
+        yield _delimited(texts[at : at + PIECE])
+
+
+def _merged(parts: list[Counts]) -> Counts:
+    """The sequences of all parts, their counts added."""
+    grams, back = np.unique(np.concatenate([g for g, _ in parts] or [np.zeros(0, U)]), return_inverse=True)
+    counts = np.concatenate([n for _, n in parts] or [np.zeros(0, np.int64)])
+    return grams, np.bincount(back, counts, len(grams)).astype(np.int64)
+
+
+def gram_counts(texts: list[str]) -> Counts:
+    """The sequences of ``texts`` and how many of them have each."""
+    found = []
+    for raw, at, size, first in _pieces(texts):
         grams, window = _grams(raw, at, size)
         cuts = np.searchsorted(window, first)
         each = [np.unique(grams[i:j]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
-        own[y] = raw, at, size, grams, window
-        counts[y] = np.unique(np.concatenate(each or [grams]), return_counts=True)
-    (grams, seen), (others, other_n) = counts[1], counts[0]
+        found.append(np.unique(np.concatenate(each or [grams]), return_counts=True))
+        if len(found) == 20:
+            found = [_merged(found)]
+    return _merged(found)
+
+
+def over_represented(toxic: Counts, ordinary: Counts, n_toxic: int, n_ordinary: int) -> np.ndarray:
+    """The sequences, sorted, that far more toxic texts have than ordinary ones would let expect."""
+    (grams, seen), (others, other_n) = toxic, ordinary
     place = np.minimum(np.searchsorted(others, grams), max(len(others) - 1, 0))
     usual = np.where(others[place] == grams, other_n[place], 0) if len(others) else np.zeros(len(grams))
-    expected = (usual + 0.5) * len(toxic) / max(1, len(ordinary))
-    over = grams[((seen - expected) / np.sqrt(expected + 1) > OVER) & (seen > 3 * expected) & (seen >= 3)]  # sorted, as grams are
+    expected = (usual + 0.5) * n_toxic / max(1, n_ordinary)
+    return grams[((seen - expected) / np.sqrt(expected + 1) > OVER) & (seen > 3 * expected) & (seen >= 3)]
+
+
+def _hits(piece: tuple[np.ndarray, ...], over: np.ndarray) -> np.ndarray:
+    """Whether each window of a piece holds one of the sequences ``over``."""
+    raw, at, size, _ = piece
+    grams, window = _grams(raw, at, size)
+    hit = np.zeros(len(at), bool)
+    if len(over):
+        hit[window[over[np.minimum(np.searchsorted(over, grams), len(over) - 1)] == grams]] = True
+    return hit
+
 
-    def windows(y: int, marked: bool) -> np.ndarray:
-        _, at, _, grams, window = own[y]
-        place = np.minimum(np.searchsorted(over, grams), max(len(over) - 1, 0))
-        hit = np.zeros(len(at), bool)
-        hit[window[over[place] == grams] if len(over) else []] = True
-        return np.flatnonzero(hit == marked)
+def _cut(piece: tuple[np.ndarray, ...], chosen: np.ndarray) -> list[bytes]:
+    raw, at, size, _ = piece
+    return [raw[at[i] : at[i] + size[i]].tobytes() for i in chosen]
 
-    def cut(y: int, chosen: np.ndarray) -> list[bytes]:
-        raw, at, size, *_ = own[y]
-        return [raw[at[i] : at[i] + size[i]].tobytes() for i in chosen]
 
-    bad, plain = windows(1, True), windows(0, False)
-    plain = np.random.default_rng(3).permutation(plain)[: max(len(bad), 1_000)]
+def _trained(samples: list[bytes]) -> bytes:
+    try:
+        return zs.train_dictionary(DICTIONARY, samples).as_bytes()
+    except zs.ZstdError:  # too few samples: they are the dictionary
+        return b"".join(dict.fromkeys(samples))[-DICTIONARY:]
 
-    def trained(samples: list[bytes]) -> bytes:
-        try:
-            return zs.train_dictionary(DICTIONARY, samples).as_bytes()
-        except zs.ZstdError:  # too few samples: they are the dictionary
-            return b"".join(dict.fromkeys(samples))[-DICTIONARY:]
 
-    return trained(cut(1, bad)) + PREAMBLE, trained(cut(0, plain)) + PREAMBLE
+def train_dictionaries(toxic: list[str], ordinary: list[str], over: np.ndarray) -> tuple[bytes, bytes]:
+    """The contents of the toxic dictionary, from windows with sequences ``over``, and of the ordinary one, from as many without."""
+    bad = [w for piece in _pieces(toxic) for w in _cut(piece, np.flatnonzero(_hits(piece, over)))]
+    free = [np.flatnonzero(~_hits(piece, over)).astype(np.int32) for piece in _pieces(ordinary)]
+    total = np.cumsum([0, *map(len, free)])
+    drawn = np.sort(np.random.default_rng(3).permutation(int(total[-1]))[: max(len(bad), 1_000)])
+    plain = [w for k, piece in enumerate(_pieces(ordinary)) for w in _cut(piece, free[k][drawn[(drawn >= total[k]) & (drawn < total[k + 1])] - total[k]])]
+    return _trained(bad) + PREAMBLE, _trained(plain) + PREAMBLE
 
 
 class Meter:
@@ -219,12 +254,15 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Scorer | Non
         sample = tables.written(_labelled(docs, labels).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(PARTS)).cast("int")), "toxicity-sample")
         begin = (1 + F.pmod(F.xxhash64("doc_id", F.lit("begin")), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(1)))).cast("int")
         rows = sample.select("toxic", "part", F.substring("text", begin, F.lit(SAMPLE_CHARS)).alias("text")).collect()
-        texts = [(r.toxic, r.part, r.text or "") for r in rows]
-        if any(len({part for y, part, _ in texts if y == label}) < 2 for label in (0, 1)):
+        texts = {y: [sorted(r.text or "" for r in rows if r.toxic == y and r.part == part) for part in range(PARTS)] for y in (1, 0)}
+        if any(sum(map(bool, parts)) < 2 for parts in texts.values()):
             return None
+        counts = {y: [gram_counts(part) for part in parts] for y, parts in texts.items()}
 
         def trained(without: int | None) -> tuple[bytes, bytes]:
-            return train_dictionaries(*(sorted(t for y, part, t in texts if y == label and part != without) for label in (1, 0)))
+            own = {y: [t for k, part in enumerate(parts) if k != without for t in part] for y, parts in texts.items()}
+            of = {y: _merged([c for k, c in enumerate(parts) if k != without]) for y, parts in counts.items()}
+            return train_dictionaries(own[1], own[0], over_represented(of[1], of[0], len(own[1]), len(own[0])))
 
         others = [trained(part) for part in range(PARTS)]
 
