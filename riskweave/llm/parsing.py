@@ -86,9 +86,7 @@ def _phrases(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """A name for each phrase: a hash of its values in turn."""
     at = np.flatnonzero(begin)
     within = np.arange(len(values)) - np.repeat(at, np.diff(np.append(at, len(values))))
-    value = values * _P[within & 63]
-    if len(within) and int(within.max()) > 63:
-        value = words.mix64(value + (within >> 6).astype(U))
+    value = values * _P[within]  # six labels leave a dozen values in a phrase at most
     size = np.diff(np.append(at, len(values))).astype(U)
     return words.mix64(np.add.reduceat(value, at) + size * U(0x9E3779B97F4A7C15))
 

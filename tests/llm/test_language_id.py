@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import plain
 
 from riskweave.llm import language_id as li
 
@@ -58,3 +59,17 @@ def test_nothing_to_learn_from(spark):
     assert li.identify(spark, none).count() == 0
     one = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert li.identify(spark, one).first().lang_pred == "und"
+
+
+def test_predictions_are_those_of_a_plain_forward_pass(spark):
+    """Whole texts of one, two and many windows, of one byte, of several scripts, against loops over bytes and units."""
+    rng = random.Random(4)
+    rows = made(5, 60) + [(900, "x", "aa", "s"), (901, "日本語 é" * 40, "bb", "s"), (902, "wh" * 200, "cc", "s"), (903, "1 2 3", "aa", "s"), (904, None, "aa", "s"), (905, "é", None, "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    net = li.train(spark, docs)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in li.identify(spark, docs).collect()}
+    kept = {r.doc_id for r in li.keep_known(spark, docs).collect()}
+    for doc_id, text, _, _ in rng.sample(rows[:60], 6) + rows[60:]:
+        lang, score = plain.language(net, text)
+        assert got[doc_id][0] == lang and abs(got[doc_id][1] - score) < 1e-3
+        assert (doc_id in kept) == (lang != li.UND and score >= li.MIN_SCORE)

@@ -2,8 +2,8 @@ import hashlib
 import random
 
 import numpy as np
+import plain
 import pyarrow as pa
-import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -35,7 +35,14 @@ def test_a_batch_changes_nothing(texts):
 
 
 def in_order(row):
-    return row[0] is not None, row[0] or 0, (lambda h: h - 2**64 if h >= 2**63 else h)((xxhash.xxh64_intdigest((row[1] or "").encode(), 42)))
+    return row[0] is not None, row[0] or 0, plain.text_hash(row[1] or "")
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="aab c\né日", max_size=400) | st.text(max_size=60))
+def test_sketches_are_those_of_plain_parsing(text):
+    for t in (text, text * 7):
+        assert pp.sketches(pa.array([t], pa.string()))[0].tolist() == plain.sketch(t)
 
 
 def test_rows_that_share_an_id_are_cut_into_buckets(spark):
@@ -61,9 +68,10 @@ def test_rows_against_plain_python(spark):
         t, follower, r = t or "", follower or "", got[doc_id]
         changed = pp.edited(t, follower)
         assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(changed.encode()).hexdigest())
-        a, b, c = (pp.text_of(s) for s in pp.sketches(pa.array([t, changed, follower], pa.string())))
-        assert (r.fingerprint, r.edited_fingerprint) == (a, b)
-        assert abs(r.near_edited - pp.likeness_of(a, b)) < 1e-12 and abs(r.near_next - pp.likeness_of(a, c)) < 1e-12
+        assert changed == t[: len(t) - len(t) // 2] + follower[: len(t) // 2]
+        a, b, c = (plain.sketch(x) for x in (t, changed, follower))
+        assert [r.fingerprint, r.edited_fingerprint] == ["".join(f"{x:016x}" for x in s) for s in (a, b)]
+        assert abs(r.near_edited - plain.likeness(a, b)) < 1e-12 and abs(r.near_next - plain.likeness(a, c)) < 1e-12
     assert got[905].near_next == 1.0
 
 
