@@ -123,7 +123,8 @@ class Network:
 
     # -- use: the same recurrence without what training keeps, in place --
 
-    def _logits(self, x: np.ndarray, d: str, out: np.ndarray) -> None:
+    def _logits(self, x: np.ndarray, d: str, out: np.ndarray, lanes: np.ndarray) -> None:
+        """Add one direction's part to ``out``; ``lanes``: how many lanes, the first ones, reach each time."""
         table, rec, head, n = self.p[f"in_{d}"], self.p[f"rec_{d}"], self.p[f"out_{d}"], x.shape[1]
         h, a, u, w = np.zeros((HIDDEN, n), np.float32), np.empty((3 * HIDDEN, n), np.float32), np.empty((3 * HIDDEN, n), np.float32), np.empty((2 * HIDDEN, n), np.float32)
         part = np.empty((len(self.languages), n), np.float32)
@@ -145,6 +146,7 @@ class Network:
             h -= new
             h *= g[:HIDDEN]
             h += new
+            h[:, lanes[t] :] = 0  # behind its end a lane has no state yet
             np.matmul(head, h, out=part)
             out[t] += part
 
@@ -162,14 +164,14 @@ class Network:
         for at in range(0, len(order), LANES):
             own = order[at : at + LANES]
             n = int(length[own[0]])
-            # the backward pass must begin at each window's own end: rows behind it read byte 0 and are masked
             x = np.ascontiguousarray(padded[start[own][None, :] + np.arange(n)[:, None]])
             inside = np.arange(n)[:, None] < length[own][None, :]
             x[~inside] = 0
             logits = np.empty((n, len(self.languages), len(own)), np.float32)
             logits[:] = self.p["out"]
-            self._logits(x, "f", logits)
-            self._logits(x, "b", logits)
+            lanes = inside.sum(1)
+            self._logits(x, "f", logits, lanes)
+            self._logits(x, "b", logits, lanes)
             logits -= logits.max(1, keepdims=True)
             np.exp(logits, out=logits)
             logits /= logits.sum(1, keepdims=True)
