@@ -246,15 +246,16 @@ def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Scorer | None:
     """A scorer learned from ``labels`` (doc_id, toxic) that aren't held out.
 
-    The sample is cut into ``PARTS``; each part is measured, whole texts, with
+    The sample is cut into ``PARTS`` by the hash of the text, so that copies, which count
+    once in training, are in one part; each part is measured, whole texts, with
     dictionaries trained on the other parts, and the thresholds' weights are calibrated
     on that. The scorer's own dictionaries are trained on all parts.
     """
     with common.scratch(spark) as tables:
-        sample = tables.written(_labelled(docs, labels).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(PARTS)).cast("int")), "toxicity-sample")
-        begin = (1 + F.pmod(F.xxhash64("doc_id", F.lit("begin")), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(1)))).cast("int")
+        sample = tables.written(_labelled(docs, labels).withColumn("part", F.pmod(F.xxhash64("text", F.lit("part")), F.lit(PARTS)).cast("int")), "toxicity-sample")
+        begin = (1 + F.pmod(F.xxhash64("text", F.lit("begin")), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(1)))).cast("int")
         rows = sample.select("toxic", "part", F.substring("text", begin, F.lit(SAMPLE_CHARS)).alias("text")).collect()
-        texts = {y: [sorted(r.text or "" for r in rows if r.toxic == y and r.part == part) for part in range(PARTS)] for y in (1, 0)}
+        texts = {y: [sorted({r.text or "" for r in rows if r.toxic == y and r.part == part}) for part in range(PARTS)] for y in (1, 0)}  # copies once
         if any(sum(map(bool, parts)) < 2 for parts in texts.values()):
             return None
         counts = {y: [gram_counts(part) for part in parts] for y, parts in texts.items()}
