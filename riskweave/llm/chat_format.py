@@ -173,8 +173,9 @@ def unmapped(records: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS) -> Da
     """Records that aren't JSON (null paths) or whose fingerprint selects no mapping."""
     known = [F.sha2(F.lit(_paths_of(m.example)), 256) for m in mappings]
     wide = F.length("record") > WIDE
-    parsed = records.withColumn("paths", field_paths(F.try_parse_json(F.when(~wide, F.col("record")))))
-    lost = F.when(wide, _wide_turns(F.col("record"), mappings).isNull()).otherwise(F.col("paths").isNull() | ~F.sha2("paths", 256).isin(*known))
+    paths = common.free_name(records.columns, "paths")
+    parsed = records.withColumn(paths, field_paths(F.try_parse_json(F.when(~wide, F.col("record")))))
+    lost = F.when(wide, _wide_turns(F.col("record"), mappings).isNull()).otherwise(F.col(paths).isNull() | ~F.sha2(paths, 256).isin(*known))
     return parsed.where(lost)
 
 

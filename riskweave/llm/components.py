@@ -27,7 +27,7 @@ def components(spark: SparkSession, edges: DataFrame, name: str = "components")
             both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
             least = tables.written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "large-minima")
             large = tables.written(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large-star")
-            least = tables.written(large.groupBy("u").agg(F.min("v").alias("m")), "small-minima")
+            least = large.groupBy("u").agg(F.min("v").alias("m"))  # no hubs here: u is the larger vertex, and its edges lead to minima
             moved = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             now = tables.written(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small-star")
             tables.drop(keep=1)
