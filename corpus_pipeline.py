@@ -44,7 +44,7 @@ STAGES = [
     ("token_files", tokens),
 ]
 
-#: SQL can't express the trained stage; tests/llm/test_pipeline.py holds run() against plain Python on a small fixture.
+#: SQL can't express the trained stage; tests/llm/test_pipeline.py holds the stages against plain Python on a small fixture.
 ORACLE_SQL = None
 
 
