@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskweave.llm import chat_format, decontaminate, language_id, mixing, ngram_jaccard, parsing, secret_ledger, suffixes, token_codes, toxicity
+from riskweave.llm import alignment, chat_format, decontaminate, language_id, lexicon, mixing, ngram_jaccard, parsing, secret_ledger, suffixes, token_codes, toxicity, whitening
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_chat_format": chat_format.op9_chat_format,
         "op10_suffix_dedup": suffixes.op10_suffix_dedup,
+        "op11_bpe_lexicon": lexicon.op11_bpe_lexicon,
+        "op12_embedding_whitening": whitening.op12_embedding_whitening,
+        "op13_token_alignment": alignment.op13_token_alignment,
     }
 
 
