@@ -25,7 +25,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -68,14 +67,15 @@ class Pair:
             raise ValueError("a piece of B crosses the place where units are cut")
         self.b_bytes = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
 
-    def units(self, some: list[str]) -> Iterator[tuple[list[int], list[int]] | None]:
-        """The ids of each unit by A and B; None if one of them doesn't spell it."""
-        of_a = self.a.encode_batch_fast(some, add_special_tokens=False)
+    def units(self, some: list[bytes]) -> tuple[list[list[int]], list[list[int]], np.ndarray]:
+        """The ids of each unit by A and by B, and whether both spell it."""
+        texts = [u.decode() for u in some]
+        of_a = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
         # a line end in front keeps B's own space apart: its two tokens go
-        of_b = self.b.encode(["\n" + u for u in some], num_threads=1)
-        for unit, x, y in zip(some, of_a, of_b, strict=True):
-            raw, x, y = unit.encode(), x.ids, y[2:]
-            yield (x, y) if b"".join([self.a_bytes[i] for i in x]) == raw == b"".join([self.b_bytes[i] for i in y]) else None
+        of_b = [y[2:] for y in self.b.encode(["\n" + u for u in texts], num_threads=1)]
+        spelled = lambda names, ids: b"".join([names[i] for i in ids])
+        fine = [spelled(self.a_bytes, x) == u == spelled(self.b_bytes, y) for u, x, y in zip(some, of_a, of_b, strict=True)]
+        return of_a, of_b, np.array(fine, bool)
 
 
 def _byte_level(vocab: dict[str, int]) -> list[bytes]:
@@ -99,8 +99,7 @@ def labels(a_sizes: np.ndarray, b_sizes: np.ndarray) -> bytes:
 
 def groups(label: bytes) -> list[tuple[int, int]]:
     """How many tokens of A and of B each group has."""
-    spans = _GROUP.findall(label)
-    return [(s.count(b"a") + 1, s.count(b"b") + 1) for s in spans]
+    return [(1, 1) if s == b"x" else (s.count(b"a") + 1, s.count(b"b") + 1) for s in _GROUP.findall(label)]
 
 
 def cut(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -136,29 +135,31 @@ class Aligner:
         self._held = 0
         self._counts, self._links, self._at = np.zeros((0, 2), np.int64), np.zeros(0, np.int64), np.zeros(1, np.int64)
 
-    def _add(self, hashes: list[int], units: list[str]) -> None:
-        counts, links, sizes = [], [], []
-        for h, ids in zip(hashes, self.pair.units(units), strict=True):
-            self._slot[h] = len(self._text)
-            if ids is None:
-                counts.append((-1, -1))
-                self._text.append(b"")
-                sizes.append(0)
-                continue
-            x, y = ids
-            label = labels(np.array([len(self.pair.a_bytes[i]) for i in x]), np.array([len(self.pair.b_bytes[i]) for i in y]))
-            said, i, j = [], 0, 0
-            for n, m in groups(label):
-                said.append(f"{','.join(map(str, x[i : i + n]))}|{','.join(map(str, y[j : j + m]))}")
-                i, j = i + n, j + m
-                links.append(x[i - 1] << 32 | y[j - 1])
-            counts.append((len(x), len(y)))
-            sizes.append(len(said))
-            self._text.append(";".join(said).encode())
-            self._held += len(self._text[-1])
-        self._counts = np.concatenate([self._counts, np.array(counts, np.int64).reshape(-1, 2)])
+    def _add(self, hashes: list[int], units: list[bytes]) -> None:
+        """Tokenize, label and scan new units, one behind the other: each ends with a both-label."""
+        of_a, of_b, fine = self.pair.units(units)
+        good = np.flatnonzero(fine).tolist()
+        a, b = [i for k in good for i in of_a[k]], [i for k in good for i in of_b[k]]
+        label = labels(np.array([len(self.pair.a_bytes[i]) for i in a], np.int64), np.array([len(self.pair.b_bytes[i]) for i in b], np.int64))
+        say_a, say_b, said, links, i, j = list(map(str, a)), list(map(str, b)), [], [], 0, 0
+        for n, m in groups(label):
+            said.append(f"{say_a[i]}|{say_b[j]}" if n == m == 1 else f"{','.join(say_a[i : i + n])}|{','.join(say_b[j : j + m])}")
+            i, j = i + n, j + m
+            links.append(a[i - 1] << 32 | b[j - 1])
+        of_unit = np.zeros(len(units), np.int64)
+        stops = np.cumsum([len(units[k]) for k in good], dtype=np.int64)
+        ends = np.flatnonzero(np.frombuffer(label, np.uint8) == _LABEL[3]) + 1
+        of_unit[good] = np.diff(np.searchsorted(ends, stops, "right"), prepend=0)
+        at = np.concatenate([[0], np.cumsum(of_unit)])
+        text = [";".join(said[p:q]).encode() for p, q in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        self._slot.update(zip(hashes, range(len(self._text), len(self._text) + len(units)), strict=True))
+        self._text += text
+        self._held += sum(map(len, text))
+        counts = np.array([(len(x), len(y)) for x, y in zip(of_a, of_b, strict=True)], np.int64).reshape(-1, 2)
+        counts[~fine] = -1
+        self._counts = np.concatenate([self._counts, counts])
         self._links = np.concatenate([self._links, np.array(links, np.int64)])
-        self._at = np.concatenate([self._at, self._at[-1] + np.cumsum(sizes, dtype=np.int64)])
+        self._at = np.concatenate([self._at, self._at[-1] + at[1:]])
 
     def align(self, col: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
         """Of each text: (tokens of A, tokens of B), its groups as text; then all links in turn and the offsets of each text's."""
@@ -173,7 +174,8 @@ class Aligner:
         known = hashes.tolist()
         new = [i for i, h in enumerate(known) if h not in self._slot]
         if new:
-            self._add([known[i] for i in new], [data[starts[at[i]] : ends[at[i]]].tobytes().decode() for i in new])
+            raw, froms, tos = data.tobytes(), starts[at].tolist(), ends[at].tolist()
+            self._add([known[i] for i in new], [raw[froms[i] : tos[i]] for i in new])
         slot = np.array([self._slot[h] for h in known], np.int64)[back]
         counts = self._counts[slot]
         sums = np.zeros((len(slot) + 1, 2), np.int64)

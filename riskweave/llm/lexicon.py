@@ -46,6 +46,8 @@ UNSEEN = 200_000
 MAGIC = b"RWLEX001"
 END = 256
 _ALPHABET = END + 1
+# the tokenizer's pattern, over the ASCII letters that stand for themselves
+_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ a-z0-9]+")
 
 
 # -- the tokenizer's rules --
@@ -60,7 +62,7 @@ class Rules:
         with open(path, encoding="utf-8") as source:
             given = json.load(source)
         model, whole = given["model"], Tokenizer.from_file(path)
-        if model["type"] != "BPE" or not model["end_of_word_suffix"] or given["decoder"] or model["unk_token"]:
+        if model["type"] != "BPE" or not model["end_of_word_suffix"] or given["decoder"] or model["unk_token"] or any(not t["content"].startswith("<|") for t in given["added_tokens"]):
             raise ValueError("not a tokenizer of words with an end mark")
         self._normalizer, self._cutter = whole.normalizer, whole.pre_tokenizer
         self._suffix, self._vocab = model["end_of_word_suffix"], model["vocab"]
@@ -75,6 +77,8 @@ class Rules:
 
     def ids(self, text: str) -> list[int]:
         """The ids of a text, its words merged one by one."""
+        if text.isascii() and text.isprintable() and "<|" not in text:
+            return [i for word in _ASCII.findall(text.lower()) for i in self.merged(word)]
         out: list[int] = []
         for i, part in enumerate(self._split.split(text)):
             if i % 2:

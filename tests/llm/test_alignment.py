@@ -22,10 +22,12 @@ def whole():
     return a, sentencepiece.SentencePieceProcessor(model_file=PATHS[1])
 
 
+OWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+LETTERS = {chr(b): b for b in OWN} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in OWN)}
+
+
 def a_bytes(token):
-    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    letters = {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in own)}
-    return bytes(letters[c] for c in token)
+    return bytes(LETTERS[c] for c in token)
 
 
 def b_bytes(sp, i):
@@ -43,13 +45,13 @@ def plain(text, whole):
         return [], [], [], []
     ends_a, ends_b = np.cumsum([len(t) for t in of_a]).tolist(), np.cumsum([len(t) for t in of_b]).tolist()
     nth_a, nth_b = {e: n for n, e in enumerate(ends_a, 1)}, {e: n for n, e in enumerate(ends_b, 1)}
-    made, links, i, j = [], [], 0, 0
+    ids, made, links, i, j = x.ids, [], [], 0, 0
     for end in sorted({*nth_a} & {*nth_b}):
         k, m = nth_a[end], nth_b[end]
-        made.append((x.ids[i:k], y[j:m]))
-        links.append((x.ids[k - 1], y[m - 1]))
+        made.append((ids[i:k], y[j:m]))
+        links.append((ids[k - 1], y[m - 1]))
         i, j = k, m
-    return x.ids, y, made, links
+    return ids, y, made, links
 
 
 def shown(made):
