@@ -192,3 +192,11 @@ MIN_RISK_DENSITY, MIN_CRYPTO, MAX_FEE_RATIO = 3, 2, 0.5
 # fixed values: headings between which annual and quarterly reports have sections, in the order in which they are tried
 PAIRS_10K = (("risk_factors", "1A", "1B"), ("risk_factors", "1A", "2"), ("unresolved_staff", "1B", "2"), ("properties", "2", "3"))
 PAIRS_10Q = (("risk_factors", "1A", "2"), ("risk_factors", "1A", "3"))
+# fixed values: sections of reports by (section type, part, item, title), in the order in which they are tried; a current report's sections are its items
+TYPED_10K = (("risk_factors", "", "1A", "TenK.risk_factors"), ("management_discussion", "", "7", "TenK.management_discussion"), ("business", "", "1", "TenK.business"))
+TYPED_10Q = (("risk_factors", "II", "1A", "Part II, Item 1A"), ("legal_proceedings", "II", "1", "Part II, Item 1"), ("mda", "I", "2", "Part I, Item 2"))
+TYPED_8K = "current_report_item"
+# fixed values: types and titles of the sections that the other strategies find
+PROSPECTUS_TYPE, LENIENT_TYPE, LENIENT_TITLE, PARAGRAPHS_TYPE, PARAGRAPHS_TITLE = "principal_risks", "risk_factors", "Item 1A (lenient)", "crypto_paragraphs", "Crypto-relevant paragraphs"
+# fixed values: least characters of a section of an annual or quarterly report, and of one of a current report
+TYPED_LEAST, TYPED_LEAST_8K = 500, 400

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from riskweave.functions import fixed, lexicons
-from riskweave.functions.text import overlap, sentences, strip, word_set
+from riskweave.functions.text import let, overlap, rows, sentences, strip, word_set
 
 SAMPLE, LENIENT, PARAGRAPHS, PARAGRAPHS_LEAST = 40_000, 0.8, 0.6, 500
 REPORTS = ("10-K", "10-Q")
@@ -25,7 +25,11 @@ def pair_pattern(start: str, end: str) -> str:
 
 def boundary_spans(text: Column, start: str, end: str, least: int = 1000) -> Column:
     """Array of struct(rank_by, nth, size, text): spans between two headings, largest first, ``least`` characters or more."""
-    found = F.regexp_extract_all(text, F.lit(pair_pattern(start, end)), 1)
+    return _spans(text, F.lit(pair_pattern(start, end)), least)
+
+
+def _spans(text: Column, pattern: Column, least: int) -> Column:
+    found = F.regexp_extract_all(text, pattern, 1)
     sized = F.transform(found, lambda s, i: F.struct((-F.length(s)).alias("rank_by"), i.alias("nth"), F.length(s).alias("size"), strip(s).alias("text")))
     return F.array_sort(F.filter(sized, lambda s: s["size"] >= least))
 
@@ -33,32 +37,91 @@ def boundary_spans(text: Column, start: str, end: str, least: int = 1000) -> Col
 def header_spans(text: Column) -> Column:
     """Array of struct(rank_by, header_no, nth, size, text): prospectus sections, largest first."""
     tail = r"(?im)(?:^|\n)\s*(?:" + "|".join(fixed.END_LINES) + r")\b"
-    none = F.array().cast("array<struct<rank_by:int,header_no:int,nth:int,size:int,text:string,skip:boolean>>")
-    every = none
-    for no, header in enumerate(fixed.HEADERS):
-        pieces = F.split(text, r"(?i)\Q" + header + r"\E", -1)
-        count = F.size(pieces) - 1
-        found = F.when(count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), _section(text, pieces, no, len(header), tail)))
-        every = F.concat(every, F.coalesce(F.filter(found, lambda s: ~s["skip"] & (s["size"] >= 800)), none))
-    return F.array_sort(every)
-
-
-def _section(text: Column, pieces: Column, no: int, size: int, tail: str):
-    """The section behind the i-th occurrence of a header of ``size`` characters at which ``text`` was split."""
-
-    def one(i: Column) -> Column:
-        at = F.aggregate(F.slice(pieces, F.lit(1), i), F.lit(0), lambda n, p: n + F.length(p)) + i * size  # where the content begins, from 0
-        begin = at - size
+    headers = rows("no header low pattern size", [(no, h, h.lower(), r"(?i)\Q" + h + r"\E", len(h)) for no, h in enumerate(fixed.HEADERS)])
+
+    def of_header(h: Column, low: Column) -> Column:
+        """The sections behind all occurrences of a header, of the pieces that it splits the text into."""
+        pieces_ = lambda p: F.when(F.size(p) > 1, F.transform(F.sequence(F.lit(1), F.size(p) - 1), lambda i: one(h, p, i)))
+        return F.when(low.contains(h["low"]), let(F.split(text, h["pattern"], -1), pieces_))
+
+    def one(h: Column, pieces_: Column, i: Column) -> Column:
+        place = F.aggregate(F.slice(pieces_, F.lit(1), i), F.lit(0), lambda n, p: n + F.length(p)) + i * h["size"]  # where the content begins, from 0
+        return let(place, lambda at: let(F.substring(text, at + 301, F.length(text)), lambda rest: let(F.regexp_instr(rest, F.lit(tail)), lambda stop: cut(h, i, at, stop))))
+
+    def cut(h: Column, i: Column, at: Column, stop: Column) -> Column:
+        begin = at - h["size"]
         before = F.lower(F.substring(text, F.greatest(begin - 80, F.lit(0)) + 1, F.least(begin, F.lit(80))))
         after = F.lower(F.substring(text, at + 1, F.lit(120)))
-        rest = F.substring(text, at + 301, F.length(text))
-        stop = F.regexp_instr(rest, F.lit(tail))
         end = F.when(stop > 0, at + 300 + stop - 1).otherwise(F.least(at + 80_000, F.length(text)))
+        skip = let(before, lambda b: b.contains("see ") | b.contains("refer to ") | b.contains("beginning on page")) | let(after, lambda x: x.contains("on page") & (F.length(x) < 80))
         own = strip(F.substring(text, at + 1, end - at))
-        skip = before.contains("see ") | before.contains("refer to ") | before.contains("beginning on page") | (after.contains("on page") & (F.length(after) < 80))
-        return F.struct((-F.length(own)).alias("rank_by"), F.lit(no).alias("header_no"), i.alias("nth"), F.length(own).alias("size"), own.alias("text"), skip.alias("skip"))
+        return let(own, lambda x: F.struct((-F.length(x)).alias("rank_by"), h["no"].alias("header_no"), i.alias("nth"), F.length(x).alias("size"), x.alias("text"), skip.alias("skip")))
+
+    every = F.flatten(F.array_compact(let(F.lower(text), lambda low: F.transform(headers, lambda h: of_header(h, low)))))
+    return F.array_sort(F.filter(every, lambda s: ~s["skip"] & (s["size"] >= 800)))
+
+
+PART = r"(?i)\n([^\S\n]*part[^\S\n]+[iv]+\b)"
+ITEM = r"(?i)\n([^\S\n]*item[^\S\n]+\d{1,2}(?:\.\d{2})?[^\S\n]?[a-z]?\b)"
+PART_NAME, ITEM_NAME = r"(?i)\A[^\S\n]*part[^\S\n]+([iv]+)\b", r"(?i)\A[^\S\n]*item[^\S\n]+(\d{1,2}(?:\.\d{2})?[^\S\n]?[a-z]?)\b"
+
+
+def report_items(text: Column) -> Column:
+    """Array of struct(part, item, text) of a report: what stands from each item's heading, at the start of a line, to the next item or part."""
+
+    def of_part(q: Column) -> Column:
+        part = F.upper(F.regexp_extract(q, PART_NAME, 1))
+        pieces = F.split(F.regexp_replace(q, ITEM, "\n\x01$1"), "\x01")
+        item = lambda p: F.upper(F.regexp_replace(F.regexp_extract(p, ITEM_NAME, 1), r"\s", ""))
+        return let(part, lambda name: F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), lambda p: F.struct(name.alias("part"), item(p).alias("item"), strip(p).alias("text"))))
+
+    marked = F.regexp_replace(F.translate(text, "\x01\x02", ""), PART, "\n\x02$1")
+    return F.flatten(F.transform(F.split(marked, "\x02"), of_part))
+
+
+def typed_sections(text: Column, root: Column) -> Column:
+    """Array of struct(seq, section_type, title, text): the sections of an annual or quarterly report by their items, all items of a current one.
+
+    A heading occurs in the contents too: of equal ones the longest section counts.
+    """
+
+    def longest(items: Column, test) -> Column:
+        sized = F.transform(F.filter(items, test), lambda x, i: F.struct((-F.length(x["text"])).alias("size"), i.alias("i"), x["text"].alias("text")))
+        return F.get(F.array_sort(sized), F.lit(0))["text"]
+
+    def wanted(items: Column) -> Column:
+        named = lambda t: lambda x: (x["item"] == t["code"]) & ((t["part"] == "") | (x["part"] == t["part"]))
+        tables = [rows("seq section_type part code title", [(seq, *row) for seq, row in enumerate(t)]) for t in (fixed.TYPED_10K, fixed.TYPED_10Q)]
+        return F.transform(F.when(root == "10-K", tables[0]).otherwise(tables[1]), lambda t: F.struct(t["seq"].alias("seq"), t["section_type"].alias("section_type"), t["title"].alias("title"), longest(items, named(t)).alias("text")))
+
+    def each(items: Column) -> Column:
+        names = F.array_distinct(F.transform(items, lambda x: x["item"]))
+        return F.transform(names, lambda c, i: F.struct(i.alias("seq"), F.lit(fixed.TYPED_8K).alias("section_type"), F.concat(F.lit("Item "), c).alias("title"), longest(items, lambda x: x["item"] == c).alias("text")))
+
+    least = F.when(root == "8-K", fixed.TYPED_LEAST_8K).otherwise(fixed.TYPED_LEAST)
+    found = F.when(root.isin("10-K", "10-Q", "8-K"), let(report_items(text), lambda items: F.when(root == "8-K", each(items)).otherwise(wanted(items))))
+    return F.filter(found, lambda s: F.length(s["text"]) >= least)
+
+
+def verdict(text: Column) -> Column:
+    """struct(reason, confidence) of a text, as ``check`` finds them, as one expression."""
+
+    def judged(h: Column) -> Column:
+        density = F.when(h["n"] == 0, 0.0).otherwise(h["risk"] / (h["n"] / 1000.0))
+        ratio = F.when(h["risk"] > 0, h["fee"] / h["risk"]).otherwise(1.0)
+        return let(F.struct(h["size"].alias("size"), h["crypto"].alias("crypto"), h["boilerplate"].alias("boilerplate"), density.alias("density"), ratio.alias("ratio")), lambda d: let(_reason(d["size"], d["crypto"], d["density"], d["ratio"]), lambda r: F.struct(r.alias("reason"), F.when(r == "", _score(d["crypto"], d["density"], d["ratio"], d["boilerplate"])).otherwise(0.0).alias("confidence"))))
 
-    return one
+    sample = F.substring(text, 1, SAMPLE)
+    return let(sample, lambda s: let(F.struct(F.length(text).alias("size"), F.length(s).alias("n"), *[lexicons.count(s, x).alias(x) for x in ("crypto", "risk", "fee", "boilerplate")]), judged))
+
+
+def _reason(size: Column, crypto: Column, density: Column, ratio: Column) -> Column:
+    return F.when(F.coalesce(size, F.lit(0)) < 200, "too short").when(crypto < fixed.MIN_CRYPTO, "insufficient crypto content").when(density < fixed.MIN_RISK_DENSITY, "insufficient risk density").when(ratio > fixed.MAX_FEE_RATIO, "fee schedule").otherwise("")
+
+
+def _score(crypto: Column, density: Column, ratio: Column, boilerplate: Column) -> Column:
+    one = F.lit(1.0)
+    return F.least(one, 0.3 * F.least(crypto / 15.0, one) + 0.4 * F.least(density / 15.0, one) + 0.2 * F.when(ratio < 0.2, 1.0).otherwise(0.5) + 0.1 * F.when(boilerplate < 5, 1.0).otherwise(0.5))
 
 
 def check(df: DataFrame, text: str = "text") -> DataFrame:
@@ -69,28 +132,13 @@ def check(df: DataFrame, text: str = "text") -> DataFrame:
         "risk_density": F.when(F.col("sampled") == 0, 0.0).otherwise(F.col("risk_hits") / (F.col("sampled") / 1000.0)),
         "fee_ratio": F.when(F.col("risk_hits") > 0, F.col("fee_hits") / F.col("risk_hits")).otherwise(1.0),
     })
-    reason = (
-        F.when(F.coalesce(F.length(text), F.lit(0)) < 200, "too short")
-        .when(F.col("crypto_hits") < fixed.MIN_CRYPTO, "insufficient crypto content")
-        .when(F.col("risk_density") < fixed.MIN_RISK_DENSITY, "insufficient risk density")
-        .when(F.col("fee_ratio") > fixed.MAX_FEE_RATIO, "fee schedule")
-        .otherwise("")
-    )
-    one = F.lit(1.0)
-    score = F.least(
-        one,
-        0.3 * F.least(F.col("crypto_hits") / 15.0, one)
-        + 0.4 * F.least(F.col("risk_density") / 15.0, one)
-        + 0.2 * F.when(F.col("fee_ratio") < 0.2, 1.0).otherwise(0.5)
-        + 0.1 * F.when(F.col("boilerplate_hits") < 5, 1.0).otherwise(0.5),
-    )
-    df = df.withColumn("reason", reason)
-    return df.withColumn("confidence", F.when(F.col("reason") == "", score).otherwise(0.0))
+    reason = _reason(F.length(text), F.col("crypto_hits"), F.col("risk_density"), F.col("fee_ratio"))
+    score = _score(F.col("crypto_hits"), F.col("risk_density"), F.col("fee_ratio"), F.col("boilerplate_hits"))
+    return df.withColumn("reason", reason).withColumn("confidence", F.when(F.col("reason") == "", score).otherwise(0.0))
 
 
-def paragraphs(df: DataFrame) -> DataFrame:
-    """(keys.., pos, p): paragraphs of ``text``; texts of fewer than five are cut into runs of sentences of over 400 characters."""
-    plain = F.split("text", r"\n\s*\n")
+def pieces(text: Column) -> Column:
+    """The paragraphs of a text; one of fewer than five is cut into runs of sentences of over 400 characters."""
     empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
 
     def grow(acc: Column, s: Column) -> Column:
@@ -98,10 +146,24 @@ def paragraphs(df: DataFrame) -> DataFrame:
         full = F.length(longer) > 400
         return F.struct(F.when(full, F.array_append(acc["done"], strip(longer))).otherwise(acc["done"]).alias("done"), F.when(full, F.lit("")).otherwise(longer).alias("open"))
 
-    runs = F.aggregate(sentences(F.col("text")), empty, grow, lambda a: F.when(strip(a["open"]) != "", F.array_append(a["done"], strip(a["open"]))).otherwise(a["done"]))
-    pieces = F.when(F.size(plain) < 5, runs).otherwise(plain)
+    runs = F.aggregate(sentences(text), empty, grow, lambda a: F.when(strip(a["open"]) != "", F.array_append(a["done"], strip(a["open"]))).otherwise(a["done"]))
+    return let(F.split(text, r"\n\s*\n"), lambda plain: F.transform(F.when(F.size(plain) < 5, runs).otherwise(plain), strip))
+
+
+def paragraphs(df: DataFrame) -> DataFrame:
+    """(keys.., pos, p): the pieces of ``text``."""
     keys = [c for c in df.columns if c != "text"]
-    return df.select(*keys, F.posexplode(pieces).alias("pos", "p")).withColumn("p", strip(F.col("p")))
+    return df.select(*keys, F.posexplode(pieces(F.col("text"))).alias("pos", "p"))
+
+
+def telling_paragraphs(text: Column) -> Column:
+    """The paragraphs of a text on topic and risk, up to the cut, best first, as one text; as ``paragraph_text``, in one expression."""
+    fits = lambda p: (F.length(p) >= 60) & lexicons.has(p, "crypto") & lexicons.has(p, "risk") & ~lexicons.has(p, "boilerplate") & ~lexicons.has(p, "fee")
+    item_ = "struct<s:int,pos:int,p:string>"
+    scored = F.transform(F.filter(pieces(text), fits), lambda p, i: F.struct((-lexicons.count(p, "crypto") * lexicons.count(p, "risk")).alias("s"), i.alias("pos"), p.alias("p")).cast(item_))
+    none = F.struct(F.lit(0).alias("total"), F.array().cast(f"array<{item_}>").alias("kept"))
+    grow = lambda acc, x: F.when(acc["total"] <= CUT, F.struct((acc["total"] + F.length(x["p"])).alias("total"), F.array_append(acc["kept"], x).alias("kept"))).otherwise(acc)
+    return F.array_join(F.transform(F.array_sort(F.aggregate(scored, none, grow)["kept"]), lambda x: x["p"]), "\n\n")
 
 
 def scored_paragraphs(df: DataFrame, key: str, most: int = CUT) -> DataFrame:
@@ -120,74 +182,95 @@ def paragraph_text(df: DataFrame, key: str) -> DataFrame:
     return scored_paragraphs(df, key).groupBy(key).agg(F.array_join(F.transform(best, lambda x: x["p"]), "\n\n").alias("text"))
 
 
-def candidates(texts: DataFrame, typed: DataFrame) -> DataFrame:
-    """Candidates (doc_id, strategy, seq, method, text, confidence) by five strategies; later ones count where earlier ones found none.
+CANDIDATE = "struct<strategy:string,seq:int,section_type:string,method:string,title:string,text:string,confidence:double>"
+
+
+def _candidate(strategy: str, seq: Column, kind: Column, method: Column, title: Column, text: Column, confidence: Column) -> Column:
+    return F.struct(F.lit(strategy).alias("strategy"), seq.alias("seq"), kind.alias("section_type"), method.alias("method"), title.alias("title"), text.alias("text"), confidence.alias("confidence")).cast(CANDIDATE)
+
+
+def _if_good(text: Column, make) -> Column:
+    """``make(confidence)`` of a text that passes the check, else null."""
+    return let(verdict(text), lambda v: F.when(v["reason"] == "", make(v["confidence"])))
+
 
-    ``texts``: doc_id, root_form, text; ``typed``: doc_id, root_form, seq, section_type, text.
-    Every strategy runs once over its forms and one window per document settles which
-    count, so no text is read again to learn what others found.
+def with_candidates(df: DataFrame) -> DataFrame:
+    """``df`` (root_form, text, ..) with ``found``: the candidates of each text by five strategies, in order.
+
+    Later strategies are tried only where earlier ones found none, and the pairs of
+    headings only up to the first good one. All of it is expressions over the row: no
+    text is shuffled or read twice.
     """
-    columns = ["doc_id", "strategy", "seq", "method", "text", "confidence"]
-    good = lambda df: check(df).where("reason = ''")
-    least = F.when(F.col("root_form") == "8-K", 400).otherwise(500)
-    a = good(typed.where(F.length("text") >= least)).select("doc_id", F.lit("A").alias("strategy"), "seq", F.concat(F.lit("typed_"), "section_type").alias("method"), "text", "confidence")
-
-    reports = texts.where(F.col("root_form").isin(*REPORTS))
-    tries = {}
-    for root, pairs in (("10-K", fixed.PAIRS_10K), ("10-Q", fixed.PAIRS_10Q)):
-        spans = [F.struct(F.lit(no).alias("seq"), F.lit(f"boundary_pair_{start}_{end}").alias("method"), F.get(boundary_spans(F.col("text"), start, end), 0)["text"].alias("text")) for no, (_, start, end) in enumerate(pairs)]
-        tries[root] = F.when(F.col("root_form") == root, F.array(*spans))
-    b = good(reports.select("doc_id", F.inline(F.coalesce(*tries.values()))).where("text IS NOT NULL"))
-    first = F.min_by(F.struct("method", "text", "confidence"), "seq")
-    b = b.groupBy("doc_id").agg(F.min("seq").alias("seq"), first.alias("x")).select("doc_id", F.lit("B").alias("strategy"), "seq", "x.*")
-
-    funds = texts.where(F.col("root_form").isin(*fixed.FUND_FORMS))
-    spans = funds.select("doc_id", F.posexplode(F.slice(header_spans(F.col("text")), 1, 3)).alias("seq", "s"))
-    c = good(spans.select("doc_id", F.lit("C").alias("strategy"), "seq", F.lit("prospectus_header").alias("method"), F.col("s.text").alias("text")))
-
-    wide = F.get(boundary_spans(F.col("text"), "1A", "2", 500), 0)["text"]
-    d = reports.select("doc_id", F.lit("D").alias("strategy"), F.lit(0).alias("seq"), F.lit("boundary_pair_lenient").alias("method"), wide.alias("text"))
-    d = good(d.where("text IS NOT NULL")).withColumn("confidence", F.col("confidence") * LENIENT)
-
-    e = paragraph_text(texts.select("doc_id", "text"), "doc_id").where(F.length("text") > PARAGRAPHS_LEAST)
-    e = good(e.select("doc_id", F.lit("E").alias("strategy"), F.lit(0).alias("seq"), F.lit("paragraph_density").alias("method"), "text"))
-    e = e.withColumn("confidence", F.col("confidence") * PARAGRAPHS)
-    out = a
-    for more in (b, c, d, e):
-        out = out.unionByName(more.select(columns))
-    per = Window.partitionBy("doc_id")
-    has = {x: F.max((F.col("strategy") == x).cast("int")).over(per) for x in "ABCD"}
-    seen = out.select(*columns, *[has[x].alias(f"has_{x}") for x in "ABCD"])
-    counts = F.col("strategy").isin("A", "C") | ((F.col("strategy") == "B") & (F.col("has_A") == 0)) | ((F.col("strategy") == "D") & (F.col("has_A") + F.col("has_B") == 0))
-    return seen.where(counts | (F.col("has_A") + F.col("has_B") + F.col("has_C") + F.col("has_D") == 0)).select(columns)
+    root, text = F.col("root_form"), F.col("text")
+    none = F.array().cast(f"array<{CANDIDATE}>")
+    lit = F.lit
+
+    def first_pair(table: Column) -> Column:
+        """The first pair of headings whose largest span is good; those behind it aren't tried."""
+        span = lambda p: F.get(_spans(text, p["pattern"], 1000), lit(0))["text"]
+        good = lambda p: let(span(p), lambda x: F.when(x.isNotNull(), _if_good(x, lambda k: _candidate("B", p["seq"], p["section_type"], p["method"], p["title"], x, k))))
+        return F.aggregate(table, lit(None).cast(CANDIDATE), lambda done, p: F.coalesce(done, good(p)))
+
+    listed = lambda x: F.when(x.isNotNull(), F.array(x)).otherwise(none)
+    a = F.transform(typed_sections(text, root), lambda s: _if_good(s["text"], lambda c: _candidate("A", s["seq"], s["section_type"], F.concat(lit("typed_"), s["section_type"]), s["title"], s["text"], c)))
+    tables = [rows("seq section_type method title pattern", [(no, kind, f"boundary_pair_{start}_{end}", f"Item {start}", pair_pattern(start, end)) for no, (kind, start, end) in enumerate(t)]) for t in (fixed.PAIRS_10K, fixed.PAIRS_10Q)]
+    b = first_pair(F.when(root == "10-K", tables[0]).otherwise(tables[1]))
+    headers = rows("header", [(h,) for h in fixed.HEADERS])
+    c = F.transform(F.slice(header_spans(text), 1, 3), lambda s, i: _if_good(s["text"], lambda k: _candidate("C", i, lit(fixed.PROSPECTUS_TYPE), lit("prospectus_header"), F.get(headers, s["header_no"])["header"], s["text"], k)))
+    wide = F.get(boundary_spans(text, "1A", "2", 500), lit(0))["text"]
+    d = let(wide, lambda x: F.when(x.isNotNull(), _if_good(x, lambda k: _candidate("D", lit(0), lit(fixed.LENIENT_TYPE), lit("boundary_pair_lenient"), lit(fixed.LENIENT_TITLE), x, k * LENIENT))))
+    e = let(telling_paragraphs(text), lambda x: F.when(F.length(x) > PARAGRAPHS_LEAST, _if_good(x, lambda k: _candidate("E", lit(0), lit(fixed.PARAGRAPHS_TYPE), lit("paragraph_density"), lit(fixed.PARAGRAPHS_TITLE), x, k * PARAGRAPHS))))
+    told = lexicons.has(text, "crypto") & lexicons.has(text, "risk")  # no other report or paragraph has a candidate
+    own = "found"
+    df = df.withColumn(own, F.when(told & root.isin("10-K", "10-Q", "8-K"), F.coalesce(F.array_compact(a), none)).otherwise(none))
+    df = df.withColumn(own, F.when(told & root.isin(*REPORTS) & (F.size(own) == 0), listed(b)).when(root.isin(*fixed.FUND_FORMS), F.coalesce(F.array_compact(c), none)).otherwise(F.col(own)))
+    df = df.withColumn(own, F.when(told & root.isin(*REPORTS) & (F.size(own) == 0), listed(d)).otherwise(F.col(own)))
+    return df.withColumn(own, F.when(told & (F.size(own) == 0), listed(e)).otherwise(F.col(own)))
+
+
+def candidates(texts: DataFrame, key: str = "doc_id") -> DataFrame:
+    """A row for each candidate of ``texts`` (key, root_form, text)."""
+    return with_candidates(texts.select(key, "root_form", "text")).select(key, F.inline("found"))
+
+
+BEST = "array<struct<place:int,strategy:string,seq:int,section_type:string,method:string,title:string,text:string,confidence:double>>"
+
+
+def best(found: Column, most: int = 5) -> Column:
+    """Candidates in order of confidence, without those much like a better one, ``most`` at most; ``place`` from 1."""
+    fields = ["strategy", "seq", "section_type", "method", "title", "text", "confidence"]
+    ranked = F.array_sort(F.transform(found, lambda x: F.struct((-F.round(x["confidence"], 6)).alias("c"), *[x[f].alias(f) for f in fields], word_set(F.substring(x["text"], 1, 2000)).alias("words"))))
+
+    def kept(ordered: Column) -> Column:
+        take = lambda acc, x: F.when(F.exists(acc, lambda k: overlap(k["words"], x["words"]) > 0.8), acc).otherwise(F.array_append(acc, x))
+        return F.aggregate(ordered, F.slice(ordered, 1, 0), take)
+
+    return F.transform(F.slice(let(ranked, kept), 1, most), lambda x, i: F.struct((i + 1).alias("place"), *[x[f].alias(f) for f in fields])).cast(BEST)
 
 
 def distinct_best(found: DataFrame, key: str = "doc_id", most: int = 5) -> DataFrame:
-    """Candidates in order of confidence, without those much like a better one, ``most`` at most; ``place`` from 1."""
-    item_ = F.struct((-F.round("confidence", 6)).alias("c"), "strategy", "seq", "method", "text", "confidence", word_set(F.substring("text", 1, 2000)).alias("words"))
-    ordered = F.array_sort(F.collect_list(item_))
-    kept = F.aggregate(
-        F.transform(ordered, lambda x: F.array(x)),
-        F.slice(F.transform(ordered, lambda x: x), 1, 0),
-        lambda acc, x: F.when(F.exists(acc, lambda k: overlap(k["words"], x[0]["words"]) > 0.8), acc).otherwise(F.concat(acc, x)),
-    )
-    best = found.groupBy(key).agg(F.slice(kept, 1, most).alias("best"))
-    return best.select(key, F.posexplode("best").alias("place", "x")).select(key, (F.col("place") + 1).alias("place"), "x.strategy", "x.seq", "x.method", "x.text", "x.confidence")
+    """``best`` of candidates that stand in rows of their own."""
+    fields = ["strategy", "seq", "section_type", "method", "title", "text", "confidence"]
+    return found.groupBy(key).agg(F.collect_list(F.struct(*fields)).alias("found")).select(key, F.inline(best(F.col("found"), most)))
 
 
-def with_best_document(texts: DataFrame, typed: DataFrame, filings: DataFrame, documents: DataFrame, least: int = 3, most: int = 5) -> DataFrame:
-    """(doc_id, place, src, ..): each filing's best candidates, merged with those of its best document.
+def with_best_document(texts: DataFrame, filings: DataFrame, documents: DataFrame, least: int = 3, most: int = 5, key: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, best, ..): each filing's best candidates, merged with those of its best document; ``src`` 1 marks the latter.
 
-    Only filings of a form in which several funds share a filing (``filings``: doc_id,
+    Only filings of a form in which several funds share a filing (``filings``: key,
     root_form, accession_no) and whose best document (``documents``: accession_no, seq,
-    text, crypto_score) has a score of ``least`` or more get the latter. The merge drops
-    no likeness again; ties go to the filing's own.
+    text, crypto_score) has a score of ``least`` or more get the latter. All texts go
+    through the strategies together, once; what is dealt out is their best candidates
+    and what is to be carried along (columns of ``texts``). The merge drops no likeness
+    again; ties go to the filing's own. Filings without a candidate go.
     """
-    order = Window.partitionBy("accession_no").orderBy(F.desc("crypto_score"), "seq")
-    top = documents.withColumn("nth", F.row_number().over(order)).where((F.col("nth") == 1) & (F.col("crypto_score") >= least)).select("accession_no", "text")
-    shared = filings.where(F.col("root_form").isin(*fixed.MULTI_FUND_FORMS)).join(top, "accession_no").select("doc_id", "root_form", "text")
-    main = distinct_best(candidates(texts, typed)).withColumn("src", F.lit(0))
-    extra = distinct_best(candidates(shared, typed.limit(0))).withColumn("src", F.lit(1))
-    best = Window.partitionBy("doc_id").orderBy(F.desc(F.round("confidence", 6)), "src", "place")
-    both = main.unionByName(extra).withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= most)
-    return both.drop("place").withColumnRenamed("nth", "place")
+    top = documents.groupBy("accession_no").agg(F.min_by(F.struct("text", "crypto_score"), F.struct(-F.col("crypto_score"), "seq")).alias("x"))
+    top = top.where(F.col("x.crypto_score") >= least).select("accession_no", "x.text")
+    shared = filings.where(F.col("root_form").isin(*fixed.MULTI_FUND_FORMS)).join(top, "accession_no").select(key, "root_form", "text", F.lit(1).alias("src"))
+    every = texts.select(key, "root_form", "text", F.lit(0).alias("src"), *carry).unionByName(shared, allowMissingColumns=True)
+    fields = ["src", "strategy", "seq", "section_type", "method", "title", "text", "confidence"]
+    ranked = lambda x: F.struct((-F.round(x["confidence"], 6)).alias("c"), F.col("src").alias("src"), x["place"].alias("at"), *[x[f].alias(f) for f in fields[1:]])
+    each = with_candidates(every).select(key, *carry, F.transform(best(F.col("found"), most), ranked).alias("own"))
+    ordered = F.array_sort(F.flatten(F.collect_list("own")))
+    merged = F.transform(F.slice(ordered, 1, most), lambda x, i: F.struct((i + 1).alias("place"), *[x[f].alias(f) for f in fields]))
+    return each.groupBy(key).agg(merged.alias("best"), *[F.max(c).alias(c) for c in carry]).where(F.size("best") > 0)

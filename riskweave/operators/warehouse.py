@@ -1,13 +1,16 @@
 """The four tables as Parquet snapshots in one shared folder: creation, migration, reset and writes.
 
-Each write makes a new snapshot folder of its table; readers take the newest complete
-one, so a write that fails changes nothing. The folder's schema version is a marker, and
-a lock file keeps two writers apart.
+A write makes new snapshot folders of the tables that it changes and then publishes them
+together: one small file, renamed into place, names the snapshot of every table. Readers
+take the newest such file, so a write that fails between two tables changes nothing. A
+lock file keeps writers of a run apart; of two that publish at once one is refused.
 """
 
 from __future__ import annotations
 
+import json
 import time
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -46,8 +49,32 @@ class Warehouse:
         at = self._path(path)
         return sorted(s.getPath().getName() for s in self._fs.listStatus(at)) if self._fs.exists(at) else []
 
-    def _snapshots(self, name: str) -> list[str]:
-        return [s for s in self._list(f"{self.root}/{name}") if self._fs.exists(self._path(f"{self.root}/{name}/{s}/_SUCCESS"))]
+    def _commits(self) -> list[str]:
+        return [c for c in self._list(f"{self.root}/_commits") if c.isdigit()]
+
+    def _snapshots(self, nth: int = -1) -> dict[str, str]:
+        """The folder of each table's snapshot in the newest commit (or the ``nth`` of all)."""
+        commits = self._commits()
+        if len(commits) < abs(nth):
+            return {}
+        return json.loads(self.spark.read.text(f"{self.root}/_commits/{commits[nth]}", wholetext=True).first()[0])
+
+    def _publish(self, written: dict[str, str]) -> None:
+        """Make ``written`` the snapshots of their tables, all at once; what neither this commit nor the one before names is deleted."""
+        before = self._snapshots()
+        nth = max((int(c) for c in self._commits()), default=0) + 1
+        given = self._path(f"{self.root}/_commits/_{uuid.uuid4().hex}")
+        out = self._fs.create(given, False)
+        out.write(bytearray(json.dumps(before | written).encode()))
+        out.close()
+        if not self._fs.rename(given, self._path(f"{self.root}/_commits/{nth:08d}")):
+            self._fs.delete(given, False)
+            raise Locked(self.root)
+        kept = {*before.values(), *(before | written).values()}
+        for name in SCHEMAS:  # one commit stays for readers that have begun
+            for old in self._list(f"{self.root}/{name}"):
+                if f"{name}/{old}" not in kept:
+                    self._fs.delete(self._path(f"{self.root}/{name}/{old}"), True)
 
     @contextmanager
     def lock(self) -> Iterator[None]:
@@ -78,36 +105,32 @@ class Warehouse:
         if self.version() >= SCHEMA_VERSION:
             return
         with self.lock():
-            if not self._snapshots("filings"):
-                legacy = [w for w in (Warehouse(self.spark, r) for r in sorted(older)) if w._snapshots("filings")]
-                for name in SCHEMAS if legacy else ():
-                    self._write(name, legacy[-1].read(name))
-            for name, schema in SCHEMAS.items():
-                if not self._snapshots(name):
-                    self._write(name, self.spark.createDataFrame([], schema))
+            if not self._snapshots():
+                legacy = [w for w in (Warehouse(self.spark, r) for r in sorted(older)) if w._snapshots()]
+                self._publish({name: self._write(name, legacy[-1].read(name) if legacy else self.spark.createDataFrame([], schema)) for name, schema in SCHEMAS.items()})
             self._fs.mkdirs(self._path(f"{self.root}/_schema/{SCHEMA_VERSION}"))
 
     def reset(self) -> None:
-        """Empty all tables, children first."""
+        """Empty all tables."""
         with self.lock():
-            for name in reversed(SCHEMAS):
-                self._write(name, self.spark.createDataFrame([], SCHEMAS[name]))
+            self._publish({name: self._write(name, self.spark.createDataFrame([], schema)) for name, schema in SCHEMAS.items()})
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{name}/{self._snapshots(name)[-1]}")
+        return self._at(name, self._snapshots()[name])
+
+    def _at(self, name: str, folder: str) -> DataFrame:
+        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{folder}")
 
-    def _write(self, name: str, df: DataFrame) -> None:
-        before = self._snapshots(name)
-        taken = self._list(f"{self.root}/{name}")
-        nth = max((int(s) for s in taken), default=0) + 1
-        df.select([c.strip().split(" ")[0] for c in SCHEMAS[name].split(",")]).write.parquet(f"{self.root}/{name}/{nth:08d}")
-        for old in before[:-1]:  # one stays for readers that have begun
-            self._fs.delete(self._path(f"{self.root}/{name}/{old}"), True)
+    def _write(self, name: str, df: DataFrame) -> str:
+        """A new snapshot of a table, not yet published."""
+        folder = f"{name}/{uuid.uuid4().hex}"
+        df.select([c.strip().split(" ")[0] for c in SCHEMAS[name].split(",")]).write.parquet(f"{self.root}/{folder}")
+        return folder
 
     # -- one write of many records --
 
     def save(self, filings: DataFrame, documents: DataFrame, candidates: DataFrame, summaries: DataFrame) -> None:
-        """Write records to all four tables.
+        """Write records to all four tables, in one commit.
 
         ``filings`` are upserted; ``documents`` (accession_no, seq, name, type, text,
         crypto_score, fund_name) and ``candidates`` (accession_no, place, section_type,
@@ -116,24 +139,26 @@ class Warehouse:
         current where they aren't empty, linked to the primary section.
         """
         with self.lock():
-            self._write("filings", store.upsert(self.read("filings"), filings))
+            made = {"filings": self._write("filings", store.upsert(self.read("filings"), filings))}
             now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")
             docs = store.ranked_documents(documents).select(
                 "accession_no", F.col("doc_seq").cast("int").alias("doc_seq"), F.substring("name", 1, NAME).alias("doc_name"), F.substring("type", 1, TYPE).alias("doc_type"),
                 F.substring("text", 1, DOCUMENT).alias("raw_text"), F.length(F.substring("text", 1, DOCUMENT)).alias("char_count"), F.col("crypto_score").cast("int").alias("crypto_score"), "fund_name",
             )
-            self._write("documents", store.replace(self.read("documents"), docs))
+            made["documents"] = self._write("documents", store.replace(self.read("documents"), docs))
             sections = candidates.select(
                 "accession_no", "section_type", "method", "title", F.substring("text", 1, SECTION).alias("text"), F.length(F.substring("text", 1, SECTION)).alias("char_count"),
                 "confidence", (F.col("place") == 1).cast("int").alias("is_primary"), now.alias("extracted_at"), "place",
             )
             old = self.read("sections")
-            self._write("sections", store.replace(old, self._numbered(sections, old, ["accession_no", "place"])))
-            primary = self.read("sections").where("is_primary = 1").select("accession_no", F.col("id").alias("section_id"))
+            made["sections"] = self._write("sections", store.replace(old, self._numbered(sections, old, ["accession_no", "place"])))
+            written = self._at("sections", made["sections"])
+            primary = written.where("is_primary = 1").select("accession_no", F.col("id").alias("section_id"))
             told = summaries.where("summary <> ''").join(primary, "accession_no", "left").select("accession_no", "section_id", "model", "summary", F.lit(1).alias("is_current"), now.alias("created_at"))
-            kept = store.null_dangling(self.read("summaries"), self.read("sections"))
+            kept = store.null_dangling(self.read("summaries"), written)
             added = self._numbered(told, kept, ["accession_no"])
-            self._write("summaries", store.newest_is_current(kept.unionByName(added.select(kept.columns))))
+            made["summaries"] = self._write("summaries", store.newest_is_current(kept.unionByName(added.select(kept.columns))))
+            self._publish(made)
 
     def _numbered(self, new: DataFrame, old: DataFrame, order: list[str]) -> DataFrame:
         """``new`` with ids above those of ``old``, in order: the place in a range partition behind the rows of those before it."""

@@ -9,8 +9,10 @@ from riskweave.functions import fixed, lexicons, text as T
 from riskweave.functions.lexicons import count_sql, has_sql, plain_sql, quoted
 from riskweave.operators import extract as E
 from riskweave.operators import metadata as M
-from riskweave.operators import store
+from riskweave.operators import records, store, warehouse
 from riskweave.operators import summary as Y
+from riskweave.session import work_folder
+from riskweave.sources.corpus import BLOCKS, literal
 
 _LEX = ("crypto", "risk", "fee", "boilerplate")
 
@@ -99,14 +101,28 @@ def _(f):
     return spans.select("doc_id", "header_no", F.col("nth").cast("long").alias("nth"), F.col("size").cast("long").alias("size"), F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
-_TYPED = f"{checked('typed_done', '(SELECT * FROM typed WHERE length(text) >= CASE WHEN root_form = ' + chr(39) + '8-K' + chr(39) + ' THEN 400 ELSE 500 END)')}"
+def _wanted_sql(root: str, table, parts: bool) -> str:
+    rows = []
+    for seq, (kind, part, code, title) in enumerate(table):
+        test = f"item = '{code}'" + (f" AND part = '{part}'" if parts else "")
+        rows.append(f"SELECT doc_id, root_form, {seq} AS seq, '{kind}' AS section_type, '{title}' AS title, arg_min(text, [-length(text), pi, ii]) AS text FROM report_items WHERE root_form = '{root}' AND {test} GROUP BY 1, 2")
+    return " UNION ALL ".join(rows)
+
+
+_TYPED = rf"""report_parts AS (SELECT doc_id, root_form, unnest(ps) AS q, generate_subscripts(ps, 1) AS pi FROM (SELECT doc_id, root_form, string_split(regexp_replace(translate(text, chr(1) || chr(2), ''), {quoted(E.PART)}, chr(10) || chr(2) || '\1', 'g'), chr(2)) AS ps FROM texts WHERE root_form IN ('10-K', '10-Q', '8-K'))),
+report_items AS (SELECT doc_id, root_form, pi, ii, upper(regexp_extract(q, {quoted(E.PART_NAME)}, 1)) AS part, upper(regexp_replace(regexp_extract(p, {quoted(E.ITEM_NAME)}, 1), '\s', '', 'g')) AS item, {strip_sql('p')} AS text
+  FROM (SELECT doc_id, root_form, q, pi, unnest(l) AS p, generate_subscripts(l, 1) AS ii FROM (SELECT *, string_split(regexp_replace(q, {quoted(E.ITEM)}, chr(10) || chr(1) || '\1', 'g'), chr(1)) AS l FROM report_parts)) WHERE ii > 1),
+typed AS ({_wanted_sql('10-K', fixed.TYPED_10K, False)} UNION ALL {_wanted_sql('10-Q', fixed.TYPED_10Q, True)}
+  UNION ALL SELECT doc_id, root_form, row_number() OVER (PARTITION BY doc_id ORDER BY first) - 1 AS seq, '{fixed.TYPED_8K}' AS section_type, 'Item ' || item AS title, text FROM (SELECT doc_id, root_form, item, min([pi, ii]) AS first, arg_min(text, [-length(text), pi, ii]) AS text FROM report_items WHERE root_form = '8-K' GROUP BY 1, 2, 3)),
+{checked('typed_done', "(SELECT * FROM typed WHERE length(text) >= CASE WHEN root_form = '8-K' THEN 400 ELSE 500 END)")}"""
 
 
-@query("extract_typed_sections", f", {_TYPED} SELECT doc_id, seq, section_type, round(confidence, 6) AS confidence FROM typed_done WHERE reason = ''")
+@query("extract_typed_sections", f", {_TYPED} SELECT doc_id, seq, section_type, title, round(confidence, 6) AS confidence, length(text) AS size FROM typed_done WHERE reason = ''")
 def _(f):
-    least = F.when(F.col("root_form") == "8-K", 400).otherwise(500)
-    done = E.check(f.typed.where(F.length("text") >= least)).where("reason = ''")
-    return done.select("doc_id", "seq", "section_type", F.round("confidence", 6).alias("confidence"))
+    """The sections of every report, found by its headings, that pass the check."""
+    sections = f.texts.select("doc_id", F.inline(E.typed_sections(F.col("text"), F.col("root_form"))))
+    done = sections.withColumn("v", E.verdict(F.col("text"))).where("v.reason = ''")
+    return done.select("doc_id", F.col("seq").cast("long").alias("seq"), "section_type", "title", F.round("v.confidence", 6).alias("confidence"), F.length("text").cast("long").alias("size"))
 
 
 # -- paragraphs --
@@ -131,10 +147,14 @@ def _(f):
     return E.paragraphs(f.passages).select("doc_id", F.col("pos").cast("long").alias("pos"), F.length("p").cast("long").alias("size"), F.md5(F.col("p").cast("binary")).alias("digest"))
 
 
-@query("paragraph_running_cut", f", {_paragraphs_sql('texts')} SELECT doc_id, pos, score FROM cuts WHERE total <= 400")
+# copies of a telling block make every fiftieth text longer than the cut
+_LONG = "SELECT doc_id, text || CASE WHEN doc_id % 50 = 4 THEN repeat(" + literal(BLOCKS["paragraphs"]) + ", 120) ELSE '' END AS text FROM texts"
+
+
+@query("paragraph_running_cut", f", long AS ({_LONG}), {_paragraphs_sql('long')} SELECT doc_id, pos, score FROM cuts WHERE total <= 60000")
 def _(f):
-    """With a short cut, so that it bites."""
-    return E.scored_paragraphs(f.texts.select("doc_id", "text"), "doc_id", 400).select("doc_id", F.col("pos").cast("long").alias("pos"), F.col("score").cast("long").alias("score"))
+    long = F.when(F.col("doc_id") % 50 == 4, F.repeat(F.lit(BLOCKS["paragraphs"]), F.lit(120))).otherwise("")
+    return E.scored_paragraphs(f.texts.select("doc_id", F.concat("text", long).alias("text")), "doc_id").select("doc_id", F.col("pos").cast("long").alias("pos"), F.col("score").cast("long").alias("score"))
 
 
 _PARA_TEXT = "SELECT doc_id, string_agg(p, chr(10) || chr(10) ORDER BY score DESC, pos) AS text FROM cuts WHERE total <= 60000 GROUP BY 1"
@@ -158,37 +178,39 @@ def _(f):
 def _pairs_sql() -> str:
     rows = []
     for root, pairs in (("10-K", fixed.PAIRS_10K), ("10-Q", fixed.PAIRS_10Q)):
-        for no, (_, start, end) in enumerate(pairs):
-            rows.append(f"SELECT doc_id, {no} AS seq, 'boundary_pair_{start}_{end}' AS method, {spans_sql(start, end, 1000)} AS text FROM open_b WHERE root_form = '{root}'")
+        for no, (kind, start, end) in enumerate(pairs):
+            rows.append(f"SELECT doc_id, {no} AS seq, '{kind}' AS section_type, 'boundary_pair_{start}_{end}' AS method, 'Item {start}' AS title, {spans_sql(start, end, 1000)} AS text FROM open_b WHERE root_form = '{root}'")
     return " UNION ALL ".join(rows)
 
 
 _FUNDS = ", ".join(f"'{x}'" for x in fixed.FUND_FORMS)
-_ALL = f""", {_TYPED}, a AS (SELECT doc_id, 'A' AS strategy, seq, 'typed_' || section_type AS method, text, confidence FROM typed_done WHERE reason = ''),
+_SHAPE = "seq, section_type, method, title, text"
+_ALL = f""", {_TYPED}, a AS (SELECT doc_id, 'A' AS strategy, seq, section_type, 'typed_' || section_type AS method, title, text, confidence FROM typed_done WHERE reason = ''),
 open_b AS (SELECT * FROM texts WHERE root_form IN ('10-K', '10-Q') AND doc_id NOT IN (SELECT doc_id FROM a)), tries AS ({_pairs_sql()}), {checked('b_done', '(SELECT * FROM tries WHERE text IS NOT NULL)')},
-b AS (SELECT doc_id, 'B' AS strategy, seq, method, text, confidence FROM b_done WHERE reason = '' QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY seq) = 1), {_HEADERS_SQL},
-tops AS (SELECT doc_id, own AS text, row_number() OVER (PARTITION BY doc_id ORDER BY length(own) DESC, no, nth) - 1 AS seq FROM prospectus WHERE length(own) >= 800 AND doc_id IN (SELECT doc_id FROM texts WHERE root_form IN ({_FUNDS})) QUALIFY seq < 3),
-{checked('c_done', 'tops')}, c AS (SELECT doc_id, 'C' AS strategy, seq, 'prospectus_header' AS method, text, confidence FROM c_done WHERE reason = ''),
+b AS (SELECT doc_id, 'B' AS strategy, {_SHAPE}, confidence FROM b_done WHERE reason = '' QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY seq) = 1), {_HEADERS_SQL},
+tops AS (SELECT doc_id, header AS title, own AS text, row_number() OVER (PARTITION BY doc_id ORDER BY length(own) DESC, no, nth) - 1 AS seq FROM prospectus JOIN headers USING (no) WHERE length(own) >= 800 AND doc_id IN (SELECT doc_id FROM texts WHERE root_form IN ({_FUNDS})) QUALIFY seq < 3),
+{checked('c_done', 'tops')}, c AS (SELECT doc_id, 'C' AS strategy, seq, '{fixed.PROSPECTUS_TYPE}' AS section_type, 'prospectus_header' AS method, title, text, confidence FROM c_done WHERE reason = ''),
 found_ab AS (SELECT doc_id FROM a UNION SELECT doc_id FROM b), wide AS (SELECT doc_id, {spans_sql('1A', '2', 500)} AS text FROM texts WHERE root_form IN ('10-K', '10-Q') AND doc_id NOT IN (SELECT doc_id FROM found_ab)),
-{checked('d_done', '(SELECT * FROM wide WHERE text IS NOT NULL)')}, d AS (SELECT doc_id, 'D' AS strategy, 0 AS seq, 'boundary_pair_lenient' AS method, text, confidence * 0.8::DOUBLE AS confidence FROM d_done WHERE reason = ''),
+{checked('d_done', '(SELECT * FROM wide WHERE text IS NOT NULL)')}, d AS (SELECT doc_id, 'D' AS strategy, 0 AS seq, '{fixed.LENIENT_TYPE}' AS section_type, 'boundary_pair_lenient' AS method, '{fixed.LENIENT_TITLE}' AS title, text, confidence * 0.8::DOUBLE AS confidence FROM d_done WHERE reason = ''),
 found_abcd AS (SELECT doc_id FROM found_ab UNION SELECT doc_id FROM c UNION SELECT doc_id FROM d), {_paragraphs_sql('(SELECT * FROM texts WHERE doc_id NOT IN (SELECT doc_id FROM found_abcd))')},
-{checked('e_done', '(SELECT * FROM (' + _PARA_TEXT + ') WHERE length(text) > 500)')}, e AS (SELECT doc_id, 'E' AS strategy, 0 AS seq, 'paragraph_density' AS method, text, confidence * 0.6::DOUBLE AS confidence FROM e_done WHERE reason = ''),
+{checked('e_done', '(SELECT * FROM (' + _PARA_TEXT + ') WHERE length(text) > 500)')}, e AS (SELECT doc_id, 'E' AS strategy, 0 AS seq, '{fixed.PARAGRAPHS_TYPE}' AS section_type, 'paragraph_density' AS method, '{fixed.PARAGRAPHS_TITLE}' AS title, text, confidence * 0.6::DOUBLE AS confidence FROM e_done WHERE reason = ''),
 cands AS (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c UNION ALL SELECT * FROM d UNION ALL SELECT * FROM e)"""
 _OVER = "CASE WHEN least(len(k.w), len(x[1].w)) = 0 THEN 0.0 ELSE len(list_intersect(k.w, x[1].w)) / least(len(k.w), len(x[1].w))::DOUBLE END"
-_BEST = f"""sorted AS (SELECT doc_id, list({{'s': strategy, 'q': seq, 'm': method, 'c': round(confidence, 6), 't': text, 'w': {words_sql('substr(text, 1, 2000)')}}} ORDER BY round(confidence, 6) DESC, strategy, seq) AS l FROM cands GROUP BY 1),
+_BEST = f"""sorted AS (SELECT doc_id, list({{'s': strategy, 'q': seq, 'y': section_type, 'm': method, 'h': title, 'c': round(confidence, 6), 't': text, 'w': {words_sql('substr(text, 1, 2000)')}}} ORDER BY round(confidence, 6) DESC, strategy, seq) AS l FROM cands GROUP BY 1),
 kept AS (SELECT doc_id, {fold_sql('l', f'CASE WHEN len(list_filter(acc, lambda k: {_OVER} > 0.8)) > 0 THEN acc ELSE acc || x END')} AS ks FROM sorted),
-best AS (SELECT doc_id, i AS place, k.s AS strategy, k.m AS method, k.c AS confidence, k.t AS text FROM (SELECT doc_id, unnest(ks) AS k, generate_subscripts(ks, 1) AS i FROM kept) WHERE i <= 5)"""
+best AS (SELECT doc_id, i AS place, k.s AS strategy, k.y AS section_type, k.m AS method, k.h AS title, k.c AS confidence, k.t AS text FROM (SELECT doc_id, unnest(ks) AS k, generate_subscripts(ks, 1) AS i FROM kept) WHERE i <= 5)"""
 
 
-@query("extract_all_candidates", f"{_ALL} SELECT doc_id, strategy, seq, method, round(confidence, 6) AS confidence, length(text) AS size FROM cands")
+@query("extract_all_candidates", f"{_ALL} SELECT doc_id, strategy, seq, section_type, method, title, round(confidence, 6) AS confidence, length(text) AS size FROM cands")
 def _(f):
-    return E.candidates(f.texts, f.typed).select("doc_id", "strategy", F.col("seq").cast("long").alias("seq"), "method", F.round("confidence", 6).alias("confidence"), F.length("text").cast("long").alias("size"))
+    found = E.candidates(f.texts)
+    return found.select("doc_id", "strategy", F.col("seq").cast("long").alias("seq"), "section_type", "method", "title", F.round("confidence", 6).alias("confidence"), F.length("text").cast("long").alias("size"))
 
 
 @query("candidate_dedup", f"{_ALL}, {_BEST} SELECT doc_id, place, strategy, method, confidence FROM best")
 def _(f):
-    best = E.distinct_best(E.candidates(f.texts, f.typed))
-    return best.select("doc_id", F.col("place").cast("long").alias("place"), "strategy", "method", F.round("confidence", 6).alias("confidence"))
+    kept = E.with_candidates(f.texts.select("doc_id", "root_form", "text")).select("doc_id", F.inline(E.best(F.col("found"))))
+    return kept.select("doc_id", F.col("place").cast("long").alias("place"), "strategy", "method", F.round("confidence", 6).alias("confidence"))
 
 
 # filings of a form in which funds share a filing: the candidates of the best document too, if it names the topic three times
@@ -196,13 +218,14 @@ _MULTI = "('485APOS', '485BPOS', 'N-1A', 'N-1A/A')"
 _BEST_DOC = f"""best_docs AS (SELECT t.doc_id, t.form_type, t.root_form, t.company_name, d.text FROM texts t JOIN (SELECT accession_no, text, crypto_score FROM (SELECT *, row_number() OVER (PARTITION BY accession_no ORDER BY crypto_score DESC, seq) AS place
   FROM (SELECT *, {count_sql('p', 'crypto')} AS crypto_score FROM (SELECT *, {plain_sql('substr(text, 1, 20000)')} AS p FROM fund_docs WHERE seq < 5 AND is_binary = 0 AND length(text) >= 500))) WHERE place = 1) d
   ON d.accession_no = 'F' || CAST(t.doc_id - t.doc_id % 8 AS VARCHAR) WHERE t.root_form IN {_MULTI} AND d.crypto_score >= 3)"""
-_MERGED = f"""{_BEST}, {_BEST_DOC}, extra AS (WITH texts AS (SELECT * FROM best_docs), typed AS (SELECT * FROM typed WHERE false){_ALL}, {_BEST} SELECT * FROM best),
-merged AS (SELECT doc_id, src, strategy, method, confidence, text, row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, src, place) AS place FROM (SELECT *, 0 AS src FROM best UNION ALL SELECT *, 1 AS src FROM extra) QUALIFY place <= 5)"""
+_MERGED = f"""{_BEST}, {_BEST_DOC}, extra AS (WITH texts AS (SELECT * FROM best_docs){_ALL}, {_BEST} SELECT * FROM best),
+merged AS (SELECT doc_id, src, strategy, section_type, method, title, confidence, text, row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, src, place) AS place FROM (SELECT *, 0 AS src FROM best UNION ALL SELECT *, 1 AS src FROM extra) QUALIFY place <= 5)"""
 
 
 def _merged(f):
     docs = f.fund_docs.where("seq < 5 AND is_binary = 0").where(F.length("text") >= 500).withColumn("crypto_score", lexicons.count(F.substring("text", 1, 20_000), "crypto"))
-    return E.with_best_document(f.texts, f.typed, f.texts.select("doc_id", "root_form", F.concat(F.lit("F"), (F.col("doc_id") - F.col("doc_id") % 8).cast("string")).alias("accession_no")), docs)
+    filings = f.texts.select("doc_id", "root_form", F.concat(F.lit("F"), (F.col("doc_id") - F.col("doc_id") % 8).cast("string")).alias("accession_no"))
+    return E.with_best_document(f.texts, filings, docs).select("doc_id", F.inline("best"))
 
 
 @query("multi_fund_merge", f"{_ALL}, {_MERGED} SELECT doc_id, place, src, strategy, method, confidence, length(text) AS size FROM merged")
@@ -270,22 +293,14 @@ def _(f):
 
 _TOKENS = f"list_transform(regexp_extract_all({plain_sql('substr(text, 1, 5000)')}, {quoted('(?i)' + lexicons.body('crypto'))}), lambda t: lower(t))"
 _JOINED = "array_to_string(list_slice(toks, 1, 5), ' or ')"
+CONNECTION_SQL = f"""SELECT doc_id, CASE WHEN text = '' OR len(toks) = 0 THEN 'Crypto-related filing.' WHEN root_form IN ({_FUNDS}) THEN 'Proposes ' || {_JOINED} || ' ETF, fund, or security offering.' WHEN root_form IN ('10-K', '10-Q') THEN 'Reports ' || {_JOINED} || ' operations with risk disclosures.'
+WHEN root_form = '8-K' THEN 'Discloses ' || {_JOINED} || ' material event or corporate action.' ELSE 'Filing related to ' || {_JOINED} || '.' END AS connection FROM (SELECT doc_id, root_form, text, {fold_sql("m", "CASE WHEN list_contains(acc, x[1]) THEN acc ELSE acc || x END")} AS toks FROM (SELECT *, {_TOKENS} AS m FROM texts))"""
 
 
-@query("crypto_connection", f"""SELECT doc_id, CASE WHEN text = '' OR len(toks) = 0 THEN 'Crypto-related filing.' WHEN root_form IN ({_FUNDS}) THEN 'Proposes ' || {_JOINED} || ' ETF, fund, or security offering.' WHEN root_form IN ('10-K', '10-Q') THEN 'Reports ' || {_JOINED} || ' operations with risk disclosures.'
-WHEN root_form = '8-K' THEN 'Discloses ' || {_JOINED} || ' material event or corporate action.' ELSE 'Filing related to ' || {_JOINED} || '.' END AS connection FROM (SELECT doc_id, root_form, text, {fold_sql("m", "CASE WHEN list_contains(acc, x[1]) THEN acc ELSE acc || x END")} AS toks FROM (SELECT *, {_TOKENS} AS m FROM texts))""")
+@query("crypto_connection", CONNECTION_SQL)
 def _(f):
     """The first five topic words in order of appearance, in the sentence of the form."""
-    found = F.array_distinct(F.transform(F.regexp_extract_all(F.substring("text", 1, 5000), F.lit("(?idU)" + lexicons.body("crypto")), 0), lambda t: F.lower(t)))
-    said, root = F.array_join(F.slice(found, 1, 5), " or "), F.col("root_form")
-    sentence = (
-        F.when((F.col("text") == "") | (F.size(found) == 0), "Crypto-related filing.")
-        .when(M.is_fund(root), F.concat(F.lit("Proposes "), said, F.lit(" ETF, fund, or security offering.")))
-        .when(root.isin(*E.REPORTS), F.concat(F.lit("Reports "), said, F.lit(" operations with risk disclosures.")))
-        .when(root == "8-K", F.concat(F.lit("Discloses "), said, F.lit(" material event or corporate action.")))
-        .otherwise(F.concat(F.lit("Filing related to "), said, F.lit(".")))
-    )
-    return f.texts.select("doc_id", sentence.alias("connection"))
+    return f.texts.select("doc_id", M.connection(F.col("text"), F.col("root_form")).alias("connection"))
 
 
 @query("word_overlap", f"""SELECT doc_id, round(CASE WHEN least(len(a), len(b)) = 0 THEN 0.0 ELSE len(list_intersect(a, b)) / least(len(a), len(b))::DOUBLE END, 6) AS overlap FROM (SELECT p.doc_id, {words_sql("p.text")} AS a, {words_sql("substr(t.text, 1, 2000)")} AS b FROM passages p JOIN texts t USING (doc_id))""")
@@ -357,8 +372,6 @@ def _(f):
     return Y.template_summary(f.texts.select("doc_id", "form_type", "company_name", "text"), "doc_id")
 
 
-# the summary of a filing is that of its primary section
-_PRIMARY = _SUMMARY.replace("told_of AS (SELECT * FROM texts)", "told_of AS (SELECT b.doc_id, t.form_type, t.company_name, b.text FROM merged b JOIN texts t USING (doc_id) WHERE b.place = 1)")
 _REPLY = "CASE doc_id % 3 WHEN 0 THEN NULL WHEN 1 THEN 'short reply' ELSE '{\"summary\": \"A hosted summary of filing ' || doc_id || ' that is long enough to be used.\"}' END"
 
 
@@ -371,12 +384,51 @@ def _(f):
     return Y.summaries(f.texts.select("doc_id", "form_type", "company_name", "text"), "doc_id", replies)
 
 
-@query("process_filings", f"{_ALL}, {_MERGED}, {_PRIMARY} SELECT b.doc_id, b.strategy, b.method, b.confidence, t.summary, 'template-v1' AS model, (SELECT count(*) FROM merged x WHERE x.doc_id = b.doc_id) AS candidates FROM merged b JOIN told t USING (doc_id) WHERE b.place = 1 AND b.doc_id IN (SELECT doc_id FROM texts WHERE length(text) >= 200)")
-def _(f):
-    """From texts to what is stored: filings with a candidate, their primary section, its summary and the model."""
-    long = f.texts.where(F.length("text") >= 200).select("doc_id")
-    best = _merged(f).join(long, "doc_id", "left_semi")
-    counts = best.groupBy("doc_id").agg(F.count("*").alias("candidates"))
-    first = best.where("place = 1")
-    told = Y.summaries(first.select("doc_id", "text").join(f.texts.select("doc_id", "form_type", "company_name"), "doc_id"), "doc_id")
-    return first.select("doc_id", "strategy", "method", F.round("confidence", 6).alias("confidence")).join(told, "doc_id").join(counts, "doc_id")
+# -- records --
+
+NOW = "2024-06-01T00:00:00"
+# fund documents of the filings in which several funds share a filing, the best of each, and the candidates of both merged
+_OWN_DOCS = f"""own_docs AS (SELECT accession_no, seq, name, type, text, crypto_score, row_number() OVER (PARTITION BY accession_no ORDER BY crypto_score DESC, seq) - 1 AS doc_seq
+  FROM (SELECT a.*, {count_sql('p', 'crypto')} AS crypto_score FROM (SELECT *, {plain_sql('substr(text, 1, 20000)')} AS p FROM attachments WHERE seq < 5 AND is_binary = 0 AND length(text) >= 500) a) WHERE accession_no IN (SELECT accession_no FROM work WHERE root_form IN {_MULTI}))"""
+_OWN_MERGED = f"""texts_long AS (SELECT * FROM texts WHERE length(text) >= 200), {_OWN_DOCS}, best_docs AS (SELECT t.doc_id, t.form_type, t.root_form, t.company_name, d.text FROM texts_long t JOIN own_docs d USING (accession_no) WHERE d.doc_seq = 0 AND d.crypto_score >= 3),
+main AS (WITH texts AS (SELECT * FROM texts_long){_ALL}, {_BEST} SELECT * FROM best), extra AS (WITH texts AS (SELECT * FROM best_docs){_ALL}, {_BEST} SELECT * FROM best),
+merged AS (SELECT doc_id, src, strategy, section_type, method, title, confidence, text, row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, src, place) AS place FROM (SELECT *, 0 AS src FROM main UNION ALL SELECT *, 1 AS src FROM extra) QUALIFY place <= 5),
+{_SUMMARY.replace("told_of AS (SELECT * FROM texts)", "told_of AS (SELECT b.doc_id, t.form_type, t.company_name, b.text FROM merged b JOIN texts t USING (doc_id) WHERE b.place = 1)")},
+linked AS ({CONNECTION_SQL}), pdfs AS (SELECT accession_no, coalesce(min_by(url, seq) FILTER (url LIKE '%.pdf'), '') AS pdf FROM attachments GROUP BY 1),
+recorded AS (WITH filings AS (SELECT w.accession_no, w.doc_id, w.cik, w.company_name, w.ticker, w.form_type, w.root_form, w.filing_date, CASE WHEN w.root_form IN ({_FUNDS}) THEN 'ETF/Fund' ELSE 'Operating Co.' END AS filing_category, CASE WHEN w.root_form IN ({_FUNDS}) THEN 1 ELSE 2 END AS tier,
+    'https://filings.example/data/' || ltrim(w.cik, '0') || '/' || replace(w.accession_no, '-', '') || '/' || w.accession_no || '-index.htm' AS sec_url, coalesce(p.pdf, '') AS filing_pdf_url, l.connection AS crypto_connection,
+    CASE WHEN w.keyword <> '' THEN w.keyword ELSE {"CASE " + " ".join(f"WHEN contains(lower(substr(t.text, 1, 5000)), '{k.lower()}') THEN '{k}'" for k in fixed.KEYWORDS) + " ELSE '' END"} END AS search_keyword
+    FROM work w JOIN texts_long t USING (accession_no) JOIN linked l ON l.doc_id = w.doc_id LEFT JOIN pdfs p ON p.accession_no = w.accession_no){M.META_SQL}
+  SELECT accession_no, doc_id, cik, company_name, ticker, form_type, root_form, filing_date, filing_category, tier, sec_url, filing_pdf_url, crypto_connection, display_type AS entity_type, search_keyword, new_purpose AS purpose, new_holdings AS top_holdings FROM meta)"""
+
+
+def _records(f):
+    return records.compose(f.work.drop("doc_id"), f.texts.select("accession_no", "text"), f.attachments, f.companies, f.details, NOW)
+
+
+@query("process_filings", f""", {_OWN_MERGED} SELECT r.* EXCLUDE (doc_id), '{NOW}' AS fetched_at, '{NOW}' AS processed_at, b.strategy, b.section_type, b.method, b.title, b.confidence, length(b.text) AS section_chars, t.summary, 'template-v1' AS model, (SELECT count(*) FROM merged x WHERE x.doc_id = b.doc_id) AS candidates
+FROM recorded r JOIN merged b ON b.doc_id = r.doc_id AND b.place = 1 JOIN told t ON t.doc_id = r.doc_id""")
+def _(f):
+    """From texts to what is stored: filings with a candidate, all that is told of them, their primary section, its summary and the model."""
+    made = _records(f)
+    sections = made.sections.groupBy("accession_no").agg(F.count("*").alias("candidates"), F.min_by(F.struct("strategy", "section_type", "method", "title", "confidence", F.length("text").cast("long").alias("section_chars")), "place").alias("x"))
+    sections = sections.select("accession_no", "candidates", "x.*").withColumn("confidence", F.round("confidence", 6))
+    return made.filings.join(sections, "accession_no").join(made.summaries, "accession_no")
+
+
+@query("stored_records", f""", {_OWN_MERGED} SELECT r.accession_no, r.company_name, r.entity_type, r.search_keyword, d.n AS documents, d.chars AS document_chars, d.first AS best_document, s.n AS sections, b.section_type, b.title, length(substr(b.text, 1, 200000)) AS section_chars, round(b.confidence, 6) AS confidence, t.summary AS risk_summary, CASE WHEN t.summary <> '' THEN true END AS linked
+FROM recorded r JOIN merged b ON b.doc_id = r.doc_id AND b.place = 1 JOIN told t ON t.doc_id = r.doc_id JOIN (SELECT doc_id, count(*) AS n FROM merged GROUP BY 1) s ON s.doc_id = r.doc_id
+LEFT JOIN (SELECT accession_no, count(*) AS n, CAST(sum(length(substr(text, 1, 500000))) AS BIGINT) AS chars, min_by(name, doc_seq) AS first FROM own_docs GROUP BY 1) d ON d.accession_no = r.accession_no""")
+def _(f):
+    """The records written to the four tables, twice, and read back: filings with their documents, sections, primary section and linked summary."""
+    house = warehouse.Warehouse(f.spark, work_folder(f.spark, "warehouse"))
+    house.init()
+    made = _records(f)
+    for _again in range(2):
+        house.save(made.filings, made.documents, made.sections, made.summaries)
+    sections, summaries = house.read("sections"), house.read("summaries").where("is_current = 1")
+    documents = house.read("documents").groupBy("accession_no").agg(F.count("*").alias("documents"), F.sum("char_count").alias("document_chars"), F.min_by("doc_name", "doc_seq").alias("best_document"))
+    counted = sections.groupBy("accession_no").agg(F.count("*").alias("sections"))
+    primary = sections.where("is_primary = 1").select("accession_no", "id", "section_type", "title", F.col("char_count").cast("long").alias("section_chars"), F.round("confidence", 6).alias("confidence"))
+    whole = house.read("filings").select("accession_no", "company_name", "entity_type", "search_keyword").join(counted, "accession_no").join(primary, "accession_no").join(documents, "accession_no", "left").join(summaries.select("accession_no", "summary", "section_id"), "accession_no", "left")
+    return whole.select("accession_no", "company_name", "entity_type", "search_keyword", "documents", "document_chars", "best_document", "sections", "section_type", "title", "section_chars", "confidence", F.coalesce("summary", F.lit("")).alias("risk_summary"), F.when(F.col("summary").isNotNull(), F.col("section_id") == F.col("id")).alias("linked"))

@@ -13,11 +13,15 @@ from riskweave.sources import sinks
 
 SHORT = ["accession_no", "company_name", "form_type", "filing_date", "filing_category", "search_keyword", "risk_summary"]
 _SHORT = ", ".join(SHORT)
-#: What a listing and a detail tell as JSON; doubles differ in how engines write them, so the confidence is left to the tables.
-DETAIL = [c for c in COLUMNS if c != "extraction_confidence"]
+#: What a detail and a listing tell as JSON; engines write the same double alike once it is rounded.
+DETAIL = COLUMNS
 LISTED = [c for c in DETAIL if c != "risk_section"]
 
 
+def _told(columns):
+    return [F.round(c, 6).alias(c) if c == "extraction_confidence" else F.col(c) for c in columns]
+
+
 def _listed(f, given):
     return filters.newest_first(filters.apply(visible(f.view), given)).select(*SHORT)
 
@@ -71,14 +75,14 @@ def _(f):
 
 
 def _row_sql(columns) -> str:
-    return "CAST(to_json({" + ", ".join(f"'{c}': {c}" for c in columns) + "}) AS VARCHAR)"
+    return "CAST(to_json({" + ", ".join(f"'{c}': " + (f"round({c}, 6)" if c == "extraction_confidence" else c) for c in columns) + "}) AS VARCHAR)"
 
 
 @query("api_detail_json", f"SELECT accession_no, {_row_sql([*DETAIL, 'candidate_ids'])} AS body FROM ({_DETAIL})")
 def _(f):
     """Every filing's detail as JSON; null fields are told as null."""
     detail = _detail(f.view, f.sections)
-    return detail.select("accession_no", F.to_json(F.struct(*DETAIL, "candidate_ids"), {"ignoreNullFields": "false"}).alias("body"))
+    return detail.select("accession_no", F.to_json(F.struct(*_told(DETAIL), "candidate_ids"), {"ignoreNullFields": "false"}).alias("body"))
 
 
 @query("api_section_text", "SELECT id, CAST(to_json({'text': text, 'html': '<h4 class=\"risk\">' || text || '</h4>'}) AS VARCHAR) AS body FROM sections")
@@ -90,7 +94,7 @@ def _(f):
 @query("api_filings_json", f"SELECT accession_no, {_row_sql(LISTED)} AS body FROM visible")
 def _(f):
     """Rows as JSON without the long section text."""
-    return visible(f.view).select("accession_no", F.to_json(F.struct(*LISTED), {"ignoreNullFields": "false"}).alias("body"))
+    return visible(f.view).select("accession_no", F.to_json(F.struct(*_told(LISTED)), {"ignoreNullFields": "false"}).alias("body"))
 
 
 @query("scan_accessions", "SELECT accession_no FROM filings")

@@ -145,8 +145,7 @@ def _(f):
 
 @query("filing_url", "SELECT accession_no, 'https://filings.example/data/' || ltrim(cik, '0') || '/' || replace(accession_no, '-', '') || '/' || accession_no || '-index.htm' AS url FROM filings")
 def _(f):
-    url = F.concat(F.lit("https://filings.example/data/"), F.ltrim(F.col("cik"), F.lit("0")), F.lit("/"), F.replace("accession_no", F.lit("-"), F.lit("")), F.lit("/"), "accession_no", F.lit("-index.htm"))
-    return f.filings.select("accession_no", url.alias("url"))
+    return f.filings.select("accession_no", M.filing_url(F.col("cik"), F.col("accession_no")).alias("url"))
 
 
 @query("first_pdf_url", "SELECT accession_no, coalesce(min_by(url, seq) FILTER (url LIKE '%.pdf'), '') AS pdf FROM fund_docs GROUP BY 1")
@@ -155,10 +154,10 @@ def _(f):
     return f.fund_docs.groupBy("accession_no").agg(F.coalesce(F.min(pdf)["url"], F.lit("")).alias("pdf"))
 
 
-@query("fetch_text_coalesce", "SELECT page_id, CASE WHEN regexp_replace(html, '<[^>]*>', '', 'g') <> '' THEN 'html' ELSE 'plain' END AS used, length(CASE WHEN regexp_replace(html, '<[^>]*>', '', 'g') <> '' THEN regexp_replace(html, '<[^>]*>', '', 'g') ELSE url END) AS chars FROM pages")
+@query("fetch_text_coalesce")
 def _(f):
-    bare = F.regexp_replace("html", "<[^>]*>", "")
-    return f.pages.select("page_id", F.when(bare != "", "html").otherwise("plain").alias("used"), F.length(F.when(bare != "", bare).otherwise(F.col("url"))).cast("long").alias("chars"))
+    """The cleaned text of every page, its plain text where nothing is left of the markup (no SQL twin: a parser's work)."""
+    return ingest.fetched(f.html_pages.join(f.pages.select("page_id", F.col("url").alias("plain")), "page_id")).select("page_id", "used", F.length("text").cast("long").alias("chars"), F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
 @query("filing_category", f"SELECT accession_no, CASE WHEN replace(form_type, '/A', '') IN {_FUND} THEN 'ETF/Fund' ELSE 'Operating Co.' END AS category FROM filings")
@@ -229,12 +228,12 @@ def _(f):
     return f.spark.read.parquet(target).select("accession_no")
 
 
-@query("stream_monthly_counts", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+@query("stream_monthly_counts", "SELECT strftime(to_timestamp(floor(epoch(ts) / 2592000) * 2592000), '%Y-%m-%d') AS month_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def _(f):
-    """The windowed stream run over the stored events in complete mode; totals by type."""
+    """The windowed stream run over the stored events in complete mode: counts by window and type."""
     folder = work_folder(f.spark, "events")
     f.events.select("ts", "event_type").write.parquet(folder)
     name = "counts_" + folder.rsplit("-", 1)[1]
     counts = stream.monthly_counts(f.spark.readStream.schema(f.events.select("ts", "event_type").schema).parquet(folder))
     counts.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
-    return f.spark.table(name).groupBy("event_type").agg(F.sum("n").alias("n"))
+    return f.spark.table(name).select(F.date_format("window.start", "yyyy-MM-dd").alias("month_start"), "event_type", "n")

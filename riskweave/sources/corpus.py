@@ -38,6 +38,7 @@ BLOCKS = {
     "boiler": BOILER + RISK[:240],
     "thin": "Bitcoin and ethereum are named here once, and the rest of this long passage talks about weather, gardens, rivers and hills. " * 3 + "There is a risk. ",
     "toc": TOC,
+    "report": "\nPart I\nItem 1. Business 3\nItem 2. Discussion 9\nPart II\nItem 1A. Risk Factors 12\nPart I\nItem 1. Business\nThe company keeps offices, gardens and a small museum of clocks.\nItem 2. Discussion\n" + RISK[:700] + "\nItem 7. Discussion and Analysis\n" + RISK[300:] + "\nPart II\nItem 1. Proceedings\n" + RISK + "\nItem 1A. Risk Factors\n" + RISK[200:] + "\nItem 8.01 Other Events\n" + RISK[:600] + "\n",
 }
 
 
@@ -54,8 +55,6 @@ def _pick(expr: str, values: list[str], other: str = "''") -> str:
 FORMS = ["S-1", "S-1/A", "N-1A", "485APOS", "485BPOS", "10-K", "10-Q", "8-K", "D", "10-K/A", "8-K/A"]
 CATEGORIES = ["etf_issuer", "exchange", "broker", "miner", "treasury", "payments", "other"]
 _FUND = "(" + ", ".join(f"'{f}'" for f in fixed.FUND_FORMS) + ")"
-# the sources whose reports come with sections that a parser of their own has found
-_PARSED = "('src0', 'src4', 'src8', 'src12')"
 _ACC = "lpad(cast({c} as varchar(20)), 10, '0') || '-' || substr(cast({d} as varchar(30)), 3, 2) || '-' || lpad(cast({k} as varchar(20)), 9, '0')"
 
 FRAMES = {
@@ -95,27 +94,30 @@ FRAMES = {
       SELECT cast(c_custkey as varchar(20)) AS cik, 'Purpose of ' || c_name AS purpose, CASE c_custkey % 3 WHEN 0 THEN 'BTC' WHEN 1 THEN 'ETH, SOL' ELSE 'BTC, XRP' END AS holdings
       FROM {customer} WHERE c_custkey < 54 AND c_custkey % 2 = 0""",
     "texts": f"""
-      SELECT lpad(cast(doc_id as varchar(20)), 10, '0') || '-24-000001' AS accession_no, doc_id, {_pick("doc_id % 11", FORMS)} AS form_type,
-        replace({_pick("doc_id % 11", FORMS)}, '/A', '') AS root_form, 'Issuer ' || source AS company_name, source,
-        CASE WHEN doc_id % 41 = 0 THEN '' ELSE coalesce(text, '')
-          || CASE WHEN doc_id % 4 = 1 THEN {literal(BLOCKS["toc"])} ELSE '' END
-          || CASE doc_id % 13 WHEN 0 THEN {literal(BLOCKS["body"])} WHEN 1 THEN {literal(BLOCKS["short"])} WHEN 2 THEN {literal(BLOCKS["prospectus"])} WHEN 3 THEN {literal(BLOCKS["reference"])}
-             WHEN 4 THEN {literal(BLOCKS["paragraphs"])} WHEN 5 THEN {literal(BLOCKS["body"] + BLOCKS["prospectus"])} WHEN 6 THEN {literal(BLOCKS["body"] + BLOCKS["body"])} WHEN 7 THEN {literal(RISK)} ELSE '' END END AS text
-      FROM {{documents}}""",
+      SELECT lpad(cast(doc_id as varchar(20)), 10, '0') || '-24-000001' AS accession_no, doc_id, {_pick("n % 11", FORMS)} AS form_type,
+        replace({_pick("n % 11", FORMS)}, '/A', '') AS root_form, 'Issuer ' || source AS company_name, source,
+        CASE WHEN doc_id < 0 THEN '' ELSE coalesce(text, '')
+          || CASE WHEN n % 4 = 1 THEN {literal(BLOCKS["toc"])} ELSE '' END
+          || CASE n % 13 WHEN 0 THEN {literal(BLOCKS["body"])} WHEN 1 THEN {literal(BLOCKS["short"])} WHEN 2 THEN {literal(BLOCKS["prospectus"])} WHEN 3 THEN {literal(BLOCKS["reference"])}
+             WHEN 4 THEN {literal(BLOCKS["paragraphs"])} WHEN 5 THEN {literal(BLOCKS["body"] + BLOCKS["prospectus"])} WHEN 6 THEN {literal(BLOCKS["body"] + BLOCKS["body"])} WHEN 7 THEN {literal(RISK)}
+             WHEN 8 THEN {literal(BLOCKS["report"])} ELSE '' END END AS text
+      FROM (SELECT doc_id, doc_id AS n, source, text FROM {{documents}} UNION ALL SELECT -1 - doc_id AS doc_id, doc_id AS n, 'edge' AS source, '' AS text FROM {{documents}} WHERE doc_id % 41 = 0) d""",
     "passages": f"""
-      SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN {literal(RISK)} WHEN 1 THEN {literal(BLOCKS["fees"])} WHEN 2 THEN {literal(BLOCKS["boiler"])} WHEN 3 THEN {literal(BLOCKS["thin"])} WHEN 4 THEN {literal(RISK + RISK + BOILER)} WHEN 5 THEN 'Too short.' ELSE '' END
-        || CASE WHEN doc_id % 7 = 5 THEN '' ELSE coalesce(text, '') END AS text
-      FROM {{documents}}""",
+      SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN {literal(RISK)} WHEN 1 THEN {literal(BLOCKS["fees"])} WHEN 2 THEN {literal(BLOCKS["boiler"])} WHEN 3 THEN {literal(BLOCKS["thin"])} WHEN 4 THEN {literal(RISK + RISK + BOILER)} ELSE '' END
+        || coalesce(text, '') AS text
+      FROM {{documents}} UNION ALL SELECT -1 - doc_id AS doc_id, 'Too short.' AS text FROM {{documents}} WHERE doc_id % 7 = 5""",
     "fund_docs": f"""
       SELECT 'F' || cast((doc_id - doc_id % 8) as varchar(20)) AS accession_no, cast(doc_id % 8 as int) AS seq, source || '-' || cast(doc_id as varchar(20)) AS name,
         CASE WHEN doc_id % 9 = 0 THEN 'GRAPHIC' ELSE 'EX-99' END AS type, 'https://filings.example/' || cast(doc_id as varchar(20)) || CASE WHEN doc_id % 3 = 0 THEN '.pdf' ELSE '.htm' END AS url,
         CASE WHEN doc_id % 9 = 0 THEN 1 ELSE 0 END AS is_binary,
         coalesce(text, '') || CASE doc_id % 5 WHEN 0 THEN {literal(chr(10) + "The Northern Light Bitcoin Fund seeks growth. " + RISK[:500])} WHEN 1 THEN {literal(RISK)} ELSE '' END AS text
       FROM {{documents}}""",
-    "typed": f"""
-      SELECT accession_no, doc_id, root_form, 0 AS seq, 'risk_factors' AS section_type, {literal(RISK)} || text AS text FROM {{texts}} WHERE root_form IN ('10-K', '10-Q', '8-K') AND source IN {_PARSED}
-      UNION ALL SELECT accession_no, doc_id, root_form, 1 AS seq, 'business' AS section_type, text FROM {{texts}} WHERE root_form IN ('10-K', '10-Q', '8-K') AND source IN {_PARSED}
-      UNION ALL SELECT accession_no, doc_id, root_form, 2 AS seq, 'notes' AS section_type, {literal(RISK[:450])} AS text FROM {{texts}} WHERE root_form IN ('10-K', '10-Q', '8-K') AND source IN {_PARSED}""",
+    "work": """
+      SELECT accession_no, doc_id, cast(abs(doc_id) % 60 as varchar(20)) AS cik, company_name, CASE WHEN doc_id % 4 = 0 THEN '' ELSE 'T' || cast(abs(doc_id) % 60 as varchar(20)) END AS ticker, form_type, root_form,
+        '2024-0' || cast(1 + abs(doc_id) % 9 as varchar(20)) || '-15' AS filing_date, CASE WHEN doc_id % 3 = 0 THEN 'stablecoin' ELSE '' END AS keyword
+      FROM {texts}""",
+    "attachments": """
+      SELECT lpad(substr(accession_no, 2), 10, '0') || '-24-000001' AS accession_no, seq, name, type, url, is_binary, text FROM {fund_docs}""",
     "html_pages": """
       SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '<table><tr><td>Table of Contents</td></tr><tr><td>Item 1</td><td>3</td></tr><tr><td>Item 2</td><td>14</td></tr><tr><td>Item 3</td><td>25</td></tr></table>' ELSE '' END
         || coalesce(html, '') AS html, CASE WHEN page_id % 3 = 0 THEN 'Item 1 . 3 Item 2 . 14 Item 3 . 25' WHEN page_id % 3 = 1 THEN 'Table of Contents' ELSE 'Revenue 3 and 14' END AS table_text

@@ -6,29 +6,40 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-
+from pyspark.sql.streaming import StreamingQuery
 
 #: Source files of one commit, where a run is to be committed piece by piece.
 COMMIT_FILES = 25
 
 
-def ingest(spark: SparkSession, source: str, schema, stored: DataFrame, target: str, checkpoint: str, files: int = COMMIT_FILES, told: Callable[[int, int], None] | None = None) -> None:
+def ingest(spark: SparkSession, source: str, schema, stored: DataFrame, target: str, checkpoint: str, files: int = COMMIT_FILES, told: Callable[[int], None] | None = None) -> StreamingQuery:
     """Take what stands in ``source`` now: drop stored and repeated accessions, append the rest to ``target``.
 
-    The stream's own state keeps accessions of earlier runs out; each micro-batch of
-    ``files`` files is one commit unit, written under its id so that a repeated batch
-    replaces itself. ``told`` hears how many rows each commit saved and that none failed.
+    The stream keeps no state of its own, however long it runs: what earlier commits took
+    is the target, and each micro-batch is joined against its keys and the stored ones.
+    A micro-batch of ``files`` files is one commit unit, written under its id so that a
+    repeated batch replaces itself. ``told`` hears how many rows each commit saved.
     """
-    new = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source).dropDuplicates(["accession_no"])
     known = stored.select("accession_no").distinct()
 
     def take(batch: DataFrame, batch_id: int) -> None:
         path = f"{target}/batch={batch_id}"
-        batch.join(known, "accession_no", "left_anti").write.mode("overwrite").parquet(path)
+        taken = spark.read.schema(f"{_ddl(batch)}, batch long").parquet(target).where(F.col("batch") < batch_id) if batch_id else None
+        fresh = batch.dropDuplicates(["accession_no"]).join(known, "accession_no", "left_anti")
+        if taken is not None:
+            fresh = fresh.join(taken.select("accession_no"), "accession_no", "left_anti")
+        fresh.write.mode("overwrite").parquet(path)
         if told is not None:
-            told(spark.read.schema(batch.schema).parquet(path).count(), 0)
+            told(spark.read.schema(batch.schema).parquet(path).count())
+
+    new = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source)
+    query = new.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(take).start()
+    query.awaitTermination()
+    return query
+
 
-    new.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(take).start().awaitTermination()
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{name}` {kind}" for name, kind in df.dtypes)
 
 
 def monthly_counts(events: DataFrame) -> DataFrame:

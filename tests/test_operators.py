@@ -10,11 +10,10 @@ from pyspark.sql import functions as F
 from riskweave.functions import display as D
 from riskweave.functions import text as T
 from riskweave.operators import extract as E
-from riskweave.operators import filters, ingest, store, warehouse
+from riskweave.operators import filters, ingest, records, store, warehouse
 from riskweave.operators import summary as Y
 from riskweave.sources import search, sinks
-from riskweave.sources.corpus import BLOCKS, RISK
-from riskweave.streaming import control
+from riskweave.sources.corpus import BLOCKS, RISK, Frames
 from riskweave.streaming import ingest as stream
 
 TEXT = "doc_id long, root_form string, text string"
@@ -52,13 +51,41 @@ def test_prospectus_skips_references(spark):
 
 
 def test_strategies_and_dedup(spark):
-    rows = texts(spark, (1, "10-K", BLOCKS["body"]), (2, "10-Q", BLOCKS["short"]), (3, "485APOS", BLOCKS["prospectus"]), (4, "8-K", BLOCKS["paragraphs"]), (5, "10-K", "nothing here " * 60), (6, "10-K", None))
-    typed = spark.createDataFrame([(4, "8-K", 0, "item", RISK), (4, "8-K", 1, "item", RISK + " ")], "doc_id long, root_form string, seq int, section_type string, text string")
-    found = E.candidates(rows, typed)
-    assert {(r.doc_id, r.strategy) for r in found.collect()} == {(1, "B"), (2, "D"), (3, "C"), (4, "A")}
+    item = "\nItem 8.01 Other Events\n" + RISK
+    rows = texts(spark, (1, "10-Q", BLOCKS["body"]), (2, "10-Q", BLOCKS["short"]), (3, "485APOS", BLOCKS["prospectus"]), (4, "8-K", item + item.replace("8.01", "7.01")), (5, "10-K", "nothing here " * 60), (6, "10-K", None), (7, "10-K", BLOCKS["toc"] + BLOCKS["body"]))
+    found = E.candidates(rows)
+    got = {(r.doc_id, r.strategy, r.section_type, r.title) for r in found.collect()}
+    assert got == {
+        (1, "B", "risk_factors", "Item 1A"), (2, "D", "risk_factors", "Item 1A (lenient)"), (3, "C", "principal_risks", "Principal Investment Risks"),
+        (4, "A", "current_report_item", "Item 8.01"), (4, "A", "current_report_item", "Item 7.01"), (7, "A", "risk_factors", "TenK.risk_factors"),
+    }
     best = E.distinct_best(found).collect()
-    assert [r.place for r in best if r.doc_id == 4] == [1]
-    assert E.distinct_best(found.select("doc_id", "strategy", "seq", "method", "text", "confidence").unionByName(found)).count() == len(best)
+    assert [(r.place, r.title) for r in best if r.doc_id == 4] == [(1, "Item 8.01")]  # the other is the same text
+    assert E.distinct_best(found.unionByName(found)).count() == len(best)
+
+
+def test_sections_of_a_report(spark):
+    long = "words that fill a section of a report " * 20
+    report = f"Part I\nItem 1A. Contents 4\nPart II\nItem 1A. Contents 9\nPart I\n Item 2. Discussion\n{long}see Item 1A for more\nPart II\nITEM 1. Suits\n{long}\nItem 1 A: Risks\n{long}{long}\nItem 6. Exhibits\nnone\n"
+    rows = texts(spark, (1, "10-Q", "\n" + report), (2, "10-K", "\n" + report), (3, "8-K", f"\nItem 2.02 Results\nshort\nItem 9.01 Exhibits\n{long}\nItem 2.02 Results\n{long}{long}"), (4, "S-1", "\n" + report), (5, "10-K", None), (6, "10-Q", "Item 1A at the very start " + long))
+    got = {}
+    for r in rows.select("doc_id", F.inline(E.typed_sections(F.col("text"), F.col("root_form")))).collect():
+        got.setdefault(r.doc_id, []).append((r.seq, r.section_type, r.title, r.text[:14], len(r.text) > 1000))
+    assert got == {
+        1: [(0, "risk_factors", "Part II, Item 1A", "Item 1 A: Risk", True), (1, "legal_proceedings", "Part II, Item 1", "ITEM 1. Suits\n", False), (2, "mda", "Part I, Item 2", "Item 2. Discus", False)],
+        2: [(0, "risk_factors", "TenK.risk_factors", "Item 1 A: Risk", True), (2, "business", "TenK.business", "ITEM 1. Suits\n", False)],
+        3: [(0, "current_report_item", "Item 2.02", "Item 2.02 Resu", True), (1, "current_report_item", "Item 9.01", "Item 9.01 Exhi", False)],
+    }
+
+
+def test_expressions_say_what_the_frames_say(spark):
+    """The one-expression check and paragraph text against those over frames."""
+    rows = texts(spark, *[(i, "D", t) for i, t in enumerate([*BLOCKS.values(), "", None, RISK * 30, "\n\n".join([RISK[:230]] * 400)])])
+    one = rows.select("doc_id", E.verdict(F.col("text")).alias("v")).select("doc_id", "v.*")
+    assert sorted(map(tuple, one.collect())) == sorted((r.doc_id, r.reason, r.confidence) for r in E.check(rows).collect())
+    own = {r.doc_id: r.t for r in rows.select("doc_id", E.telling_paragraphs(F.col("text")).alias("t")).collect()}
+    of_frame = {r.doc_id: r.text for r in E.paragraph_text(rows.select("doc_id", "text"), "doc_id").collect()}
+    assert {k: v for k, v in own.items() if v} == of_frame and 60_000 < len(of_frame[len(BLOCKS) + 3]) < 62_000
 
 
 def test_html(spark):
@@ -184,21 +211,20 @@ def test_paragraph_fallback_measures_the_paragraphs(spark):
     line = "Bitcoin and ethereum custody is a risk of loss and theft, and a failure of the exchange may cause loss of digital assets."
     few = "\n\n".join(["Bread and cheese are quiet things to write about here."] * 30 + [line] * 3)
     more = "\n\n".join([line + f" It is number {i}." for i in range(6)])
-    got = E.candidates(texts(spark, (1, "D", few), (2, "D", more)), texts(spark).limit(0).select("doc_id", "root_form", F.lit(0).alias("seq"), F.lit("").alias("section_type"), "text"))
+    got = E.candidates(texts(spark, (1, "D", few), (2, "D", more)))
     assert [(r.doc_id, r.strategy, r.method) for r in got.collect()] == [(2, "E", "paragraph_density")]
 
 
 def test_lenient_pairs_are_named_as_such(spark):
-    got = E.candidates(texts(spark, (1, "10-K", BLOCKS["short"])), texts(spark).limit(0).select("doc_id", "root_form", F.lit(0).alias("seq"), F.lit("").alias("section_type"), "text"))
+    got = E.candidates(texts(spark, (1, "10-Q", BLOCKS["short"])))
     assert [r.method for r in got.collect()] == ["boundary_pair_lenient"]
 
 
 def test_a_better_document_of_a_shared_filing(spark):
-    typed = texts(spark).limit(0).select("doc_id", "root_form", F.lit(0).alias("seq"), F.lit("").alias("section_type"), "text")
-    rows = texts(spark, (1, "485APOS", "nothing here " * 60), (2, "10-K", BLOCKS["body"]), (3, "N-1A", "nothing here " * 60))
+    rows = texts(spark, (1, "485APOS", "nothing here " * 60), (2, "10-Q", BLOCKS["body"]), (3, "N-1A", "nothing here " * 60))
     filings = rows.select("doc_id", "root_form", F.concat(F.lit("f"), "doc_id").alias("accession_no"))
     docs = spark.createDataFrame([("f1", 0, "dull " * 200, 0), ("f1", 1, BLOCKS["prospectus"], 9), ("f2", 0, BLOCKS["prospectus"], 9), ("f3", 0, BLOCKS["prospectus"], 2)], "accession_no string, seq int, text string, crypto_score int")
-    got = E.with_best_document(rows, typed, filings, docs).collect()
+    got = E.with_best_document(rows, filings, docs).select("doc_id", F.inline("best")).collect()
     assert sorted((r.doc_id, r.src, r.strategy, r.place) for r in got) == [(1, 1, "C", 1), (2, 0, "B", 1)]
 
 
@@ -241,32 +267,62 @@ def test_warehouse(spark, tmp_path):
         old.reset()
 
 
-def test_one_run_at_a_time():
-    run = control.Run()
-    with run.only():
-        run.update(3, 9, 2, 1)
-        assert run.status()["message"] == "Processing 3/9 (saved: 2)"
-        with pytest.raises(control.AlreadyRunning), run.only():
-            pass
-        assert run.status()["running"]
-    assert not run.status()["running"] and run.status()["last_run"]
-    with pytest.raises(ValueError), run.only():
-        raise ValueError("x" * 300)
-    assert run.status()["message"] == "Error: " + "x" * 200 and not run.status()["running"]
-
-
-def test_described_errors():
-    assert control.described(ValueError("y" * 200)) == "ValueError: " + "y" * 120
-    assert control.described(ValueError()) == "ValueError" and control.described(KeyError(" ")) == "KeyError: ' '"
-
-
-def test_commits_tell_their_progress(spark, tmp_path):
+def test_a_write_that_fails_between_tables_changes_nothing(spark, tmp_path):
+    house = warehouse.Warehouse(spark, f"file://{tmp_path}/house", wait=0.01)
+    house.init()
+    blank = {c.strip().split(" ")[0]: "" for c in warehouse.SCHEMAS["filings"].split(",")} | {"tier": 1}
+    filings = spark.createDataFrame([tuple((blank | {"accession_no": "a"}).values())], warehouse.SCHEMAS["filings"])
+    docs = spark.createDataFrame([], "accession_no string, seq int, name string, type string, text string, crypto_score int, fund_name string")
+    found = spark.createDataFrame([("a", 1, "s", "m", "", "y", 0.5)], "accession_no string, place int, section_type string, method string, title string, text string, confidence double")
+    broken = spark.createDataFrame([("a", "m", "told")], "accession_no string, model string, summary string").withColumn("summary", F.raise_error(F.lit("no reply")).cast("string"))
+    with pytest.raises(Exception, match="no reply"):
+        house.save(filings, docs, found, broken)
+    assert house.read("filings").count() == house.read("sections").count() == 0
+    house.save(filings, docs, found, broken.select("accession_no", "model", F.lit("told").alias("summary")))
+    assert house.read("filings").count() == house.read("sections").count() == house.read("summaries").count() == 1
+
+
+def test_records_of_a_run(spark):
+    """What is dropped, what is told of a filing and where it comes from; the expected values are typed."""
+    work = spark.createDataFrame(
+        [("a-1", "7", "Ace Ñandú Inc", "ACE", "10-K", "10-K", "2024-01-02", ""), ("b-1", "99", "Bee", "", "485APOS", "485APOS", "2024-02-03", "DeFi"), ("c-1", "1", "Cee", "", "8-K", "8-K", "", ""), ("d-1", "1", "Dee", "", "D", "D", "", ""), ("e-1", "1", "Eee", "", "D", "D", "", "")],
+        "accession_no string, cik string, company_name string, ticker string, form_type string, root_form string, filing_date string, keyword string",
+    )
+    said = spark.createDataFrame([("a-1", "A blockchain story." + BLOCKS["body"]), ("b-1", "nothing here " * 60), ("c-1", "too short"), ("d-1", "dull " * 99)], "accession_no string, text string")
+    files = [("a-1", 0, "x", "EX", "u.pdf", 0, BLOCKS["prospectus"]), ("b-1", 0, "dull", "EX", "u.htm", 0, "dull " * 200), ("b-1", 1, "good", "EX", "v.pdf", 0, "\nThe Northern Light Bitcoin Fund grows." + BLOCKS["prospectus"]), ("b-1", 2, "image", "GRAPHIC", "w.pdf", 1, RISK), ("b-1", 6, "late", "EX", "x.htm", 0, RISK * 3)]
+    attached = spark.createDataFrame(files, "accession_no string, seq int, name string, type string, url string, is_binary int, text string")
+    companies = spark.createDataFrame([("7", "miner")], "cik string, category string")
+    made = records.compose(work, said, attached, companies, spark.createDataFrame([], "cik string, holdings string"), "now")
+    filings = {r.accession_no: r for r in made.filings.collect()}
+    assert made.filings.columns == list(records.FILING) and set(filings) == {"a-1", "b-1"}
+    a, b = filings["a-1"], filings["b-1"]
+    assert (a.company_name, a.filing_category, a.tier, a.search_keyword, a.filing_pdf_url, a.fetched_at) == ("Ace Nandu Inc", "Operating Co.", 2, "cryptocurrency", "u.pdf", "now")
+    assert a.sec_url == "https://filings.example/data/7/a1/a-1-index.htm" and a.crypto_connection.startswith("Reports blockchain or bitcoin or digital assets") and "BTC" in a.top_holdings
+    assert (b.search_keyword, b.filing_pdf_url, b.crypto_connection, b.tier) == ("DeFi", "v.pdf", "Crypto-related filing.", 1)
+    sections = [(r.accession_no, r.place, r.src, r.strategy, r.section_type, r.title) for r in made.sections.orderBy("accession_no", "place").collect()]
+    assert sections == [("a-1", 1, 0, "A", "risk_factors", "TenK.risk_factors"), ("b-1", 1, 1, "C", "principal_risks", "Principal Investment Risks")]
+    assert sorted((r.accession_no, r.seq, r.crypto_score > 2, r.fund_name) for r in made.documents.collect()) == [("b-1", 0, False, ""), ("b-1", 1, True, "The Northern Light Bitcoin Fund")]
+    told = {r.accession_no: r for r in made.summaries.collect()}
+    assert set(told) == {"a-1", "b-1"} and told["a-1"].summary.startswith("Ace Ñandú Inc — annual report involving Bitcoin") and told["a-1"].model == "template-v1"
+
+
+def test_candidates_are_found_once(spark):
+    """The outputs read the stage table: no output's plan has a strategy in it."""
+    f = Frames(spark, "/root/testdata/sf0.001")
+    made = records.compose(f.work.drop("doc_id"), f.texts.select("accession_no", "text"), f.attachments, f.companies, f.details, "now")
+    for df in (made.sections, made.filings, made.summaries):
+        assert "Principal Investment Risks" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_stream_holds_no_state_and_takes_each_accession_once(spark, tmp_path):
+    """Many commits, a restart in the middle: what was taken is in the target, not in the stream's state."""
     source, target, state = (f"file://{tmp_path}/{n}" for n in ("hits", "taken", "state"))
-    for part in (["a", "b"], ["b", "c"], ["d"]):
-        spark.createDataFrame([(x,) for x in part], "accession_no string").coalesce(1).write.mode("append").parquet(source)
-    run, calls = control.Run(), []
-    tell = control.counted(run, 4)
     stored = spark.createDataFrame([("d",)], "accession_no string")
-    stream.ingest(spark, source, "accession_no string", stored, target, state, files=1, told=lambda saved, failed: (calls.append(saved), tell(saved, failed)))
-    assert len(calls) == 3 and sum(calls) == 3 and run.status()["saved"] == 3
-    assert sorted(r.accession_no for r in spark.read.parquet(target).collect()) == ["a", "b", "c"]
+    calls = []
+    for parts in ([["a", "b"], ["b", "c"]], [["d"], ["a", "e", "e"], ["b"]]):
+        for part in parts:
+            spark.createDataFrame([(x,) for x in part], "accession_no string").coalesce(1).write.mode("append").parquet(source)
+        query = stream.ingest(spark, source, "accession_no string", stored, target, state, files=1, told=calls.append)
+        assert not query.lastProgress.stateOperators
+    assert len(calls) == 5 and sum(calls) == 4
+    assert sorted(r.accession_no for r in spark.read.parquet(target).collect()) == ["a", "b", "c", "e"]
