@@ -10,9 +10,11 @@ texts a backslash is doubled, and every control string (``CONTROL``) gets a back
 behind its first character, so that no control string of a text survives as one.
 ``unescape`` drops one backslash before any character: the exact inverse.
 
-A record of over ``WIDE`` characters may be too long for a variant, which holds 128 MB:
-its fields are read as text instead, and its field names, two levels deep as all
-mappings are, select the mapping. Any text that a string can hold is formatted.
+A record of over ``WIDE`` characters may be too long for a variant, which holds 128 MB.
+Its outline, the record with every string value emptied, goes through the same rule: the
+outline's field paths are the record's, so the fingerprint is the same at any length.
+Only the strings themselves are then read by a schema; any that a string can hold is
+formatted. (The outline must fit a variant: some millions of turns in one record.)
 
 Defined results: null texts and roles count as empty; a record that isn't JSON or whose
 fingerprint has no mapping gives no turns and is found by ``unmapped``; rows with equal
@@ -35,9 +37,9 @@ from riskweave.llm import common
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 #: Strings that mean something to a chat template, ours or another.
 CONTROL = ("<|", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
-_CONTROL = r"(<|\[)(?=\||s>|/s>|<SYS>>|</SYS>>|INST\]|/INST\])"
+_CONTROL = r"(<(?=\||s>|/s>|<SYS>>|</SYS>>)|\[(?=/?INST\]))"
 TURN = "struct<ord:bigint,role:string,text:string>"
-#: A record of more characters may not fit a variant; its fields are read by a schema instead.
+#: A record of more characters may not fit a variant; its strings are read by a schema instead.
 WIDE = 4 << 20
 _LONG = {"maxStringLen": "2147483647"}
 
@@ -103,38 +105,53 @@ def _from_variant(m: Mapping, v: Column) -> Column:
     return F.array(*[F.struct(F.lit(i).cast("bigint").alias("ord"), F.lit(role).alias("role"), F.try_variant_get(v, f"$.{path}", "string").alias("text")) for i, (role, path) in enumerate(m.fixed)])
 
 
-def _wide_turns(record: Column, mappings: tuple[Mapping, ...]) -> Column:
-    """The turns of a record too long for a variant: its fields are read as text, its field names select the mapping."""
+def outline(record: Column) -> Column:
+    """A JSON text with all string values emptied; field names, numbers and the rest stay as they are."""
+    held = F.replace(F.replace(record, F.lit("\\\\"), F.lit("\x01b")), F.lit('\\"'), F.lit("\x01q"))  # so that a quote is an end of a string
+    back = lambda t: F.replace(F.replace(t, F.lit("\x01q"), F.lit('\\"')), F.lit("\x01b"), F.lit("\\\\"))
+    tokens = F.regexp_extract_all(held, F.lit(r'"[^"]*"(?:\s*:)?|[^"]+'), 0)
+    return F.array_join(F.transform(tokens, lambda t: F.when(t.startswith('"') & ~t.endswith(":"), F.lit('""')).otherwise(back(t))), "")
+
+
+def _wide_turns(m: Mapping, v: Column, record: Column) -> Column:
+    """The turns that mapping ``m`` finds in a record whose outline is ``v``: strings come from the record, all else from the outline."""
     fields = F.from_json(record, "map<string,string>", _LONG)
-    names = F.array_sort(F.map_keys(fields))
-    chosen = F.lit(None).cast(f"array<{TURN}>")
-    for m in reversed(mappings):
-        test = names == F.array(*[F.lit(k) for k in sorted(json.loads(m.example))])
-        if m.row:
-            at, role, text = m.row
-            turns = F.array(F.struct(fields[at].try_cast("bigint").alias("ord"), fields[role].alias("role"), fields[text].alias("text")))
-        elif m.turns:
-            items = F.from_json(fields[m.turns], "array<map<string,string>>", _LONG)
-            test = test & F.coalesce(F.forall(items, _has(m.role, m.text)), F.lit(False)) & (F.size(items) > 0)
-            turns = F.transform(items, _wide_message(m))
-        else:
-            turns = F.array(*[F.struct(F.lit(i).cast("bigint").alias("ord"), F.lit(role).alias("role"), fields[path].alias("text")) for i, (role, path) in enumerate(m.fixed)])
-        if m.roles:
-            turns = F.transform(turns, _renamed(dict(m.roles)))
-        chosen = F.when(test, turns.cast(f"array<{TURN}>")).otherwise(chosen)
-    return chosen
+
+    def leaf(x: Column, path: str, told: Column) -> Column:
+        s = F.try_variant_get(x, f"$.{path}", "string")
+        return F.when(s == "", told).otherwise(s)  # no leaf but a string is empty
+
+    if m.row:
+        at, role, text = m.row
+        return F.array(F.struct(leaf(v, at, fields[at]).try_cast("bigint").alias("ord"), leaf(v, role, fields[role]).alias("role"), leaf(v, text, fields[text]).alias("text")))
+    if m.turns:
+        items = F.from_json(fields[m.turns], "array<map<string,string>>", _LONG)
+
+        def one(both: Column, i: Column) -> Column:
+            x, told = both["x"], both["told"]
+            return F.struct(i.cast("bigint").alias("ord"), leaf(x, m.role, told[m.role]).alias("role"), leaf(x, m.text, told[m.text]).alias("text"))
+
+        return F.transform(F.arrays_zip(F.try_variant_get(v, f"$.{m.turns}", "array<variant>").alias("x"), items.alias("told")), one)
+    return F.array(*[F.struct(F.lit(i).cast("bigint").alias("ord"), F.lit(role).alias("role"), leaf(v, path, fields[path]).alias("text")) for i, (role, path) in enumerate(m.fixed)])
+
+
+def _parsed(record: Column) -> Column:
+    """The variant whose field paths are the record's: the record itself, or its outline where it is wide; null if it isn't JSON."""
+    wide = F.length(record) > WIDE
+    whole = F.from_json(record, "map<string,string>", _LONG).isNotNull()
+    return F.when(wide, F.when(whole, F.try_parse_json(outline(record)))).otherwise(F.try_parse_json(F.when(~wide, record)))
 
 
 def canonical_turns(records: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
     """(id, ord, sub, role, text) for each turn of ``records`` (id, record: JSON text)."""
+    parsed = records.select("id", "record", _parsed(F.col("record")).alias("v")).withColumn("paths", fingerprint(F.col("v")))
     wide = F.length("record") > WIDE
-    parsed = records.select("id", "record", F.try_parse_json(F.when(~wide, F.col("record"))).alias("v")).withColumn("paths", F.sha2(field_paths(F.col("v")), 256))
-    chosen = F.when(wide, _wide_turns(F.col("record"), mappings))
-    for m in mappings:
-        turns = _from_variant(m, F.col("v"))
+    chosen = F.lit(None).cast(f"array<{TURN}>")
+    for m in reversed(mappings):
+        turns = F.when(wide, _wide_turns(m, F.col("v"), F.col("record")).cast(f"array<{TURN}>")).otherwise(_from_variant(m, F.col("v")).cast(f"array<{TURN}>"))
         if m.roles:
             turns = F.transform(turns, _renamed(dict(m.roles)))
-        chosen = chosen.when(F.col("paths") == F.sha2(F.lit(_paths_of(m.example)), 256), turns)
+        chosen = F.when(F.col("paths") == F.sha2(F.lit(_paths_of(m.example)), 256), turns.cast(f"array<{TURN}>")).otherwise(chosen)
     return parsed.select("id", F.inline(chosen.cast(f"array<{TURN}>"))).select("id", "ord", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
 
 
@@ -145,20 +162,6 @@ def _message(m: Mapping):
     return one
 
 
-def _has(*names: str):
-    def one(x: Column) -> Column:
-        return F.array_sort(F.map_keys(x)) == F.array(*[F.lit(k) for k in sorted(names)])
-
-    return one
-
-
-def _wide_message(m: Mapping):
-    def one(x: Column, i: Column) -> Column:
-        return F.struct(i.cast("bigint").alias("ord"), x[m.role].alias("role"), x[m.text].alias("text"))
-
-    return one
-
-
 def _renamed(names: dict[str, str]):
     def one(t: Column) -> Column:
         role = t["role"]
@@ -172,11 +175,9 @@ def _renamed(names: dict[str, str]):
 def unmapped(records: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
     """Records that aren't JSON (null paths) or whose fingerprint selects no mapping."""
     known = [F.sha2(F.lit(_paths_of(m.example)), 256) for m in mappings]
-    wide = F.length("record") > WIDE
     paths = common.free_name(records.columns, "paths")
-    parsed = records.withColumn(paths, field_paths(F.try_parse_json(F.when(~wide, F.col("record")))))
-    lost = F.when(wide, _wide_turns(F.col("record"), mappings).isNull()).otherwise(F.col(paths).isNull() | ~F.sha2(paths, 256).isin(*known))
-    return parsed.where(lost)
+    parsed = records.withColumn(paths, field_paths(_parsed(F.col("record"))))
+    return parsed.where(F.col(paths).isNull() | ~F.sha2(paths, 256).isin(*known))
 
 
 def escape(text: Column) -> Column:

@@ -4,6 +4,7 @@ import hashlib
 import json
 import re
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -128,6 +129,44 @@ def test_long_records_lose_no_turn(spark, monkeypatch):
     assert (turns(), lost()) == want
 
 
+@pytest.mark.parametrize("wide", [5, 40])
+def test_one_rule_for_all_lengths(spark, monkeypatch, wide):
+    """Nested values, numbers, nulls and odd names map alike whether a record is wide or not; the mapped ones are typed."""
+    records = [
+        r'{"messages":[{"role":"user","content":[{"type":"text","text":"x"}]}]}', r'{"prompt":{"a":1},"completion":"x"}', r'{"prompt":[1,2],"completion":"x"}',
+        r'{"prompt":1.50,"completion":1e3}', r'{"prompt":null,"completion":true}', r'{"turn":"3","role":5,"text":""}', r'{"turn":2.0,"role":"a","text":-0.0}',
+        r'{"prompt":"{\"a\": [1]}","completion":"\\\": \\\\"}', r'{ "prompt" : "a: \"b\":" , "completion":",\":" }', r'{"messages":[{"role":"user","content":":"},{"content":7,"role":null}]}',
+        r'{"messages":[]}', r'{"messages":[{"role":"user"},{"role":"x","content":"y"}]}', r'{"messages":[{"role":"u","content":"v"},5]}', r'{"prompt":"a","prompt":"b","completion":"c"}', r'{"prompt":"a","completion":"b"', r'["a"]', r'"prompt"',
+        r'{"prom\"pt":"a","completion":"b"}', r'{"prompt":"\u0041\n","completion":"\ud83d\ude42"}', r'{"instruction":"","input":"","output":""}',
+    ]
+    df = spark.createDataFrame(list(enumerate(records)), "id long, record string")
+    turns = lambda: sorted(map(str, cf.canonical_turns(df).collect()))
+    lost = lambda: sorted(r.id for r in cf.unmapped(df).collect())
+    want = turns(), lost()
+    assert {0, 1, 2, 10, 14, 15, 16, 17} <= set(want[1]) and not {3, 4, 5, 7, 8, 9, 18, 19} & set(want[1])
+    monkeypatch.setattr(cf, "WIDE", wide)
+    assert (turns(), lost()) == want
+
+
+def test_only_control_strings_are_escaped(spark):
+    said = "[| [s> <INST] [INST [/INST <<SYS> < s> </SYS>> \\\\[INST] <<SYS>> <</SYS>> <|x|> <s></s>"
+    row = spark.createDataFrame([(said,)], "t string").select(cf.escape(F.col("t")).alias("e")).select("e", cf.unescape(F.col("e")).alias("u")).first()
+    assert row.u == said and len(row.e) == len(said) + said.count("\\") + sum(said.count(c) for c in cf.CONTROL)
+
+
+def test_query_and_sql_agree_on_near_control_strings(spark, tmp_path):
+    import duckdb
+
+    rows = [(1, 0, "user", "[| a <INST] b [s>"), (1, 1, "assistant", "<s> ok [/INST] \\ <|"), (2, 0, "[INST]", None)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = cf.op9_chat_format(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = con.sql(cf.OP9_SQL)
+    columns = sorted(got.columns)
+    assert sorted(want.columns) == columns and sorted(tuple(r[c] for c in columns) for r in got.collect()) == sorted(want.project(", ".join(columns)).fetchall())
+
+
 def test_a_very_long_text(spark):
     """Longer than what a JSON reader takes by default."""
     rows = spark.range(1).select(F.lit(1).alias("id"), F.to_json(F.struct(F.lit(0).alias("turn"), F.lit("assistant").alias("role"), F.expr("repeat('0123456789abcdef', 1400000)").alias("text"))).alias("record"))
