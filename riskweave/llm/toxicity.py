@@ -237,10 +237,17 @@ def _meter(dictionaries: tuple[bytes, bytes]) -> Meter:
 
 
 def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, toxic, text) of the sample: at most ``SAMPLE`` rows a label, so it can be broadcast."""
-    own = labels.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("id"), "toxic")
-    drawn = [common.bounded_sample(own.where(F.col("toxic") == y), n, "id") for y, n in SAMPLE.items()]
-    return docs.select("doc_id", "text").join(F.broadcast(drawn[0].unionByName(drawn[1])), F.col("doc_id") == F.col("id")).select("doc_id", "toxic", "text")
+    """(doc_id, toxic, text) of the sample: different texts with a label, at most ``SAMPLE`` rows of each.
+
+    Rows that repeat an id, its text and its label count once, whichever table repeats
+    them, and the bound is on what comes out of the join.
+    """
+    own = labels.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("toxic").isin(*SAMPLE)).select(F.col("doc_id").alias("id"), "toxic").distinct()
+    keyed = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("key")).join(own, F.col("doc_id") == F.col("id")).select("id", "key", "toxic").distinct()
+    drawn = [common.bounded_sample(keyed.where(F.col("toxic") == y), n, "id", "key") for y, n in SAMPLE.items()]
+    chosen = F.broadcast(drawn[0].unionByName(drawn[1]))  # as many rows as SAMPLE says, at most
+    held = docs.select("doc_id", "text").withColumn("key_", F.sha2(F.coalesce("text", F.lit("")), 256)).join(chosen, (F.col("doc_id") == F.col("id")) & (F.col("key_") == F.col("key")))
+    return held.groupBy("id", "key", "toxic").agg(F.first("text").alias("text")).select(F.col("id").alias("doc_id"), "toxic", "text")
 
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Scorer | None:

@@ -1,5 +1,6 @@
 import math
 import random
+import zlib
 
 import zstandard as zs
 
@@ -90,3 +91,15 @@ def test_pieces_change_nothing(monkeypatch):
     monkeypatch.setattr(tx, "PIECE", 3)
     got = tx.gram_counts(texts), tx.train_dictionaries(texts[:40], texts[40:], tx.gram_counts(texts[:9])[0][::7])
     assert all((a == b).all() for a, b in zip(want[0], got[0], strict=True)) and want[1] == got[1]
+
+
+def test_the_sample_is_bounded_after_the_join(spark, monkeypatch):
+    """Few labels of ids that very many rows share, with and without different texts."""
+    monkeypatch.setattr(tx, "SAMPLE", {1: 30, 0: 40})
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5][:6]
+    docs = spark.createDataFrame([(i, f"text {k % 50} of {i}") for i in ids for k in range(500)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, n % 2) for n, i in enumerate(ids)] * 3 + [(ids[0], 1), (ids[0], None)], "doc_id long, toxic int")
+    got = tx._labelled(docs, labels).collect()
+    assert len({tuple(r) for r in got}) == len(got) and {y: sum(r.toxic == y for r in got) for y in (0, 1)} == {0: 40, 1: 30}
+    monkeypatch.setattr(tx, "SAMPLE", {1: 1000, 0: 1000})
+    assert tx._labelled(docs, labels).count() == 50 * 7
