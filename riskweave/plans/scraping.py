@@ -189,9 +189,10 @@ def _(f):
     return f.filings.select("okey", Y.parsed_reply(reply).alias("r")).select("okey", "r.*")
 
 
-# the search of all forms and keyword batches, and of all companies, through the data source: what is new, at most a hundred of each form from the search
-_DRIVER = f"""pages AS (SELECT okey, source_rank, form_type, hit, okey % 3 AS batch FROM hits),
-searched AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY form_type, batch ORDER BY okey) AS page_nth FROM pages WHERE source_rank = 0) WHERE page_nth <= 100),
+# the search of all forms and keyword batches of some years, and of all companies, through the data source: what is new, at most a hundred of each form from the search
+_FROM, _TO = "1996-01-01", "2000-12-31"
+_DRIVER = f"""pages AS (SELECT okey, form_type, hit, okey % 3 AS batch, json_extract_string(hit, '$._source.file_date') AS file_date FROM hits WHERE source_rank = 0),
+searched AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY form_type, batch ORDER BY okey) AS page_nth FROM pages) WHERE page_nth <= 100 AND file_date BETWEEN '{_FROM}' AND '{_TO}'),
 found AS ({parsed_sql("(SELECT okey, batch AS source_rank, form_type, hit FROM searched)")}), new_found AS (SELECT *, row_number() OVER (PARTITION BY accession_no ORDER BY source_rank, okey) AS again FROM found WHERE accession_no NOT IN ({_STORED})),
 kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY form_type ORDER BY source_rank, okey) AS nth FROM new_found WHERE again = 1) WHERE nth <= 100),
 by_company AS (SELECT accession_no, form_type FROM (SELECT f.accession_no, f.form_type, row_number() OVER (PARTITION BY f.cik, f.form_type ORDER BY filing_date DESC, f.accession_no) AS nth FROM filings f JOIN companies c USING (cik) WHERE f.form_type IN ('10-K', '10-Q', '8-K', 'S-1', 'S-1/A')) WHERE nth <= 20)
@@ -201,18 +202,22 @@ SELECT accession_no, form_type, 'company' AS source FROM by_company WHERE access
 
 @query("search_driver", f", {_DRIVER}")
 def _(f):
-    """All forms and keyword batches read page by page through the search source, then all companies; each new accession once."""
-    batched = f.hits.where("source_rank = 0").withColumn("batch", (F.col("okey") % 3).cast("int"))
-    folder = work_folder(f.spark, "search-pages")
-    search.write_pages(batched, folder)
-    f.spark.dataSource.register(search.FilingSearch)
-    pages = f.spark.read.format("filing_search").option("path", folder).load()
-    hits = pages.where(F.col("position") < search.PAGE).select(F.col("okey"), F.col("batch").alias("source_rank"), "form_type", "hit")
+    """All forms and keyword batches read through the search source, its first pages and some years only, then the listings of all companies; each new accession once."""
+    answers, listings = (work_folder(f.spark, n) for n in ("search-pages", "company-pages"))
+    date = F.get_json_object("hit", "$._source.file_date").alias("file_date")
+    search.write_pages(f.hits.where("source_rank = 0").select(F.col("form_type").alias("key"), (F.col("okey") % 3).alias("sub"), "okey", date, "hit"), answers, "okey")
+    listed = f.filings.where(F.col("form_type").isin(*fixed.COMPANY_FORM_TYPES)).join(f.companies.select("cik"), "cik", "left_semi")
+    entry = F.to_json(F.struct("accession_no"))
+    search.write_pages(listed.select(F.col("cik").alias("key"), F.col("form_type").alias("sub"), F.col("okey"), F.col("filing_date").alias("file_date"), entry.alias("hit"), "accession_no"), listings, F.desc("file_date"), "accession_no")
+
+    wanted = (F.col("position") < search.PAGE) & F.col("file_date").between(_FROM, _TO)
+    hits = search.unbroken(search.read(f.spark, answers).where(wanted))
+    hits = hits.select("okey", F.col("sub").cast("int").alias("source_rank"), F.col("key").alias("form_type"), "hit")
     stored = f.filings.where("okey % 10 = 0").select("accession_no")
     kept = ingest.capped(ingest.unseen(ingest.parse_hits(hits), stored), ["form_type"], ["source_rank", "okey"], ingest.FORM_CAP).select("accession_no", "form_type", F.lit("search").alias("source"))
-    of_company = f.filings.where(F.col("form_type").isin(*fixed.COMPANY_FORM_TYPES)).join(f.companies.select("cik"), "cik", "left_semi")
-    listed = ingest.capped(of_company, ["cik", "form_type"], [F.desc("filing_date"), "accession_no"], ingest.COMPANY_CAP).select("accession_no", "form_type", F.lit("company").alias("source"))
-    fresh = listed.join(stored, "accession_no", "left_anti").join(kept.select("accession_no"), "accession_no", "left_anti")
+    entries = search.read(f.spark, listings, ingest.COMPANY_CAP).where("error IS NULL")
+    of_company = entries.select(F.get_json_object("hit", "$.accession_no").alias("accession_no"), F.col("sub").alias("form_type"), F.lit("company").alias("source"))
+    fresh = of_company.join(stored, "accession_no", "left_anti").join(kept.select("accession_no"), "accession_no", "left_anti")
     return kept.unionByName(fresh)
 
 

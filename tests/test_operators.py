@@ -129,32 +129,60 @@ def test_batches_and_hits(spark):
     assert len(got) == 1  # a hit without an accession number is none
 
 
-def test_search_source(spark, tmp_path):
-    pages = (("S-1_0_000000.json", {"hits": {"hits": [{"_id": "a", "okey": 4}, {"_id": "b"}]}}), ("S-1_0_000001.json", None), ("S-1~A_2_000000.json", {"hits": {"hits": [{"_id": "c"}]}}))
-    for name, body in pages:
-        (tmp_path / name).write_text(json.dumps(body) if body else "{broken")
-    spark.dataSource.register(search.FilingSearch)
-    got = spark.read.format("filing_search").option("path", str(tmp_path)).load().collect()
-    assert sorted((r.form_type, r.batch, r.position, r.okey) for r in got) == [("S-1", 0, 0, 4), ("S-1", 0, 1, None), ("S-1/A", 2, 0, None)]
+def answer(folder, key, sub, page, hits, first="2024-01-01", last="2024-01-01"):
+    (folder / search.page_name(key, sub, page, first, last)).write_text(json.dumps({"hits": {"hits": hits}}) if hits is not None else "{broken")
 
 
-def test_search_gives_up_after_three_broken_pages(spark, tmp_path):
-    for n in range(7):
-        (tmp_path / search.page_name("D", 0, n)).write_text(json.dumps({"hits": {"hits": [{"_id": str(n)}]}}) if n in (0, 3, 6) else "{broken")
-    (tmp_path / search.page_name("D", 0, 5)).write_text("{}")
-    (tmp_path / search.page_name("D", 0, 3)).write_text("broken too")
-    got = spark.read.format("filing_search").option("path", str(tmp_path)).load().collect()
-    assert [json.loads(r.hit)["_id"] for r in got] == ["0"]
+def test_search_source(spark, tmp_path):
+    answer(tmp_path, "S-1", "0", 0, [{"_id": "a", "okey": 4, "date": "2024-01-01"}, {"_id": "b"}])
+    answer(tmp_path, "S-1", "0", 1, None)
+    answer(tmp_path, "S-1", "0", 2, [{"_id": "behind"}])
+    answer(tmp_path, "S_1/A", "2", 0, [{"_id": "c"}])
+    got = search.read(spark, str(tmp_path)).collect()
+    assert sorted((r.key, r.sub, r.nth, r.position, r.okey, r.hit, bool(r.error)) for r in got if r.hit) == [("S-1", "0", 0, 0, 4, '{"_id": "a"}', False), ("S-1", "0", 0, 1, None, '{"_id": "b"}', False), ("S_1/A", "2", 1, 0, None, '{"_id": "c"}', False)]
+    assert [(r.nth, r.position) for r in got if r.error] == [(0, 100)]
+
+
+def test_pages_that_hold_nothing_wanted_stay_unopened(spark, tmp_path):
+    """Every page that a filter rules out is broken: had it been opened, its error would show, since error rows pass the same filters."""
+    for form in ("10-K", "D"):
+        for batch in ("0", "1"):
+            for page, (first, last) in enumerate((("2020-01-01", "2020-12-31"), ("2021-01-01", "2022-12-31"), ("2023-01-01", "2023-12-31"))):
+                fine = (form, batch, page) == ("D", "1", 1)
+                answer(tmp_path, form, batch, page, [{"_id": str(i), "date": f"202{1 + i % 2}-06-01"} for i in range(search.PAGE)] if fine else None, first, last)
+    all_of = search.read(spark, str(tmp_path))
+    got = all_of.where("key IN ('D', 'S-1') AND sub = '1' AND file_date >= '2021-02-01' AND file_date < '2022-01-01'").collect()
+    assert len(got) == 50 and not any(r.error for r in got) and {r.position for r in got} == set(range(100, 200, 2))
+    first = all_of.where("key = 'D' AND position < 100").collect()
+    assert [(r.sub, r.position, bool(r.error)) for r in sorted(first)] == [("0", 0, True), ("1", 0, True)]
+    assert all_of.where("file_date > '2024-01-01'").count() == 0
+
+
+def test_listings_of_companies_are_capped_by_the_reader(spark, tmp_path):
+    for page in range(3):
+        answer(tmp_path, "7", "10-K", page, [{"_id": f"{page}-{i}"} for i in range(search.PAGE)] if page == 0 else None)
+    answer(tmp_path, "8", "10-K", 0, [{"_id": "x"}])
+    got = search.read(spark, str(tmp_path), 20).collect()
+    assert sorted((r.key, r.position) for r in got) == [("7", i) for i in range(20)] + [("8", 0)]
+
+
+def test_search_ends_after_three_failed_searches_in_a_row(spark, tmp_path):
+    """Two failures, a success, three failures: what stands behind those is lost, whatever task read it."""
+    for n, fine in enumerate((True, False, False, True, False, False, False, True, True)):
+        answer(tmp_path, f"f{n}", "0", 0, [{"_id": str(n)}] if fine else None)
+    answers = search.read(spark, str(tmp_path))
+    assert sorted(r.key for r in search.unbroken(answers).collect()) == ["f0", "f3"]
+    assert sorted(r.key for r in search.unbroken(answers.where("key <> 'f6'")).collect()) == ["f0", "f3", "f7", "f8"]
+    assert search.unbroken(search.read(spark, str(tmp_path / "none"))).count() == 0
 
 
 def test_pages_are_written_as_they_are_read(spark, tmp_path):
-    hits = spark.createDataFrame([(i, "S-1" if i % 3 else "10-K/A", i % 2, json.dumps({"_id": str(i)})) for i in range(700)], "okey long, form_type string, batch int, hit string")
-    search.write_pages(hits, str(tmp_path))
-    got = spark.read.format("filing_search").option("path", str(tmp_path)).load().collect()
-    assert sorted((r.okey, r.form_type, r.batch, r.hit) for r in got) == sorted(map(tuple, hits.collect()))
-    for key in {(r.form_type, r.batch) for r in got}:
-        own = [r for r in got if (r.form_type, r.batch) == key]
-        assert [r.position for r in own] == list(range(len(own))) and [r.okey for r in own] == sorted(r.okey for r in own)
+    hits = spark.createDataFrame([(i, "S-1" if i % 3 else "10-K/A", i % 2, f"20{20 + i // 100}-01-01", json.dumps({"_id": str(i)})) for i in range(650)], "okey long, key string, sub int, file_date string, hit string")
+    search.write_pages(hits, f"file://{tmp_path}", "okey")
+    got = search.read(spark, f"file://{tmp_path}")
+    assert {(r.key, r.sub, r.okey, r.file_date) for r in got.collect()} == {(r.key, str(r.sub), r.okey, r.file_date) for r in hits.collect()}
+    some = got.where("key = 'S-1' AND sub = '0'").orderBy("position").collect()
+    assert [r.okey for r in some] == sorted(r.okey for r in some) and [r.position for r in some] == list(range(len(some)))
 
 
 def test_exports(spark):
