@@ -6,8 +6,9 @@ both-label; the labels inside a span tell how many tokens of A and B make up its
 and the last two of them are linked. Over the corpus, links are counted by pair of ids.
 
 Neither tokenizer joins across the place before a space or a line end that follows
-anything but white space (A's pattern and B's pieces are checked for that), so texts are
-cut there into units, both tokenizers cut there too, and each distinct unit is tokenized,
+anything but white space, nor across that between an ASCII letter and an ASCII mark
+behind it (A's kind and B's pieces are checked for that), so texts are cut there into
+units, both tokenizers cut there too, and each distinct unit is tokenized,
 labelled and scanned once a worker; a text's groups are those of its units in turn.
 
 Texts are handled in chunks. A chunk's row in the stage table holds its distinct pairs
@@ -43,6 +44,9 @@ UNITS, UNIT_BYTES = 300_000, 64 << 20
 SPACE = "▁"
 _GROUP = re.compile(rb"[^x]*x")
 _LABEL = np.frombuffer(b".abx", np.uint8)
+_MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
+_CROSSING = re.compile(f"\n|[^{SPACE}]{SPACE}|[A-Za-z][{re.escape(_MARKS)}]")
+_LETTER, _MARK = (np.array([chr(c) in known for c in range(256)]) for known in ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", _MARKS))
 # white space beyond ASCII, in UTF-8: a space behind it doesn't begin a unit
 _WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 
@@ -63,9 +67,10 @@ class Pair:
         self.a_bytes = _byte_level(self.a.get_vocab(with_added_tokens=True))
         self.b = sentencepiece.SentencePieceProcessor(model_file=b)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        if any("\n" in p or SPACE in p.lstrip(SPACE) for p in pieces):
+        if any(_CROSSING.search(p) for i, p in enumerate(pieces) if not (self.b.is_byte(i) or self.b.is_control(i) or self.b.is_unknown(i))):
             raise ValueError("a piece of B crosses the place where units are cut")
         self.b_bytes = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
+        self.a_size, self.b_size = (np.array([len(x) for x in names], np.int64) for names in (self.a_bytes, self.b_bytes))
 
     def units(self, some: list[bytes]) -> tuple[list[list[int]], list[list[int]], np.ndarray]:
         """The ids of each unit by A and by B, and whether both spell it."""
@@ -116,7 +121,7 @@ def cut(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     for m in _WIDE_SPACE.finditer(out.tobytes()):
         solid[m.end() - 1] = False
     begin = np.zeros(len(out), bool)
-    begin[1:] = ((out[1:] == 32) | (out[1:] == 10)) & solid[:-1]
+    begin[1:] = ((out[1:] == 32) | (out[1:] == 10)) & solid[:-1] | _MARK[out[1:]] & _LETTER[out[:-1]]
     begin[to[:-1][full]] = True
     starts = np.flatnonzero(begin)
     return out, starts, np.append(starts[1:], len(out)), np.searchsorted(starts, to)
@@ -140,12 +145,15 @@ class Aligner:
         of_a, of_b, fine = self.pair.units(units)
         good = np.flatnonzero(fine).tolist()
         a, b = [i for k in good for i in of_a[k]], [i for k in good for i in of_b[k]]
-        label = labels(np.array([len(self.pair.a_bytes[i]) for i in a], np.int64), np.array([len(self.pair.b_bytes[i]) for i in b], np.int64))
-        say_a, say_b, said, links, i, j = list(map(str, a)), list(map(str, b)), [], [], 0, 0
-        for n, m in groups(label):
+        a_ids, b_ids = np.array(a, np.int64), np.array(b, np.int64)
+        label = labels(self.pair.a_size[a_ids], self.pair.b_size[b_ids])
+        sizes = groups(label)
+        say_a, say_b, said, i, j = list(map(str, a)), list(map(str, b)), [], 0, 0
+        for n, m in sizes:
             said.append(f"{say_a[i]}|{say_b[j]}" if n == m == 1 else f"{','.join(say_a[i : i + n])}|{','.join(say_b[j : j + m])}")
             i, j = i + n, j + m
-            links.append(a[i - 1] << 32 | b[j - 1])
+        last = np.cumsum(np.array(sizes, np.int64).reshape(-1, 2), axis=0) - 1
+        links = a_ids[last[:, 0]] << 32 | b_ids[last[:, 1]]
         of_unit = np.zeros(len(units), np.int64)
         stops = np.cumsum([len(units[k]) for k in good], dtype=np.int64)
         ends = np.flatnonzero(np.frombuffer(label, np.uint8) == _LABEL[3]) + 1
@@ -158,7 +166,7 @@ class Aligner:
         counts = np.array([(len(x), len(y)) for x, y in zip(of_a, of_b, strict=True)], np.int64).reshape(-1, 2)
         counts[~fine] = -1
         self._counts = np.concatenate([self._counts, counts])
-        self._links = np.concatenate([self._links, np.array(links, np.int64)])
+        self._links = np.concatenate([self._links, links])
         self._at = np.concatenate([self._at, self._at[-1] + at[1:]])
 
     def align(self, col: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
@@ -237,11 +245,11 @@ def _chunks(docs: DataFrame, a: str, b: str) -> DataFrame:
                 sha = [hashlib.sha256(s).hexdigest() if s else "" for s in said]
                 one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
                 ids = batch.column("doc_id").slice(at, to - at)
-                columns = [pa.array([part << 32 | nth]), one(ids), one(pa.array(tokens[:, 0])), one(pa.array(tokens[:, 1])), one(pa.array(sha)), one(pa.array(np.diff(off))), one(pa.array(place.astype(np.int32))), one(pa.array(pairs)), one(pa.array(np.bincount(place, minlength=len(pairs)).astype(np.int64)))]
+                columns = [pa.array([part << 32 | nth]), one(ids), one(pa.array(tokens[:, 0])), one(pa.array(tokens[:, 1])), one(pa.array(sha)), one(pa.array(np.diff(off))), pa.array([place.astype(np.min_scalar_type(len(pairs))).tobytes()], pa.binary()), one(pa.array(pairs)), one(pa.array(np.bincount(place, minlength=len(pairs)).astype(np.int64)))]
                 yield pa.RecordBatch.from_arrays(columns, ["chunk", "doc_id", "n_a", "n_b", "sha", "n_links", "place", "pairs", "times"])
                 nth += 1
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"chunk long, doc_id array<{kind}>, n_a array<long>, n_b array<long>, sha array<string>, n_links array<long>, place array<int>, pairs array<long>, times array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"chunk long, doc_id array<{kind}>, n_a array<long>, n_b array<long>, sha array<string>, n_links array<long>, place binary, pairs array<long>, times array<long>")
 
 
 def pair_counts(chunks: DataFrame) -> DataFrame:
@@ -256,11 +264,11 @@ def _figures(kind: str):
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {c: batch.column(c)[i].values for c in ("doc_id", "n_a", "n_b", "sha", "n_links", "place")}
+                row = {c: batch.column(c)[i].values for c in ("doc_id", "n_a", "n_b", "sha", "n_links")}
                 told = batch.column("told")[i].values
                 n = row["n_links"].to_numpy()
                 off = np.concatenate([[0], np.cumsum(n)])
-                place = row["place"].to_numpy()
+                place = np.frombuffer(batch.column("place")[i].as_buffer(), np.min_scalar_type(batch.column("n_pairs")[i].as_py()))
                 sums = []
                 for name in ("best", "count"):
                     of_pair = np.zeros(len(told) if told is not None else 0, np.int64)
@@ -276,12 +284,13 @@ def _figures(kind: str):
 def align(spark: SparkSession, docs: DataFrame, a: str, b: str) -> DataFrame:
     """For each row of ``docs`` (doc_id, text) its numbers of tokens, groups and links, what its links count corpus-wide, and the digest of its groups."""
     with common.scratch(spark) as tables:
-        chunks = tables.kept(_chunks(docs, a, b), "token-chunks")
+        chunks = tables.written(_chunks(docs, a, b), "token-chunks")
         told = tables.written(pair_counts(chunks), "pair-counts")
         placed = chunks.select("chunk", F.posexplode("pairs").alias("pos", "pair")).join(told, "pair")
         back = placed.groupBy("chunk").agg(F.collect_list(F.struct("pos", F.col("best").cast("long").alias("best"), "count")).alias("told"))  # a chunk's distinct pairs
-        whole = chunks.drop("pairs", "times").join(tables.kept(back, "chunk-counts"), "chunk", "left")
-    return whole.mapInArrow(*_figures(dict(docs.dtypes)["doc_id"]))
+        back = tables.written(back, "chunk-counts")
+        whole = chunks.withColumn("n_pairs", F.size("pairs")).drop("pairs", "times").join(back, "chunk", "left")
+        return tables.kept(whole.mapInArrow(*_figures(dict(docs.dtypes)["doc_id"])), "alignment")
 
 
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
