@@ -41,7 +41,7 @@ from riskweave.llm import common, storage, token_codes, words
 WORDS, WORD_BYTES = 60_000, 40
 #: Distinct words of a task that are counted before they are dealt out.
 HELD_WORDS = 200_000
-#: Unseen words whose ids a worker remembers.
+#: Unseen words of other letters than a to z whose ids a worker remembers.
 UNSEEN = 200_000
 MAGIC = b"RWLEX001"
 END = 256
@@ -68,6 +68,12 @@ class Rules:
         self._suffix, self._vocab = model["end_of_word_suffix"], model["vocab"]
         ids = self._vocab
         self._pairs = {(ids[a], ids[b]): (rank, ids[a + b]) for rank, (a, b) in enumerate(model["merges"])}
+        top = len(ids)
+        keys = np.array([a * top + b for a, b in self._pairs], np.int64)
+        order = np.argsort(keys)
+        rank, to = np.array(list(self._pairs.values()), np.int64).reshape(-1, 2).T
+        self._sorted = top, keys[order], rank[order], to[order]
+        self._letter = np.array([[ids.get(chr(c) + end, -1) for c in range(128)] for end in ("", self._suffix)])
         self.special = {t["content"]: t["id"] for t in given["added_tokens"]}
         self._split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else re.compile("(?!)()")
         names = {i: t for t, i in ids.items()} | {i: t for t, i in self.special.items()}
@@ -110,6 +116,51 @@ class Rules:
                     heapq.heappush(heap, (pairs[p][0], a, p))
         return [s for s in symbols if s >= 0]
 
+    def merged_together(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of many words of letters a to z, one word's behind the other's, and the number of each word's.
+
+        What ``merged`` does, a merge in every word at a time.
+        """
+        top, keys, ranks, to = self._sorted
+        n, size = len(starts), ends - starts
+        word = np.repeat(np.arange(n), size)
+        last = np.cumsum(size) - 1
+        symbol = self._letter[0][data[np.arange(len(word)) + np.repeat(starts - (last + 1 - size), size)]]
+        symbol[last] = self._letter[1][data[ends - 1]]
+
+        def look_up(i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Rank and result of the pairs that begin at ``i``; those of no merge, or of two words, rank last."""
+            j = np.minimum(i + 1, len(symbol) - 1)
+            key = symbol[i] * top + symbol[j]
+            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            fits = (keys[at] == key) & (word[i] == word[j]) & (i < j)
+            return np.where(fits, ranks[at], len(keys)), to[at]
+
+        rank, result = look_up(np.arange(len(symbol)))
+        out_symbol, out_word = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        while len(symbol):
+            first = np.flatnonzero(np.diff(word, prepend=-1))
+            best = np.repeat(np.minimum.reduceat(rank, first), np.diff(np.append(first, len(word))))
+            live = best < len(keys)
+            if not live.all():
+                out_symbol.append(symbol[~live])
+                out_word.append(word[~live])
+                symbol, word, rank, result, best = symbol[live], word[live], rank[live], result[live], best[live]
+                if not len(symbol):
+                    break
+            at = np.flatnonzero(rank == best)
+            at = at[np.diff(word[at], prepend=-1) > 0]  # a word's first
+            symbol[at] = result[at]
+            keep = np.ones(len(symbol), bool)
+            keep[at + 1] = False
+            symbol, word, rank, result = symbol[keep], word[keep], rank[keep], result[keep]
+            at -= np.arange(len(at))
+            changed = np.concatenate([at[at > 0] - 1, at])
+            rank[changed], result[changed] = look_up(changed)
+        word = np.concatenate(out_word)
+        order = np.argsort(word, kind="stable")
+        return np.concatenate(out_symbol)[order], np.bincount(word, minlength=n)
+
     def decoded(self, ids: np.ndarray, off: np.ndarray) -> tuple[memoryview, np.ndarray]:
         """The UTF-8 bytes of all texts' entries, a space behind each entry, and the offsets of each text's."""
         size = self._entry_at[ids + 1] - self._entry_at[ids]
@@ -241,7 +292,15 @@ class Encoder:
         if not known.all():
             flat, where = [ids], np.cumsum(sizes) - sizes
             place = len(ids)
-            for i in np.flatnonzero(~known).tolist():
+            letters = np.concatenate([[0], np.cumsum((data >= 97) & (data <= 122))])
+            spelled = letters[ends[at]] - letters[starts[at]] == ends[at] - starts[at]
+            plain = ~known & spelled & (ends[at] - starts[at] <= 2 * WORD_BYTES)
+            if plain.any():
+                own, n = self.rules.merged_together(data, starts[at[plain]], ends[at[plain]])
+                where[plain], sizes[plain] = place + np.cumsum(n) - n, n
+                flat.append(own)
+                place += len(own)
+            for i in np.flatnonzero(~known & ~plain).tolist():
                 own = self._unseen.get(h := int(hashes[i]))
                 if own is None:
                     own = self.rules.ids(data[starts[at[i]] : ends[at[i]]].tobytes().decode())
