@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from riskweave.catalog import query
 from riskweave.functions import fixed
 from riskweave.functions.lexicons import quoted
-from riskweave.operators import ingest
+from riskweave.operators import cache, ingest
 from riskweave.operators import metadata as M
 from riskweave.operators import summary as Y
 from riskweave.session import work_folder
@@ -127,6 +127,15 @@ def _(f):
     return f.pages.select("page_id", key.alias("key"), F.substring(key, 1, 2).alias("folder"))
 
 
+@query("text_cache")
+def _(f):
+    """Every page's cleaned text through the cache, asked for twice: the second time nothing is parsed (no SQL twin: a parser's work)."""
+    folder = work_folder(f.spark, "texts")
+    cache.cleaned(f.html_pages, folder, 0.0)
+    again = cache.cleaned(f.html_pages, folder, 60.0, 3600.0)
+    return again.select("page_id", "key", "made", F.length("text").cast("long").alias("chars"), F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
 @query("keyword_batches", """SELECT * FROM (VALUES (0, 'cryptocurrency OR blockchain OR "digital asset" OR bitcoin'), (1, 'ethereum OR XRP OR stablecoin OR "crypto ETF"'), (2, '"crypto fund" OR "crypto token" OR DeFi')) t(batch, query)""")
 def _(f):
     rows = ", ".join(f"({i}, {quoted(b)})" for i, b in enumerate(ingest.keyword_batches()))

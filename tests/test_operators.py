@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from riskweave.functions import display as D
 from riskweave.functions import text as T
 from riskweave.operators import extract as E
-from riskweave.operators import filters, ingest, records, store, warehouse
+from riskweave.operators import cache, filters, ingest, records, store, warehouse
 from riskweave.operators import summary as Y
 from riskweave.sources import search, sinks
 from riskweave.sources.corpus import BLOCKS, RISK, Frames
@@ -354,3 +354,16 @@ def test_stream_holds_no_state_and_takes_each_accession_once(spark, tmp_path):
         assert not query.lastProgress.stateOperators
     assert len(calls) == 5 and sum(calls) == 4
     assert sorted(r.accession_no for r in spark.read.parquet(target).collect()) == ["a", "b", "c", "e"]
+
+
+def test_cleaned_texts_are_parsed_once(spark, tmp_path):
+    folder = f"file://{tmp_path}/texts"
+    pages = spark.createDataFrame([(1, "<p>one</p>"), (2, "<p>one</p>"), (3, None), (4, "<p>two</p>")], "page_id long, html string")
+    told = lambda df: sorted((r.page_id, r.text, r.made) for r in df.collect())
+    assert told(cache.cleaned(pages.where("page_id < 4"), folder, 10.0, 100.0)) == [(1, "one", 10.0), (2, "one", 10.0), (3, "", 10.0)]
+    assert cache.entries(spark, folder).count() == 2
+    assert told(cache.cleaned(pages, folder, 50.0, 100.0)) == [(1, "one", 10.0), (2, "one", 10.0), (3, "", 10.0), (4, "two", 50.0)]
+    assert cache.entries(spark, folder).count() == 3  # only what was new
+    assert told(cache.cleaned(pages, folder, 130.0, 100.0)) == [(1, "one", 130.0), (2, "one", 130.0), (3, "", 130.0), (4, "two", 50.0)]
+    assert cache.entries(spark, folder).where("key = sha2('<p>one</p>', 256)").select("prefix").distinct().count() == 1
+    assert cache.cleaned(pages.limit(0), folder, 131.0).count() == 0 and cache.entries(spark, folder).count() == 5
