@@ -47,3 +47,20 @@ def null_dangling(summaries: DataFrame, sections: DataFrame) -> DataFrame:
     live = sections.select(F.col("id").alias("live"))
     joined = summaries.join(live, F.col("section_id") == F.col("live"), "left")
     return joined.withColumn("section_id", F.when(F.col("live").isNotNull(), F.col("section_id"))).drop("live")
+
+
+def numbered(df: DataFrame, order: list[str], path: str, begin: int = 0, name: str = "id") -> DataFrame:
+    """``df`` with numbers above ``begin``, in order: the place in a range partition behind the rows of those before it.
+
+    ``path`` is where the ranges are written, so that they stay as they are; it must stay until the result is written.
+    """
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    placed.write.mode("overwrite").parquet(path)
+    placed = df.sparkSession.read.schema(placed.schema).parquet(path)
+    begins, total = [], begin
+    for r in placed.groupBy("part").count().orderBy("part").collect():  # a row a partition
+        begins.append((r.part, total))
+        total += r["count"]
+    before = df.sparkSession.createDataFrame(begins, "part int, begin long")
+    nth = F.row_number().over(Window.partitionBy("part").orderBy(*order))
+    return placed.join(F.broadcast(before), "part").withColumn(name, F.col("begin") + nth).drop("begin", "part")

@@ -16,7 +16,6 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from riskweave.operators import store
 
@@ -161,16 +160,6 @@ class Warehouse:
             self._publish(made)
 
     def _numbered(self, new: DataFrame, old: DataFrame, order: list[str]) -> DataFrame:
-        """``new`` with ids above those of ``old``, in order: the place in a range partition behind the rows of those before it."""
+        """``new`` with ids above those of ``old``, in order."""
         last = old.agg(F.max("id")).first()[0] or 0
-        placed = new.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
-        path = f"{self.root}/_numbering"
-        placed.write.mode("overwrite").parquet(path)
-        placed = self.spark.read.schema(placed.schema).parquet(path)
-        begins, total = [], last
-        for r in placed.groupBy("part").count().orderBy("part").collect():  # a row a partition
-            begins.append((r.part, total))
-            total += r["count"]
-        before = self.spark.createDataFrame(begins, "part int, begin long")
-        nth = F.row_number().over(Window.partitionBy("part").orderBy(*order))
-        return placed.join(F.broadcast(before), "part").withColumn("id", F.col("begin") + nth).drop("begin", "part")
+        return store.numbered(new, order, f"{self.root}/_numbering", last)

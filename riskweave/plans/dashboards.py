@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from riskweave.catalog import query
-from riskweave.plans.views import visible
+from riskweave.operators import figures, store
+from riskweave.plans.views import display, visible
+from riskweave.session import work_folder
 
 
 def _by(df, *keys):
@@ -63,9 +64,6 @@ def _(f):
     return _by(visible(f.view).where("filing_date <> ''"), "filing_date").orderBy(F.desc("filing_date")).limit(30)
 
 
-#: Lines shown of the long figures.
-LIMITS = {"company": 15, "keyword": 10, "day": 30}
-
 _BUNDLE = """, facts AS (
   SELECT 'month' AS figure, substr(filing_date, 1, 7) AS key, count(*) AS n FROM visible WHERE filing_date <> '' GROUP BY ALL
   UNION ALL SELECT 'company', company_name, count(*) FROM visible GROUP BY ALL
@@ -84,33 +82,7 @@ SELECT figure, key, n FROM ranked WHERE place <= CASE figure WHEN 'company' THEN
 @query("stats_bundle", _BUNDLE)
 def bundle(f):
     """All figures of one GROUPING SETS pass over the gated view; a second aggregate of its shuffled rows counts companies."""
-    seen = visible(f.view).select("company_name", "form_type", "search_keyword", "filing_category", "filing_date", F.substring("filing_date", 1, 7).alias("month"))
-    columns = ("month", "company_name", "filing_category", "form_type", "search_keyword", "filing_date")
-    sets = {"month": ("month",), "company": ("company_name",), "form": ("filing_category", "form_type"), "keyword": ("search_keyword",), "category": ("filing_category",), "day": ("filing_date",), "total": ()}
-    listed = ", ".join(columns)
-    grouped = f.spark.sql(
-        f"SELECT grouping_id({listed}) AS g, {listed}, count(*) AS n FROM {{seen}} GROUP BY GROUPING SETS ({', '.join('(' + ', '.join(x) + ')' for x in sets.values())})",
-        seen=seen,
-    )
-    bit = {c: 1 << (5 - i) for i, c in enumerate(columns)}
-    figure = key = None
-    for name, cols in sets.items():
-        test = F.col("g") == 63 - sum(bit[c] for c in cols)
-        figure = F.when(test, name) if figure is None else figure.when(test, name)
-        shown = F.concat_ws("|", *cols) if cols else F.lit("")
-        key = F.when(test, shown) if key is None else key.when(test, shown)
-    facts = grouped.select(figure.alias("figure"), key.alias("key"), "n")
-    # a figure without a limit is ranked inside each of its keys, so every window group is cut at 30 before the shuffle
-    apart = F.when(F.col("figure").isin(*LIMITS), F.lit("")).otherwise(F.col("key"))
-    newest, most = F.when(F.col("figure") == "day", F.col("key")), F.when(F.col("figure") != "day", F.col("n"))
-    # the test reads the count, so it stays above the aggregate, whose shuffled rows both parts of the result share
-    told = F.when(F.col("n") < 0, F.lit(False)).otherwise(F.expr("NOT (figure IN ('month', 'day', 'keyword') AND key = '') AND figure <> 'total'"))
-    ranked = facts.where(told).withColumn("apart", apart)
-    ranked = ranked.withColumn("place", F.row_number().over(Window.partitionBy("figure", "apart").orderBy(newest.desc(), most.desc(), "key"))).where(F.col("place") <= max(LIMITS.values()))
-    limit = F.element_at(F.create_map(*[F.lit(x) for pair in LIMITS.items() for x in pair]), F.col("figure"))
-    listed = ranked.where(F.col("place") <= F.coalesce(limit, F.lit(1))).select("figure", "key", "n")
-    whole = facts.agg(F.count_if(F.col("figure") == "company").alias("companies"), F.coalesce(F.sum(F.when(F.col("figure") == "total", F.col("n"))), F.lit(0)).alias("total"))
-    return listed.unionByName(whole.select(F.stack(F.lit(2), F.lit("companies"), "companies", F.lit("total"), "total").alias("figure", "n")).select("figure", F.lit("").alias("key"), "n"))
+    return figures.bundle(figures.counts(visible(f.view)))
 
 
 @query("api_stats_json", f"{_BUNDLE.replace('SELECT figure, key, n FROM ranked', 'SELECT figure, key, n, place FROM ranked')}".replace("SELECT figure, key, n, place FROM ranked", "SELECT figure, CAST(to_json(list({'key': key, 'n': n} ORDER BY place)) AS VARCHAR) AS body FROM ranked") + " GROUP BY figure")
@@ -118,3 +90,22 @@ def _(f):
     """The bundle as JSON, an array for each figure in its order."""
     order = F.array_sort(F.collect_list(F.struct(F.when(F.col("figure") != "day", -F.col("n")).alias("o"), F.when(F.col("figure") == "day", -F.regexp_replace("key", "-", "").cast("int")).alias("d"), "key", "n")))
     return bundle(f).groupBy("figure").agg(F.to_json(F.transform(order, lambda x: F.struct(x["key"].alias("key"), x["n"].alias("n")))).alias("body"))
+
+
+@query("stats_incremental", """, seen AS (SELECT v.* REPLACE (CASE WHEN k.okey % 3 = 0 THEN v.company_name || ' Inc' ELSE v.company_name END AS company_name)
+  FROM visible v JOIN (SELECT accession_no, okey FROM filings) k USING (accession_no) WHERE (k.okey % 2 = 0 OR k.okey % 3 = 0) AND k.okey % 11 <> 0)""" + _BUNDLE.replace("FROM visible", "FROM seen"))
+def _(f):
+    """The bundle from partial counts of three ingests: half of the filings, then new and renamed ones, then removals."""
+    folder = work_folder(f.spark, "figures")
+
+    def seen(filings):
+        return visible(display(filings, f.sections, f.summaries))
+
+    first = f.filings.where("okey % 2 = 0")
+    figures.append(figures.change(seen(first.limit(0)), seen(first)), folder, 0)
+    new = f.filings.where("okey % 3 = 0").withColumn("company_name", F.concat("company_name", F.lit(" Inc")))
+    held = first.join(new.select("accession_no"), "accession_no", "left_semi").select(first.columns)
+    figures.append(figures.change(seen(held), seen(store.upsert(held, new))), folder, 1)
+    gone = store.upsert(first, new).where("okey % 11 = 0")
+    figures.append(figures.change(seen(gone), seen(gone.limit(0))), folder, 2)
+    return figures.bundle(figures.merged(f.spark, folder))

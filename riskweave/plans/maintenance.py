@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskweave.catalog import query
-from riskweave.operators import store
+from riskweave.operators import store, years
+from riskweave.session import work_folder
 
 _NEW = "SELECT * REPLACE (company_name || ' Inc' AS company_name, '10-X' AS form_type, 'new' AS purpose, CASE WHEN okey % 6 = 0 THEN accession_no || 'N' ELSE accession_no END AS accession_no) FROM filings WHERE okey % 3 = 0"
 
@@ -18,6 +19,19 @@ def _(f):
     return store.upsert(f.filings.where("okey % 2 = 0"), new).select("accession_no", "company_name", "form_type", "purpose", "filing_date", "tier")
 
 
+@query("upsert_touched_years", f""", fresh AS ({_NEW} AND filing_date >= '1997'), old AS (SELECT * FROM filings WHERE okey % 2 = 0)
+SELECT coalesce(o.accession_no, n.accession_no) AS accession_no, coalesce(n.company_name, o.company_name) AS company_name, coalesce(o.form_type, n.form_type) AS form_type, coalesce(n.purpose, o.purpose) AS purpose, coalesce(o.tier, n.tier) AS tier FROM old o FULL JOIN fresh n USING (accession_no)""")
+def _(f):
+    """The upsert into a table kept by year and bucket: years that no new filing is of are left as they stand."""
+    folder = work_folder(f.spark, "years")
+    name, columns = "filings_" + folder.rsplit("-", 1)[1], ["accession_no", "company_name", "form_type", "purpose", "tier"]
+    years.attach(f.spark, name, "accession_no string, company_name string, form_type string, purpose string, tier int", folder, 8)
+    years.write(f.spark, name, f.filings.where("okey % 2 = 0").select(columns), store.upsert)
+    new = f.filings.where("okey % 3 = 0 AND filing_date >= '1997'").withColumns({"company_name": F.concat("company_name", F.lit(" Inc")), "form_type": F.lit("10-X"), "purpose": F.lit("new"), "accession_no": F.when(F.col("okey") % 6 == 0, F.concat("accession_no", F.lit("N"))).otherwise(F.col("accession_no"))})
+    years.write(f.spark, name, new.select(columns), store.upsert)
+    return years.read(f.spark, name)
+
+
 @query("replace_documents", """, fresh AS (SELECT accession_no, CAST(row_number() OVER (PARTITION BY accession_no ORDER BY length(text) % 10 DESC, seq) - 1 AS INTEGER) AS doc_seq, name AS doc_name FROM fund_docs WHERE seq < 4),
   old AS (SELECT accession_no, seq AS doc_seq, 'old ' || name AS doc_name FROM fund_docs WHERE seq >= 4 UNION ALL SELECT accession_no || 'x', seq, name FROM fund_docs WHERE seq >= 6)
 SELECT * FROM old WHERE accession_no NOT IN (SELECT accession_no FROM fresh) UNION ALL SELECT * FROM fresh""")

@@ -242,6 +242,19 @@ def _(f):
     return f.spark.read.parquet(target).select("accession_no")
 
 
+@query("stream_commit_units", f""", {FRESH}, listed AS (SELECT accession_no, form_type FROM (SELECT *, row_number() OVER (PARTITION BY form_type ORDER BY source_rank, okey) AS nth FROM fresh) WHERE nth <= 100),
+  numbered AS (SELECT *, CAST((row_number() OVER (ORDER BY accession_no) - 1) // 25 AS BIGINT) AS unit FROM listed)
+SELECT accession_no, form_type, unit, count(*) OVER (PARTITION BY unit) AS commit_rows FROM numbered""")
+def _(f):
+    """A run's work list (a hundred new filings of each form at most) committed 25 filings at a time, with the size of each filing's commit."""
+    source, stage, target, state = (work_folder(f.spark, n) for n in ("units", "numbered", "commits", "state"))
+    work = ingest.capped(_fresh(f), ["form_type"], ["source_rank", "okey"], ingest.FORM_CAP).select("accession_no", "form_type")
+    stream.units(work, source, stage)
+    stream.ingest(f.spark, source, f.spark.read.parquet(source).schema, f.filings.where("okey % 10 = 0"), target, state, files=1)
+    taken = f.spark.read.parquet(target)
+    return taken.select("accession_no", "form_type", F.col("unit").cast("long").alias("unit"), F.count("*").over(Window.partitionBy("batch")).alias("commit_rows"))
+
+
 @query("stream_monthly_counts", "SELECT strftime(to_timestamp(floor(epoch(ts) / 2592000) * 2592000), '%Y-%m-%d') AS month_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def _(f):
     """The windowed stream run over the stored events in complete mode: counts by window and type."""

@@ -8,8 +8,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from riskweave.operators import store
+
 #: Source files of one commit, where a run is to be committed piece by piece.
 COMMIT_FILES = 25
+#: Filings of one commit of a run, and of one that processes stored filings again.
+COMMIT_ROWS, COMMIT_ROWS_AGAIN = 25, 20
+
+
+def units(work: DataFrame, folder: str, stage: str, rows: int = COMMIT_ROWS) -> None:
+    """Write a work list (accession_no, ..) as files of exactly ``rows`` filings, the last with what is left.
+
+    A stream that takes one file at a time then commits by filings: an admission of rows
+    that survives a restart, as the stream's own log names the files taken.
+    """
+    placed = store.numbered(work, ["accession_no"], stage, name="nth")
+    unit = F.floor((F.col("nth") - 1) / rows).cast("long")
+    placed.withColumn("unit", unit).drop("nth").repartition("unit").write.partitionBy("unit").parquet(folder)
 
 
 def ingest(spark: SparkSession, source: str, schema, stored: DataFrame, target: str, checkpoint: str, files: int = COMMIT_FILES, told: Callable[[int], None] | None = None) -> StreamingQuery:

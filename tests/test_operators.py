@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from riskweave.functions import display as D
 from riskweave.functions import text as T
 from riskweave.operators import extract as E
-from riskweave.operators import cache, filters, ingest, records, store, warehouse
+from riskweave.operators import cache, figures, filters, ingest, records, store, warehouse, years
 from riskweave.operators import summary as Y
 from riskweave.sources import search, sinks
 from riskweave.sources.corpus import BLOCKS, RISK, Frames
@@ -367,3 +367,76 @@ def test_cleaned_texts_are_parsed_once(spark, tmp_path):
     assert told(cache.cleaned(pages, folder, 130.0, 100.0)) == [(1, "one", 130.0), (2, "one", 130.0), (3, "", 130.0), (4, "two", 50.0)]
     assert cache.entries(spark, folder).where("key = sha2('<p>one</p>', 256)").select("prefix").distinct().count() == 1
     assert cache.cleaned(pages.limit(0), folder, 131.0).count() == 0 and cache.entries(spark, folder).count() == 5
+
+
+def test_commits_of_filings_with_a_restart(spark, tmp_path):
+    """Units hold their number of filings exactly; a commit that fails after its write is taken again, whole, and none twice."""
+    source, stage, target, state = (f"file://{tmp_path}/{n}" for n in ("units", "stage", "taken", "state"))
+    work = spark.createDataFrame([(f"k{i:03}", i) for i in range(64)], "accession_no string, extra int").repartition(5)
+    stream.units(work, source, stage, stream.COMMIT_ROWS_AGAIN)
+    read = spark.read.parquet(source)
+    assert sorted(r["count"] for r in read.groupBy("unit").count().collect()) == [4, 20, 20, 20]
+    assert {r.unit for r in read.where("accession_no < 'k020'").collect()} == {0}
+    calls, none = [], spark.createDataFrame([], "accession_no string")
+
+    def told(n):
+        calls.append(n)
+        if len(calls) == 2:
+            raise RuntimeError("executor lost")
+
+    with pytest.raises(Exception, match="executor lost"):
+        stream.ingest(spark, source, read.schema, none, target, state, files=1, told=told)
+    stream.ingest(spark, source, read.schema, none, target, state, files=1, told=told)
+    assert len(calls) == 5 and calls[1] == calls[2]
+    taken = spark.read.parquet(target)
+    assert sorted(r.accession_no for r in taken.collect()) == [f"k{i:03}" for i in range(64)]
+    assert sorted(r["count"] for r in taken.groupBy("batch").count().collect()) == [4, 20, 20, 20]
+
+
+VIEW = "accession_no string, company_name string, filing_category string, form_type string, search_keyword string, filing_date string"
+
+
+def test_figures_add_up(spark, tmp_path):
+    """Insert, rename, repeat of an ingest, removal of a key's last filing; an empty change and no filings at all."""
+    folder = f"file://{tmp_path}/figures"
+    view = lambda *rows: spark.createDataFrame(list(rows), VIEW)
+    a, b, c = ("a", "One", "Fund", "D", "bitcoin", "2024-01-02"), ("b", "One", "Fund", "D", "", ""), ("c", "Two", "Op", "8-K", "bitcoin", "2024-02-02")
+    later = ("c", "Three", "Op", "8-K", "bitcoin", "2024-02-02")
+    steps = [(view(), view(a, b, c)), (view(c), view(later)), (view(a), view()), (view(), view())]
+    for i, (before, after) in enumerate(steps):
+        for _ in range(2):
+            figures.append(figures.change(before, after), folder, i)
+    told = lambda df: sorted(map(tuple, df.collect()))
+    merged = figures.bundle(figures.merged(spark, folder))
+    assert told(merged) == told(figures.bundle(figures.counts(view(b, later))))
+    assert told(merged) == sorted([("category", "Fund", 1), ("category", "Op", 1), ("companies", "", 2), ("company", "One", 1), ("company", "Three", 1), ("day", "2024-02-02", 1), ("form", "Fund|D", 1), ("form", "Op|8-K", 1), ("keyword", "bitcoin", 1), ("month", "2024-02", 1), ("total", "", 2)])
+    figures.append(figures.change(view(b, later), view()), folder, 4)
+    assert told(figures.bundle(figures.merged(spark, folder))) == [("companies", "", 0), ("total", "", 0)]
+
+
+def test_a_write_rewrites_the_years_it_touches(spark, tmp_path):
+    """Equal to the upsert of the whole table; other years keep their files, and the stored side isn't shuffled."""
+    schema, path = "accession_no string, company_name string, form_type string", f"{tmp_path}/years"
+    years.attach(spark, "filings_by_year", schema, f"file://{path}", 4)
+    key = lambda i, y: f"{i:010}-{y}-{i:09}"
+    old = spark.createDataFrame([(key(i, 20 + i % 4), f"c{i}", "D") for i in range(400)] + [("short", "s", "D")], schema)
+    assert years.write(spark, "filings_by_year", old, store.upsert) == ["--", "20", "21", "22", "23"]
+    files = lambda: {str(f.relative_to(path)): f.stat().st_mtime_ns for f in tmp_path.glob("years/*/*.parquet")}
+    before = files()
+    new = spark.createDataFrame([(key(i, 22), "new", "10-K") for i in (2, 6, 1000)] + [(key(7, 24), "other", "8-K")], schema)
+    want = sorted(map(tuple, store.upsert(old, new).collect()))
+    for _ in range(2):  # repeated, as after a failure
+        plan = years.changed(spark, "filings_by_year", new, ["22", "24"], store.upsert)
+        shown = plan._jdf.queryExecution().executedPlan().toString()
+        assert shown.count("Exchange") == 1 and "Bucketed: true" in plan._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        assert years.write(spark, "filings_by_year", new, store.upsert) == ["22", "24"]
+        assert sorted(map(tuple, years.read(spark, "filings_by_year").collect())) == want
+    after = files()
+    assert {f: t for f, t in before.items() if "=22" not in f} == {f: t for f, t in after.items() if "=22" not in f and "=24" not in f}
+    assert not {f for f in before if "=22" in f} & set(after)
+    spark.sql("DROP TABLE filings_by_year")
+    years.attach(spark, "filings_by_year", schema, f"file://{path}", 4)  # another session finds what stands there
+    assert years.read(spark, "filings_by_year").count() == len(want)
+    years.write(spark, "filings_by_year", new.limit(0), store.upsert)
+    assert years.read(spark, "filings_by_year").count() == len(want)
+    spark.sql("DROP TABLE filings_by_year")
