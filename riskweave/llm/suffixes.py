@@ -1,14 +1,22 @@
-"""Passages that repeat across documents: equal windows of ``WORDS`` words, found through minimisers.
-
-Only k-grams at content-selected positions are dealt out first: of every ``WINDOWS``
-successive k-grams of words the one with the smallest hash (the minimiser). The smallest
-k-gram of a window of ``WORDS`` words is such a minimiser, and equal windows hold the same
-one. A minimiser whose k-gram occurs in one document only can't be part of a repeat and
-goes before any text is moved. Every window whose smallest k-gram is left is hashed; the
-windows of a hash that two documents have are repeats, and their union is the result.
-Nothing is paired and no group is cut, however many documents have a k-gram: hashes are
-first reduced to the smallest and largest doc_id (in part before they are dealt out), and
-the join back to the places can be split inside a hash.
+"""Passages that repeat across documents, found through sparse suffixes: those that begin at minimisers.
+
+Of every ``WINDOWS`` successive k-grams of words the one with the smallest hash (the
+minimiser) is a content-selected position; a suffix is retained there if another document
+has the k-gram too. The retained suffixes are sorted, across all tasks, and each is
+compared with its neighbours: the nearest of another document on either side says how far
+to the right any other document goes along. What precedes the positions is sorted and
+compared alike, from the position leftwards. Where both extents together don't reach
+``WORDS`` words, no repeat goes through the position, and it is left out; a match of
+neighbours alone can't decide the rest, as the two extents may come from different
+documents. So every window of ``WORDS`` words that both extents allow is hashed, and
+hashes that two documents have are repeats; their union is the result.
+
+A word counts with one byte in the sorted suffixes, and what a batch's first and last
+document may meet outside of the batch is taken for a match: extents are never too short,
+only sometimes too long, and the hashes of windows settle it. So ranges can be cut
+anywhere, inside a frequent k-gram too, nothing is paired, and no group is capped however
+many documents have a k-gram. The smallest k-gram of a window is a minimiser, and equal
+windows hold the same one, hence no repeat is missed.
 
 Texts that are equal as a whole take part once; their copies get the same spans, and
 the whole text if it has ``WORDS`` words.
@@ -31,7 +39,12 @@ from riskweave.llm import common, words
 WORDS, KGRAM, WINDOWS = 50, 8, 40
 GRAMS = WORDS - KGRAM + 1  # k-grams of a window
 U = np.uint64
+SIDE = WORDS - KGRAM  # words of a window beside its k-gram, on one side or on both
+SUFFIX = "key long, doc_id long, tid long, place int, following binary, preceding binary"
+EXTENT = "key long, doc_id long, tid long, place int, preceding binary, right int"
+REACH = "doc_id long, tid long, place int, left int, right int"
 WINDOW = "hash long, doc_id long, tid long, start long, end long"
+SLICE = 1 << 16  # suffixes of one Arrow batch
 _MIX = np.random.default_rng(20240612).integers(1, 2**63, WORDS, dtype=U) * U(2) + U(1)
 
 
@@ -80,8 +93,91 @@ def _keys(batches):
             yield pa.RecordBatch.from_arrays([_longs(grams[off[doc] + place]), *own, pa.array(place.astype(np.int32))], ["key", "doc_id", "tid", "place"])
 
 
+def _flat(places: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The elements of lists of places, and which list each is of."""
+    return np.repeat(np.arange(len(places)), np.diff(places.offsets.to_numpy())), places.flatten()
+
+
+def _beside(codes: np.ndarray, at: np.ndarray, step: int, low: np.ndarray, high: np.ndarray) -> pa.Array:
+    """The codes of the ``SIDE`` words from each ``at`` on (``step`` -1: backwards), 0 outside of low .. high."""
+    index = at[:, None] + step * np.arange(SIDE)
+    inside = (index >= low[:, None]) & (index < high[:, None])
+    found = np.where(inside, codes[np.clip(index, 0, len(codes) - 1)], 0).astype(np.uint8)
+    return pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer((np.arange(len(at) + 1) * SIDE).astype(np.int32)), pa.py_buffer(found.tobytes())])
+
+
+def _suffixes(batches):
+    """Of every wanted place: the words that follow and that precede its k-gram, a byte each."""
+    for batch in batches:
+        text, wanted = batch.column("text"), batch.column("places")
+        for at, to in words.chunks(text):
+            data, off = words.text_bytes(text.slice(at, to - at))
+            starts, ends, first, grams, gram_off = _kgrams(data, off)
+            codes = (words.mix64(words.word_hashes(data, starts, ends)) >> U(56)).astype(np.uint8)
+            docs, places = _flat(wanted.slice(at, to - at))
+            for cut in range(0, len(docs), SLICE):
+                doc, place = docs[cut : cut + SLICE], places.slice(cut, SLICE)
+                own = place.to_numpy()
+                word, key = first[doc] + own, grams[gram_off[doc] + own]
+                ids = [batch.column(c).slice(at, to - at).take(pa.array(doc)) for c in ("doc_id", "tid")]
+                sides = [_beside(codes, word + KGRAM, 1, first[doc], first[doc + 1]), _beside(codes, word - 1, -1, first[doc], first[doc + 1])]
+                yield pa.RecordBatch.from_arrays([_longs(key), *ids, place, *sides], ["key", "doc_id", "tid", "place", "following", "preceding"])
+
+
+def _codes(col: pa.Array) -> np.ndarray:
+    """A row of ``SIDE`` bytes for each value."""
+    wide = pa.types.is_large_binary(col.type)
+    _, at, data = col.buffers()
+    begin = np.frombuffer(at, np.int64 if wide else np.int32)[col.offset]
+    return np.frombuffer(data, np.uint8)[begin : begin + len(col) * SIDE].reshape(-1, SIDE)
+
+
+def _nearest(common: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Of sorted rows, what each has in common with the nearest row before it that is of another document.
+
+    ``common``: what each row has in common with the one before it. Rows of the first
+    document may meet anything before the batch and get the most there can be.
+    """
+    new = np.ones(len(doc), bool)
+    new[1:] = doc[1:] != doc[:-1]
+    run = np.cumsum(new)
+    low = np.minimum.accumulate(common - run * 64) + run * 64  # the smallest since the run's first row
+    return np.where(run == 1, SIDE, low)
+
+
+def _common(batch: pa.RecordBatch, side: str) -> np.ndarray:
+    """How many words each row of a sorted batch has in common with its neighbours of other documents, the most of both sides; -1 where no neighbour has its k-gram."""
+    codes, key, doc = _codes(batch.column(side)), batch.column("key").to_numpy(), batch.column("doc_id").to_numpy()
+    same = codes[1:] == codes[:-1]
+    common = np.where(same.all(1), SIDE, same.argmin(1))
+    common = np.concatenate([[SIDE], np.where(key[1:] == key[:-1], common, -1)])
+    before = _nearest(common, doc)
+    after = _nearest(np.concatenate([[SIDE], common[:0:-1]]), doc[::-1])[::-1]
+    return np.maximum(before, after)
+
+
+def _right(batches):
+    """How many words from its k-gram on each suffix shares with another document; those go that can't reach ``WORDS`` with all that precedes them."""
+    for batch in batches:
+        if batch.num_rows:
+            right = _common(batch, "following") + KGRAM
+            far = (right >= KGRAM) & (batch.column("place").to_numpy() + right >= WORDS)
+            kept = batch.select(["key", "doc_id", "tid", "place", "preceding"]).append_column("right", pa.array(right.astype(np.int32)))
+            yield kept.filter(pa.array(far))
+
+
+def _left(batches):
+    """How many words before its k-gram each suffix shares with another document; those that reach ``WORDS`` on both sides together stay."""
+    for batch in batches:
+        if batch.num_rows:
+            left = _common(batch, "preceding")
+            far = (left >= 0) & (left + batch.column("right").to_numpy() >= WORDS)
+            columns = [batch.column(c) for c in ("doc_id", "tid", "place")] + [pa.array(left.astype(np.int32)), batch.column("right")]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tid", "place", "left", "right"]).filter(pa.array(far))
+
+
 def _windows(batches):
-    """Hash and characters of every window whose smallest k-gram is at a wanted place."""
+    """Hash and characters of every window whose smallest k-gram is at a wanted place and that its extents allow."""
     for batch in batches:
         text, wanted = batch.column("text"), batch.column("places")
         for at, to in words.chunks(text):
@@ -89,12 +185,13 @@ def _windows(batches):
             starts, ends, first, grams, gram_off = _kgrams(data, off)
             if len(grams) < GRAMS:
                 continue
-            own = wanted.slice(at, to - at)
-            doc = np.repeat(np.arange(to - at), np.diff(own.offsets.to_numpy()))
-            place = gram_off[doc] + own.flatten().to_numpy()
-            mark = np.zeros(len(grams), bool)
-            mark[place] = True
-            begin = np.flatnonzero(mark[_lowest(grams, GRAMS)])
+            doc, found = _flat(wanted.slice(at, to - at))
+            place = gram_off[doc] + found.field("place").to_numpy()
+            left, right = np.zeros(len(grams), np.int32), np.zeros(len(grams), np.int32)
+            left[place], right[place] = found.field("left").to_numpy(), found.field("right").to_numpy()
+            low = _lowest(grams, GRAMS)
+            before = low - np.arange(len(low))
+            begin = np.flatnonzero((left[low] >= before) & (right[low] >= WORDS - before))
             doc = np.searchsorted(gram_off, begin, "right") - 1
             whole = begin + GRAMS <= gram_off[doc + 1]
             begin, doc = begin[whole], doc[whole]
@@ -119,6 +216,11 @@ def _merged(spans):
     return F.aggregate(spans, empty, lambda done, s: F.when(F.size(done) == 0, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end")))).otherwise(add(done, s)))
 
 
+def _sorted(suffixes: DataFrame, *order: str) -> DataFrame:
+    """Sorted across all tasks, by k-gram first; ranges may be cut between any two rows."""
+    return suffixes.repartitionByRange("key", *order).sortWithinPartitions("key", *order)
+
+
 def repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(doc_id, spans): each row of ``docs`` (doc_id, text) with passages that other doc_ids have too, as sorted struct(start, end)."""
     with common.scratch(spark) as tables:
@@ -135,7 +237,13 @@ def repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
         shared = tables.written(shared, "shared-keys")  # so that both sides of the join are dealt out and a hot key can be split
         wanted = places.join(shared, "key").groupBy("doc_id", "tid").agg(F.array_sort(F.collect_set("place")).alias("places"))
         held = once.join(wanted, ["doc_id", "tid"]).select("doc_id", "tid", "text", "places")
-        windows = tables.written(held.mapInArrow(_windows, WINDOW), "windows")
+        suffixes = tables.written(held.mapInArrow(_suffixes, SUFFIX), "suffixes")
+        order = ["following", "doc_id", "tid", "place"]
+        extents = tables.written(_sorted(suffixes, *order).mapInArrow(_right, EXTENT), "right-extents")
+        order[0] = "preceding"
+        reach = tables.written(_sorted(extents, *order).mapInArrow(_left, REACH), "extents")
+        reached = reach.groupBy("doc_id", "tid").agg(F.array_sort(F.collect_list(F.struct("place", "left", "right"))).alias("places"))
+        windows = tables.written(once.join(reached, ["doc_id", "tid"]).select("doc_id", "tid", "text", "places").mapInArrow(_windows, WINDOW), "windows")
         repeated = windows.groupBy("hash").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("hash")
         spans = windows.join(tables.written(repeated, "repeated-windows"), "hash").select("doc_id", "tid", "start", "end")
         found = spans.groupBy(F.col("doc_id").alias("rep"), "tid").agg(_merged(F.sort_array(F.collect_set(F.struct("start", "end")))).alias("spans"))

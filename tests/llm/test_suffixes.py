@@ -2,6 +2,8 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from riskweave.llm import suffixes as sx
@@ -87,6 +89,38 @@ def test_groups_of_all_sizes_on_any_number_of_partitions(spark, parts):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+@pytest.mark.parametrize("size", [1, 2, 7, 400])
+def test_extents_are_those_of_neighbours_and_never_too_short(size):
+    """Sorted rows cut into batches of any size against every other row; inside a batch, away from its ends, they are exact."""
+    rng = random.Random(size)
+    rows = sorted((rng.randrange(4), bytes(rng.randrange(2) for _ in range(6)) + bytes(rng.choice([0, 0, 0, 9]) for _ in range(sx.SIDE - 6)), rng.randrange(25)) for _ in range(400))
+    same = lambda a, b: next((i for i in range(sx.SIDE) if a[i] != b[i]), sx.SIDE)
+    want = [max((same(t, u) for j, u, e in rows if j == k and e != d), default=-1) for k, t, d in rows]
+    got = []
+    for at in range(0, len(rows), size):
+        key, side, doc = zip(*rows[at : at + size], strict=True)
+        batch = pa.RecordBatch.from_arrays([pa.array(key), pa.array(side, pa.binary()), pa.array(doc)], ["key", "following", "doc_id"])
+        got += sx._common(batch.slice(0), "following").tolist()
+    assert all(g == w or g == sx.SIDE for g, w in zip(got, want, strict=True))
+    ends = {i for i in range(len(rows)) if all(rows[j][2] == rows[i][2] for j in range(i // size * size, i)) or all(rows[j][2] == rows[i][2] for j in range(i, min(len(rows), (i // size + 1) * size)))}
+    assert all(got[i] == want[i] for i in range(len(rows)) if i not in ends)
+
+
+def test_places_without_a_repeat_are_left_out_by_their_extents(spark):
+    """Suffixes at a phrase that all documents have: only those of the two that share 50 words reach, but for the ends of batches."""
+    rng = random.Random(6)
+    text = lambda k: [f"r{rng.randrange(10**6)}" for _ in range(k)]
+    phrase, side = text(sx.KGRAM), text(30)
+    rows = [(d, " ".join(text(50) + (side if d in (7, 11) else text(30)) + phrase + (side if d in (7, 11) else text(30)))) for d in range(300)]
+    docs = spark.createDataFrame([(d, 0, t, [80]) for d, t in rows], "doc_id long, tid long, text string, places array<int>").coalesce(1)
+    suffixes = docs.mapInArrow(sx._suffixes, sx.SUFFIX)
+    extents = sx._sorted(suffixes, "following", "doc_id", "tid", "place").mapInArrow(sx._right, sx.EXTENT)
+    reach = sx._sorted(extents, "preceding", "doc_id", "tid", "place").mapInArrow(sx._left, sx.REACH)
+    found = {r.doc_id: (r.left, r.right) for r in reach.collect()}
+    assert {7, 11} <= set(found) and len(found) < 60
+    assert all(found[d][0] >= 30 and found[d][1] >= 38 for d in (7, 11))
+
+
 @pytest.mark.parametrize("n", [1, 2, 3])
 def test_two_documents_and_few_minimisers(spark, n):
     rng = random.Random(n)
