@@ -207,6 +207,15 @@ def _(f):
     return found.select("doc_id", "strategy", F.col("seq").cast("long").alias("seq"), "section_type", "method", "title", F.round("confidence", 6).alias("confidence"), F.length("text").cast("long").alias("size"))
 
 
+@query("run_outcomes", f"""{_ALL}, told AS (SELECT DISTINCT doc_id FROM cands)
+SELECT form_type, count(*) AS total, count(told.doc_id) AS saved, count(*) FILTER (text = '') AS failed, count(*) - count(told.doc_id) - count(*) FILTER (text = '') AS dropped FROM texts LEFT JOIN told USING (doc_id) GROUP BY 1""")
+def _(f):
+    """What became of a run's filings by form: saved with a section, failed as no text was had, dropped as nothing in it was a section."""
+    found = E.with_candidates(f.texts.select("doc_id", "form_type", "root_form", "text"))
+    ended = found.select("form_type", (F.size("found") > 0).alias("saved"), (F.col("text") == "").alias("failed"))
+    return ended.groupBy("form_type").agg(F.count("*").alias("total"), F.count_if("saved").alias("saved"), F.count_if("failed").alias("failed"), F.count_if(~F.col("saved") & ~F.col("failed")).alias("dropped"))
+
+
 @query("candidate_dedup", f"{_ALL}, {_BEST} SELECT doc_id, place, strategy, method, confidence FROM best")
 def _(f):
     kept = E.with_candidates(f.texts.select("doc_id", "root_form", "text")).select("doc_id", F.inline(E.best(F.col("found"))))

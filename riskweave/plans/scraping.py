@@ -72,12 +72,6 @@ def _(f):
     return _fresh(f).groupBy("form_type").agg(F.count_if(F.col("tier") == 1).alias("tier_1"), F.count_if(F.col("tier") == 2).alias("tier_2"))
 
 
-@query("run_outcomes", "SELECT count(*) AS total, count(*) FILTER (okey % 7 < 4) AS saved, count(*) FILTER (okey % 7 = 5) AS failed, count(*) - count(*) FILTER (okey % 7 < 4) - count(*) FILTER (okey % 7 = 5) AS dropped FROM filings")
-def _(f):
-    saved, failed = F.count_if(F.col("okey") % 7 < 4), F.count_if(F.col("okey") % 7 == 5)
-    return f.filings.agg(F.count("*").alias("total"), saved.alias("saved"), failed.alias("failed"), (F.count("*") - saved - failed).alias("dropped"))
-
-
 @query("run_message", """SELECT okey, CASE WHEN reprocessed > 0 THEN printf('Done: reprocessed %d filings, %d total with summaries (%.1fmin)', reprocessed, total, seconds / 60)
   WHEN new_found = 0 AND total > 0 THEN printf('Up to date: all %d filings already processed (%.1fmin)', total, seconds / 60)
   WHEN new_found = 0 AND total = 0 THEN 'No filings found. Check your internet connection and try again.'
