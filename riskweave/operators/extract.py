@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from riskweave.functions import fixed, lexicons
+from riskweave.functions import fixed, terms
 from riskweave.functions.text import let, overlap, rows, sentences, strip, word_set
 
 SAMPLE, LENIENT, PARAGRAPHS, PARAGRAPHS_LEAST = 40_000, 0.8, 0.6, 500
@@ -103,16 +103,20 @@ def typed_sections(text: Column, root: Column) -> Column:
     return F.filter(found, lambda s: F.length(s["text"]) >= least)
 
 
-def verdict(text: Column) -> Column:
-    """struct(reason, confidence) of a text, as ``check`` finds them, as one expression."""
+def sample(text: Column) -> Column:
+    """What of a text the check counts terms in."""
+    return F.substring(text, 1, SAMPLE)
+
+
+def verdict(text: Column, hits: Column) -> Column:
+    """struct(reason, confidence) of a text, as ``check`` finds them, as one expression; ``hits`` are the counts of its sample."""
 
     def judged(h: Column) -> Column:
         density = F.when(h["n"] == 0, 0.0).otherwise(h["risk"] / (h["n"] / 1000.0))
         ratio = F.when(h["risk"] > 0, h["fee"] / h["risk"]).otherwise(1.0)
         return let(F.struct(h["size"].alias("size"), h["crypto"].alias("crypto"), h["boilerplate"].alias("boilerplate"), density.alias("density"), ratio.alias("ratio")), lambda d: let(_reason(d["size"], d["crypto"], d["density"], d["ratio"]), lambda r: F.struct(r.alias("reason"), F.when(r == "", _score(d["crypto"], d["density"], d["ratio"], d["boilerplate"])).otherwise(0.0).alias("confidence"))))
 
-    sample = F.substring(text, 1, SAMPLE)
-    return let(sample, lambda s: let(F.struct(F.length(text).alias("size"), F.length(s).alias("n"), *[lexicons.count(s, x).alias(x) for x in ("crypto", "risk", "fee", "boilerplate")]), judged))
+    return let(F.struct(F.length(text).alias("size"), F.least(F.length(text), F.lit(SAMPLE)).alias("n"), *[hits[x].alias(x) for x in terms.LEXICONS]), judged)
 
 
 def _reason(size: Column, crypto: Column, density: Column, ratio: Column) -> Column:
@@ -126,8 +130,9 @@ def _score(crypto: Column, density: Column, ratio: Column, boilerplate: Column)
 
 def check(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with hits, density, ratio, reason ('' where valid) and confidence of its texts."""
-    sample = F.substring(text, 1, SAMPLE)
-    df = df.withColumns({f"{n}_hits": lexicons.count(sample, n) for n in ("crypto", "risk", "fee", "boilerplate")} | {"sampled": F.length(sample)})
+    own = "_hits"
+    df = df.withColumns({own: terms.counted(sample(F.col(text))), "sampled": F.length(sample(F.col(text)))})
+    df = df.withColumns({f"{n}_hits": F.col(own)[n] for n in terms.LEXICONS}).drop(own)
     df = df.withColumns({
         "risk_density": F.when(F.col("sampled") == 0, 0.0).otherwise(F.col("risk_hits") / (F.col("sampled") / 1000.0)),
         "fee_ratio": F.when(F.col("risk_hits") > 0, F.col("fee_hits") / F.col("risk_hits")).otherwise(1.0),
@@ -156,22 +161,33 @@ def paragraphs(df: DataFrame) -> DataFrame:
     return df.select(*keys, F.posexplode(pieces(F.col("text"))).alias("pos", "p"))
 
 
-def telling_paragraphs(text: Column) -> Column:
-    """The paragraphs of a text on topic and risk, up to the cut, best first, as one text; as ``paragraph_text``, in one expression."""
-    fits = lambda p: (F.length(p) >= 60) & lexicons.has(p, "crypto") & lexicons.has(p, "risk") & ~lexicons.has(p, "boilerplate") & ~lexicons.has(p, "fee")
-    item_ = "struct<s:int,pos:int,p:string>"
-    scored = F.transform(F.filter(pieces(text), fits), lambda p, i: F.struct((-lexicons.count(p, "crypto") * lexicons.count(p, "risk")).alias("s"), i.alias("pos"), p.alias("p")).cast(item_))
-    none = F.struct(F.lit(0).alias("total"), F.array().cast(f"array<{item_}>").alias("kept"))
-    grow = lambda acc, x: F.when(acc["total"] <= CUT, F.struct((acc["total"] + F.length(x["p"])).alias("total"), F.array_append(acc["kept"], x).alias("kept"))).otherwise(acc)
-    return F.array_join(F.transform(F.array_sort(F.aggregate(scored, none, grow)["kept"]), lambda x: x["p"]), "\n\n")
+def units(text: Column) -> Column:
+    """Array of struct(pos, p): the pieces of a text that are long enough to tell something."""
+    return F.filter(F.transform(pieces(text), lambda p, i: F.struct(i.alias("pos"), p.alias("p"))), lambda u: F.length(u["p"]) >= 60)
+
+
+def with_scored(df: DataFrame, wanted: Column) -> DataFrame:
+    """``df`` (text, ..) with ``scored``, an array of struct(s, pos, p): the paragraphs on topic and risk of the texts that are ``wanted``, s less than 0.
+
+    Each text's paragraphs are read once for all lexicons.
+    """
+    own, hits = "_units", "_unit_hits"
+    df = df.withColumn(own, F.when(wanted, units(F.col("text"))))
+    df = df.withColumn(hits, terms.counted_each(F.col(f"{own}.p")))
+    each = F.zip_with(own, hits, lambda u, h: F.when(terms.telling(h), F.struct((-h["crypto"] * h["risk"]).alias("s"), u["pos"].alias("pos"), u["p"].alias("p"))))
+    return df.withColumn("scored", F.array_compact(each)).drop(own, hits)
+
+
+def telling_paragraphs(scored: Column) -> Column:
+    """Scored paragraphs up to the cut, best first, as one text; as ``paragraph_text``, in one expression."""
+    lengths = lambda acc, x: F.struct((acc["total"] + F.length(x["p"])).alias("total"), (acc["n"] + (acc["total"] <= CUT).cast("int")).alias("n"))
+    least = F.aggregate(scored, F.struct(F.lit(0).alias("total"), F.lit(0).alias("n")), lengths)["n"]
+    return F.array_join(F.transform(F.array_sort(F.slice(scored, F.lit(1), least)), lambda x: x["p"]), "\n\n")
 
 
 def scored_paragraphs(df: DataFrame, key: str, most: int = CUT) -> DataFrame:
     """Paragraphs on topic and risk, each with its score, up to the one at which their running length passes ``most``."""
-    p, text = F.col("p"), F.col("text")
-    told = df.where(lexicons.has(text, "crypto") & lexicons.has(text, "risk"))  # others have no such paragraph and aren't cut up
-    fine = paragraphs(told).where((F.length(p) >= 60) & lexicons.has(p, "crypto") & lexicons.has(p, "risk") & ~lexicons.has(p, "boilerplate") & ~lexicons.has(p, "fee"))
-    fine = fine.withColumn("score", lexicons.count(p, "crypto") * lexicons.count(p, "risk"))
+    fine = with_scored(df, F.lit(True)).select(key, F.inline("scored")).withColumn("score", -F.col("s")).drop("s")
     before = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     return fine.withColumn("total", F.coalesce(F.sum(F.length("p")).over(before), F.lit(0))).where(F.col("total") <= most).drop("total")
 
@@ -183,49 +199,57 @@ def paragraph_text(df: DataFrame, key: str) -> DataFrame:
 
 
 CANDIDATE = "struct<strategy:string,seq:int,section_type:string,method:string,title:string,text:string,confidence:double>"
+SPAN = "struct<strategy:string,seq:int,section_type:string,method:string,title:string,text:string,weight:double>"
+
 
+def _span(strategy: str, seq: Column, kind: Column, method: Column, title: Column, text: Column, weight: float = 1.0) -> Column:
+    return F.struct(F.lit(strategy).alias("strategy"), seq.alias("seq"), kind.alias("section_type"), method.alias("method"), title.alias("title"), text.alias("text"), F.lit(weight).alias("weight")).cast(SPAN)
 
-def _candidate(strategy: str, seq: Column, kind: Column, method: Column, title: Column, text: Column, confidence: Column) -> Column:
-    return F.struct(F.lit(strategy).alias("strategy"), seq.alias("seq"), kind.alias("section_type"), method.alias("method"), title.alias("title"), text.alias("text"), confidence.alias("confidence")).cast(CANDIDATE)
 
+def _with_good(df: DataFrame, name: str, spans: Column) -> DataFrame:
+    """``df`` with ``name``: those of ``spans`` that pass the check as candidates, in order; their samples are read together."""
+    own, hits = "_spans", "_span_hits"
+    df = df.withColumn(own, spans.cast(f"array<{SPAN}>"))
+    df = df.withColumn(hits, terms.counted_each(F.transform(F.col(f"{own}.text"), sample)))
 
-def _if_good(text: Column, make) -> Column:
-    """``make(confidence)`` of a text that passes the check, else null."""
-    return let(verdict(text), lambda v: F.when(v["reason"] == "", make(v["confidence"])))
+    def made(x: Column, h: Column) -> Column:
+        fields = [x[f].alias(f) for f in ("strategy", "seq", "section_type", "method", "title", "text")]
+        return let(verdict(x["text"], h), lambda v: F.when(v["reason"] == "", F.struct(*fields, (v["confidence"] * x["weight"]).alias("confidence")).cast(CANDIDATE)))
+
+    good = F.coalesce(F.array_compact(F.zip_with(own, hits, made)), F.array().cast(f"array<{CANDIDATE}>"))
+    return df.withColumn(name, good).drop(own, hits)
 
 
 def with_candidates(df: DataFrame) -> DataFrame:
     """``df`` (root_form, text, ..) with ``found``: the candidates of each text by five strategies, in order.
 
-    Later strategies are tried only where earlier ones found none, and the pairs of
-    headings only up to the first good one. All of it is expressions over the row: no
-    text is shuffled or read twice.
+    Later strategies are tried only where earlier ones found none. No text is shuffled;
+    what a strategy finds in a text goes to the index of terms at once.
     """
-    root, text = F.col("root_form"), F.col("text")
-    none = F.array().cast(f"array<{CANDIDATE}>")
-    lit = F.lit
-
-    def first_pair(table: Column) -> Column:
-        """The first pair of headings whose largest span is good; those behind it aren't tried."""
-        span = lambda p: F.get(_spans(text, p["pattern"], 1000), lit(0))["text"]
-        good = lambda p: let(span(p), lambda x: F.when(x.isNotNull(), _if_good(x, lambda k: _candidate("B", p["seq"], p["section_type"], p["method"], p["title"], x, k))))
-        return F.aggregate(table, lit(None).cast(CANDIDATE), lambda done, p: F.coalesce(done, good(p)))
-
-    listed = lambda x: F.when(x.isNotNull(), F.array(x)).otherwise(none)
-    a = F.transform(typed_sections(text, root), lambda s: _if_good(s["text"], lambda c: _candidate("A", s["seq"], s["section_type"], F.concat(lit("typed_"), s["section_type"]), s["title"], s["text"], c)))
-    tables = [rows("seq section_type method title pattern", [(no, kind, f"boundary_pair_{start}_{end}", f"Item {start}", pair_pattern(start, end)) for no, (kind, start, end) in enumerate(t)]) for t in (fixed.PAIRS_10K, fixed.PAIRS_10Q)]
-    b = first_pair(F.when(root == "10-K", tables[0]).otherwise(tables[1]))
+    root, text, lit = F.col("root_form"), F.col("text"), F.lit
+    own, more, told = "found", "_more", F.col("_told")
+    empty = F.size(own) == 0
+    df = df.withColumn("_told", terms.counted(text)).withColumn("_told", F.coalesce(terms.told(told), lit(False)))  # no other report or paragraph has a candidate
+    a = F.transform(typed_sections(text, root), lambda s: _span("A", s["seq"], s["section_type"], F.concat(lit("typed_"), s["section_type"]), s["title"], s["text"]))
     headers = rows("header", [(h,) for h in fixed.HEADERS])
-    c = F.transform(F.slice(header_spans(text), 1, 3), lambda s, i: _if_good(s["text"], lambda k: _candidate("C", i, lit(fixed.PROSPECTUS_TYPE), lit("prospectus_header"), F.get(headers, s["header_no"])["header"], s["text"], k)))
+    c = F.transform(F.slice(header_spans(text), 1, 3), lambda s, i: _span("C", i, lit(fixed.PROSPECTUS_TYPE), lit("prospectus_header"), F.get(headers, s["header_no"])["header"], s["text"]))
+    df = _with_good(df, own, F.when(told & root.isin("10-K", "10-Q", "8-K"), a).when(root.isin(*fixed.FUND_FORMS), c))
+
+    tables = [rows("seq section_type method title pattern", [(no, kind, f"boundary_pair_{start}_{end}", f"Item {start}", pair_pattern(start, end)) for no, (kind, start, end) in enumerate(t)]) for t in (fixed.PAIRS_10K, fixed.PAIRS_10Q)]
+    largest = lambda p: let(F.get(_spans(text, p["pattern"], 1000), lit(0))["text"], lambda x: F.when(x.isNotNull(), _span("B", p["seq"], p["section_type"], p["method"], p["title"], x)))
+    b = F.array_compact(F.transform(F.when(root == "10-K", tables[0]).otherwise(tables[1]), largest))
+    df = _with_good(df, more, F.when(told & root.isin(*REPORTS) & empty, b))
+    df = df.withColumn(own, F.when(empty, F.slice(more, 1, 1)).otherwise(F.col(own)))  # the first pair whose largest span is good
+
     wide = F.get(boundary_spans(text, "1A", "2", 500), lit(0))["text"]
-    d = let(wide, lambda x: F.when(x.isNotNull(), _if_good(x, lambda k: _candidate("D", lit(0), lit(fixed.LENIENT_TYPE), lit("boundary_pair_lenient"), lit(fixed.LENIENT_TITLE), x, k * LENIENT))))
-    e = let(telling_paragraphs(text), lambda x: F.when(F.length(x) > PARAGRAPHS_LEAST, _if_good(x, lambda k: _candidate("E", lit(0), lit(fixed.PARAGRAPHS_TYPE), lit("paragraph_density"), lit(fixed.PARAGRAPHS_TITLE), x, k * PARAGRAPHS))))
-    told = lexicons.has(text, "crypto") & lexicons.has(text, "risk")  # no other report or paragraph has a candidate
-    own = "found"
-    df = df.withColumn(own, F.when(told & root.isin("10-K", "10-Q", "8-K"), F.coalesce(F.array_compact(a), none)).otherwise(none))
-    df = df.withColumn(own, F.when(told & root.isin(*REPORTS) & (F.size(own) == 0), listed(b)).when(root.isin(*fixed.FUND_FORMS), F.coalesce(F.array_compact(c), none)).otherwise(F.col(own)))
-    df = df.withColumn(own, F.when(told & root.isin(*REPORTS) & (F.size(own) == 0), listed(d)).otherwise(F.col(own)))
-    return df.withColumn(own, F.when(told & (F.size(own) == 0), listed(e)).otherwise(F.col(own)))
+    d = let(wide, lambda x: F.when(x.isNotNull(), F.array(_span("D", lit(0), lit(fixed.LENIENT_TYPE), lit("boundary_pair_lenient"), lit(fixed.LENIENT_TITLE), x, LENIENT))))
+    df = _with_good(df, more, F.when(told & root.isin(*REPORTS) & empty, d))
+    df = df.withColumn(own, F.when(empty, F.col(more)).otherwise(F.col(own)))
+
+    joined = telling_paragraphs(F.col("scored"))
+    e = let(joined, lambda x: F.when(F.length(x) > PARAGRAPHS_LEAST, F.array(_span("E", lit(0), lit(fixed.PARAGRAPHS_TYPE), lit("paragraph_density"), lit(fixed.PARAGRAPHS_TITLE), x, PARAGRAPHS))))
+    df = _with_good(with_scored(df, told & empty), more, e)
+    return df.withColumn(own, F.when(empty, F.col(more)).otherwise(F.col(own))).drop("_told", more, "scored")
 
 
 def candidates(texts: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.functions import fixed, lexicons
+from riskweave.functions import fixed, terms
 from riskweave.functions.text import ascii_fold, fund_name
 from riskweave.operators import extract, ingest, metadata, summary
 from riskweave.session import work_folder
@@ -31,7 +31,7 @@ class Records:
 def fund_documents(attachments: DataFrame) -> DataFrame:
     """The first attachments of each filing that are text and long enough, with their score and the fund that they name."""
     kept = attachments.where((F.col("seq") < ATTACHMENTS) & (F.col("is_binary") == 0) & (F.length("text") >= ATTACHMENT_LEAST))
-    score = lexicons.count(F.substring("text", 1, 20_000), "crypto")
+    score = terms.counted(F.substring("text", 1, 20_000))["crypto"]
     return kept.select("accession_no", "seq", "name", "type", "text", score.alias("crypto_score"), fund_name(F.col("text")).alias("fund_name"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.functions import fixed, lexicons
+from riskweave.functions import fixed, lexicons, terms
 from riskweave.functions.text import in_order, sentences, strip, word_set
 from riskweave.operators.metadata import lookup
 
@@ -14,11 +14,14 @@ from riskweave.operators.metadata import lookup
 TEMPLATE_MODEL = "template-v1"
 
 
-def gate(text: Column) -> Column:
-    """Whether a text is worth a summary."""
-    sample = F.substring(text, 1, 30_000)
-    risk, fee = lexicons.count(sample, "risk"), lexicons.count(sample, "fee")
-    return F.coalesce((F.length(text) >= 200) & (lexicons.count(sample, "crypto") >= 3) & (risk >= 5) & (fee <= 0.5 * risk), F.lit(False))
+def gate(text: Column, hits: Column) -> Column:
+    """Whether a text is worth a summary; ``hits`` are the counts of ``gated(text)``."""
+    return F.coalesce((F.length(text) >= 200) & (hits["crypto"] >= 3) & (hits["risk"] >= 5) & (hits["fee"] <= 0.5 * hits["risk"]), F.lit(False))
+
+
+def gated(text: Column) -> Column:
+    """What of a text the gate counts terms in."""
+    return F.substring(text, 1, 30_000)
 
 
 def assets(text: Column) -> Column:
@@ -40,15 +43,15 @@ def form_phrase(form: Column) -> Column:
 
 
 def scored_sentences(df: DataFrame) -> DataFrame:
-    """(keys.., pos, s, score): sentences fit for a summary."""
+    """(keys.., pos, s, score): sentences fit for a summary; the index reads those of fitting length once for all four lexicons."""
     keys = [c for c in df.columns if c != "text"]
-    s = F.col("s")
-    sample = F.substring("text", 1, 50_000)
-    told = df.where(lexicons.has(sample, "crypto") & lexicons.has(sample, "risk"))  # others have no such sentence and aren't cut up
-    each = told.select(*keys, F.posexplode(sentences(sample)).alias("pos", "s")).withColumn("s", strip(s))
-    each = each.where(F.length(s).between(80, 450) & lexicons.has(s, "crypto") & lexicons.has(s, "risk") & ~lexicons.has(s, "generic") & ~lexicons.has(s, "boilerplate") & ~lexicons.has(s, "fee"))
-    score = lexicons.count(s, "crypto") * 3 + lexicons.count(s, "risk") * 2 + lexicons.count(s, "specific") * 5 - lexicons.count(s, "hedge") * 0.5
-    return each.withColumn("score", score.cast("double"))
+    own, hits, s = "_units", "_hits", F.col("s")
+    each = F.transform(sentences(F.substring("text", 1, 50_000)), lambda x, i: F.struct(i.alias("pos"), strip(x).alias("s")))
+    df = df.select(*keys, F.filter(each, lambda u: F.length(u["s"]).between(80, 450)).alias(own)).withColumn(hits, terms.counted_each(F.col(f"{own}.s")))
+    fine = F.array_compact(F.zip_with(own, hits, lambda u, h: F.when(terms.telling(h), F.struct(u["pos"].alias("pos"), u["s"].alias("s"), (h["crypto"] * 3 + h["risk"] * 2).alias("n")))))
+    each = df.select(*keys, F.inline(fine)).where(~lexicons.has(s, "generic"))
+    score = F.col("n") + lexicons.count(s, "specific") * 5 - lexicons.count(s, "hedge") * 0.5
+    return each.withColumn("score", score.cast("double")).drop("n")
 
 
 def best_sentences(df: DataFrame, key: str, count: int = 3) -> DataFrame:
@@ -66,7 +69,8 @@ def best_sentences(df: DataFrame, key: str, count: int = 3) -> DataFrame:
 
 def template_summary(df: DataFrame, key: str) -> DataFrame:
     """(key, summary) of ``df`` (key, form_type, company_name, text): what is filed by whom, risk areas, telling sentences; empty where the gate is shut."""
-    base = df.withColumns({"assets": assets(F.col("text")), "areas": risk_categories(F.col("text")), "open": gate(F.col("text"))}).where("open")
+    base = df.withColumn("_gate", terms.counted(gated(F.col("text")))).where(gate(F.col("text"), F.col("_gate"))).drop("_gate")
+    base = base.withColumns({"assets": assets(F.col("text")), "areas": risk_categories(F.col("text"))})
     told = base.join(best_sentences(base.select(key, "text"), key), key, "left")
     named = F.when(F.size("assets") > 0, F.concat(F.lit(" involving "), F.array_join(F.slice("assets", 1, 3), ", "))).otherwise("")
     opening = F.concat(F.col("company_name"), F.lit(" — "), form_phrase(F.col("form_type")), named, F.lit("."))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskweave.catalog import query
-from riskweave.functions import fixed, lexicons, text as T
+from riskweave.functions import fixed, lexicons, terms, text as T
 from riskweave.functions.lexicons import count_sql, has_sql, plain_sql, quoted
 from riskweave.operators import extract as E
 from riskweave.operators import metadata as M
@@ -52,7 +52,24 @@ def spans_sql(start: str, end: str, least: int) -> str:
 
 @query("lexicon_counts", f"SELECT doc_id, {', '.join(f'{count_sql(chr(112), n)} AS {n}_hits' for n in _LEX)} FROM (SELECT doc_id, {plain_sql('text')} AS p FROM texts)")
 def _(f):
-    return f.texts.select("doc_id", *[lexicons.count(F.col("text"), n).cast("long").alias(f"{n}_hits") for n in _LEX])
+    counts = f.texts.select("doc_id", terms.counted("text").alias("hits"))
+    return counts.select("doc_id", *[F.col("hits")[n].cast("long").alias(f"{n}_hits") for n in _LEX])
+
+
+def _positions_sql(n: str) -> str:
+    pieces = f"string_split_regex(p, {quoted('(?i)' + lexicons.body(n))})"
+    found = f"regexp_extract_all(p, {quoted('(?i)' + lexicons.body(n))})"
+    return f"""SELECT doc_id, '{n}' AS lexicon, len(m) AS n, list_sum(list_transform(m, lambda x: length(x))) AS covered, length(s[1]) AS first_start,
+  list_sum(list_transform(s, lambda x, i: length(x) * (len(m) + 1 - i))) + list_sum(list_transform(m, lambda x, i: length(x) * (len(m) - i))) AS start_sum FROM (SELECT doc_id, {pieces} AS s, {found} AS m FROM plain_texts) WHERE len(m) > 0"""
+
+
+@query("term_positions", f", plain_texts AS (SELECT doc_id, {plain_sql('text')} AS p FROM texts) {' UNION ALL '.join(map(_positions_sql, _LEX))}")
+def _(f):
+    """Where each text's terms stand, by lexicon: how many, how many characters, the first start and the sum of all starts."""
+    each = f.texts.select("doc_id", F.inline(terms.index("text")))
+    names = F.array(*map(F.lit, terms.LEXICONS))
+    sums = each.groupBy("doc_id", F.get(names, F.col("lexicon")).alias("lexicon"))
+    return sums.agg(F.count("*").alias("n"), F.sum(F.col("end") - F.col("start")).alias("covered"), F.min("start").cast("long").alias("first_start"), F.sum("start").alias("start_sum"))
 
 
 _SIGNALS = ["crypto_hits", "risk_hits", "fee_hits", "boilerplate_hits"]
@@ -121,8 +138,8 @@ typed AS ({_wanted_sql('10-K', fixed.TYPED_10K, False)} UNION ALL {_wanted_sql('
 def _(f):
     """The sections of every report, found by its headings, that pass the check."""
     sections = f.texts.select("doc_id", F.inline(E.typed_sections(F.col("text"), F.col("root_form"))))
-    done = sections.withColumn("v", E.verdict(F.col("text"))).where("v.reason = ''")
-    return done.select("doc_id", F.col("seq").cast("long").alias("seq"), "section_type", "title", F.round("v.confidence", 6).alias("confidence"), F.length("text").cast("long").alias("size"))
+    done = E.check(sections).where("reason = ''")
+    return done.select("doc_id", F.col("seq").cast("long").alias("seq"), "section_type", "title", F.round("confidence", 6).alias("confidence"), F.length("text").cast("long").alias("size"))
 
 
 # -- paragraphs --
@@ -232,7 +249,7 @@ merged AS (SELECT doc_id, src, strategy, section_type, method, title, confidence
 
 
 def _merged(f):
-    docs = f.fund_docs.where("seq < 5 AND is_binary = 0").where(F.length("text") >= 500).withColumn("crypto_score", lexicons.count(F.substring("text", 1, 20_000), "crypto"))
+    docs = f.fund_docs.where("seq < 5 AND is_binary = 0").where(F.length("text") >= 500).withColumn("crypto_score", terms.counted(F.substring("text", 1, 20_000))["crypto"])
     filings = f.texts.select("doc_id", "root_form", F.concat(F.lit("F"), (F.col("doc_id") - F.col("doc_id") % 8).cast("string")).alias("accession_no"))
     return E.with_best_document(f.texts, filings, docs).select("doc_id", F.inline("best"))
 
@@ -249,7 +266,7 @@ _NAME = ", ".join("CASE WHEN length({0}) BETWEEN 9 AND 79 THEN {0} END".format(s
 
 @query("fund_documents", f", found AS (SELECT accession_no, seq, name, {count_sql('p', 'crypto')} AS crypto_score FROM (SELECT *, {plain_sql('substr(text, 1, 20000)')} AS p FROM fund_docs WHERE seq < 5 AND is_binary = 0 AND length(text) >= 500)) SELECT *, row_number() OVER (PARTITION BY accession_no ORDER BY crypto_score DESC, seq) - 1 AS doc_seq FROM found")
 def _(f):
-    docs = f.fund_docs.where("seq < 5 AND is_binary = 0").where(F.length("text") >= 500).withColumn("crypto_score", lexicons.count(F.substring("text", 1, 20_000), "crypto").cast("long"))
+    docs = f.fund_docs.where("seq < 5 AND is_binary = 0").where(F.length("text") >= 500).withColumn("crypto_score", terms.counted(F.substring("text", 1, 20_000))["crypto"].cast("long"))
     return store.ranked_documents(docs).select("accession_no", "seq", "name", "crypto_score", F.col("doc_seq").cast("long").alias("doc_seq"))
 
 
@@ -333,7 +350,8 @@ picks AS (SELECT doc_id, list_transform({fold_sql('l', 'CASE WHEN len(acc) >= 3
 
 @query("summary_gate", f"SELECT doc_id, {_GATE} AS open FROM (SELECT *, {plain_sql('substr(text, 1, 30000)')} AS g FROM texts)")
 def _(f):
-    return f.texts.select("doc_id", Y.gate(F.col("text")).alias("open"))
+    counts = f.texts.select("doc_id", "text", terms.counted(Y.gated(F.col("text"))).alias("hits"))
+    return counts.select("doc_id", Y.gate(F.col("text"), F.col("hits")).alias("open"))
 
 
 @query("detect_assets", f"SELECT doc_id, array_to_string({_ASSETS}, ', ') AS assets FROM (SELECT doc_id, {plain_sql('lower(substr(text, 1, 10000))')} AS low FROM texts)")

@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from riskweave.functions import display as D
+from riskweave.functions import lexicons, terms
 from riskweave.functions import text as T
 from riskweave.operators import extract as E
 from riskweave.operators import cache, figures, filters, ingest, records, store, warehouse, years
@@ -81,13 +82,35 @@ def test_sections_of_a_report(spark):
 def test_expressions_say_what_the_frames_say(spark):
     """The one-expression check and paragraph text against those over frames."""
     rows = texts(spark, *[(i, "D", t) for i, t in enumerate([*BLOCKS.values(), "", None, RISK * 30, "\n\n".join([RISK[:230]] * 400)])])
-    one = rows.select("doc_id", E.verdict(F.col("text")).alias("v")).select("doc_id", "v.*")
+    hits = rows.withColumn("hits", terms.counted(E.sample(F.col("text"))))
+    one = hits.select("doc_id", E.verdict(F.col("text"), F.col("hits")).alias("v")).select("doc_id", "v.*")
     assert sorted(map(tuple, one.collect())) == sorted((r.doc_id, r.reason, r.confidence) for r in E.check(rows).collect())
-    own = {r.doc_id: r.t for r in rows.select("doc_id", E.telling_paragraphs(F.col("text")).alias("t")).collect()}
+    own = {r.doc_id: r.t for r in E.with_scored(rows, F.lit(True)).select("doc_id", E.telling_paragraphs(F.col("scored")).alias("t")).collect()}
     of_frame = {r.doc_id: r.text for r in E.paragraph_text(rows.select("doc_id", "text"), "doc_id").collect()}
     assert {k: v for k, v in own.items() if v} == of_frame and 60_000 < len(of_frame[len(BLOCKS) + 3]) < 62_000
 
 
+def test_index_counts_what_the_patterns_count(spark):
+    """The index against each lexicon's own pattern, on words next to what Java's word boundary tells apart, and texts made of the terms."""
+    words = ["risk", "RISKS", "materially", "material adverse", "adverse", "base fee schedule", "iXBRL", "Exhibits 4", "exhibit  4", "LIVE 1234567890", "crypto-assets", "crypto\nasset", "cryptoasset", "proof of work", "K", "kraken", "digital asset", "no assurance"]
+    odd = ["", " ", "_", "\u0301", "\u200d", "\u203f", "\u00b2", "\u24b6", "\u0663", "é", "\u212araken ", "ri\u017fk ", "r\u0130sk ", "r\u0131sk ", "\U0001f600", "9", "\u0085", "\u2028"]
+    made = [(i, a + x + b) for i, (a, x, b) in enumerate((a, x, b) for a in odd for x in words for b in odd)]
+    made += [(len(made) + i, " ".join(words[(i * k) % len(words)] for k in range(40))) for i in range(40)] + [(-1, None), (-2, ""), (-3, "risk " * 200_000)]
+    rows = spark.createDataFrame(made, "id long, t string")
+    want = {r[0]: tuple(r[1:]) for r in rows.select("id", *[lexicons.count(F.col("t"), n) for n in terms.LEXICONS]).collect()}
+    got = {r.id: tuple(r.c) if r.c else (None,) * 4 for r in rows.select("id", terms.counted("t").alias("c")).collect()}
+    assert [(made[k][1], got[k], want[k]) for k in range(len(made) - 3) if got[k] != want[k]] == [] and got == want
+
+
+def test_index_of_units_and_places(spark):
+    rows = spark.createDataFrame([(1, ["a risk", None, "", "bitcoin risk loss"]), (2, None), (3, []), (4, ["digital", "asset"])], "id long, u array<string>")
+    got = {r.id: r.c and [x and tuple(x) for x in r.c] for r in rows.select("id", terms.counted_each("u").alias("c")).collect()}
+    assert got == {1: [(0, 1, 0, 0), None, (0, 0, 0, 0), (1, 2, 0, 0)], 2: None, 3: [], 4: [(0, 0, 0, 0), (0, 0, 0, 0)]}
+    text = "\U0001f600 Material adverse base fee table of contents"
+    places = spark.createDataFrame([(text,), (None,)], "t string").select(terms.index("t").alias("x")).collect()
+    assert [(terms.LEXICONS[x.lexicon], text[x.start : x.end]) for x in places[0].x] == [("risk", "Material adverse"), ("fee", "base fee"), ("boilerplate", "table of contents")] and places[1].x is None
+
+
 def test_html(spark):
     page = "<head><title>x</title></head><table><tr><td>Table of Contents</td></tr><tr><td>Item 1</td><td>3</td></tr></table><p>One <b>bold</b> &amp; <br>two</p><script>bad()</script><table><tr><td>kept</td></tr></table>"
     assert T.page_text(page) == "One bold &\ntwo\n\nkept"
