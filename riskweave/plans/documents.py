@@ -59,8 +59,8 @@ def _(f):
 def _positions_sql(n: str) -> str:
     pieces = f"string_split_regex(p, {quoted('(?i)' + lexicons.body(n))})"
     found = f"regexp_extract_all(p, {quoted('(?i)' + lexicons.body(n))})"
-    return f"""SELECT doc_id, '{n}' AS lexicon, len(m) AS n, list_sum(list_transform(m, lambda x: length(x))) AS covered, length(s[1]) AS first_start,
-  list_sum(list_transform(s, lambda x, i: length(x) * (len(m) + 1 - i))) + list_sum(list_transform(m, lambda x, i: length(x) * (len(m) - i))) AS start_sum FROM (SELECT doc_id, {pieces} AS s, {found} AS m FROM plain_texts) WHERE len(m) > 0"""
+    return f"""SELECT doc_id, '{n}' AS lexicon, len(m) AS n, CAST(list_sum(list_transform(m, lambda x: length(x))) AS BIGINT) AS covered, length(s[1]) AS first_start,
+  CAST(list_sum(list_transform(s, lambda x, i: length(x) * (len(m) + 1 - i))) + list_sum(list_transform(m, lambda x, i: length(x) * (len(m) - i))) AS BIGINT) AS start_sum FROM (SELECT doc_id, {pieces} AS s, {found} AS m FROM plain_texts) WHERE len(m) > 0"""
 
 
 @query("term_positions", f", plain_texts AS (SELECT doc_id, {plain_sql('text')} AS p FROM texts) {' UNION ALL '.join(map(_positions_sql, _LEX))}")
