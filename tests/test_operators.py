@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from riskweave.functions import display as D
-from riskweave.functions import lexicons, terms
+from riskweave.functions import fixed, lexicons, terms
 from riskweave.functions import text as T
 from riskweave.operators import extract as E
 from riskweave.operators import cache, figures, filters, ingest, records, store, warehouse, years
@@ -463,3 +463,13 @@ def test_a_write_rewrites_the_years_it_touches(spark, tmp_path):
     years.write(spark, "filings_by_year", new.limit(0), store.upsert)
     assert years.read(spark, "filings_by_year").count() == len(want)
     spark.sql("DROP TABLE filings_by_year")
+
+
+def test_plain_words_are_looked_for_before_patterns(spark):
+    pieces = ["price fluctuates", "prices may well fluctuate", "price\nfluctuation", "fluctuat price", "tax", "tax on uncertain", "cyber security", "cyber\nsecurity", "front-running", "SEC will regulate", "net asset value", "custodian", "KYC", "exchange had failed", "decentralized finance", "eth", "method", "non-fungible", "stablecoins", "cryptocurrencies", "crypto", "", "İ nft", "nfté"]
+    df = spark.createDataFrame([(f"{a} {b}",) for a in pieces for b in pieces] + [(None,)], "text string").withColumn("low", F.lower("text"))
+    tables = [(p, "(?d)") for _, p in fixed.RISK_CATEGORIES] + [(p, "(?dU)") for p, _ in fixed.ASSETS]
+    bad = [df.where(~lexicons.named(F.col("low"), p, flags).eqNullSafe(F.col("low").rlike(flags + p))) for p, flags in tables]
+    assert all(b.isEmpty() for b in bad)
+    with pytest.raises(ValueError):
+        lexicons.named(F.col("low"), r"(\d+|word)", "")
