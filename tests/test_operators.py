@@ -473,3 +473,13 @@ def test_plain_words_are_looked_for_before_patterns(spark):
     assert all(b.isEmpty() for b in bad)
     with pytest.raises(ValueError):
         lexicons.named(F.col("low"), r"(\d+|word)", "")
+
+
+def test_a_summary_is_made_of_its_own_row(spark):
+    df = spark.createDataFrame([(1, "10-K", "A", BLOCKS["body"] * 2), (2, "S-1", "B", "quiet"), (3, "D", "C", None)], "doc_id long, form_type string, company_name string, text string")
+    made = Y.template_summary(df, "doc_id")
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("ArrowEvalPython") == 2
+    got = {r.doc_id: r.summary for r in made.collect()}
+    assert got[1].startswith("A — annual report involving Bitcoin, ") and got[2] == got[3] == ""
+    assert got[1].endswith(" ".join(Y.best_sentences(df, "doc_id").first().picked))
