@@ -1,6 +1,7 @@
 """Quirks of single operators on fixtures of our own wording."""
 
 import json
+import timeit
 
 import pytest
 from hypothesis import given, settings
@@ -483,3 +484,12 @@ def test_a_summary_is_made_of_its_own_row(spark):
     got = {r.doc_id: r.summary for r in made.collect()}
     assert got[1].startswith("A — annual report involving Bitcoin, ") and got[2] == got[3] == ""
     assert got[1].endswith(" ".join(Y.best_sentences(df, "doc_id").first().picked))
+
+
+def test_letters_outside_ascii_cost_the_index_little():
+    def seconds(text):
+        list(terms.occurrences(text))
+        return min(timeit.repeat(lambda: list(terms.occurrences(text)), number=1, repeat=5))
+
+    plain = "cheese and bread with nothing to tell " * 10_000
+    assert seconds(plain + "é") < 3 * seconds(plain)
