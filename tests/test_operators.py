@@ -2,6 +2,7 @@
 
 import json
 import timeit
+import tracemalloc
 
 import pytest
 from hypothesis import given, settings
@@ -493,3 +494,32 @@ def test_letters_outside_ascii_cost_the_index_little():
 
     plain = "cheese and bread with nothing to tell " * 10_000
     assert seconds(plain + "é") < 3 * seconds(plain)
+
+
+def test_a_workbook_holds_packed_rows_only(spark):
+    columns, row = [f"c{i}" for i in range(24)], tuple(["a & b" * 8] * 24)
+    tracemalloc.start()
+    data = sinks.workbook((row for _ in range(10_000)), columns)
+    read = sum(len(r) for r in sinks.sheet_rows(data))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert read == 24 * 10_001 and peak < 10 << 20
+    frame = spark.range(0, 2_500, 1, 1).select(F.col("id").cast("string").alias("id"), F.lit("x < y").alias("said"))
+    again = sinks.read_workbooks(spark, sinks.export_workbooks(spark, frame, rows=1_100), frame.columns)
+    assert sorted(again.collect()) == sorted(frame.collect())
+
+
+def test_pages_are_parsed_a_few_at_a_time(spark, tmp_path, monkeypatch):
+    sizes = spark.sparkContext.accumulator(0)
+
+    @F.arrow_udf("string")
+    def seen(markup):
+        sizes.add(1)
+        return T.html_to_text.func(markup)
+
+    monkeypatch.setattr(cache, "html_to_text", seen)
+    pages = spark.range(0, 1_200, 1, 1).select("id", F.concat(F.lit("<p>page "), "id", F.lit("</p>")).alias("html"))
+    with_batches = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = cache.cleaned(pages.coalesce(1), f"file://{tmp_path}/texts", 0.0)
+    assert {r.id: r.text for r in got.collect()} == {i: f"page {i}" for i in range(1_200)}
+    assert sizes.value >= 3 and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == with_batches
