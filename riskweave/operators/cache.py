@@ -12,7 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskweave.functions.text import html_to_text
+from riskweave.session import small_batches
 
+#: Pages that a task hands to the parser at a time.
+BATCH = 500
 SCHEMA = "key string, text string, made double, prefix string"
 
 
@@ -37,6 +40,7 @@ def cleaned(pages: DataFrame, folder: str, now: float, ttl: float | None = None)
     live = held if ttl is None else held.where(F.col("made") > now - ttl)
     unseen = keyed.join(live.select("prefix", "key"), ["prefix", "key"], "left_anti").groupBy("key").agg(F.first(F.coalesce("html", F.lit(""))).alias("html"))
     made = unseen.select("key", html_to_text("html").alias("text"), F.lit(float(now)).alias("made"), F.substring("key", 1, 2).alias("prefix"))
-    made.write.mode("append").partitionBy("prefix").parquet(folder)
+    with small_batches(spark, BATCH):
+        made.write.mode("append").partitionBy("prefix").parquet(folder)
     newest = entries(spark, folder).groupBy("prefix", "key").agg(F.max(F.struct("made", "text")).alias("x")).select("prefix", "key", "x.made", "x.text")
     return keyed.join(newest, ["prefix", "key"]).drop("prefix")
