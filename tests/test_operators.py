@@ -15,6 +15,7 @@ from riskweave.functions import text as T
 from riskweave.operators import extract as E
 from riskweave.operators import cache, figures, filters, ingest, records, store, warehouse, years
 from riskweave.operators import summary as Y
+from riskweave.plans import views
 from riskweave.sources import search, sinks
 from riskweave.sources.corpus import BLOCKS, RISK, Frames
 from riskweave.streaming import ingest as stream
@@ -523,3 +524,10 @@ def test_pages_are_parsed_a_few_at_a_time(spark, tmp_path, monkeypatch):
     got = cache.cleaned(pages.coalesce(1), f"file://{tmp_path}/texts", 0.0)
     assert {r.id: r.text for r in got.collect()} == {i: f"page {i}" for i in range(1_200)}
     assert sizes.value >= 3 and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == with_batches
+
+
+def test_figures_read_no_sections(spark):
+    f = Frames(spark, "/root/testdata/sf0.001")
+    lean, whole = views.gated(f.filings, f.summaries), views.visible(views.display(f.filings, f.sections, f.summaries))
+    assert sorted(map(tuple, figures.counts(lean).collect())) == sorted(map(tuple, figures.counts(whole).collect()))
+    assert "l_discount" not in lean._jdf.queryExecution().executedPlan().toString()
