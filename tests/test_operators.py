@@ -368,6 +368,14 @@ def test_candidates_are_found_once(spark):
         assert "Principal Investment Risks" not in df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_outputs_of_a_run_read_no_text_again(spark):
+    """A save evaluates an output several times: none of them has the index of terms in its plan, which reads texts."""
+    f = Frames(spark, "/root/testdata/sf0.001")
+    made = records.compose(f.work.drop("doc_id"), f.texts.select("accession_no", "text"), f.attachments, f.companies, f.details, "now")
+    for df in (made.documents, made.sections, made.summaries):
+        assert "ArrowEvalPython" not in df._jdf.queryExecution().executedPlan().toString() and not df.isEmpty()
+
+
 def test_stream_holds_no_state_and_takes_each_accession_once(spark, tmp_path):
     """Many commits, a restart in the middle: what was taken is in the target, not in the stream's state."""
     source, target, state = (f"file://{tmp_path}/{n}" for n in ("hits", "taken", "state"))
