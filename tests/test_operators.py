@@ -13,6 +13,7 @@ from riskweave.functions import display as D
 from riskweave.functions import fixed, lexicons, terms
 from riskweave.functions import text as T
 from riskweave.operators import extract as E
+from riskweave.operators import metadata as M
 from riskweave.operators import cache, figures, filters, ingest, records, store, warehouse, years
 from riskweave.operators import summary as Y
 from riskweave.plans import views
@@ -105,6 +106,23 @@ def test_index_counts_what_the_patterns_count(spark):
     assert [(made[k][1], got[k], want[k]) for k in range(len(made) - 3) if got[k] != want[k]] == [] and got == want
 
 
+def test_topics_of_a_text_are_those_of_the_pattern(spark):
+    """Whether a text tells and the words of its connection, against patterns and counts; no pattern steps through the text for either."""
+    words = ["bitcoin", "BTC", "crypto-assets", "crypto\nasset", "cryptoasset", "proof of work", "K", "\u212araken", "b\u0131tcoin", "BITCO\u0130N", "XRP", "DeFi", "digital assets", "risk", "loss", "method"]
+    odd = ["", " ", "_", "\u0301", "\u200d", "é", "\U0001f600", "9"]
+    made = [(i, a + x + b) for i, (a, x, b) in enumerate((a, x, b) for a in odd for x in words for b in odd)]
+    made += [(len(made) + i, " ".join(words[(i * k) % len(words)] for k in range(40))) for i in range(40)] + [(-1, None), (-2, "")]
+    rows = spark.createDataFrame(made, "id long, t string")
+    plain = F.regexp_extract_all(F.col("t"), F.lit("(?idU)" + lexicons.body("crypto")), 0)
+    got = rows.select("t", plain.alias("want"), terms.topics("t").alias("words"), terms.tells("t").alias("tells"), (terms.counted("t")).alias("c")).collect()
+    assert [r for r in got if r.words != (None if r.want is None else list(dict.fromkeys(r.want)))] == []
+    assert [r for r in got if r.tells != (None if r.c is None else r.c.crypto > 0 and r.c.risk > 0)] == []
+    said = rows.select("id", M.connection(F.col("t"), F.lit("8-K")).alias("said"))
+    assert "regexp_extract_all" not in said._jdf.queryExecution().executedPlan().toString()
+    told = {r.id: r.said for r in said.collect()}
+    assert told[-1] == told[-2] == "Crypto-related filing." and told[0] == "Discloses bitcoin material event or corporate action."
+
+
 def test_index_of_units_and_places(spark):
     rows = spark.createDataFrame([(1, ["a risk", None, "", "bitcoin risk loss"]), (2, None), (3, []), (4, ["digital", "asset"])], "id long, u array<string>")
     got = {r.id: r.c and [x and tuple(x) for x in r.c] for r in rows.select("id", terms.counted_each("u").alias("c")).collect()}
