@@ -155,6 +155,13 @@ _KIND[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'"]] = _
 _KIND[[c for c in range(65, 123) if chr(c).isalpha()]] = _LETTER
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: In UTF-8, the byte that leads the letters from U+00C0 to U+00FF, and whether one behind it makes a small letter.
+_LATIN = 0xC3
+_SMALL = np.isin(np.arange(256), [c for c in range(0x9F, 0xC0) if c != 0xB7])
+#: What cuts at white space alone.
+BARE = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+#: Words given to the tokenizer in one text.
+TOGETHER = 1_000
 
 
 def pieces(data: np.ndarray, off: np.ndarray, plain: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -193,6 +200,11 @@ class WordTokenizer:
         own = [t.content.lower().encode() for t in self._tokenizer.get_added_tokens_decoder().values()]
         self._special = re.compile(b"|".join(map(re.escape, own)) if own else b"(?!)")
         self._mark = self._tokenizer.encode(MARK, add_special_tokens=False).ids
+        given = json.loads(self._tokenizer.to_str())
+        end = given["model"].get("end_of_word_suffix")
+        self._bare = Tokenizer.from_str(json.dumps(given | {"normalizer": None, "pre_tokenizer": BARE}))
+        self._closes = np.zeros(max(self._tokenizer.get_vocab().values()) + 1, bool)
+        self._closes[[i for token, i in self._tokenizer.get_vocab().items() if end and token.endswith(end)]] = True
         self._forget()
 
     def _forget(self) -> None:
@@ -205,14 +217,14 @@ class WordTokenizer:
         Words are joined with a mark between them, which is cheaper than one call for
         each; a word that holds the mark, or any word if its id isn't single, goes alone.
         """
-        joint = np.array([MARK not in t for t in texts]) & (len(self._mark) == 1)
+        joint = np.array([MARK not in t for t in texts], bool) & (len(self._mark) == 1)
         size = np.zeros(len(texts), np.int64)
         parts: list[np.ndarray] = [None] * len(texts)
         alone = np.flatnonzero(~joint)
         for i, e in zip(alone, self._tokenizer.encode_batch_fast([texts[i] for i in alone], add_special_tokens=False), strict=True):
             parts[i], size[i] = np.array(e.ids, np.uint32), len(e.ids)
         together = np.flatnonzero(joint)
-        groups = [together[i : i + 1_000] for i in range(0, len(together), 1_000)]
+        groups = [together[i : i + TOGETHER] for i in range(0, len(together), TOGETHER)]
         found = self._tokenizer.encode_batch_fast([f" {MARK} ".join([texts[i] for i in g]) + f" {MARK}" for g in groups], add_special_tokens=False)
         flat = np.concatenate([np.array(e.ids, np.uint32) for e in found] or [np.zeros(0, np.uint32)])
         marks = np.flatnonzero(flat == self._mark[0]) if len(self._mark) == 1 else np.zeros(0, np.int64)
@@ -227,6 +239,33 @@ class WordTokenizer:
             parts[i] = flat[a:b]
         return np.concatenate(parts), size
 
+    def _spelled(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The pieces as they are dealt with, the ids of all of them in that order, and the number of each one's.
+
+        A piece of small Latin letters alone is one word to the tokenizer, which its rules leave
+        as it is, and whose last id shows that it ends the word. So such pieces are given to the
+        same model without those rules, and need no mark between them.
+        """
+        size = ends - starts
+        within = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        flat = data[within + np.repeat(starts, size)]
+        behind = np.append(False, flat[:-1] == _LATIN)
+        letter = (_KIND[flat] == _LETTER) & (flat > 90) | (flat == _LATIN) | behind & _SMALL[flat]
+        easy = np.logical_and.reduceat(letter, np.cumsum(size) - size)
+        own, rest = np.flatnonzero(easy), np.flatnonzero(~easy)
+        place = np.append(0, np.cumsum(size[own] + 1))
+        line = np.full(place[-1], 32, np.uint8)
+        taken = np.repeat(easy, size)
+        line[within[taken] + np.repeat(place[:-1], size[own])] = flat[taken]
+        texts = [line[place[i] : place[min(i + TOGETHER, len(own))]].tobytes().decode() for i in range(0, len(own), TOGETHER)]
+        found = self._bare.encode_batch_fast(texts, add_special_tokens=False)
+        ids = np.concatenate([np.array(e.ids, np.uint32) for e in found] or [np.zeros(0, np.uint32)])
+        last = np.flatnonzero(self._closes[ids])
+        if len(last) != len(own):  # not a tokenizer that shows where words end
+            own, rest, ids, last = own[:0], np.arange(len(size)), ids[:0], last[:0]
+        more, sizes = self._ids([bytes(data[starts[i] : ends[i]]).decode() for i in rest])
+        return np.append(own, rest), np.concatenate([ids, more]), np.concatenate([np.diff(np.append(-1, last)), sizes])
+
     def encode(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts of ``col``, one after the other, and the offsets of each text's."""
         data, off = words.text_bytes(col)
@@ -245,8 +284,8 @@ class WordTokenizer:
         slot = np.array([self._known.get(h, -1) for h in distinct.tolist()], np.int64)
         new = np.flatnonzero(slot < 0)
         if len(new):
-            texts = [bytes(data[starts[i] : ends[i]]).decode() for i in at[new]]
-            ids, sizes = self._ids(texts)
+            order, ids, sizes = self._spelled(data, starts[at[new]], ends[at[new]])
+            new = new[order]
             slot[new] = np.arange(len(self._known), len(self._known) + len(new))
             self._known.update(zip(distinct[new].tolist(), slot[new].tolist(), strict=True))
             self._flat = np.concatenate([self._flat, ids])

@@ -56,3 +56,20 @@ def test_empty_table_and_repeated_rows(spark):
     assert tc.encode_corpus(spark, spark.createDataFrame([], "doc_id long, text string")).count() == 0
     got = tc.encode_corpus(spark, spark.createDataFrame([(1, "a b"), (1, "a b")], "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.n_tokens) for r in got) == [(1, 3), (1, 3)]
+
+
+def test_words_of_small_letters_need_no_rules(monkeypatch):
+    """Only other pieces go through the tokenizer's rules; the ids of both are the tokenizer's own."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    own, ruled = tc.WordTokenizer(tc.tokenizer_path()), []
+    whole, plainly = Tokenizer.from_file(tc.tokenizer_path()), own._ids
+    monkeypatch.setattr(own, "_ids", lambda texts: ruled.extend(texts) or plainly(texts))
+    letters = [chr(c) for c in range(0xC0, 0x180)] + ["a", "zq", "́", "×", "ǆ", "ﬁ", "日"]
+    texts = ["ouaiieran été straße laéauxauxou Plain", "éelleanè&&& É'tÉ İi ı", *(f"x{a} {a}x {a}{b} x{a}{b}y" for a in letters for b in letters[::9]), "<|endoftext|> été EtÉ ab", ""]
+    for part in ([t] for t in texts[:3]), (texts,), (texts[::-1],):
+        for given_ in part:
+            ids, off = own.encode(pa.array(given_))
+            assert [ids[a:b].tolist() for a, b in zip(off[:-1], off[1:], strict=True)] == [whole.encode(t, add_special_tokens=False).ids for t in given_]
+    assert not {"ouaiieran", "été", "straße", "laéauxauxou", "plain"} & set(ruled) and {"éelleanè&&&", "ı"} <= set(ruled)
