@@ -17,7 +17,7 @@ from riskweave.operators import metadata as M
 from riskweave.operators import cache, figures, filters, ingest, records, store, warehouse, years
 from riskweave.operators import summary as Y
 from riskweave.plans import views
-from riskweave.sources import search, sinks
+from riskweave.sources import corpus, search, sinks
 from riskweave.sources.corpus import BLOCKS, RISK, Frames
 from riskweave.streaming import ingest as stream
 
@@ -557,3 +557,22 @@ def test_figures_read_no_sections(spark):
     lean, whole = views.gated(f.filings, f.summaries), views.visible(views.display(f.filings, f.sections, f.summaries))
     assert sorted(map(tuple, figures.counts(lean).collect())) == sorted(map(tuple, figures.counts(whole).collect()))
     assert "l_discount" not in lean._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_task_of_the_view_has_so_many_rows(spark, monkeypatch):
+    """Larger order tables are dealt out to more tasks, not to larger ones; the rows stay the same."""
+    sf = "/root/testdata/sf0.001"
+    plain = sorted(map(tuple, Frames(spark, sf).view.collect()))
+    monkeypatch.setattr(corpus, "ROWS", 300)
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    for name in names:
+        spark.conf.set(name, "-1")  # so small a table would be broadcast
+    try:
+        f = Frames(spark, sf)
+        for df in (f.section_rows, f.sections, f.view):
+            sizes = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+            assert len(sizes) > 15 and max(sizes) < 4 * corpus.ROWS
+        assert sorted(map(tuple, f.view.collect())) == plain
+    finally:
+        for name in names:
+            spark.conf.unset(name)
