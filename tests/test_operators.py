@@ -3,11 +3,14 @@
 import json
 import timeit
 import tracemalloc
+from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from pyspark.sql.readwriter import DataFrameWriter
 
 from riskweave.functions import display as D
 from riskweave.functions import fixed, lexicons, terms
@@ -394,6 +397,30 @@ def test_outputs_of_a_run_read_no_text_again(spark):
         assert "ArrowEvalPython" not in df._jdf.queryExecution().executedPlan().toString() and not df.isEmpty()
 
 
+def test_memory_of_python_workers_is_bounded(spark, monkeypatch):
+    """Each step of a run has few Python workers at once, and hands them few texts at a time; what passes between steps goes."""
+    workers, write, told = [], DataFrameWriter.parquet, terms.tells
+
+    def written(self, path, *args, **kwargs):
+        workers.append(self._df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython"))
+        return write(self, path, *args, **kwargs)
+
+    @F.arrow_udf("boolean")
+    def few(text: pa.Array) -> pa.Array:
+        assert len(text) <= 500 and text.nbytes < 8 << 20
+        return pa.array([True] * len(text), pa.bool_())
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", written)
+    monkeypatch.setattr(terms, "tells", lambda text: few(text) & told(text))
+    work = "cast(id as string) AS accession_no, '7' AS cik, 'Ace' AS company_name, '' AS ticker, '10-K' AS form_type, '10-K' AS root_form, '2024-01-15' AS filing_date, '' AS keyword"
+    runs = spark.range(0, 1500, 1, 1).selectExpr(*work.split(", "), "id")
+    said = runs.select("accession_no", F.when(F.col("id") % 2 == 0, F.repeat(F.lit("bread and cheese "), 3000)).otherwise(BLOCKS["body"]).alias("text"))
+    none = spark.createDataFrame([], "accession_no string, seq int, name string, type string, url string, is_binary int, text string")
+    made = records.compose(runs.drop("id"), said, none, spark.createDataFrame([], "cik string, category string"), spark.createDataFrame([], "cik string, holdings string"), "now")
+    assert made.summaries.count() == 750 and len(workers) > 1 and max(workers) <= 6  # one of them is this test's
+    assert not list(Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"), "riskweave").glob("tried-*"))
+
+
 def test_stream_holds_no_state_and_takes_each_accession_once(spark, tmp_path):
     """Many commits, a restart in the middle: what was taken is in the target, not in the stream's state."""
     source, target, state = (f"file://{tmp_path}/{n}" for n in ("hits", "taken", "state"))
